@@ -12,6 +12,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,9 +20,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import load_tokenizer, stash, tokenizer_file, vocabulary
+from .common import load_tokenizer, tokenizer_file, vocabulary
 
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 16 << 20
 MIN_BUCKETS = 64
 SPLIT = "block long, bucket int, data binary"
 
@@ -60,6 +61,27 @@ def _unpack(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u4").ravel()
 
 
+def _pack_codes(codes: np.ndarray) -> bytes:
+    """Small codes in one byte; the rest of larger ones in planes after them."""
+    import zstandard
+
+    small = codes < 128
+    rest = codes[~small]
+    first = np.where(small, codes, 128 + (codes & 127)).astype(np.uint8)
+    return zstandard.compress(b"".join([first.tobytes(), *((rest >> s & 255).astype(np.uint8).tobytes() for s in (7, 15, 23))]), 1)
+
+
+def _unpack_codes(data: bytes, n: int) -> np.ndarray:
+    import zstandard
+
+    raw = np.frombuffer(zstandard.decompress(data), np.uint8)
+    codes = raw[:n].astype(np.int64)
+    large = codes >= 128
+    planes = raw[n:].reshape(3, -1).astype(np.int64)
+    codes[large] += (planes[0] << 7) + (planes[1] << 15) + (planes[2] << 23) - 128
+    return codes
+
+
 def _join(parts: list[bytes]) -> bytes:
     head = np.array([len(parts), *map(len, parts)], dtype="<u4").tobytes()
     return head + b"".join(parts)
@@ -78,7 +100,8 @@ def _splitter(path: str, n_buckets: int, block_bytes: int):
 
         special = tuple(vocabulary(path)[1])
         task, made = TaskContext.get().partitionId(), 0
-        index: dict[str, int] = {}
+        index: dict[str, int] = defaultdict()
+        index.default_factory = index.__len__
         ids: list[int | None] = []
         codes: list[np.ndarray] = []
         size = 0
@@ -86,12 +109,19 @@ def _splitter(path: str, n_buckets: int, block_bytes: int):
         def close() -> pa.RecordBatch:
             nonlocal made, size
             block = task << 32 | made
-            words = [w.encode() for w in index]
+            words, code = list(index), np.concatenate(codes)
+            # repeated words by falling count, then those met once, in the order of the texts: code 0 stands for the next of these
+            count = np.bincount(code, minlength=len(words))
+            many = np.flatnonzero(count > 1)
+            many = many[np.argsort(-count[many], kind="stable")]
+            number = np.zeros(len(words), np.int64)
+            number[many] = np.arange(1, len(many) + 1)
+            words = [words[i].encode() for i in [*many.tolist(), *np.flatnonzero(count == 1).tolist()]]
             bucket = np.fromiter((zlib.crc32(w) % n_buckets for w in words), np.uint32, len(words))
             known = np.array([i is not None for i in ids], np.uint8)
             doc = _join([
                 np.array([i or 0 for i in ids], "<i8").tobytes(), known.tobytes(), _pack([len(c) for c in codes]),
-                _pack(np.concatenate(codes) if codes else []), _pack(bucket),
+                _pack_codes(number[code]), _pack(bucket), _pack([len(many)]),
             ])
             order = np.argsort(bucket, kind="stable")
             cuts = np.searchsorted(bucket[order], np.arange(n_buckets + 1))
@@ -108,8 +138,7 @@ def _splitter(path: str, n_buckets: int, block_bytes: int):
             for i, text in zip(batch.column(0), batch.column(1)):
                 text = text.as_py() or ""
                 words = split_words(text, special)
-                put = index.setdefault
-                codes.append(np.fromiter((put(w, len(index)) for w in words), np.uint32, len(words)))
+                codes.append(np.fromiter(map(index.__getitem__, words), np.int32, len(words)))
                 ids.append(i.as_py())
                 size += len(text)
                 if size >= block_bytes:
@@ -133,6 +162,9 @@ def _encoder(path: str):
                 if bucket != last:
                     table = {w.encode(): np.array([i], "<u4").tobytes() for w, i in special.items()}
                     last = bucket
+                if bucket < 0:
+                    out.append(data.as_py())
+                    continue
                 words = _part(zstandard.decompress(data.as_py()))
                 new = [w for w in words if w not in table]
                 for w, e in zip(new, tok.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)):
@@ -160,7 +192,11 @@ def _assembler(path: str, emit):
             else:
                 parts[bucket] = [_unpack(x) for x in _part(data.as_py())]
         ids, known = np.frombuffer(doc[0], "<i8"), np.frombuffer(doc[1], np.uint8)
-        per_doc, code, bucket = (_unpack(x).astype(np.int64) for x in doc[2:])
+        per_doc, bucket, many = (_unpack(doc[i]).astype(np.int64) for i in (2, 4, 5))
+        code = _unpack_codes(doc[3], int(per_doc.sum()))
+        once = code == 0
+        code -= 1
+        code[once] = many[0] + np.arange(int(once.sum()))
         order = np.argsort(bucket, kind="stable")
         keys = sorted(parts)
         lengths = np.zeros(len(bucket), np.int64)
@@ -187,9 +223,9 @@ def _distinct_word_blocks(docs: DataFrame, id_col: str, text_col: str, path: str
     """Packed rows (block, bucket, data): documents at bucket -1, encoded words at the others."""
     n_buckets = max(MIN_BUCKETS, docs.rdd.getNumPartitions())
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    split = stash(source.mapInArrow(_splitter(path, n_buckets, block_bytes), SPLIT), "bpe-split")
-    words = split.where("bucket >= 0").repartition(n_buckets, "bucket").sortWithinPartitions("bucket")
-    return split.where("bucket < 0").unionAll(words.mapInArrow(_encoder(path), SPLIT))
+    split = source.mapInArrow(_splitter(path, n_buckets, block_bytes), SPLIT)
+    deal = F.when(F.col("bucket") < 0, F.xxhash64("block")).otherwise(F.col("bucket").cast("long"))
+    return split.withColumn("deal", deal).repartition(n_buckets, "deal").sortWithinPartitions("bucket").select("block", "bucket", "data").mapInArrow(_encoder(path), SPLIT)
 
 
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
