@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import bpe, chat, packing, pii, quality, secret_scan, simhash
+from . import bpe, chat, packing, pii, quality, secret_scan, simhash, topk, vector_graph
 from .common import table
 
 
@@ -41,9 +41,18 @@ def op6_simhash(spark, sf_dir):
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op7_topk(spark, sf_dir):
+    rows = topk.quantised(table(spark, sf_dir, "embeddings"))
+    return topk.search(rows, rows.where("vec_id % 20 = 0"))
+
+
 def op9_secrets(spark, sf_dir):
     return secret_scan.scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_bpe, op3_packing, op4_chat, op5_quality, op6_simhash, op9_secrets)}
+def op10_vectors(spark, sf_dir):
+    return vector_graph.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_pii, op2_bpe, op3_packing, op4_chat, op5_quality, op6_simhash, op7_topk, op9_secrets, op10_vectors)}
 ORACLE_SQL: dict[str, str] = {}
