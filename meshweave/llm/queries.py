@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import bpe, chat, packing, pii, quality, secret_scan, simhash, topk, vector_graph
+from . import bpe, chat, packing, pii, quality, secret_scan, simhash, suffix_dedup, topk, vector_graph
 from .common import table
 
 
@@ -46,6 +46,10 @@ def op7_topk(spark, sf_dir):
     return topk.search(rows, rows.where("vec_id % 20 = 0"))
 
 
+def op8_suffix(spark, sf_dir):
+    return suffix_dedup.digests(table(spark, sf_dir, "documents"))
+
+
 def op9_secrets(spark, sf_dir):
     return secret_scan.scan(table(spark, sf_dir, "documents"))
 
@@ -54,5 +58,5 @@ def op10_vectors(spark, sf_dir):
     return vector_graph.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_bpe, op3_packing, op4_chat, op5_quality, op6_simhash, op7_topk, op9_secrets, op10_vectors)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_bpe, op3_packing, op4_chat, op5_quality, op6_simhash, op7_topk, op8_suffix, op9_secrets, op10_vectors)}
 ORACLE_SQL: dict[str, str] = {}
