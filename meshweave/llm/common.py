@@ -6,10 +6,16 @@ import functools
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Edges that one task contracts at once.
+PART_EDGES = 250_000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -30,20 +36,50 @@ def stash(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spanning(i: np.ndarray, j: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges from nodes to the smallest node they reach over the pairs (i, j) of indexes."""
+    label = np.arange(len(nodes))
+    while True:
+        low = label.copy()
+        np.minimum.at(low, i, label[j])
+        np.minimum.at(low, j, label[i])
+        low = low[low]
+        if (low == label).all():
+            break
+        label = low
+    moved = np.flatnonzero(label != np.arange(len(nodes)))
+    return nodes[moved], nodes[label[moved]]
+
+
+def _contract(batches):
+    """A partition's edges as stars around their smallest nodes."""
+    parts = [pa.Table.from_batches([b]) for b in batches if b.num_rows]
+    if parts:
+        t = pa.concat_tables(parts)
+        nodes, at = np.unique(np.concatenate([t.column("a").to_numpy(), t.column("b").to_numpy()]), return_inverse=True)
+        half = len(at) // 2
+        a, b = spanning(at[:half], at[half:], nodes)
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+
 def connected_components(edges: DataFrame, tag: str = "cc") -> DataFrame:
     """(node, root) for every node of undirected edges (a, b); root is the smallest node reachable.
 
-    Alternating large-star and small-star rounds. Minima are pre-aggregated map-side, the joins
-    back are plain equi-joins that adaptive execution can split for a hub, and each round is
-    stashed, so neither lineage nor a task grows with a component. Null ends and loops are ignored.
+    Edges (longs) are first contracted to stars within bounded parts of PART_EDGES; one part holding
+    all is the answer. More parts go on in alternating large-star and small-star rounds. Minima are
+    pre-aggregated map-side, the joins back are plain equi-joins that adaptive execution can split
+    for a hub, and each round is stashed, so neither lineage nor a task grows with a component.
+    Null ends and loops are ignored.
     """
 
     def digest(e: DataFrame):
         return e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
 
     e = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    e = stash(e.where("a is not null and b is not null and a <> b").distinct(), tag)
-    before = digest(e)
+    e = stash(e.where("a is not null and b is not null and a <> b"), tag)
+    parts = max(1, -(-e.count() // PART_EDGES))
+    e = stash(e.coalesce(parts).mapInArrow(_contract, "a long, b long"), tag)
+    before = digest(e) if parts > 1 else (0, None)
     while before[0]:
         both = e.unionAll(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("k"), F.least("a", "m").alias("m"))

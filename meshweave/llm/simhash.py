@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, stash
+from .common import connected_components, spanning, stash
 
 RADIUS = 3
 SHINGLE = 3
@@ -74,21 +74,6 @@ def half_ball(radius: int) -> list[tuple[int, ...]]:
     return sorted(d for d in ball if d >= (0, 0, 0, 0))
 
 
-def _spanning(i: np.ndarray, j: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Edges from nodes to the smallest node they reach over the pairs (i, j) of indexes."""
-    label = np.arange(len(nodes))
-    while True:
-        low = label.copy()
-        np.minimum.at(low, i, label[j])
-        np.minimum.at(low, j, label[i])
-        low = low[low]
-        if (low == label).all():
-            break
-        label = low
-    moved = np.flatnonzero(label != np.arange(len(nodes)))
-    return nodes[moved], nodes[label[moved]]
-
-
 def tile_links(home: np.ndarray, guests: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Edges that connect what links within home and between home and guests, a forest per block pair."""
     a, b = [], []
@@ -102,7 +87,7 @@ def tile_links(home: np.ndarray, guests: np.ndarray, radius: int) -> tuple[np.nd
                     near &= np.tri(len(own), len(met), -1, dtype=bool)
                 i, j = np.nonzero(near)
                 if len(i):
-                    x, y = _spanning(i, j + len(own), np.concatenate([own, met]))
+                    x, y = spanning(i, j + len(own), np.concatenate([own, met]))
                     a.append(x)
                     b.append(y)
     if not a:

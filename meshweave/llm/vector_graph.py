@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import connected_components, stash
+from .common import connected_components, spanning, stash
 
 THRESHOLD = 0.93
 GROUP = 8192
@@ -221,8 +221,6 @@ def _large_labels(large: DataFrame) -> DataFrame:
 
 def _group_runner(threshold: float):
     def run(key, t):
-        from .simhash import _spanning
-
         t = t.sort_by("rep")
         dim, part, rep, n = key[1].as_py(), key[2].as_py(), t.column("rep").to_numpy(), t.column("n").to_numpy()
         x = t.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
@@ -234,7 +232,7 @@ def _group_runner(threshold: float):
         np.add.at(links, b[own], n[a[own]])
         root = rep.copy()
         if len(a):
-            x1, x2 = _spanning(a, b, np.arange(len(rep)))
+            x1, x2 = spanning(a, b, np.arange(len(rep)))
             root[x1] = rep[x2]
         return pa.table({"rep": pa.array(rep), "links": pa.array(links), "root": pa.array(root), "recall": pa.array(np.full(len(rep), recall))})
 
