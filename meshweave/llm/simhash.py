@@ -46,15 +46,16 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * total > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, fp, and the string columns in keep): fp is the fingerprint as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = np.array([fingerprint(t.as_py()) for t in b.column(1)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp), *b.columns[2:]], names=["doc_id", "fp", *keep])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, fp long")
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *[F.col(c) for c in keep])
+    return source.mapInArrow(run, "doc_id long, fp long" + "".join(f", {c} string" for c in keep))
 
 
 def _counts(fp: str):
@@ -147,17 +148,37 @@ def links(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFr
     return met.mapInArrow(_compare(radius), "a long, b long")
 
 
-def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
-    """One row per input row: doc_id, fp and component_id, the smallest doc_id reachable over links.
+def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per input row: doc_id, fp, component_id, the smallest doc_id reachable over links, and what keep names.
 
     Null and empty texts have fingerprint zero and link like any other; repeated rows give repeated
     rows; null ids stay null and take part through their fingerprint only; an empty table gives an
     empty one; other columns are left out.
     """
-    prints = stash(fingerprints(docs, id_col, text_col), "simhash")
+    return _rooted(docs, id_col, text_col, radius, keep).select("doc_id", "fp", "component_id", *keep)
+
+
+def _rooted(docs: DataFrame, id_col: str, text_col: str, radius: int, keep: tuple[str, ...]) -> DataFrame:
+    prints = stash(fingerprints(docs, id_col, text_col, keep), "simhash")
     distinct = stash(prints.groupBy("fp").agg(F.min("doc_id").alias("low")), "simhash-fp")
     roots = connected_components(links(distinct, radius), "simhash-cc")
     rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     lows = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = rooted.join(lows, "root").select("fp", "component_id")
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = rooted.join(lows, "root").select("fp", "root", "component_id")
+    return stash(prints.join(named, "fp").select("doc_id", "fp", "root", "component_id", *keep), "simhash-rooted")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
+    """docs without all but one row of each linked group: the smallest id's, null ids last.
+
+    Rows of that id within the group are ordered by their text's digest and one of them is kept, so
+    repeated rows go too. Texts are shuffled once, in the join that drops the others.
+    """
+    tagged = docs.withColumn("__md5", F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")))
+    found = _rooted(tagged, id_col, text_col, radius, ("__md5",))
+    counted = found.groupBy("root", "doc_id", "__md5").agg(F.count("*").alias("n"))
+    first = counted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__md5", "n")).alias("m"))
+    first = first.select(F.col("m.doc_id").alias("__id"), F.col("m.__md5").alias("__text"), F.col("m.n").alias("__n"))
+    rows = tagged.join(first, F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.col("__md5") == F.col("__text")))
+    repeated = rows.where("__n > 1").dropDuplicates([id_col, "__md5"])
+    return rows.where("__n = 1").unionByName(repeated).select(*docs.columns)
