@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
-FLAGSHIP = "c1_khop_uniform"
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from . import query_graph, query_reports, query_samples
+from .declare import ORACLE_SQL, QUERIES
+
+FLAGSHIP = "c11_blocks"
+MODULES = (query_graph, query_reports, query_samples)
+__all__ = ["FLAGSHIP", "MODULES", "ORACLE_SQL", "QUERIES"]
