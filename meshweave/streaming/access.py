@@ -15,13 +15,24 @@ def read_events(spark: SparkSession, folder: str, schema, files_per_trigger: int
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(folder)
 
 
+def _timed(events: DataFrame, late: str) -> tuple[DataFrame, str]:
+    """Events with a watermark, and the type their times go back to: watermarks need zoned times."""
+    kind = events.schema["ts"].dataType.simpleString()
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late), kind
+
+
 def windowed_access(events: DataFrame, width: str = "1 hour", late: str = "1 hour") -> DataFrame:
     """Accesses of each node per tumbling window; rows later than the watermark are dropped."""
-    return events.withWatermark("ts", late).groupBy(F.window("ts", width), "user_id").agg(F.count("*").alias("freq")).select(F.col("window.start").alias("start"), F.col("user_id").cast("long").alias("node_id"), "freq")
+    timed, kind = _timed(events, late)
+    counted = timed.groupBy(F.window("ts", width), "user_id").agg(F.count("*").alias("freq"))
+    return counted.select(F.col("window.start").cast(kind).alias("start"), F.col("user_id").cast("long").alias("node_id"), "freq")
 
 
 def session_access(events: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
-    return events.withWatermark("ts", late).groupBy(F.session_window("ts", gap), "user_id").agg(F.count("*").alias("freq")).select(F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), F.col("user_id").cast("long").alias("node_id"), "freq")
+    """Accesses of each node per session: a gap without events ends one."""
+    timed, kind = _timed(events, late)
+    counted = timed.groupBy(F.session_window("ts", gap), "user_id").agg(F.count("*").alias("freq"))
+    return counted.select(F.col("session_window.start").cast(kind).alias("start"), F.col("session_window.end").cast(kind).alias("end"), F.col("user_id").cast("long").alias("node_id"), "freq")
 
 
 def repeats_across_batches(access: DataFrame) -> DataFrame:
