@@ -150,21 +150,30 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return net.dump()
 
 
-def score(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row per input row: id, score in 0..1, predicted; and the columns named in keep.
+def score(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per input row: id, score in 0..1, predicted.
 
     Whole texts are read. Null and empty texts get the score of an empty text; repeated rows and
     null ids pass through; an empty table gives an empty one; other columns are left out.
     """
-    source = docs.select(F.col(id_col), F.col(text_col), *[F.col(c).alias(f"__{i}") for i, c in enumerate(keep)])
+    source = docs.select(F.col(id_col), F.col(text_col))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = Network.load(model)
         for b in batches:
             p = np.array([net.score(t.as_py()) for t in b.column(1)], np.float64)
-            cols = [b.column(0), pa.array(p), pa.array((p >= 0.5).astype(np.int32)), *(b.column(i + 2) for i in range(len(keep)))]
-            yield pa.RecordBatch.from_arrays(cols, names=["__id", "score", "predicted", *(f"__{i}" for i in range(len(keep)))])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], names=[id_col, "score", "predicted"])
 
-    types = {f.name: f.dataType.simpleString() for f in source.schema}
-    shape = f"__id {types[id_col]}, score double, predicted int" + "".join(f", __{i} {types[f'__{i}']}" for i in range(len(keep)))
-    return source.mapInArrow(run, shape).select(F.col("__id").alias(id_col), "score", "predicted", *[F.col(f"__{i}").alias(c) for i, c in enumerate(keep)])
+    return source.mapInArrow(run, f"`{id_col}` {source.schema[id_col].dataType.simpleString()}, score double, predicted int")
+
+
+def accepted(docs: DataFrame, model: bytes, text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns unchanged, whose text scores at least one half."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        net = Network.load(model)
+        for b in batches:
+            texts = b.column(b.schema.get_field_index(text_col))
+            yield b.filter(pa.array([net.score(t.as_py()) >= 0.5 for t in texts], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

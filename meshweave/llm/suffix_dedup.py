@@ -417,12 +417,13 @@ def _windows(length: int):
 
 def _texts(docs: DataFrame, text_col: str, *more: str) -> DataFrame:
     raw = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
-    return docs.select(F.unhex(F.md5(raw)).alias("uid"), raw.alias("raw"), *[F.col(c) for c in more])
+    return docs.select(F.unhex(F.md5(raw)).alias("uid"), raw.alias("raw"), *[F.col(f"`{c}`").alias(f"__{i}") for i, c in enumerate(more)])
 
 
-def _squeezed(texts: DataFrame, once: bool, *more: str) -> DataFrame:
-    """Texts compressed for a shuffle; once: each only once per task."""
-    types = "".join(f", `{c}` {texts.schema[c].dataType.simpleString()}" for c in more)
+def _squeezed(texts: DataFrame, once: bool) -> DataFrame:
+    """Texts compressed for a shuffle, other columns as they are; once: each text only once per task."""
+    more = texts.columns[2:]
+    types = "".join(f", {c} {texts.schema[c].dataType.simpleString()}" for c in more)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -474,7 +475,7 @@ def _cut(text: bytes, ranges) -> tuple[np.ndarray, np.ndarray, bytes]:
 
 
 def _with_ranges(docs: DataFrame, text_col: str, keep: tuple[str, ...], **options) -> DataFrame:
-    texts = _squeezed(_texts(docs, text_col, *keep), False, *keep)
+    texts = _squeezed(_texts(docs, text_col, *keep), False)
     return texts.join(covered_ranges(docs, text_col, **options), "uid", "left")
 
 
@@ -490,7 +491,7 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **o
 
         for b in batches:
             rows = []
-            for z, i, ranges in zip(b.column("z"), b.column("doc_id").to_pylist(), b.column("ranges")):
+            for z, i, ranges in zip(b.column("z"), b.column("__0").to_pylist(), b.column("ranges")):
                 text = zstandard.decompress(z.as_py())
                 lo, hi, kept = _cut(text, ranges.as_py() or [])
                 rows.append((i, len(text), int((hi - lo).sum()), len(lo), hashlib.sha256(kept).hexdigest()))
@@ -498,21 +499,24 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **o
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64()] * 4 + [pa.string()])], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    joined = _with_ranges(source, "text", ("doc_id",), **options).select("doc_id", "z", "ranges")
+    joined = _with_ranges(source, "text", ("doc_id",), **options).select("__0", "z", "ranges")
     return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def remove_repeats(docs: DataFrame, text_col: str = "text", **options) -> DataFrame:
     """docs with covered bytes cut out of the texts; where a cut falls inside a character, what is left of it is dropped."""
     others = tuple(c for c in docs.columns if c != text_col)
-    joined = _with_ranges(docs, text_col, others, **options).select("z", "ranges", *others)
-    types = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in others)
+    marks = [f"__{i}" for i in range(len(others))]
+    joined = _with_ranges(docs, text_col, others, **options).select("z", "ranges", *marks)
+    types = "".join(f", {m} {docs.schema[c].dataType.simpleString()}" for m, c in zip(marks, others))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
         for b in batches:
             kept = [_cut(zstandard.decompress(z.as_py()), r.as_py() or [])[2].decode("utf-8", "ignore") for z, r in zip(b.column(0), b.column(1))]
-            yield pa.RecordBatch.from_arrays([pa.array(kept, pa.string()), *b.columns[2:]], names=["text", *others])
+            yield pa.RecordBatch.from_arrays([pa.array(kept, pa.string()), *b.columns[2:]], names=["text", *marks])
 
-    return joined.mapInArrow(run, f"text string{types}").withColumnRenamed("text", text_col).select(*docs.columns)
+    cut = joined.mapInArrow(run, f"text string{types}")
+    named = dict(zip(others, marks)) | {text_col: "text"}
+    return cut.select(*[F.col(named[c]).alias(c) for c in docs.columns])
