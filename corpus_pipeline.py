@@ -12,8 +12,7 @@ from meshweave.llm.common import stash, table
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier accepts (score of at least one half)."""
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
-    scored = quality.score(docs, model, keep=tuple(c for c in docs.columns if c != "doc_id"))
-    return scored.where("predicted = 1").select(*docs.columns)
+    return quality.accepted(docs, model)
 
 
 def keep_first_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
