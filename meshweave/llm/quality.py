@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CHUNK, STRIDE, FILTERS, DIMS = 8, 4, 24, 8
+CHUNK, STRIDE, FILTERS, DIMS = 16, 4, 24, 8
 SAMPLE_ROWS = 3000
 SAMPLE_BYTES = 32 << 20
 EPOCHS, RATE, SEED = 6, 0.01, 7
