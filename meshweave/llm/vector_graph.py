@@ -25,6 +25,8 @@ DEGREE = 24
 CANDIDATES = 48
 ALPHA = 1.2
 BEAM = 32
+CENTRES = 64
+LEVELS = 6
 AUDIT = 128
 AUDIT_RECALL = 0.98
 DENSE = 256
@@ -182,14 +184,9 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     base = base.withColumn("valid", fine & F.col("label").isNotNull() & F.col("vec_id").isNotNull()).withColumn("hash", F.when(F.col("valid"), F.sha2(F.to_json(F.struct("label", "v")), 256)))
     nodes = base.where("valid").groupBy("label", "hash").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.first("v").alias("v"))
     nodes = stash(nodes.withColumn("dim", F.size("v")), "vec-nodes")
-    sizes = nodes.groupBy("label", "dim").agg(F.count("*").alias("m"))
-    cut = sizes.select("label", "dim", F.when(F.col("m") <= group, 1).otherwise(F.ceil(F.lit(2.0) * OVERLAP * F.col("m") / group)).cast("int").alias("k"))
-    whole = nodes.join(F.broadcast(cut), ["label", "dim"])
-    one = whole.where("k = 1").select("label", "dim", F.lit(0).alias("part"), F.array(F.lit(0)).alias("parts"), "rep", "n", "v")
-    large = _large_labels(whole.where("k > 1"))
     run = _group_runner(threshold)
     shape = "rep long, links long, root long, recall double"
-    found = stash(one.unionAll(large).groupBy("label", "dim", "part").applyInArrow(run, shape), "vec-links")
+    found = stash(_groups(nodes, group).groupBy("label", "dim", "part").applyInArrow(run, shape), "vec-links")
     counted = found.groupBy("rep").agg(F.sum("links").alias("links"), F.min("recall").alias("recall"))
     roots = connected_components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")), "vec-cc")
     named = nodes.select("hash", "rep", "n").join(counted, "rep", "left").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
@@ -200,23 +197,47 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     return every.select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)).alias("kept"), F.col("recall").alias("audited_recall"))
 
 
-def _large_labels(large: DataFrame) -> DataFrame:
-    """Nodes of labels above a group's size, each in the groups of its OVERLAP nearest sampled centres.
+def _groups(nodes: DataFrame, group: int) -> DataFrame:
+    """Nodes by search group: (label, dim, part, parts, rep, n, v), parts being all groups of the node.
 
-    Centres are the first k nodes by hash. Rows meet them in a join on the label; what is kept per
-    row is the OVERLAP best, so the sort is by (label, rep) and no label meets in one task.
+    Groups above `group` nodes are cut again and again at up to CENTRES sampled centres each, every
+    node going to its OVERLAP nearest ones, so no level compares a node with more than CENTRES
+    vectors. What LEVELS cuts cannot separate stays together and is searched in blocks.
     """
-    w = Window.partitionBy("label", "dim").orderBy("hash")
-    centres = large.select("label", "dim", "k", "hash", "v").withColumn("part", F.row_number().over(w)).where("part <= k").select("label", "dim", "part", F.col("v").alias("c"))
-    packed = centres.groupBy("label", "dim").agg(F.collect_list(F.struct("part", "c")).alias("centres"))
+    key = ["label", "dim", "part"]
+    work, done = nodes.select("label", "dim", F.lit("").alias("part"), "rep", "hash", "n", "v"), []
+    for level in range(LEVELS + 1):
+        sizes = stash(work.groupBy(*key).agg(F.count("*").alias("m")), "vec-sizes")
+        small = sizes.where((F.col("m") <= group) | F.lit(level == LEVELS))
+        done.append(work.join(small.select(*key), key))
+        large = sizes.where((F.col("m") > group) & F.lit(level < LEVELS))
+        if large.isEmpty():
+            break
+        large = large.withColumn("k", F.least(F.lit(CENTRES), F.ceil(F.lit(2.0) * OVERLAP * F.col("m") / group)).cast("int"))
+        rows = stash(work.join(large, key), "vec-large")
+        # about twice as many as wanted pass the hash; the rank only orders those few
+        drawn = F.conv(F.substring(F.md5(F.concat("hash", F.lit(f":{level}"))), 1, 8), 16, 10).cast("double")
+        few = rows.where(drawn < (2 * F.col("k") + 16) / F.col("m") * 4294967296.0)
+        place = F.row_number().over(Window.partitionBy(*key).orderBy(drawn, "hash"))
+        centres = few.withColumn("c", place).where("c <= k").groupBy(*key).agg(F.collect_list(F.struct("c", F.col("v").alias("x"))).alias("centres"))
 
-    def cos(a, b):
-        dot = F.aggregate(F.zip_with(a, b, lambda p, q: p * q), F.lit(0.0), lambda s, p: s + p)
-        return dot / F.sqrt(F.aggregate(b, F.lit(0.0), lambda s, p: s + p * p))
+        def cos(a, b):
+            dot = F.aggregate(F.zip_with(a, b, lambda p, q: p * q), F.lit(0.0), lambda t, p: t + p)
+            return dot / F.sqrt(F.aggregate(b, F.lit(0.0), lambda t, p: t + p * p))
 
-    ranked = F.sort_array(F.transform("centres", lambda c: F.struct(cos(F.col("v"), c["c"]).alias("s"), c["part"].alias("part"))), asc=False)
-    placed = large.join(packed, ["label", "dim"]).withColumn("parts", F.transform(F.slice(ranked, 1, OVERLAP), lambda r: r["part"]))
-    return placed.select("label", "dim", F.explode("parts").alias("part"), "parts", "rep", "n", "v")
+        ranked = F.sort_array(F.transform("centres", lambda c: F.struct(cos(F.col("v"), c["x"]).alias("s"), c["c"].alias("c"))), asc=False)
+        own = F.array(F.struct(F.lit(1).alias("c"), F.col("v").alias("x")))  # a group without a centre stays whole
+        near = rows.join(centres, key, "left").withColumn("centres", F.coalesce("centres", own)).withColumn("c", F.explode(F.transform(F.slice(ranked, 1, OVERLAP), lambda r: r["c"])))
+        work = stash(near.select("label", "dim", F.concat_ws("/", "part", F.col("c").cast("string")).alias("part"), "rep", "hash", "n", "v"), "vec-cut")
+    every = done[0]
+    for d in done[1:]:
+        every = every.unionByName(d)
+    every = every.select(*key, "rep", "n", "v")
+    if len(done) == 1:
+        return every.withColumn("parts", F.array("part"))
+    every = stash(every, "vec-groups")
+    parts = every.groupBy("rep").agg(F.collect_set("part").alias("parts"))
+    return every.join(parts, "rep")
 
 
 def _group_runner(threshold: float):
@@ -227,7 +248,9 @@ def _group_runner(threshold: float):
         a, b, recall = group_links(x, threshold)
         links, parts = np.zeros(len(rep), np.int64), t.column("parts").to_pylist()
         # a pair that meets in several groups counts in the first of them
-        own = np.array([min(set(parts[i]) & set(parts[j])) == part for i, j in zip(a.tolist(), b.tolist())], bool) if len(parts[0]) > 1 else np.ones(len(a), bool)
+        sets = list(map(set, parts))
+        shared = max(map(len, sets)) > 1
+        own = np.array([min(sets[i] & sets[j]) == part for i, j in zip(a.tolist(), b.tolist())], bool) if shared else np.ones(len(a), bool)
         np.add.at(links, a[own], n[b[own]])
         np.add.at(links, b[own], n[a[own]])
         root = rep.copy()
