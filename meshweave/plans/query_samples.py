@@ -9,6 +9,7 @@ from ..operators import batching, blocks, build, cache, gather, layers, sampling
 from ..sources import market
 from .declare import query
 from .sql import BATCH, EPOCHS, SEED, khop, layered, md5, u32, uniform, with_
+from .storage import materialise
 
 TWO = layered("frontier", [10, 5])
 WALKS, STEPS, RESTART, TOP = 4, 3, 0.5, 5
@@ -91,15 +92,15 @@ def c6_khop_weighted(spark, sf_dir):
     return sampling.khop_weighted(weights.edge_weights(g.edges, _degrees(g), "inverse_source_degree"), f, 10, SEED)
 
 
-def _walk_sql() -> dict[str, str]:
-    out, now = {"n0": f"SELECT batch_key, node_id seed_id, walk, node_id at_ FROM frontier, (SELECT unnest(range({WALKS})) walk)"}, "n0"
+def _walk_sql(frontier: str = "frontier", seed: int = SEED, p: str = "", top: str = "top") -> dict[str, str]:
+    out, now = {f"{p}n0": f"SELECT batch_key, node_id seed_id, walk, node_id at_ FROM {frontier}, (SELECT unnest(range({WALKS})) walk)"}, f"{p}n0"
     for s in range(STEPS):
         keys = ("n.batch_key", "n.seed_id", "n.walk", s)
-        out[f"v{s}"] = f"SELECT n.batch_key, n.seed_id, n.walk, {s} step, a.src node_id FROM {now} n JOIN adj g ON g.dst = n.at_ AND g.pos = 0 JOIN adj a ON a.dst = n.at_ AND a.pos = {u32(SEED, chr(39) + 'step' + chr(39), *keys)} % g.deg"
-        out[f"n{s + 1}"] = f"SELECT batch_key, seed_id, walk, node_id at_ FROM v{s} n WHERE {uniform(SEED, chr(39) + 'stop' + chr(39), *keys)} >= {RESTART}"
-        now = f"n{s + 1}"
-    out["visits"] = " UNION ALL ".join(f"SELECT * FROM v{s}" for s in range(STEPS))
-    out["top"] = f"SELECT batch_key, seed_id dst, node_id src, w FROM (SELECT *, row_number() OVER (PARTITION BY batch_key, seed_id ORDER BY w DESC, node_id) rn FROM (SELECT batch_key, seed_id, node_id, count(*) w FROM visits GROUP BY 1, 2, 3)) WHERE rn <= {TOP}"
+        out[f"{p}v{s}"] = f"SELECT n.batch_key, n.seed_id, n.walk, {s} step, a.src node_id FROM {now} n JOIN adj g ON g.dst = n.at_ AND g.pos = 0 JOIN adj a ON a.dst = n.at_ AND a.pos = {u32(seed, chr(39) + 'step' + chr(39), *keys)} % g.deg"
+        out[f"{p}n{s + 1}"] = f"SELECT batch_key, seed_id, walk, node_id at_ FROM {p}v{s} n WHERE {uniform(seed, chr(39) + 'stop' + chr(39), *keys)} >= {RESTART}"
+        now = f"{p}n{s + 1}"
+    out[f"{p}visits"] = " UNION ALL ".join(f"SELECT * FROM {p}v{s}" for s in range(STEPS))
+    out[top] = f"SELECT batch_key, seed_id dst, node_id src, w FROM (SELECT *, row_number() OVER (PARTITION BY batch_key, seed_id ORDER BY w DESC, node_id) rn FROM (SELECT batch_key, seed_id, node_id, count(*) w FROM {p}visits GROUP BY 1, 2, 3)) WHERE rn <= {TOP}"
     return out
 
 
@@ -121,6 +122,28 @@ def c8_visit_topk(spark, sf_dir):
     return sampling.visit_topk(_visits(spark, sf_dir)[2], TOP)
 
 
+def _walk_blocks_sql() -> dict[str, str]:
+    plain = layered("frontier", [1, 1])  # its relabelling over other layers
+    return {"k0": plain["k0"], **_walk_sql("k0", SEED, "a", "l0"), "k1": plain["k1"], **_walk_sql("k1", SEED + 1, "b", "l1"), "k2": plain["k2"], "ids": plain["ids"]}
+
+
+@query(with_(["adj", "frontier"], "SELECT e.batch_key, e.layer, a.local_id AS row, b.local_id AS col, e.w FROM (SELECT *, 0 layer FROM l0 UNION ALL SELECT *, 1 FROM l1) e JOIN ids a ON a.batch_key = e.batch_key AND a.node_id = e.src JOIN ids b ON b.batch_key = e.batch_key AND b.node_id = e.dst", **_walk_blocks_sql()))
+def c20_walk_blocks(spark, sf_dir):
+    """Two layers of random-walk neighbours with their visit counts, relabelled."""
+    g, f = frontier(spark, sf_dir)
+    lists = materialise(build.with_positions(g.edges), "lists")
+    hop = lambda x, layer: sampling.visit_topk(sampling.random_walk(lists, x, STEPS, RESTART, WALKS, SEED + layer), TOP)
+    return blocks.sample_blocks(f, [hop, hop], True).blocks
+
+
+@query(with_(["edges", "frontier", "nodes"], "SELECT batch_key, local_id, node_id, round(CAST(feat[64] AS DOUBLE), 6) f_last, CASE WHEN reached = 0 THEN label END AS label FROM ids JOIN nodes USING (node_id)", **TWO))
+def e4_features_and_labels(spark, sf_dir):
+    """A batch's inputs with features, and labels where they are outputs."""
+    g, _, r = two_layers(spark, sf_dir)
+    got = gather.gather(g.nodes, r.id_map, "feat", "label")
+    return got.select("batch_key", "local_id", "node_id", F.round(F.element_at("feat", -1).cast("double"), 6).alias("f_last"), F.when(F.col("reached") == 0, F.col("label")).alias("label"))
+
+
 @query(with_(["edges", "frontier"], "SELECT batch_key, dst, src FROM frontier JOIN edges ON dst = node_id"))
 def c9_neighbours(spark, sf_dir):
     g, f = frontier(spark, sf_dir)

@@ -125,7 +125,7 @@ class Sampler:
     def sample(self, batches: DataFrame | None = None) -> blocks.SampleResult:
         """Blocks of all layers, the last fanout nearest the seeds."""
         b = self.batches() if batches is None else batches
-        return blocks.sample_blocks(b.select("batch_key", "node_id", "pos"), [self._hop] * len(self.config.fanout))
+        return blocks.sample_blocks(b.select("batch_key", "node_id", "pos"), [self._hop] * len(self.config.fanout), self.config.sample_type == "random_walk" or None)
 
     def all_neighbours(self, batches: DataFrame | None = None) -> DataFrame:
         b = self.batches() if batches is None else batches
