@@ -26,7 +26,8 @@ SHALLOW = 32
 FEW = 8
 HOT = 2048
 HOT_ROWS = 100_000
-CHUNK = 1 << 20
+CHUNK = 1 << 18
+COMBINE = 8 << 20
 COVERED, ANCHOR, CONTEXT, CROWDED = 0, 1, 2, 3
 
 _M64 = (1 << 64) - 1
@@ -242,17 +243,28 @@ def _scan(length: int, gram: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner, seen = Scanner(length, gram), set()
-        for b in batches:
-            uids, parts, texts, size = [], [], [], 0
-            base = 0
-
-            def flush():
-                nonlocal texts, size, base
-                which, *rest = scanner.anchors(texts)
-                parts.append((which + base, *rest))
-                base += len(texts)
-                texts, size = [], 0
+        uids: list[bytes] = []
+        parts: list[tuple] = []
+        texts: list[bytes] = []
+        size = total = 0
+
+        def flush() -> None:
+            nonlocal size
+            which, *rest = scanner.anchors(texts)
+            parts.append((which + len(uids) - len(texts), *rest))
+            texts.clear()
+            size = 0
+
+        def emit() -> Iterator[pa.RecordBatch]:
+            nonlocal total
+            if texts:
+                flush()
+            if parts:
+                yield from _combined(uids, parts, length)
+            uids.clear(), parts.clear()
+            total = 0
 
+        for b in batches:
             for uid, text in zip(b.column(0).to_pylist(), b.column(1)):
                 if uid in seen:
                     continue
@@ -262,31 +274,36 @@ def _scan(length: int, gram: int):
                     uids.append(uid)
                     texts.append(raw)
                     size += len(raw)
+                    total += len(raw)
                     if size >= CHUNK:
                         flush()
-            if texts:
-                flush()
-            if not parts:
-                continue
-            which, lo, hi, lead, key, ctx = (np.concatenate(x) for x in zip(*parts))
-            order = np.lexsort((lo, which, ctx, key))
-            k, c = key[order], ctx[order]
-            new = np.concatenate(([True], (np.diff(k) != 0) | (np.diff(c) != 0))) if len(k) else np.zeros(0, bool)
-            group = np.cumsum(new) - 1
-            many = np.bincount(group)[group] > 1 if len(k) else np.zeros(0, bool)
-            keep = order[new]
-            yield _batch(ANCHOR, key[keep], ctx[keep], [uids[i] for i in which[keep].tolist()], lo[keep], hi[keep], lead[keep], many[new])
-            dup = order[many]
-            dup = dup[np.lexsort((lo[dup], which[dup]))]
-            if len(dup):
-                shift = int((hi.max() + length + 1))
-                a, z = merge(which[dup] * shift + lo[dup], which[dup] * shift + hi[dup] + length)
-                owner = a // shift
-                yield _covered([uids[i] for i in owner.tolist()], a - owner * shift, z - owner * shift)
+                    if total >= COMBINE:
+                        yield from emit()
+        yield from emit()
 
     return run
 
 
+def _combined(uids: list[bytes], parts: list[tuple], length: int) -> Iterator[pa.RecordBatch]:
+    """One anchor row per key and surroundings, and the ranges that surroundings met twice cover."""
+    which, lo, hi, lead, key, ctx = (np.concatenate(x) for x in zip(*parts))
+    if not len(key):
+        return
+    order = np.lexsort((lo, which, ctx, key))
+    k, c = key[order], ctx[order]
+    new = np.concatenate(([True], (np.diff(k) != 0) | (np.diff(c) != 0)))
+    group = np.cumsum(new) - 1
+    many = np.bincount(group)[group] > 1
+    keep = order[new]
+    yield _batch(ANCHOR, key[keep], ctx[keep], [uids[i] for i in which[keep].tolist()], lo[keep], hi[keep], lead[keep], many[new])
+    dup = order[many]
+    if len(dup):
+        shift = int(hi.max() + length + 1)
+        a, z = merge(which[dup] * shift + lo[dup], which[dup] * shift + hi[dup] + length)
+        owner = a // shift
+        yield _covered([uids[i] for i in owner.tolist()], a - owner * shift, z - owner * shift)
+
+
 def _settle(length: int, hot: int, hot_rows: int):
     """Anchors sorted by key and surroundings: equal surroundings are covered, differing ones go on."""
 
@@ -358,11 +375,16 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import zstandard
 
     shape = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("uid", pa.binary()), ("lo", pa.int32()), ("hi", pa.int32()), ("lead", pa.int32()), ("many", pa.bool_()), ("bytes", pa.binary())])
+    out: list[dict] = []
     for b in batches:
-        for row in b.to_pylist():
-            text = zstandard.decompress(row["z"])
-            out = [{**w, "uid": row["uid"], "bytes": text[w["lo"] : w["hi"] + row["length"]]} for w in row["wanted"]]
-            yield pa.RecordBatch.from_pylist(out, shape)
+        for uid, z, wanted, length in zip(*(b.column(c) for c in ("uid", "z", "wanted", "length"))):
+            text, uid, length = zstandard.decompress(z.as_py()), uid.as_py(), length.as_py()
+            out += [{**w, "uid": uid, "bytes": text[w["lo"] : w["hi"] + length]} for w in wanted.as_py()]
+            if len(out) >= 2000:
+                yield pa.RecordBatch.from_pylist(out, shape)
+                out = []
+    if out:
+        yield pa.RecordBatch.from_pylist(out, shape)
 
 
 def _sorted_groups(length: int):
