@@ -26,6 +26,7 @@ SHALLOW = 32
 FEW = 8
 HOT = 2048
 HOT_ROWS = 100_000
+SAMPLE = 64
 CHUNK = 1 << 18
 COMBINE = 8 << 20
 COVERED, ANCHOR, CONTEXT, CROWDED = 0, 1, 2, 3
@@ -338,10 +339,10 @@ def _settle(length: int, hot: int, hot_rows: int):
         held, held_rows, crowded = [], 0, None
         for b in batches:
             kind = b.column(0).to_numpy()
-            done = np.flatnonzero(kind == COVERED)
+            done = np.flatnonzero(kind != ANCHOR)
             if len(done):
                 yield b.take(pa.array(done))
-                b = b.filter(pa.array(kind != COVERED))
+                b = b.filter(pa.array(kind == ANCHOR))
             if not b.num_rows:
                 continue
             t = pa.concat_tables([*held, pa.Table.from_batches([b])])
@@ -465,11 +466,25 @@ def _squeezed(texts: DataFrame, once: bool) -> DataFrame:
     return texts.mapInArrow(run, f"uid binary, z binary{types}")
 
 
-def covered_ranges(docs: DataFrame, text_col: str = "text", length: int = LENGTH, gram: int = GRAM, hot: int = HOT, hot_rows: int = HOT_ROWS) -> DataFrame:
+def _crowded_keys(texts: DataFrame, length: int, gram: int, hot_rows: int, sample: int) -> DataFrame:
+    """Anchor grams that a sample of the texts says more than hot_rows texts hold with differing surroundings.
+
+    They only choose a way for all rows of such a gram, so a gram missed or picked in vain changes no result.
+    """
+    some = texts.where(F.pmod(F.xxhash64("uid"), F.lit(sample)) == 0).mapInArrow(_scan(length, gram), ROWS)
+    counted = some.where(F.col("kind") == ANCHOR).groupBy("key").count().where(F.col("count") * sample > hot_rows)
+    return stash(counted.select("key", F.lit(True).alias("crowded")), "suffix-crowded")
+
+
+def covered_ranges(docs: DataFrame, text_col: str = "text", length: int = LENGTH, gram: int = GRAM, hot: int = HOT, hot_rows: int = HOT_ROWS, sample: int = SAMPLE) -> DataFrame:
     """(uid, ranges): byte ranges of each distinct text covered by strings of `length` bytes that start elsewhere too."""
     texts = _texts(docs, text_col)
     found = texts.mapInArrow(_scan(length, gram), ROWS)
-    deal = F.when(F.col("kind") == COVERED, F.xxhash64("uid")).otherwise(F.col("key"))
+    crowded = _crowded_keys(texts, length, gram, hot_rows, sample)
+    if not crowded.isEmpty():  # rows of these grams never meet by gram: they go on by window digests
+        found = found.join(crowded, "key", "left")
+        found = found.withColumn("kind", F.when(F.col("crowded") & (F.col("kind") == ANCHOR), CROWDED).otherwise(F.col("kind"))).select(*NAMES)
+    deal = F.when(F.col("kind") == ANCHOR, F.col("key")).otherwise(F.xxhash64("uid"))
     sorted_anchors = found.withColumn("deal", deal).repartition("deal").sortWithinPartitions("kind", "key", "ctx", "uid", "lo").select(*NAMES)
     settled = stash(sorted_anchors.mapInArrow(_settle(length, hot, hot_rows), ROWS), "suffix-anchors")
     wanted = settled.where(F.col("kind") != COVERED).groupBy("uid").agg(F.collect_list(F.struct("kind", "key", "lo", "hi", "lead", "many")).alias("wanted"))

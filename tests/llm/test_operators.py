@@ -372,7 +372,7 @@ def brute_repeats(rows, length=200):
     return out
 
 
-@pytest.mark.parametrize("options", [{}, {"hot": 3}, {"hot": 3, "hot_rows": 5}])
+@pytest.mark.parametrize("options", [{}, {"hot": 3}, {"hot": 3, "hot_rows": 5, "sample": 10**9}, {"hot_rows": 5, "sample": 1}])
 def test_repeats_equal_brute_force(docs, none, options):
     rows = texts(docs)
     want = Counter((i, *b) for (i, _), b in zip(rows, brute_repeats([t.encode() for _, t in rows])))
