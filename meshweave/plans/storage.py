@@ -7,8 +7,11 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_written: list[str] = []
+
 
 def shared_root(spark: SparkSession) -> str:
+    """spark.checkpoint.dir, or a folder of our own where that is unset (tests on one machine)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = "file://" + tempfile.mkdtemp(prefix="meshweave-")
@@ -20,4 +23,15 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     """Write once, read back: lineage ends here and a lost executor loses nothing."""
     path = f"{shared_root(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clear(spark: SparkSession) -> int:
+    """Delete the tables written so far, once no DataFrame that reads them is needed; returns how many."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    n = len(_written)
+    while _written:
+        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(conf).delete(path, True)
+    return n

@@ -93,3 +93,12 @@ def test_windowed_stream_equals_batch(spark, tmp_path):
     q = streams.windowed_access(stream).writeStream.format("memory").queryName("windows").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert sorted(map(tuple, spark.table("windows").collect())) == sorted(map(tuple, streams.windowed_access(events).collect()))
+
+
+def test_written_tables_can_be_cleared(spark):
+    from meshweave.plans import storage
+
+    df = storage.materialise(spark.range(3), "t")
+    path = storage._written[-1].removeprefix("file://")
+    assert df.count() == 3 and __import__("os").path.isdir(path)
+    assert storage.clear(spark) >= 1 and not __import__("os").path.isdir(path)
