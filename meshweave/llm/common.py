@@ -1,16 +1,18 @@
-"""Helpers shared by the text operators: tables, shared-folder stashes, components, tokenizers."""
+"""Helpers shared by the text operators: tables, components, tokenizers; stash() writes to the shared folder and reads back."""
 
 from __future__ import annotations
 
 import functools
-import tempfile
-import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.storage import materialise as stash
+
+
+__all__ = ["connected_components", "fast_encoder", "load_tokenizer", "spanning", "stash", "table", "tokenizer_file", "vocabulary"]
 
 #: Edges that one task contracts at once.
 PART_EDGES = 250_000
@@ -20,22 +22,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="meshweave-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root
-
-
-def stash(df: DataFrame, tag: str) -> DataFrame:
-    """Write df to the shared folder once and read it back: cuts lineage, survives lost executors."""
-    path = f"{shared_folder(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def spanning(i: np.ndarray, j: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Edges from nodes to the smallest node they reach over the pairs (i, j) of indexes."""
     label = np.arange(len(nodes))
