@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from ..plans.storage import materialise as stash
 
-
 __all__ = ["connected_components", "fast_encoder", "load_tokenizer", "spanning", "stash", "table", "tokenizer_file", "vocabulary"]
 
 #: Edges that one task contracts at once.

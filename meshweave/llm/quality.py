@@ -20,7 +20,7 @@ CHUNK, STRIDE, FILTERS, DIMS = 16, 4, 24, 8
 SAMPLE_ROWS = 3000
 SAMPLE_BYTES = 32 << 20
 EPOCHS, RATE, SEED = 6, 0.01, 7
-PIECE = 1 << 20
+PIECE = 1 << 16
 
 
 def _chunks(text: str | None) -> np.ndarray:
