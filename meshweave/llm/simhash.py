@@ -75,49 +75,47 @@ def half_ball(radius: int) -> list[tuple[int, ...]]:
     return sorted(d for d in ball if d >= (0, 0, 0, 0))
 
 
-def tile_links(home: np.ndarray, guests: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges that connect what links within home and between home and guests, a forest per block pair."""
-    a, b = [], []
+def block_links(home: np.ndarray, met: np.ndarray, radius: int, own: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that connect what links between home and met, a forest per block pair; own: met is home itself."""
+    a, b = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
     for h in range(0, len(home), BLOCK):
-        own = home[h : h + BLOCK]
-        for others, from_home in ((home[h:], True), (guests, False)):
-            for g in range(0, len(others), BLOCK):
-                met = others[g : g + BLOCK]
-                near = np.bitwise_count(own[:, None] ^ met[None, :]) <= radius
-                if from_home and g == 0:
-                    near &= np.tri(len(own), len(met), -1, dtype=bool)
-                i, j = np.nonzero(near)
-                if len(i):
-                    x, y = spanning(i, j + len(own), np.concatenate([own, met]))
-                    a.append(x)
-                    b.append(y)
-    if not a:
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        left = home[h : h + BLOCK]
+        for g in range(h if own else 0, len(met), BLOCK):
+            right = met[g : g + BLOCK]
+            near = np.bitwise_count(left[:, None] ^ right[None, :]) <= radius
+            if own and g == h:
+                near &= np.tri(len(left), len(right), -1, dtype=bool)
+            i, j = np.nonzero(near)
+            if len(i):
+                x, y = spanning(i, j + len(left), np.concatenate([left, right]))
+                a.append(x)
+                b.append(y)
     return np.concatenate(a), np.concatenate(b)
 
 
 def _compare(radius: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def done(parts):
-            tile = pa.concat_tables([pa.Table.from_batches([p]) for p in parts])
-            fp, guest = tile.column("fp").to_numpy().view(np.uint64), tile.column("guest").to_numpy(zero_copy_only=False)
-            a, b = tile_links(fp[~guest], fp[guest], radius)
-            return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
+    """Rows sorted by tile, its own fingerprints before its guests: these are held, guests stream by."""
+
+    def edges(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
 
-        held, last = [], None
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        home, last = np.zeros(0, np.uint64), None
         for batch in batches:
-            tiles = batch.column(0).to_numpy()
+            tiles, fps = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)
+            guest = batch.column(2).to_numpy(zero_copy_only=False)
             cuts = [0, *(np.flatnonzero(np.diff(tiles)) + 1).tolist(), len(tiles)]
             for a, z in zip(cuts, cuts[1:]):
                 if a == z:
                     continue
-                if held and tiles[a] != last:
-                    yield done(held)
-                    held = []
-                last = tiles[a]
-                held.append(batch.slice(a, z - a))
-        if held:
-            yield done(held)
+                if tiles[a] != last:
+                    yield edges(*block_links(home, home, radius, True))
+                    home, last = np.zeros(0, np.uint64), tiles[a]
+                rows, away = fps[a:z], guest[a:z]
+                home = np.concatenate([home, rows[~away]])
+                if away.any() and len(home):
+                    yield edges(*block_links(home, rows[away], radius))
+        yield edges(*block_links(home, home, radius, True))
 
     return run
 
@@ -144,7 +142,7 @@ def links(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFr
 
     near = F.transform(steps, moved)
     guests = homes.select("fp", F.explode(F.array_compact(near)).alias("code")).join(sizes, "code").select(F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "code", "fp").select((F.col("code").cast("long") * 1048576 + F.col("part")).alias("tile"), "fp", F.lit(True).alias("guest"))
-    met = own.unionAll(within).unionAll(guests).repartition("tile").sortWithinPartitions("tile")
+    met = own.unionAll(within).unionAll(guests).repartition("tile").sortWithinPartitions("tile", "guest")
     return met.mapInArrow(_compare(radius), "a long, b long")
 
 

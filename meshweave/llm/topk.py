@@ -22,7 +22,7 @@ SCALE = 64
 K = 20
 BITS = 6
 ROW_BLOCK = 16384
-QUERY_BLOCK = 1024
+QUERY_BLOCK = 2048
 
 
 def quantised(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", scale: int = SCALE) -> DataFrame:
@@ -134,6 +134,17 @@ def _matrix(vectors: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
     return flat.flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(-1, dim)
 
 
+def _narrow(m: np.ndarray) -> bytes:
+    """The matrix in the smallest whole type that holds it, the type's size first."""
+    top = int(np.abs(m).max(initial=0))
+    size = 2 if top < 1 << 15 else 4 if top < 1 << 31 else 8
+    return bytes([size]) + m.astype(f"<i{size}").tobytes()
+
+
+def _wide(data: bytes, dim: int) -> np.ndarray:
+    return np.frombuffer(data, f"<i{data[0]}", offset=1).astype(np.int64).reshape(-1, dim)
+
+
 def search(vectors: DataFrame, queries: DataFrame, k: int = K, row_block: int = ROW_BLOCK, query_block: int = QUERY_BLOCK, bits: int = BITS) -> DataFrame:
     """(query_id, rank, vec_id, score) of rows (vec_id, v), for queries of the same form.
 
@@ -149,7 +160,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, row_block: int =
         dim = key[0].as_py()
         return pa.table({
             "dim": pa.array([dim], pa.int32()), "block": pa.array([key[1].as_py()], pa.int32()),
-            "ids": pa.array([t.column("vec_id").to_numpy().astype("<i8").tobytes()], pa.binary()), "data": pa.array([_matrix(t.column("v"), dim).tobytes()], pa.binary()),
+            "ids": pa.array([t.column("vec_id").to_numpy().astype("<i8").tobytes()], pa.binary()), "data": pa.array([_narrow(_matrix(t.column("v"), dim))], pa.binary()),
         })
 
     shape = "dim int, block int, ids binary, data binary"
@@ -162,9 +173,9 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, row_block: int =
         for b in batches:
             for r in b.to_pylist():
                 dim = r["dim"]
-                block = SlicedBlock(np.frombuffer(r["ids"], "<i8"), np.frombuffer(r["data"], np.int64).reshape(-1, dim), bits)
+                block = SlicedBlock(np.frombuffer(r["ids"], "<i8"), _wide(r["data"], dim), bits)
                 out = []
-                for i, q in zip(np.frombuffer(r["query_ids"], "<i8").tolist(), np.frombuffer(r["query_data"], np.int64).reshape(-1, dim)):
+                for i, q in zip(np.frombuffer(r["query_ids"], "<i8").tolist(), _wide(r["query_data"], dim)):
                     out += [(i, v, s) for s, v in block.search(i, q, k)]
                 cols = list(zip(*out)) or [()] * 3
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["query_id", "vec_id", "score"])
