@@ -32,16 +32,14 @@ class SampleResult:
         return edges
 
 
-def sample_layers(frontier: DataFrame, hops: list[Callable[[DataFrame, int], DataFrame]], write_layers: bool | None = None) -> tuple[DataFrame, DataFrame]:
+def sample_layers(frontier: DataFrame, hops: list[Callable[[DataFrame, int], DataFrame]], write_layers: bool = True) -> tuple[DataFrame, DataFrame]:
     """(layer_edges, reached): each hop samples for all nodes known so far, layer 0 being nearest the seeds.
 
     frontier is (batch_key, node_id, pos). A hop maps (frontier, layer) to (batch_key, dst, src[, w]).
     reached has for each node the layer that first met it and its place among the seeds.
     A layer's edges are read by the next hop, the relabelling and the result. write_layers writes
-    them once to the shared folder, which keeps plans from doubling with each layer; by default
-    from three layers on, as two cheap ones are faster planned as one query.
+    them once to the shared folder, which keeps plans from doubling with each layer.
     """
-    write_layers = len(hops) > 2 if write_layers is None else write_layers
     known = frontier.select("batch_key", "node_id", F.lit(0).alias("reached"), F.col("pos").cast("long").alias("pos"))
     found = None
     for layer, hop in enumerate(hops):
@@ -70,7 +68,7 @@ def to_blocks(layer_edges: DataFrame, id_map: DataFrame) -> DataFrame:
     return layer_edges.join(a, ["batch_key", "src"]).join(b, ["batch_key", "dst"]).select("batch_key", "layer", "row", "col", *more)
 
 
-def sample_blocks(frontier: DataFrame, hops: list[Callable[[DataFrame, int], DataFrame]], write_layers: bool | None = None) -> SampleResult:
+def sample_blocks(frontier: DataFrame, hops: list[Callable[[DataFrame, int], DataFrame]], write_layers: bool = True) -> SampleResult:
     edges, reached = sample_layers(frontier, hops, write_layers)
     ids = relabel(reached)
     return SampleResult(edges, ids, to_blocks(edges, ids))

@@ -10,8 +10,9 @@ from ..functions.ranks import global_rank, rank_by_draw
 
 
 def symmetrise(edges: DataFrame) -> DataFrame:
-    """Both directions of every edge; duplicates stay."""
-    return edges.select("src", "dst").unionAll(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    """Both directions of every edge, read once; duplicates stay."""
+    both = F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    return edges.select(F.inline(both))
 
 
 def transpose(edges: DataFrame) -> DataFrame:

@@ -133,7 +133,7 @@ def c20_walk_blocks(spark, sf_dir):
     g, f = frontier(spark, sf_dir)
     lists = materialise(build.with_positions(g.edges), "lists")
     hop = lambda x, layer: sampling.visit_topk(sampling.random_walk(lists, x, STEPS, RESTART, WALKS, SEED + layer), TOP)
-    return blocks.sample_blocks(f, [hop, hop], True).blocks
+    return blocks.sample_blocks(f, [hop, hop]).blocks
 
 
 @query(with_(["edges", "frontier", "nodes"], "SELECT batch_key, local_id, node_id, round(CAST(feat[64] AS DOUBLE), 6) f_last, CASE WHEN reached = 0 THEN label END AS label FROM ids JOIN nodes USING (node_id)", **TWO))
