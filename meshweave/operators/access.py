@@ -63,7 +63,8 @@ def hit_curve(freq: DataFrame, num_nodes: int) -> DataFrame:
     """(percent, hit): share of accesses that the best floor(percent * N / 100) nodes take, for 0..100.
 
     freq is (node_id, freq); nodes without a row count 0. Sums by whole frequencies first, so only
-    one row per frequency and the few points inside one are summed in order.
+    one row per frequency and the few points inside one are summed in order. Distinct frequencies
+    number at most the square root of twice the accesses, which bounds what is broadcast.
     """
     per = freq.where("freq > 0").groupBy("freq").agg(F.count("*").alias("n"))
     before = Window.orderBy(F.col("freq").desc()).rowsBetween(Window.unboundedPreceding, -1)
