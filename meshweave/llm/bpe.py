@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import load_tokenizer, tokenizer_file, vocabulary
+from .common import load_tokenizer, small_batches, tokenizer_file, vocabulary
 
 BLOCK_BYTES = 16 << 20
 MIN_BUCKETS = 64
@@ -222,7 +222,7 @@ def _assembler(path: str, emit):
 def _distinct_word_blocks(docs: DataFrame, id_col: str, text_col: str, path: str, block_bytes: int) -> DataFrame:
     """Packed rows (block, bucket, data): documents at bucket -1, encoded words at the others."""
     n_buckets = max(MIN_BUCKETS, docs.rdd.getNumPartitions())
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    source = small_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     split = source.mapInArrow(_splitter(path, n_buckets, block_bytes), SPLIT)
     deal = F.when(F.col("bucket") < 0, F.xxhash64("block")).otherwise(F.col("bucket").cast("long"))
     return split.withColumn("deal", deal).repartition(n_buckets, "deal").sortWithinPartitions("bucket").select("block", "bucket", "data").mapInArrow(_encoder(path), SPLIT)

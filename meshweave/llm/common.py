@@ -11,12 +11,27 @@ from pyspark.sql import functions as F
 
 from ..plans.storage import materialise as stash
 
-__all__ = ["connected_components", "fast_encoder", "load_tokenizer", "spanning", "stash", "table", "tokenizer_file", "vocabulary"]
+__all__ = ["connected_components", "fast_encoder", "load_tokenizer", "small_batches", "spanning", "stash", "table", "tokenizer_file", "vocabulary"]
 
 #: Edges that one task contracts at once.
 PART_EDGES = 250_000
 
 
+#: Rows of an Arrow batch of texts: some MB where texts average some KB.
+BATCH_ROWS = 1000
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, after making its session's Arrow batches small enough for long texts if they are at Spark's default.
+
+    Ten thousand texts a batch are tens of MB in the JVM and in Python, for each task at once.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if df.sparkSession.conf.get(key) == "10000":
+        df.sparkSession.conf.set(key, str(BATCH_ROWS))
+    return df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 CHUNK, STRIDE, FILTERS, DIMS = 16, 4, 24, 8
 SAMPLE_ROWS = 3000
 SAMPLE_BYTES = 32 << 20
@@ -156,7 +158,7 @@ def score(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str =
     Whole texts are read. Null and empty texts get the score of an empty text; repeated rows and
     null ids pass through; an empty table gives an empty one; other columns are left out.
     """
-    source = docs.select(F.col(id_col), F.col(text_col))
+    source = small_batches(docs).select(F.col(id_col), F.col(text_col))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = Network.load(model)
@@ -176,4 +178,4 @@ def accepted(docs: DataFrame, model: bytes, text_col: str = "text") -> DataFrame
             texts = b.column(b.schema.get_field_index(text_col))
             yield b.filter(pa.array([net.score(t.as_py()) >= 0.5 for t in texts], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(run, docs.schema)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stash
+from .common import small_batches, stash
 
 LENGTH = 200
 GRAM = 100
@@ -440,7 +440,7 @@ def _windows(length: int):
 
 def _texts(docs: DataFrame, text_col: str, *more: str) -> DataFrame:
     raw = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
-    return docs.select(F.unhex(F.md5(raw)).alias("uid"), raw.alias("raw"), *[F.col(f"`{c}`").alias(f"__{i}") for i, c in enumerate(more)])
+    return small_batches(docs).select(F.unhex(F.md5(raw)).alias("uid"), raw.alias("raw"), *[F.col(f"`{c}`").alias(f"__{i}") for i, c in enumerate(more)])
 
 
 def _squeezed(texts: DataFrame, once: bool) -> DataFrame:
