@@ -1,8 +1,8 @@
 """Embedding near-duplicates by a robust-pruned flat graph.
 
 Equal vectors are merged first, so a group of copies is one node with a weight. A label's nodes form
-search groups of bounded size (large labels are cut at sampled centres, every node going to its
-nearest ones, so groups overlap). In a group: nodes are put into overlapping cluster shards, each
+search groups of bounded size (large labels are cut at sampled centres; pairs that a cut may part
+are compared in full, see _groups). In a group: nodes are put into overlapping cluster shards, each
 shard's exact neighbour lists are robust-pruned, the shards' adjacency lists are united, and every
 node runs a range-expanding greedy search from the shard medoids. The recall of a sample is audited
 against brute force and a failing search is widened; every link is verified in double precision.
@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from .common import connected_components, spanning, stash
 
@@ -161,16 +162,31 @@ def group_links(x: np.ndarray, threshold: float = THRESHOLD, beam: int = BEAM):
         j = np.concatenate(got)
         fine = i != j
         i, j = i[fine], j[fine]
-        low, high = np.minimum(i, j), np.maximum(i, j)
-        keep = np.zeros(len(i), bool)
-        for s in range(0, len(i), 1 << 16):
-            z = slice(s, s + (1 << 16))
-            keep[z] = np.einsum("ij,ij->i", x[low[z]], x[high[z]]) / (norms[low[z]] * norms[high[z]]) >= threshold
-        pairs.append((low[keep], high[keep]))
+        pairs.append(_verified(x, norms, i, j, threshold))
     code = np.unique(np.concatenate([p[0] * n + p[1] for p in pairs])) if pairs else np.zeros(0, np.int64)
     return code // n, code % n, recall
 
 
+def between_links(x: np.ndarray, a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD):
+    """Blocks (i, j) of all links between rows a and rows b of x, by full comparison."""
+    norms = np.sqrt(np.einsum("ij,ij->i", x, x))
+    unit = x / norms[:, None]
+    for s in range(0, len(a), ROWS):
+        q = a[s : s + ROWS]
+        r, c = np.nonzero(unit[q] @ unit[b].T >= threshold - 1e-9)
+        yield _verified(x, norms, q[r], b[c], threshold)
+
+
+def _verified(x: np.ndarray, norms: np.ndarray, i: np.ndarray, j: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs, lower row first, whose cosine in double precision is in range."""
+    low, high = np.minimum(i, j), np.maximum(i, j)
+    keep = np.zeros(len(i), bool)
+    for s in range(0, len(i), 1 << 16):
+        z = slice(s, s + (1 << 16))
+        keep[z] = np.einsum("ij,ij->i", x[low[z]], x[high[z]]) / (norms[low[z]] * norms[high[z]]) >= threshold
+    return low[keep], high[keep]
+
+
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", threshold: float = THRESHOLD, group: int = GROUP) -> DataFrame:
     """One row per input row: vec_id, n_links, component_id, kept, and the group's audited recall.
 
@@ -186,7 +202,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     nodes = stash(nodes.withColumn("dim", F.size("v")), "vec-nodes")
     run = _group_runner(threshold)
     shape = "rep long, links long, root long, recall double"
-    found = stash(_groups(nodes, group).groupBy("label", "dim", "part").applyInArrow(run, shape), "vec-links")
+    found = stash(_groups(nodes, group, threshold).groupBy("label", "dim", "part", "chunk").applyInArrow(run, shape), "vec-links")
     counted = found.groupBy("rep").agg(F.sum("links").alias("links"), F.min("recall").alias("recall"))
     roots = connected_components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")), "vec-cc")
     named = nodes.select("hash", "rep", "n").join(counted, "rep", "left").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
@@ -197,66 +213,106 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     return every.select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)).alias("kept"), F.col("recall").alias("audited_recall"))
 
 
-def _groups(nodes: DataFrame, group: int) -> DataFrame:
-    """Nodes by search group: (label, dim, part, parts, rep, n, v), parts being all groups of the node.
+def _groups(nodes: DataFrame, group: int, threshold: float) -> DataFrame:
+    """Nodes by search group: (label, dim, part, chunk, rep, n, v, home); every pair in range meets in exactly one.
 
-    Groups above `group` nodes are cut again and again at up to CENTRES sampled centres each, every
-    node going to its OVERLAP nearest ones, so no level compares a node with more than CENTRES
-    vectors. What LEVELS cuts cannot separate stays together and is searched in blocks.
+    Each node is at home in one part. Parts above `group` nodes are cut again and again at up to
+    CENTRES sampled centres: a node is at home with its nearest centre, and a visitor of each earlier
+    cell that the threshold's angle can reach from it: cos to the own centre e less cos to the cell's
+    centre c is at most sin(angle) |c - e|, as a node at home there is at least as near to c as to e.
+    Visitors of a part go on to all cells in reach. What LEVELS cuts cannot separate is dealt out by
+    hash, every node visiting all earlier buckets. Homes of a part meet in chunk 0; visitors meet the
+    homes in further chunks of bounded size, and never one another.
     """
     key = ["label", "dim", "part"]
-    work, done = nodes.select("label", "dim", F.lit("").alias("part"), "rep", "hash", "n", "v"), []
+    work, done = nodes.select("label", "dim", F.lit("").alias("part"), "rep", "hash", "n", "v", F.lit(True).alias("home")), []
+    homes = F.sum(F.col("home").cast("long"))
     for level in range(LEVELS + 1):
-        sizes = stash(work.groupBy(*key).agg(F.count("*").alias("m")), "vec-sizes")
-        small = sizes.where((F.col("m") <= group) | F.lit(level == LEVELS))
+        sizes = stash(work.groupBy(*key).agg(homes.alias("m"), F.count("*").alias("every")), "vec-sizes")
+        small, large = sizes.where(F.col("m") <= group), sizes.where(F.col("m") > group)
         done.append(work.join(small.select(*key), key))
-        large = sizes.where((F.col("m") > group) & F.lit(level < LEVELS))
         if large.isEmpty():
             break
-        large = large.withColumn("k", F.least(F.lit(CENTRES), F.ceil(F.lit(2.0) * OVERLAP * F.col("m") / group)).cast("int"))
+        rows = work.join(large, key)
+        if level == LEVELS:
+            k = F.ceil(F.col("m") / group)
+            bucket = F.pmod(F.xxhash64("hash"), k)
+            into = F.sequence(F.lit(0).cast("long"), F.when(F.col("home"), bucket).otherwise(k - 1))
+            done.append(_moved(rows.withColumn("own", F.when(F.col("home"), bucket)).withColumn("c", F.explode(into))))
+            break
+        large = large.withColumn("k", F.least(F.lit(CENTRES), F.ceil(F.lit(2.0) * F.col("m") / group)).cast("int"))
         rows = stash(work.join(large, key), "vec-large")
         # about twice as many as wanted pass the hash; the rank only orders those few
         drawn = F.conv(F.substring(F.md5(F.concat("hash", F.lit(f":{level}"))), 1, 8), 16, 10).cast("double")
-        few = rows.where(drawn < (2 * F.col("k") + 16) / F.col("m") * 4294967296.0)
+        few = rows.where(F.col("home") & (drawn < (2 * F.col("k") + 16) / F.col("m") * 4294967296.0))
         place = F.row_number().over(Window.partitionBy(*key).orderBy(drawn, "hash"))
-        centres = few.withColumn("c", place).where("c <= k").groupBy(*key).agg(F.collect_list(F.struct("c", F.col("v").alias("x"))).alias("centres"))
-
-        def cos(a, b):
-            dot = F.aggregate(F.zip_with(a, b, lambda p, q: p * q), F.lit(0.0), lambda t, p: t + p)
-            return dot / F.sqrt(F.aggregate(b, F.lit(0.0), lambda t, p: t + p * p))
-
-        ranked = F.sort_array(F.transform("centres", lambda c: F.struct(cos(F.col("v"), c["x"]).alias("s"), c["c"].alias("c"))), asc=False)
-        own = F.array(F.struct(F.lit(1).alias("c"), F.col("v").alias("x")))  # a group without a centre stays whole
-        near = rows.join(centres, key, "left").withColumn("centres", F.coalesce("centres", own)).withColumn("c", F.explode(F.transform(F.slice(ranked, 1, OVERLAP), lambda r: r["c"])))
-        work = stash(near.select("label", "dim", F.concat_ws("/", "part", F.col("c").cast("string")).alias("part"), "rep", "hash", "n", "v"), "vec-cut")
+        salts = F.ceil(F.col("every") / group)
+        few = stash(few.withColumn("place", place).where("place <= k").select(*key, "every", "place", "v"), "vec-centres")
+        centres = few.select(*key, F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)).alias("salt"), "place", "v")
+        dealt = rows.withColumn("salt", F.pmod(F.xxhash64("hash"), salts)).select(*key, "salt", "rep", "hash", "n", "v", "home")
+        shape = dealt.select(*key, "rep", "hash", "n", "v", "home", F.lit(0).cast("long").alias("own"), F.lit(0).cast("long").alias("c")).schema
+        by = [*key, "salt"]
+        cells = dealt.groupBy(*by).cogroup(centres.groupBy(*by)).applyInArrow(_cell_runner(threshold, to_arrow_schema(shape).empty_table()), shape)
+        work = stash(_moved(cells), "vec-cut")
     every = done[0]
     for d in done[1:]:
         every = every.unionByName(d)
-    every = every.select(*key, "rep", "n", "v")
-    if len(done) == 1:
-        return every.withColumn("parts", F.array("part"))
-    every = stash(every, "vec-groups")
-    parts = every.groupBy("rep").agg(F.collect_set("part").alias("parts"))
-    return every.join(parts, "rep")
+    every = stash(every.select(*key, "rep", "hash", "n", "v", "home"), "vec-groups") if len(done) > 1 else every
+    chunks = every.groupBy(*key).agg(F.ceil(F.sum((~F.col("home")).cast("long")) / group).alias("chunks"))
+    chunk = F.when(F.col("home"), F.sequence(F.lit(0).cast("long"), F.col("chunks"))).otherwise(F.array(F.pmod(F.xxhash64("hash"), F.greatest("chunks", F.lit(1).cast("long"))) + 1))
+    return every.join(chunks, key).select(*key, F.explode(chunk).alias("chunk"), "rep", "n", "v", "home")
+
+
+def _moved(cells: DataFrame) -> DataFrame:
+    """Rows in the part of cell c, at home where that is their own."""
+    part = F.concat_ws("/", "part", F.col("c").cast("string"))
+    return cells.select("label", "dim", part.alias("part"), "rep", "hash", "n", "v", (F.col("home") & (F.col("c") == F.col("own"))).alias("home"))
+
+
+def _rows(t: pa.Table, dim: int) -> np.ndarray:
+    """The table's vectors at unit length."""
+    x = t.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+    return x / np.linalg.norm(x, axis=1)[:, None]
+
+
+def _cell_runner(threshold: float, empty: pa.Table):
+    reach = np.sqrt(1 - min(1.0, threshold) ** 2) if threshold > 0 else 1.0
+
+    def run(key, t, centres):
+        dim = key[1].as_py()
+        if not len(t):
+            return empty
+        t = t.drop_columns(["salt"])
+        unit, at = _rows(t, dim), np.zeros((1, dim))
+        if len(centres):  # a part without a centre stays whole
+            at = _rows(centres.sort_by("place"), dim)
+        sims, far = unit @ at.T, np.linalg.norm(at[:, None] - at[None], axis=2)
+        own, home = sims.argmax(1), t.column("home").to_numpy(zero_copy_only=False)
+        near = np.take_along_axis(sims, own[:, None], 1) - sims <= reach * far[own] + 1e-6
+        near &= ~home[:, None] | (np.arange(len(at)) <= own[:, None])
+        i, c = np.nonzero(near)
+        return t.take(pa.array(i)).append_column("own", pa.array(own[i])).append_column("c", pa.array(c))
+
+    return run
 
 
 def _group_runner(threshold: float):
     def run(key, t):
         t = t.sort_by("rep")
-        dim, part, rep, n = key[1].as_py(), key[2].as_py(), t.column("rep").to_numpy(), t.column("n").to_numpy()
-        x = t.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
-        a, b, recall = group_links(x, threshold)
-        links, parts = np.zeros(len(rep), np.int64), t.column("parts").to_pylist()
-        # a pair that meets in several groups counts in the first of them
-        sets = list(map(set, parts))
-        shared = max(map(len, sets)) > 1
-        own = np.array([min(sets[i] & sets[j]) == part for i, j in zip(a.tolist(), b.tolist())], bool) if shared else np.ones(len(a), bool)
-        np.add.at(links, a[own], n[b[own]])
-        np.add.at(links, b[own], n[a[own]])
-        root = rep.copy()
-        if len(a):
-            x1, x2 = spanning(a, b, np.arange(len(rep)))
-            root[x1] = rep[x2]
-        return pa.table({"rep": pa.array(rep), "links": pa.array(links), "root": pa.array(root), "recall": pa.array(np.full(len(rep), recall))})
+        rep, n, home = (t.column(c).to_numpy(zero_copy_only=False) for c in ("rep", "n", "home"))
+        x = t.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, key[1].as_py())
+        links, root, recall, tree = np.zeros(len(rep), np.int64), rep.copy(), None, []
+        if key[3].as_py() == 0:
+            a, b, recall = group_links(x, threshold)
+            blocks = [(a, b)]
+        else:
+            blocks = between_links(x, np.flatnonzero(home), np.flatnonzero(~home), threshold)
+        for a, b in blocks:
+            np.add.at(links, a, n[b])
+            np.add.at(links, b, n[a])
+            tree.append(spanning(a, b, np.arange(len(rep))))
+        x1, x2 = spanning(*map(np.concatenate, zip(*tree)), np.arange(len(rep))) if tree else ([], [])
+        root[x1] = rep[x2]
+        return pa.table({"rep": pa.array(rep), "links": pa.array(links), "root": pa.array(root), "recall": pa.array(np.full(len(rep), recall, float) if recall is not None else [None] * len(rep), pa.float64())})
 
     return run

@@ -334,6 +334,27 @@ def test_vector_links_equal_brute_force(spark, group):
     assert vector_graph.near_duplicates(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("levels", [6, 1, 0])
+def test_links_across_cuts_are_found(spark, monkeypatch, levels):
+    """Sparse links of different vectors only; whatever the cuts part must still meet."""
+    ship_package(spark)
+    monkeypatch.setattr(vector_graph, "LEVELS", levels)
+    r = np.random.default_rng(3)
+    base = r.normal(size=(300, 16)) + 2 * r.normal(size=(12, 16))[r.integers(0, 12, 300)]
+    x = np.concatenate([base, base + r.normal(size=base.shape) * 0.8])
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    truth = np.triu(u @ u.T >= 0.93, 1)
+    want = {i: int(n) for i, n in enumerate((truth | truth.T).sum(1))}
+    roots = components(range(len(x)), list(zip(*map(np.ndarray.tolist, np.nonzero(truth)))))
+    low = {}
+    for i in range(len(x)):
+        low[roots[i]] = min(i, low.get(roots[i], i))
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    got = vector_graph.near_duplicates(df, group=40).collect()
+    assert truth.sum() > 100 and {k["vec_id"]: k["n_links"] for k in got} == want
+    assert {k["vec_id"]: k["component_id"] for k in got} == {i: low[roots[i]] for i in range(len(x))}
+
+
 def test_graph_search_finds_what_brute_force_finds():
     r = np.random.default_rng(8)
     centres = r.normal(size=(200, 64))
