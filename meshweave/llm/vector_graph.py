@@ -4,8 +4,9 @@ Equal vectors are merged first, so a group of copies is one node with a weight.
 search groups of bounded size (large labels are cut at sampled centres; pairs that a cut may part
 are compared in full, see _groups). In a group: nodes are put into overlapping cluster shards, each
 shard's exact neighbour lists are robust-pruned, the shards' adjacency lists are united, and every
-node runs a range-expanding greedy search from the shard medoids. The recall of a sample is audited
-against brute force and a failing search is widened; every link is verified in double precision.
+node runs a range-expanding greedy search from the shard medoids. The recall of a sample's links
+between different vectors is audited against brute force; a failing search is widened, and where that
+does not help the group is scanned in full. Every link is verified in double precision.
 """
 
 from __future__ import annotations
@@ -145,21 +146,37 @@ def group_links(x: np.ndarray, threshold: float = THRESHOLD, beam: int = BEAM):
     norms = np.sqrt(np.einsum("ij,ij->i", x, x))
     unit = x / norms[:, None]
     graph = FlatGraph(unit)
-    sample = np.unique(np.linspace(0, n - 1, min(n, AUDIT)).astype(int))
-    truth = unit[sample] @ unit.T >= threshold
-    want = truth.sum()
-    while True:
-        found = sum(int(t[g].sum()) for t, g in zip(truth, graph.search(sample, threshold, beam)))
-        recall = found / want if want else 1.0
+    # nodes in random order until they have AUDIT links to others, or all of them
+    order, sample, truth, want = np.random.default_rng(17).permutation(n), [], [], 0
+    for s in range(0, n, AUDIT):
+        q = order[s : s + AUDIT]
+        r, c = np.nonzero(unit[q] @ unit.T >= threshold)
+        other = q[r] != c
+        sample.append(q)
+        truth.append(q[r[other]] * n + c[other])
+        want += len(truth[-1])
+        if want >= AUDIT:
+            break
+    recall = 1.0
+    while want:
+        found = sum(_hits(graph.search(q, threshold, beam), q, t, n) for q, t in zip(sample, truth))
+        recall = found / want
         if recall >= AUDIT_RECALL or beam >= n:
             break
         beam *= 2
+    exact = recall < AUDIT_RECALL  # no beam is wide enough: every pair is compared
+    if exact:
+        recall = 1.0
     pairs = []
     for a in range(0, n, ROWS):
         q = np.arange(a, min(n, a + ROWS))
-        got = graph.search(q, threshold, beam)
-        i = np.repeat(q, [len(g) for g in got])
-        j = np.concatenate(got)
+        if exact:
+            i, j = np.nonzero(unit[q] @ unit.T >= threshold - 1e-9)
+            i = q[i]
+        else:
+            got = graph.search(q, threshold, beam)
+            i = np.repeat(q, [len(g) for g in got])
+            j = np.concatenate(got)
         fine = i != j
         i, j = i[fine], j[fine]
         pairs.append(_verified(x, norms, i, j, threshold))
@@ -167,6 +184,11 @@ def group_links(x: np.ndarray, threshold: float = THRESHOLD, beam: int = BEAM):
     return code // n, code % n, recall
 
 
+def _hits(got: list[np.ndarray], q: np.ndarray, truth: np.ndarray, n: int) -> int:
+    """How many of the coded true links from q a search has found."""
+    return int(np.isin(truth, np.repeat(q, [len(g) for g in got]) * n + np.concatenate(got)).sum())
+
+
 def between_links(x: np.ndarray, a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD):
     """Blocks (i, j) of all links between rows a and rows b of x, by full comparison."""
     norms = np.sqrt(np.einsum("ij,ij->i", x, x))

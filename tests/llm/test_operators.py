@@ -355,6 +355,18 @@ def test_links_across_cuts_are_found(spark, monkeypatch, levels):
     assert {k["vec_id"]: k["component_id"] for k in got} == {i: low[roots[i]] for i in range(len(x))}
 
 
+@pytest.mark.parametrize("lost", ["all", "none"])
+def test_audit_leaves_out_each_node_itself(monkeypatch, lost):
+    """A search that only ever finds the query must not pass the audit; then the group is scanned."""
+    if lost == "all":
+        monkeypatch.setattr(vector_graph.FlatGraph, "search", lambda self, q, *a: [np.array([k]) for k in q])
+    r = np.random.default_rng(2)
+    x = r.normal(size=(1000, 64))
+    x[[10, 500, 700]] = x[[20, 510, 710]] + r.normal(size=(3, 64)) * 0.1
+    i, j, recall = vector_graph.group_links(x)
+    assert sorted(zip(i.tolist(), j.tolist())) == [(10, 20), (500, 510), (700, 710)] and recall == 1.0
+
+
 def test_graph_search_finds_what_brute_force_finds():
     r = np.random.default_rng(8)
     centres = r.normal(size=(200, 64))
