@@ -302,6 +302,16 @@ def f3_rank_degree_hop(spark, sf_dir):
     return cache.rank_degree_hop(g.nodes, g.edges, market.train_set(g).where("node_id % 100 = 0"), _degrees(g), 1)
 
 
+@query(with_(["edges", "train", "deg"], "SELECT node_id, touched, row_number() OVER (ORDER BY touched DESC, value DESC, node_id DESC) - 1 AS rank FROM r",
+             t1="SELECT node_id FROM train UNION SELECT src FROM edges WHERE dst IN (SELECT node_id FROM train)", t2="SELECT node_id FROM t1 UNION SELECT src FROM edges WHERE dst IN (SELECT node_id FROM t1)",
+             sub="SELECT src node_id, count(*) n FROM edges WHERE dst IN (SELECT node_id FROM t2) GROUP BY 1",
+             r="SELECT d.node_id, d.node_id IN (SELECT node_id FROM t2) touched, CASE WHEN d.node_id IN (SELECT node_id FROM t2) THEN coalesce(n, 0) ELSE out_degree END AS value FROM deg d LEFT JOIN sub USING (node_id)"))
+def f3_rank_degree_hop_whole(spark, sf_dir):
+    """The whole training set and two hops; f3_rank_degree_hop compares a tenth of it and one hop."""
+    g = market.market(spark, sf_dir)
+    return cache.rank_degree_hop(g.nodes, g.edges, market.train_set(g), _degrees(g))
+
+
 @query(with_(["edges", "everyone", "nodes"], "SELECT node_id, freq, row_number() OVER (ORDER BY freq DESC, node_id DESC) - 1 AS rank FROM (SELECT n.node_id, count(i.node_id) freq FROM nodes n LEFT JOIN ids i USING (node_id) GROUP BY 1)", **layered("everyone", [10, 5])))
 def f4_rank_presample(spark, sf_dir):
     g, _, r = two_layers(spark, sf_dir, True)
@@ -324,6 +334,16 @@ def f6_expected_visits(spark, sf_dir):
     return v.select("node_id", F.round("visits", 4).alias("visits"))
 
 
+@query(with_(["edges", "train", "deg"], "SELECT node_id, round(sum(hit), 4) visits FROM (SELECT seed, node_id, CASE WHEN max(CASE WHEN 1 - p <= 1e-12 THEN 1 ELSE 0 END) = 1 THEN 1.0::DOUBLE ELSE 1 - exp(sum(CASE WHEN 1 - p > 1e-12 THEN ln(1 - p) ELSE 0 END)) END hit FROM (SELECT * FROM one UNION ALL SELECT * FROM two) WHERE seed <> node_id GROUP BY 1, 2 UNION ALL SELECT node_id, node_id, 1.0::DOUBLE FROM train) GROUP BY 1",
+             ch="SELECT dst, src, least(1.0::DOUBLE, 10.0::DOUBLE / in_degree) p1, least(1.0::DOUBLE, 25.0::DOUBLE / in_degree) p0 FROM edges JOIN deg ON node_id = dst",
+             one="SELECT node_id seed, src node_id, p1 p FROM train JOIN ch ON dst = node_id", two="SELECT seed, src node_id, p * p0 FROM one JOIN ch ON dst = node_id"))
+def f6_expected_visits_whole(spark, sf_dir):
+    """The whole training set; f6_expected_visits compares a twentieth of it."""
+    g = market.market(spark, sf_dir)
+    v = cache.expected_visits(g.edges, _degrees(g), market.train_set(g))
+    return v.select("node_id", F.round("visits", 4).alias("visits"))
+
+
 @query(with_(["nodes"], f"SELECT node_id, row_number() OVER (ORDER BY {md5(13, 'node_id')}, node_id) - 1 AS rank FROM nodes"))
 def f7_rank_random(spark, sf_dir):
     return cache.rank_random(market.market(spark, sf_dir).nodes, 13)
