@@ -247,6 +247,13 @@ def g6_reach(spark, sf_dir):
     return analytics.reach_sizes(analytics.reach_by_hop(g.edges, seeds, 4), g.num_nodes)
 
 
+@query()
+def g6_reach_whole(spark, sf_dir):
+    """From the training set of the market graph to the fixpoint; g6_reach compares four hops of some seeds."""
+    g = market.market(spark, sf_dir)
+    return analytics.reach_sizes(analytics.reach_by_hop(g.edges, market.train_set(g)), g.num_nodes)
+
+
 @query("""WITH x AS (SELECT CAST(p_partkey AS BIGINT) k, CAST(p_partkey AS BIGINT) * p_partkey * 37 b FROM part)
  SELECT k, CASE WHEN b > 1073741824 THEN printf('%.2f GB', b / 1073741824.0::DOUBLE) WHEN b > 1048576 THEN printf('%.2f MB', b / 1048576.0::DOUBLE) WHEN b > 1024 THEN printf('%.2f KB', b / 1024.0::DOUBLE) ELSE printf('%.2f Bytes', b::DOUBLE) END readable,
  printf('%.2f %%', (k % 1000) / 1000.0::DOUBLE * 100) pct, (k + 6) // 7 up_div, (k + 6) // 7 * 7 up, k // 10 * 10 + k % 10 batch_key, k // 10 epoch, k % 10 step, (k << 32) | (k % 100) packed, k | 1073741824 flagged, k & 255 masked, k * 64 * 4 tensor_bytes FROM x""")

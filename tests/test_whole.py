@@ -5,7 +5,7 @@ from collections import defaultdict
 
 import pytest
 
-from meshweave.plans import query_samples
+from meshweave.plans import query_graph, query_samples
 from meshweave.sources import market
 
 SF = "/root/testdata/sf0.001"
@@ -50,3 +50,12 @@ def test_expected_visits_of_the_whole_training_set(spark, lists):
             want[v] += 1 - m
     got = {r["node_id"]: r["visits"] for r in query_samples.f6_expected_visits_whole(spark, SF).collect()}
     assert got.keys() == want.keys() and all(math.isclose(got[v], want[v], abs_tol=1e-4) for v in want)
+
+
+def test_reach_goes_from_the_training_set_to_the_fixpoint(spark, lists):
+    near, train, n = lists
+    known, want, new = set(train), [(0, len(train), round(len(train) * 100.0 / n, 6))], set(train)
+    while new := {s for d in new for s in near[d]} - known:
+        known |= new
+        want.append((len(want), len(known), round(len(known) * 100.0 / n, 6)))
+    assert sorted(map(tuple, query_graph.g6_reach_whole(spark, SF).collect())) == want
