@@ -1,63 +1,66 @@
 """Message passing over blocks: forward aggregations as joins and grouped sums.
 
 edges are (src, dst[, w]); features are (node_id, feat). Vectors are summed dimension by dimension
-after posexplode, so partial sums combine before the shuffle.
+after posexplode, so partial sums combine before the shuffle. Where edges are of many batches, by
+names the columns that tell these apart: each batch is a graph of its own, and the output keeps them.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _messages(edges: DataFrame, feats: DataFrame, *more: str) -> DataFrame:
-    return edges.join(feats.select(F.col("node_id").alias("src"), "feat"), "src").select("dst", *more, F.posexplode("feat").alias("dim", "x")).withColumn("x", F.col("x").cast("double"))
+def _messages(edges: DataFrame, feats: DataFrame, by: Sequence[str], *more: str) -> DataFrame:
+    return edges.join(feats.select(F.col("node_id").alias("src"), "feat"), "src").select(*by, "dst", *more, F.posexplode("feat").alias("dim", "x")).withColumn("x", F.col("x").cast("double"))
 
 
-def _vectors(parts: DataFrame) -> DataFrame:
-    """(node_id, out) from (dst, dim, x)."""
-    listed = parts.groupBy("dst").agg(F.array_sort(F.collect_list(F.struct("dim", "x"))).alias("l"))
-    return listed.select(F.col("dst").alias("node_id"), F.transform("l", lambda s: s["x"]).alias("out"))
+def _vectors(parts: DataFrame, by: Sequence[str]) -> DataFrame:
+    """(*by, node_id, out) from (*by, dst, dim, x)."""
+    listed = parts.groupBy(*by, "dst").agg(F.array_sort(F.collect_list(F.struct("dim", "x"))).alias("l"))
+    return listed.select(*by, F.col("dst").alias("node_id"), F.transform("l", lambda s: s["x"]).alias("out"))
 
 
 def _inverse_root(degree: Column) -> Column:
     return F.when(degree > 0, F.pow(degree, F.lit(-0.5))).otherwise(0.0)
 
 
-def gcn(edges: DataFrame, feats: DataFrame) -> DataFrame:
+def gcn(edges: DataFrame, feats: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Sum of neighbours' features, normalised by the root of both ends' degrees within the edges."""
-    out = edges.groupBy("src").agg(F.count("*").alias("od"))
-    ins = edges.groupBy("dst").agg(F.count("*").alias("id"))
-    normed = edges.select("src", "dst").join(out, "src").join(ins, "dst").withColumn("n", _inverse_root(F.col("od")) * _inverse_root(F.col("id")))
-    parts = _messages(normed, feats, "n").groupBy("dst", "dim").agg(F.round(F.sum(F.col("x") * F.col("n")), 6).alias("x"))
-    return _vectors(parts)
+    out = edges.groupBy(*by, "src").agg(F.count("*").alias("od"))
+    ins = edges.groupBy(*by, "dst").agg(F.count("*").alias("id"))
+    normed = edges.select(*by, "src", "dst").join(out, [*by, "src"]).join(ins, [*by, "dst"]).withColumn("n", _inverse_root(F.col("od")) * _inverse_root(F.col("id")))
+    parts = _messages(normed, feats, by, "n").groupBy(*by, "dst", "dim").agg(F.round(F.sum(F.col("x") * F.col("n")), 6).alias("x"))
+    return _vectors(parts, by)
 
 
-def sage_mean(edges: DataFrame, feats: DataFrame) -> DataFrame:
+def sage_mean(edges: DataFrame, feats: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Mean of neighbours' features."""
-    return _vectors(_messages(edges, feats).groupBy("dst", "dim").agg(F.round(F.avg("x"), 6).alias("x")))
+    return _vectors(_messages(edges, feats, by).groupBy(*by, "dst", "dim").agg(F.round(F.avg("x"), 6).alias("x")), by)
 
 
-def pin_sage(edges: DataFrame, feats: DataFrame) -> DataFrame:
+def pin_sage(edges: DataFrame, feats: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Own features and the weighted neighbour mean, one after the other, at unit length (zero stays zero)."""
-    parts = _messages(edges, feats, "w").groupBy("dst", "dim").agg((F.sum(F.col("x") * F.col("w")) / F.greatest(F.sum("w").cast("double"), F.lit(1.0))).alias("x"))
+    parts = _messages(edges, feats, by, "w").groupBy(*by, "dst", "dim").agg((F.sum(F.col("x") * F.col("w")) / F.greatest(F.sum("w").cast("double"), F.lit(1.0))).alias("x"))
     own = feats.select("node_id", F.transform("feat", lambda x: x.cast("double")).alias("own"))
-    joined = _vectors(parts).join(own, "node_id").select("node_id", F.concat("own", "out").alias("v"))
+    joined = _vectors(parts, by).join(own, "node_id").select(*by, "node_id", F.concat("own", "out").alias("v"))
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
-    return joined.withColumn("n", F.when(norm == 0, 1.0).otherwise(norm)).select("node_id", F.transform("v", lambda x: F.round(x / F.col("n"), 6)).alias("out"))
+    return joined.withColumn("n", F.when(norm == 0, 1.0).otherwise(norm)).select(*by, "node_id", F.transform("v", lambda x: F.round(x / F.col("n"), 6)).alias("out"))
 
 
-def attention(edges: DataFrame, feats: DataFrame, scores: DataFrame) -> DataFrame:
+def attention(edges: DataFrame, feats: DataFrame, scores: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Neighbours' features weighted by the softmax of leaky scores over each node's list; scores is (node_id, left, right)."""
     left = scores.select(F.col("node_id").alias("src"), "left")
     right = scores.select(F.col("node_id").alias("dst"), "right")
-    raw = edges.select("src", "dst").join(left, "src").join(right, "dst").withColumn("s", F.col("left") + F.col("right"))
+    raw = edges.select(*by, "src", "dst").join(left, "src").join(right, "dst").withColumn("s", F.col("left") + F.col("right"))
     raw = raw.withColumn("s", F.when(F.col("s") > 0, F.col("s")).otherwise(F.col("s") * 0.2))
-    top = raw.groupBy("dst").agg(F.max("s").alias("top"))
-    raw = raw.join(top, "dst").withColumn("e", F.exp(F.col("s") - F.col("top")))
-    total = raw.groupBy("dst").agg(F.sum("e").alias("total"))
-    weighed = raw.join(total, "dst").select("src", "dst", (F.col("e") / F.col("total")).alias("n"))
-    return _vectors(_messages(weighed, feats, "n").groupBy("dst", "dim").agg(F.round(F.sum(F.col("x") * F.col("n")), 6).alias("x")))
+    top = raw.groupBy(*by, "dst").agg(F.max("s").alias("top"))
+    raw = raw.join(top, [*by, "dst"]).withColumn("e", F.exp(F.col("s") - F.col("top")))
+    total = raw.groupBy(*by, "dst").agg(F.sum("e").alias("total"))
+    weighed = raw.join(total, [*by, "dst"]).select(*by, "src", "dst", (F.col("e") / F.col("total")).alias("n"))
+    return _vectors(_messages(weighed, feats, by, "n").groupBy(*by, "dst", "dim").agg(F.round(F.sum(F.col("x") * F.col("n")), 6).alias("x")), by)
 
 
 def dense(rows: DataFrame, weight: list[list[float]], bias: list[float], column: str = "out", relu: bool = False) -> DataFrame:

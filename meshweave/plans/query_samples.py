@@ -405,6 +405,53 @@ def l5_attention(spark, sf_dir):
     return _flat(layers.attention(e, g.nodes, scores))
 
 
+#: The layers over every batch of the epoch; those above compare the first batch.
+EPOCH = ["batch_key"]
+EPOCH_MSG = "SELECT e.batch_key, e.dst, d.i, CAST(n.feat[d.i] AS DOUBLE) x {more} FROM e JOIN nodes n ON n.node_id = e.src {join} CROSS JOIN (SELECT unnest(range(1, 65)) i) d"
+
+
+def _epoch_edges(spark, sf_dir):
+    g, f = frontier(spark, sf_dir)
+    return g, sampling.khop(g.edges, f, 10, SEED).select("batch_key", "src", "dst")
+
+
+def _flat_epoch(out):
+    return out.select("batch_key", "node_id", F.posexplode("out").alias("dim", "x"))
+
+
+@query(with_(["edges", "frontier", "nodes"], "SELECT batch_key, dst node_id, i - 1 dim, round(sum(x * n), 6) x FROM m GROUP BY 1, 2, 3", e=khop("frontier", 10, 0),
+             o="SELECT batch_key, src, pow(count(*), -0.5) a FROM e GROUP BY 1, 2", q="SELECT batch_key, dst, pow(count(*), -0.5) b FROM e GROUP BY 1, 2",
+             m=EPOCH_MSG.format(more=", a * b n", join="JOIN o ON o.batch_key = e.batch_key AND o.src = e.src JOIN q ON q.batch_key = e.batch_key AND q.dst = e.dst")))
+def l1_gcn_epoch(spark, sf_dir):
+    g, e = _epoch_edges(spark, sf_dir)
+    return _flat_epoch(layers.gcn(e, g.nodes, EPOCH))
+
+
+@query(with_(["edges", "frontier", "nodes"], "SELECT batch_key, dst node_id, i - 1 dim, round(avg(x), 6) x FROM m GROUP BY 1, 2, 3", e=khop("frontier", 10, 0), m=EPOCH_MSG.format(more="", join="")))
+def l3_sage_mean_epoch(spark, sf_dir):
+    g, e = _epoch_edges(spark, sf_dir)
+    return _flat_epoch(layers.sage_mean(e, g.nodes, EPOCH))
+
+
+@query(with_(["adj", "frontier", "nodes"], "SELECT batch_key, node_id, dim, round(x / CASE WHEN sqrt(sum(x * x) OVER w) = 0 THEN 1 ELSE sqrt(sum(x * x) OVER w) END, 6) x FROM v WINDOW w AS (PARTITION BY batch_key, node_id)", **WALK,
+             e="SELECT batch_key, src, dst, w FROM top", m=EPOCH_MSG.format(more=", e.w", join=""),
+             v="SELECT batch_key, dst node_id, i + 63 dim, sum(x * w) / greatest(sum(w), 1) x FROM m GROUP BY 1, 2, 3 UNION ALL SELECT batch_key, node_id, i - 1, CAST(feat[i] AS DOUBLE) FROM nodes JOIN (SELECT DISTINCT batch_key, dst FROM e) ON dst = node_id CROSS JOIN (SELECT unnest(range(1, 65)) i)"))
+def l4_pin_sage_epoch(spark, sf_dir):
+    g, _, visits = _visits(spark, sf_dir)
+    top = sampling.visit_topk(visits, TOP).select("batch_key", "src", "dst", "w")
+    return _flat_epoch(layers.pin_sage(top, g.nodes, EPOCH))
+
+
+@query(with_(["edges", "frontier", "nodes"], "SELECT batch_key, dst node_id, i - 1 dim, round(sum(x * p), 6) x FROM m GROUP BY 1, 2, 3", s=khop("frontier", 10, 0),
+             sc="SELECT s.batch_key, s.src, s.dst, CAST(a.feat[1] AS DOUBLE) + CAST(b.feat[2] AS DOUBLE) s FROM s JOIN nodes a ON a.node_id = s.src JOIN nodes b ON b.node_id = s.dst",
+             e="SELECT batch_key, src, dst, exp(l) / sum(exp(l)) OVER (PARTITION BY batch_key, dst) p FROM (SELECT *, CASE WHEN s > 0 THEN s ELSE s * 0.2::DOUBLE END l FROM sc)",
+             m=EPOCH_MSG.format(more=", e.p", join="")))
+def l5_attention_epoch(spark, sf_dir):
+    g, e = _epoch_edges(spark, sf_dir)
+    scores = g.nodes.select("node_id", F.col("feat")[0].cast("double").alias("left"), F.col("feat")[1].cast("double").alias("right"))
+    return _flat_epoch(layers.attention(e, g.nodes, scores, EPOCH))
+
+
 @query(f"SELECT CAST(p_partkey AS BIGINT) node_id, {md5(SEED, 'p_partkey')} AS draw FROM part")
 def c16_draw_order(spark, sf_dir):
     part = market.read(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("node_id"))

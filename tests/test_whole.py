@@ -5,6 +5,7 @@ from collections import defaultdict
 
 import pytest
 
+from meshweave.operators import layers
 from meshweave.plans import query_graph, query_samples
 from meshweave.sources import market
 
@@ -59,3 +60,27 @@ def test_reach_goes_from_the_training_set_to_the_fixpoint(spark, lists):
         known |= new
         want.append((len(want), len(known), round(len(known) * 100.0 / n, 6)))
     assert sorted(map(tuple, query_graph.g6_reach_whole(spark, SF).collect())) == want
+
+
+def test_layers_keep_batches_apart(spark):
+    """Each batch's rows are those of that batch alone, though nodes and edges recur in others."""
+    feats = spark.createDataFrame([(0, [3.0, 4.0]), (1, [1.0, 0.0]), (2, [3.0, 2.0])], "node_id long, feat array<float>")
+    edges = spark.createDataFrame([(5, 1, 0, 1), (5, 2, 0, 3), (6, 1, 0, 2), (6, 1, 2, 1), (6, 0, 2, 1)], "batch_key long, src long, dst long, w long")
+    scores = spark.createDataFrame([(0, 0.5, 1.0), (1, -3.0, 0.5), (2, 2.0, -1.0)], "node_id long, left double, right double")
+    for f, more in ((layers.gcn, ()), (layers.sage_mean, ()), (layers.pin_sage, ()), (layers.attention, (scores,))):
+        got = sorted(tuple(r) for r in f(edges, feats, *more, by=["batch_key"]).collect())
+        alone = [(b, *r) for b in (5, 6) for r in f(edges.where(f"batch_key = {b}"), feats, *more).collect()]
+        assert got == sorted(alone), f.__name__
+
+
+def test_layers_run_over_every_batch_of_the_epoch(spark, tmp_path):
+    """A part table of several batches, the others of sf0.001."""
+    import os
+
+    for t in ("supplier", "customer", "orders", "lineitem", "embeddings"):
+        os.symlink(f"{SF}/{t}.parquet", tmp_path / f"{t}.parquet")
+    spark.range(1, 2001).selectExpr("id p_partkey").write.parquet(str(tmp_path / "part.parquet"))
+    g, f = query_samples.frontier(spark, str(tmp_path))
+    batches = {r[0] for r in f.join(g.edges, g.edges["dst"] == f["node_id"]).select("batch_key").distinct().collect()}
+    got = {r[0] for r in query_samples.l3_sage_mean_epoch(spark, str(tmp_path)).select("batch_key").distinct().collect()}
+    assert len(batches) > 1 and got == batches
