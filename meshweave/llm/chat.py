@@ -1,7 +1,7 @@
 """Chat formatting with budgeted, turn-aligned windows, in DataFrame functions only.
 
 A running sum of turn tokens cuts a conversation into spans of whole turns. Each span becomes one
-formatted window: the system turn again, a bounded suffix of the turns before it as history, then
+formatted window: the latest system turn before it again, a bounded suffix of the turns before it as history, then
 the span. The loss mask covers the assistant texts of the span only, so a turn repeated as history
 is never a target twice.
 """
@@ -64,13 +64,13 @@ def windows(turns: DataFrame, span_tokens: int = SPAN_TOKENS, history_tokens: in
     rows = rows.withColumn("first", fresh).withColumn("window", F.sum(F.col("first").cast("int")).over(by_place.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - 1)
     turn = F.struct("idx", "role", "text")
     back = by_place.rangeBetween(-history_tokens, -1)
-    system = F.first(F.when(F.col("role") == "system", turn)).over(by_place.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    system = F.last(F.when(F.col("role") == "system", turn), ignorenulls=True).over(by_place.rowsBetween(Window.unboundedPreceding, -1))
     rows = rows.withColumn("history", F.when(F.col("first"), F.collect_list(turn).over(back))).withColumn("system", system)
     made = rows.groupBy("conv_id", "window").agg(
         F.array_sort(F.collect_list(turn)).alias("span"), F.max(F.when(F.col("first"), F.struct(F.col("idx"), F.col("history"), F.col("system")))).alias("lead"),
     )
-    opening = F.when(F.col("lead.system").isNull() | (F.col("lead.idx") == 1), F.array().cast(f"array<{TURN}>")).otherwise(F.array("lead.system"))
-    history = F.filter(F.coalesce("lead.history", F.array().cast(f"array<{TURN}>")), lambda t: ~F.col("lead.system").isNotNull() | (t["idx"] != 1))
+    opening = F.when(F.col("lead.system").isNull(), F.array().cast(f"array<{TURN}>")).otherwise(F.array("lead.system"))
+    history = F.filter(F.coalesce("lead.history", F.array().cast(f"array<{TURN}>")), lambda t: F.col("lead.system").isNull() | (t["idx"] != F.col("lead.system.idx")))
     made = made.select("conv_id", "window", "span", F.concat(opening, history).alias("context"))
 
     def show(t):

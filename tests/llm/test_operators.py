@@ -293,6 +293,21 @@ def _fine(v):
     return v is not None and all(x is not None and np.isfinite(x) for x in v)
 
 
+def test_windows_repeat_the_latest_system_turn(spark):
+    """A null turn comes first, so no system turn is row 1, and a second system turn follows."""
+    body = "word " * 300
+    turns = [(None, "user", "hi"), (1, "system", "rule one")] + [(k, "user", f"{k} {body}") for k in range(2, 6)] + [(6, "system", "rule two")] + [(k, "user", f"{k} {body}") for k in range(7, 11)]
+    rows = chat.windows(spark.createDataFrame([(1, *t) for t in turns], "conv_id long, turn int, role string, text string")).orderBy("window").collect()
+    assert len(rows) > 4
+    at = 0
+    for r in rows:
+        before = [t for _, role, t in turns[:at] if role == "system"]
+        shown = r["formatted"].split(chat.START)[1:][: r["n_context"]]
+        assert not before or sum(s.startswith(f"system\n{before[-1]}") for s in shown) == 1 and shown[0].startswith(f"system\n{before[-1]}"), r["window"]
+        at += r["n_turns"]
+    assert at == len(turns)
+
+
 def test_topk_equals_brute_force(spark):
     ship_package(spark)
     rows, df = vectors(spark)
