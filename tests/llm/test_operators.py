@@ -452,3 +452,12 @@ def test_secrets_by_ownership(spark):
     out = secret_scan.redact(d)
     masked = Counter((r["doc_id"], r["text"], r["live"]) for r in out.collect())
     assert out.columns == d.columns and masked[(9, "my token: [SECRET], twice token: [SECRET]", "c")] == 2 and masked[(0, f"see password = {copied} ok", "c")] == 1 and masked[(11, None, "c")] == 1
+
+
+def test_short_secrets_of_one_owner_are_in_neither_count(spark):
+    """Found and placed, not live, not copied, not masked; of three owners they are copied examples."""
+    rows = [(1, "password = abc123", "s1"), (2, "password = nodigitsatallhere", "s1")] + [(10 + k, "password = xyz789", f"s{k}") for k in range(3)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r["doc_id"]: (r["n_assign"], r["n_live"], r["n_copied"]) for r in secret_scan.scan(d).collect()}
+    assert got == {1: (1, 0, 0), 2: (1, 0, 0), 10: (1, 0, 1), 11: (1, 0, 1), 12: (1, 0, 1)}
+    assert sorted(map(tuple, secret_scan.redact(d).collect())) == sorted(rows)
