@@ -23,3 +23,20 @@ def ship_package(spark: SparkSession) -> None:
             z.write(p, p.relative_to(root.parent))
     spark.sparkContext.addPyFile(str(target))
     _shipped.add(app)
+
+
+#: Bytes of an Arrow batch between the JVM and Python, of which each task holds a few at once.
+ARROW_BYTES = 4 << 20
+
+
+def prepare(spark: SparkSession) -> None:
+    """What a session needs before it runs operators with Python tasks; call it once.
+
+    Ships this package and bounds the session's Arrow batches by ARROW_BYTES where
+    spark.sql.execution.arrow.maxBytesPerBatch allows more, so that ten thousand long texts are
+    never one batch. No operator changes a setting by itself.
+    """
+    ship_package(spark)
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(spark.conf.get(key).rstrip("b")) <= ARROW_BYTES:
+        spark.conf.set(key, str(ARROW_BYTES))

@@ -11,9 +11,11 @@ _written: list[str] = []
 
 
 def shared_root(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a folder of our own where that is unset (tests on one machine)."""
+    """spark.checkpoint.dir; where that is unset, a folder of our own if all runs on this one machine (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not f"{spark.sparkContext.master}[".startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="meshweave-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root
@@ -27,11 +29,25 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def clear(spark: SparkSession) -> int:
-    """Delete the tables written so far, once no DataFrame that reads them is needed; returns how many."""
+def mark() -> int:
+    """A point in the list of written tables, for only_last and clear."""
+    return len(_written)
+
+
+def only_last(spark: SparkSession, since: int) -> None:
+    """Delete the tables written after a mark but the newest, once only that one is read any more."""
+    if len(_written) > since:
+        last = _written.pop()
+        clear(spark, since)
+        _written.append(last)
+
+
+def clear(spark: SparkSession, since: int = 0) -> int:
+    """Delete the tables written so far (or after a mark), once no DataFrame that reads them is needed; returns how many."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    n = len(_written)
-    while _written:
+    n = 0
+    while len(_written) > since:
         path = jvm.org.apache.hadoop.fs.Path(_written.pop())
         path.getFileSystem(conf).delete(path, True)
+        n += 1
     return n
