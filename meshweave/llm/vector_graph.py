@@ -4,9 +4,11 @@ Equal vectors are merged first, so a group of copies is one node with a weight.
 search groups of bounded size (large labels are cut at sampled centres; pairs that a cut may part
 are compared in full, see _groups). In a group: nodes are put into overlapping cluster shards, each
 shard's exact neighbour lists are robust-pruned, the shards' adjacency lists are united, and every
-node runs a range-expanding greedy search from the shard medoids. The recall of a sample's links
-between different vectors is audited against brute force; a failing search is widened, and where that
-does not help the group is scanned in full. Every link is verified in double precision.
+node runs a greedy search from the shard medoids that goes on from all nodes in range until no new
+one turns up. Within a group a sample's links between different vectors are audited against brute
+force; a failing search is widened, and where that does not help the group is scanned in full. Every
+link is verified in double precision. At last the links of a sample of nodes are counted against
+their whole labels, over all cuts and groups: that recall is part of the result.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ CENTRES = 64
 LEVELS = 6
 AUDIT = 128
 AUDIT_RECALL = 0.98
-DENSE = 256
+AUDIT_NODES = 512
 ROWS = 256
 
 
@@ -93,10 +95,10 @@ class FlatGraph:
         for a, near in enumerate(lists):
             self.adj[a, : len(near)] = sorted(near)
 
-    def search(self, queries: np.ndarray, threshold: float, beam: int = BEAM, dense: int = DENSE) -> list[np.ndarray]:
-        """Nodes in range that each query node reaches; those that reach many scan the group in blocks."""
+    def search(self, queries: np.ndarray, threshold: float, beam: int = BEAM) -> list[np.ndarray]:
+        """Nodes in range that each query node reaches: a beam finds the way, then the range is followed to its edge."""
         n, q = len(self.x), len(queries)
-        target, rows = self.x[queries], np.arange(q)[:, None]
+        target = self.x[queries]
         seen, sims = np.zeros((q, n), bool), np.full((q, n), -np.inf, np.float32)
         opened = np.zeros((q, n), bool)
         starts = np.asarray(self.medoids)
@@ -105,7 +107,7 @@ class FlatGraph:
         width = min(beam, len(starts))
         edge = starts[np.argpartition(-sims[:, starts], width - 1, axis=1)[:, :width]]
         edge_sims = np.take_along_axis(sims, edge, 1)
-        active, scan = np.ones(q, bool), np.zeros(q, bool)
+        active = np.ones(q, bool)
         while True:
             fresh = ~np.take_along_axis(opened, edge, 1) & (edge_sims > -np.inf)
             score = np.where(fresh, edge_sims, -np.inf)
@@ -117,11 +119,7 @@ class FlatGraph:
             node = edge[live, pick[live]]
             opened[live, node] = True
             near = self.adj[node]
-            new = (near >= 0) & ~seen[live[:, None], near]
-            r, c = np.nonzero(new)
-            who, what = live[r], near[r, c]
-            seen[who, what] = True
-            sims[who, what] = np.einsum("ij,ij->i", target[who], self.x[what])
+            new = self._meet(target, seen, sims, live, near)
             got = np.where(new, sims[live[:, None], near], -np.inf)
             both, both_sims = np.concatenate([edge[live], near], 1), np.concatenate([edge_sims[live], got], 1)
             top = np.argpartition(-both_sims, beam - 1, axis=1)[:, :beam] if both.shape[1] > beam else np.broadcast_to(np.arange(both.shape[1]), both.shape)
@@ -130,15 +128,30 @@ class FlatGraph:
                 edge = np.pad(edge, ((0, 0), (0, pad)))
                 edge_sims = np.pad(edge_sims, ((0, 0), (0, pad)), constant_values=-np.inf)
             edge[live], edge_sims[live] = np.take_along_axis(both, top, 1), np.take_along_axis(both_sims, top, 1)
-            # the range grows past the beam: a beam full of nodes in range is answered by a scan
-            full = live[(edge_sims[live] >= threshold).sum(1) >= beam - 1]
-            scan[full] = True
-            active[full] = False
+            # a beam full of nodes in range has arrived: what is left is to follow the range
+            active[live[(edge_sims[live] >= threshold).sum(1) >= beam - 1]] = False
         near_by = threshold - 1e-5
-        if scan.any():
-            sims[scan] = target[scan] @ self.x.T
+        while True:
+            who, node = np.nonzero((sims >= near_by) & ~opened)
+            if not len(who):
+                break
+            opened[who, node] = True
+            for a in range(0, len(who), 1 << 15):
+                self._meet(target, seen, sims, who[a : a + (1 << 15)], self.adj[node[a : a + (1 << 15)]])
         return [np.flatnonzero(s >= near_by) for s in sims]
 
+    def _meet(self, target, seen, sims, who: np.ndarray, near: np.ndarray) -> np.ndarray:
+        """Scores the neighbours (a row of near for each query in who) not seen before; tells which these are."""
+        new = (near >= 0) & ~seen[who[:, None], near]
+        r, c = np.nonzero(new)
+        at = np.unique(who[r] * seen.shape[1] + near[r, c])  # several nodes of one query may share a neighbour
+        q, what = np.divmod(at, seen.shape[1])
+        seen[q, what] = True
+        for a in range(0, len(q), 1 << 17):
+            z = slice(a, a + (1 << 17))
+            sims[q[z], what[z]] = np.einsum("ij,ij->i", target[q[z]], self.x[what[z]])
+        return new
+
 
 def group_links(x: np.ndarray, threshold: float = THRESHOLD, beam: int = BEAM):
     """Blocks (i, j) of verified links between rows of x, each unordered pair in both directions, and the audited recall."""
@@ -210,7 +223,10 @@ def _verified(x: np.ndarray, norms: np.ndarray, i: np.ndarray, j: np.ndarray, th
 
 
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", threshold: float = THRESHOLD, group: int = GROUP) -> DataFrame:
-    """One row per input row: vec_id, n_links, component_id, kept, and the group's audited recall.
+    """One row per input row: vec_id, n_links, component_id, kept, and the audited recall.
+
+    audited_recall is the smaller of the search group's own audit and the recall of the AUDIT_NODES
+    nodes whose links were counted against all of their labels; it is null where no vector is valid.
 
     Vectors link within one non-null label. Null, empty, zero and non-finite vectors, those with null
     components and rows of a null label or id link with nothing: n_links 0, component their own id.
@@ -227,14 +243,32 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     found = stash(_groups(nodes, group, threshold).groupBy("label", "dim", "part", "chunk").applyInArrow(run, shape), "vec-links")
     counted = found.groupBy("rep").agg(F.sum("links").alias("links"), F.min("recall").alias("recall"))
     roots = connected_components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")), "vec-cc")
+    over_all = _recall(nodes, counted, threshold)
     named = nodes.select("hash", "rep", "n").join(counted, "rep", "left").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
-    named = named.select("hash", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("root", "rep").alias("component_id"), "recall")
+    named = named.select("hash", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("root", "rep").alias("component_id"), F.least(F.coalesce("recall", F.lit(1.0)), F.lit(over_all)).alias("recall"))
     linked = base.where("valid").select("vec_id", "hash").join(named, "hash").select("vec_id", "n_links", "component_id", "recall")
     alone = base.where("not valid").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(None).cast("double").alias("recall"))
     every = linked.unionAll(alone)
     return every.select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)).alias("kept"), F.col("recall").alias("audited_recall"))
 
 
+def _recall(nodes: DataFrame, counted: DataFrame, threshold: float, sample: int = AUDIT_NODES) -> float:
+    """Share of the true links of `sample` nodes (the first by hash, a bounded set) that were found.
+
+    The sampled nodes are broadcast to all nodes of their label and dimension: brute force over whole
+    labels, whatever parted them into groups. Links to copies are none of the search's and not counted.
+    """
+    picked = nodes.select("label", "dim", "hash", "rep", "v").orderBy("hash", "label").limit(sample)
+    asked = picked.select("label", "dim", F.col("hash").alias("asked"), F.col("rep").alias("asker"), F.col("v").alias("w"))
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    met = nodes.select("label", "dim", "hash", "n", "v").join(F.broadcast(asked), ["label", "dim"]).where("hash <> asked")
+    cosine = dot("v", "w") / (F.sqrt(dot("v", "v")) * F.sqrt(dot("w", "w")))
+    truth = met.where(cosine >= threshold).groupBy("asker").agg(F.sum("n").alias("true_links"))
+    both = truth.join(counted.select(F.col("rep").alias("asker"), "links"), "asker", "left")
+    row = both.agg(F.sum(F.least("true_links", F.coalesce("links", F.lit(0)))), F.sum("true_links")).first()
+    return 1.0 if not row[1] else row[0] / row[1]
+
+
 def _groups(nodes: DataFrame, group: int, threshold: float) -> DataFrame:
     """Nodes by search group: (label, dim, part, chunk, rep, n, v, home); every pair in range meets in exactly one.
 
