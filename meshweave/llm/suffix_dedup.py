@@ -5,7 +5,10 @@ equal anchors at equal places and only suffixes at anchors (some two in a hundre
 Anchors with their whole surroundings equal are settled by counting. Where an anchor recurs with
 different surroundings, the suffixes to its right and the reversed prefixes to its left are sorted:
 multikey quicksort down to a shallow depth, blind tries for what still agrees there. The common
-prefix lengths of the sorted order say which windows occur twice. Texts are named by their MD5.
+prefix lengths of the sorted order say which windows occur twice.
+
+Gram hashes only choose who meets. That surroundings, windows or whole texts are equal is decided by
+their bytes or by 128 bits of a cryptographic hash of them (BLAKE2b; SHA-256 for whole texts).
 """
 
 from __future__ import annotations
@@ -18,10 +21,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, stash
+from .common import column, stash
 
 LENGTH = 200
-GRAM = 100
 SHALLOW = 32
 FEW = 8
 HOT = 2048
@@ -34,7 +36,7 @@ COVERED, ANCHOR, CONTEXT, CROWDED = 0, 1, 2, 3
 _M64 = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
-ROWS = "kind int, key long, ctx long, uid binary, lo int, hi int, lead int, many boolean"
+ROWS = "kind int, key long, ctx binary, uid binary, lo int, hi int, lead int, many boolean"
 NAMES = ["kind", "key", "ctx", "uid", "lo", "hi", "lead", "many"]
 
 
@@ -162,11 +164,25 @@ def repeated_windows(left: list[bytes], right: list[bytes], first: list[int], la
 # ---------------------------------------------------------------- anchors
 
 
+def gram_length(length: int, gram: int | None = None) -> int:
+    """Bytes of the gram that names a window: half of it if not given, and never more than all of it."""
+    gram = max(1, length // 2) if gram is None else gram
+    if not 1 <= gram <= length:
+        raise ValueError(f"a gram of {gram} bytes does not lie in a string of {length}")
+    return gram
+
+
+def digest(data: bytes) -> bytes:
+    return hashlib.blake2b(data, digest_size=16).digest()
+
+
 class Scanner:
     """Anchors of a buffer of concatenated texts; holds the power tables for one buffer size."""
 
-    def __init__(self, length: int = LENGTH, gram: int = GRAM):
-        self.length, self.gram, self.span = length, gram, length - gram + 1
+    def __init__(self, length: int = LENGTH, gram: int | None = None):
+        self.length, self.gram = length, gram_length(length, gram)
+        self.span = length - self.gram + 1
+        self.tag = max(1, (self.span - 1).bit_length())  # low bits of a gram's hash that hold its place instead
         self.size = 0
         self.letter = np.random.default_rng(5).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -182,13 +198,13 @@ class Scanner:
         return h ^ (h >> np.uint64(31))
 
     def anchors(self, texts: list[bytes]):
-        """(which text, first window, last window, anchor's place after the first, key, surroundings' hash)."""
+        """(which text, first window, last window, anchor's place after the first, key, surroundings' digest)."""
         sizes = np.array([len(t) for t in texts], np.int64)
         starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
         raw = np.frombuffer(b"".join(texts), np.uint8)
         n, w, g = len(raw), self.span, self.gram
         if n < self.length:
-            return (np.zeros(0, np.int64),) * 6
+            return self._nothing()
         self._powers(n)
         total = np.zeros(n + 1, np.uint64)
         np.cumsum(self.letter[raw] * self.up[:n], out=total[1:])
@@ -196,7 +212,8 @@ class Scanner:
         k = len(grams)
         blocks = -(-k // w)
         tagged = np.full(blocks * w, _M64, np.uint64)
-        tagged[:k] = (grams & np.uint64(_M64 ^ 255)) | (np.arange(k) % w).astype(np.uint64)
+        tag, low = np.uint64(self.tag), np.uint64((1 << self.tag) - 1)
+        tagged[:k] = (grams & ~low) | (np.arange(k) % w).astype(np.uint64)
         tagged = tagged.reshape(blocks, w)
         ahead = np.minimum.accumulate(tagged, axis=1).ravel()
         behind = np.minimum.accumulate(tagged[:, ::-1], axis=1)[:, ::-1].ravel()
@@ -206,17 +223,21 @@ class Scanner:
         np.add.at(ok, starts[long] + sizes[long] - self.length + 1, -1)
         s = np.flatnonzero(np.cumsum(ok)[:n])
         if not len(s):
-            return (np.zeros(0, np.int64),) * 6
+            return self._nothing()
         one, two = behind[s], ahead[s + w - 1]
-        early = (one >> np.uint64(8)) <= (two >> np.uint64(8))
-        place = np.where(early, s // w * w + (one & np.uint64(255)).astype(np.int64), (s + w - 1) // w * w + (two & np.uint64(255)).astype(np.int64))
+        early = (one >> tag) <= (two >> tag)
+        place = np.where(early, s // w * w + (one & low).astype(np.int64), (s + w - 1) // w * w + (two & low).astype(np.int64))
         doc = np.searchsorted(starts, s, side="right") - 1
         cut = np.concatenate(([0], np.flatnonzero((np.diff(place) != 0) | (np.diff(doc) != 0)) + 1))
         end = np.concatenate((cut[1:], [len(s)])) - 1
         first, last, at, which = s[cut], s[end], place[cut], doc[cut]
-        stop = last + self.length
-        around = self._mix((total[stop] - total[first]) * self.down[first] + (at - first).astype(np.uint64) * np.uint64(0x2545F4914F6CDD1D) + (stop - first).astype(np.uint64))
-        return which, first - starts[which], last - starts[which], at - first, grams[at].view(np.int64), around.view(np.int64)
+        view = memoryview(raw)
+        around = np.frombuffer(b"".join(digest(view[a:z]) for a, z in zip(first.tolist(), (last + self.length).tolist())), "V16")
+        return which, first - starts[which], last - starts[which], at - first, grams[at].view(np.int64), around
+
+    @staticmethod
+    def _nothing():
+        return (*(np.zeros(0, np.int64),) * 5, np.zeros(0, "V16"))
 
 
 def merge(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -232,14 +253,15 @@ def merge(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _batch(kind, key, ctx, uid, lo, hi, lead, many) -> pa.RecordBatch:
     n = len(lo)
     full = lambda x, t: pa.array(np.full(n, x) if np.isscalar(x) else x, t)
-    return pa.RecordBatch.from_arrays([full(kind, pa.int32()), full(key, pa.int64()), full(ctx, pa.int64()), pa.array(uid, pa.binary()), full(lo, pa.int32()), full(hi, pa.int32()), full(lead, pa.int32()), full(many, pa.bool_())], names=NAMES)
+    ctx = pa.nulls(n, pa.binary()) if ctx is None else pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), n, [None, pa.py_buffer(ctx.tobytes())]).cast(pa.binary())
+    return pa.RecordBatch.from_arrays([full(kind, pa.int32()), full(key, pa.int64()), ctx, pa.array(uid, pa.binary()), full(lo, pa.int32()), full(hi, pa.int32()), full(lead, pa.int32()), full(many, pa.bool_())], names=NAMES)
 
 
 def _covered(uid: list[bytes], lo: np.ndarray, hi: np.ndarray) -> pa.RecordBatch:
-    return _batch(COVERED, 0, 0, uid, lo, hi, 0, False)
+    return _batch(COVERED, 0, None, uid, lo, hi, 0, False)
 
 
-def _scan(length: int, gram: int):
+def _scan(length: int, gram: int | None):
     """Anchor rows of each text once per task; surroundings met twice in a batch are settled there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -285,14 +307,29 @@ def _scan(length: int, gram: int):
     return run
 
 
+def _words(digests: bytes) -> np.ndarray:
+    """Digests of 16 bytes, one after the other, as pairs of whole numbers."""
+    return np.frombuffer(digests, "<u8").reshape(-1, 2)
+
+
+def _starts(*columns: np.ndarray) -> np.ndarray:
+    """Where a sorted run of rows begins: some column (of one or two dimensions) differs from the row before."""
+    change = np.zeros(len(columns[0]), bool)
+    change[:1] = True
+    for c in columns:
+        d = c[1:] != c[:-1]
+        change[1:] |= d.any(1) if d.ndim > 1 else d
+    return change
+
+
 def _combined(uids: list[bytes], parts: list[tuple], length: int) -> Iterator[pa.RecordBatch]:
     """One anchor row per key and surroundings, and the ranges that surroundings met twice cover."""
     which, lo, hi, lead, key, ctx = (np.concatenate(x) for x in zip(*parts))
     if not len(key):
         return
-    order = np.lexsort((lo, which, ctx, key))
-    k, c = key[order], ctx[order]
-    new = np.concatenate(([True], (np.diff(k) != 0) | (np.diff(c) != 0)))
+    words = _words(ctx.tobytes())
+    order = np.lexsort((lo, which, *words.T, key))
+    new = _starts(key[order], words[order])
     group = np.cumsum(new) - 1
     many = np.bincount(group)[group] > 1
     keep = order[new]
@@ -308,20 +345,15 @@ def _combined(uids: list[bytes], parts: list[tuple], length: int) -> Iterator[pa
 def _settle(length: int, hot: int, hot_rows: int):
     """Anchors sorted by key and surroundings: equal surroundings are covered, differing ones go on."""
 
-    def groups(t: pa.Table):
-        key, ctx, lo = (t.column(c).to_numpy() for c in ("key", "ctx", "lo"))
-        uid = np.frombuffer(b"".join(t.column("uid").to_pylist()), "<u8").reshape(-1, 2)
-        fresh = np.concatenate(([True], (np.diff(key) != 0) | (np.diff(ctx) != 0) | (np.diff(lo) != 0) | (np.diff(uid[:, 0]) != 0) | (np.diff(uid[:, 1]) != 0)))
-        t = t.filter(pa.array(fresh))  # one text read by several tasks
-        return t, key[fresh], ctx[fresh]
-
     def work(t: pa.Table, crowded: bool):
-        t, key, ctx = groups(t)
+        key, lo = (t.column(c).to_numpy() for c in ("key", "lo"))
+        ctx, uid = (_words(b"".join(t.column(c).to_pylist())) for c in ("ctx", "uid"))
+        once = _starts(key, ctx, uid, lo)  # a text read by several tasks counts once
+        t, key, ctx = t.filter(pa.array(once)), key[once], ctx[once]
         lo, hi, lead = (t.column(c).to_numpy() for c in ("lo", "hi", "lead"))
         uid = t.column("uid").combine_chunks()
         flag = t.column("many").to_numpy(zero_copy_only=False)
-        new_key = np.concatenate(([True], np.diff(key) != 0))
-        new_ctx = new_key | np.concatenate(([True], np.diff(ctx) != 0))
+        new_key, new_ctx = _starts(key), _starts(key, ctx)
         cls, grp = np.cumsum(new_ctx) - 1, np.cumsum(new_key) - 1
         many = (np.bincount(cls) > 1) | (np.bincount(cls, flag) > 0)
         classes = np.bincount(grp[new_ctx])
@@ -333,7 +365,7 @@ def _settle(length: int, hot: int, hot_rows: int):
         go = np.flatnonzero(new_ctx & (classes[grp] > 1) & open_groups[grp]) if not crowded else np.flatnonzero(new_ctx)
         if len(go):
             kind = np.where(crowded | (classes[grp[go]] > hot), CROWDED, CONTEXT)
-            yield _batch(kind, key[go], ctx[go], uid.take(pa.array(go)), lo[go], hi[go], lead[go], row_many[go])
+            yield _batch(kind, key[go], None, uid.take(pa.array(go)), lo[go], hi[go], lead[go], row_many[go])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, held_rows, crowded = [], 0, None
@@ -432,15 +464,16 @@ def _windows(length: int):
         for b in batches:
             for row in b.to_pylist():
                 n = row["hi"] - row["lo"] + 1
-                digests = [hashlib.md5(row["bytes"][i : i + length]).digest() for i in range(n)]
+                digests = [digest(row["bytes"][i : i + length]) for i in range(n)]
                 yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array([row["uid"]] * n, pa.binary()), pa.array(range(row["lo"], row["hi"] + 1), pa.int32())], names=["digest", "uid", "lo"])
 
     return run
 
 
 def _texts(docs: DataFrame, text_col: str, *more: str) -> DataFrame:
-    raw = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
-    return small_batches(docs).select(F.unhex(F.md5(raw)).alias("uid"), raw.alias("raw"), *[F.col(f"`{c}`").alias(f"__{i}") for i, c in enumerate(more)])
+    """(uid, raw, ...): a text's name is the first half of its SHA-256."""
+    raw = F.coalesce(column(text_col), F.lit("")).cast("binary")
+    return docs.select(F.unhex(F.substring(F.sha2(raw, 256), 1, 32)).alias("uid"), raw.alias("raw"), *[column(c).alias(f"__{i}") for i, c in enumerate(more)])
 
 
 def _squeezed(texts: DataFrame, once: bool) -> DataFrame:
@@ -466,7 +499,7 @@ def _squeezed(texts: DataFrame, once: bool) -> DataFrame:
     return texts.mapInArrow(run, f"uid binary, z binary{types}")
 
 
-def _crowded_keys(texts: DataFrame, length: int, gram: int, hot_rows: int, sample: int) -> DataFrame:
+def _crowded_keys(texts: DataFrame, length: int, gram: int | None, hot_rows: int, sample: int) -> DataFrame:
     """Anchor grams that a sample of the texts says more than hot_rows texts hold with differing surroundings.
 
     They only choose a way for all rows of such a gram, so a gram missed or picked in vain changes no result.
@@ -476,8 +509,13 @@ def _crowded_keys(texts: DataFrame, length: int, gram: int, hot_rows: int, sampl
     return stash(counted.select("key", F.lit(True).alias("crowded")), "suffix-crowded")
 
 
-def covered_ranges(docs: DataFrame, text_col: str = "text", length: int = LENGTH, gram: int = GRAM, hot: int = HOT, hot_rows: int = HOT_ROWS, sample: int = SAMPLE) -> DataFrame:
-    """(uid, ranges): byte ranges of each distinct text covered by strings of `length` bytes that start elsewhere too."""
+def covered_ranges(docs: DataFrame, text_col: str = "text", length: int = LENGTH, gram: int | None = None, hot: int = HOT, hot_rows: int = HOT_ROWS, sample: int = SAMPLE) -> DataFrame:
+    """(uid, ranges): byte ranges of each distinct text covered by strings of `length` bytes that start elsewhere too.
+
+    A gram of more than hot differing surroundings (or hot_rows rows in a task) is too much for one
+    task to sort: its windows are dealt out by their digests instead, one by one, with the same result.
+    """
+    gram_length(length, gram)
     texts = _texts(docs, text_col)
     found = texts.mapInArrow(_scan(length, gram), ROWS)
     crowded = _crowded_keys(texts, length, gram, hot_rows, sample)
@@ -535,7 +573,7 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **o
             cols = list(zip(*rows)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64()] * 4 + [pa.string()])], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    source = docs.select(column(id_col).cast("long").alias("doc_id"), column(text_col).alias("text"))
     joined = _with_ranges(source, "text", ("doc_id",), **options).select("__0", "z", "ranges")
     return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
