@@ -5,6 +5,10 @@ task). A block keeps, per document, the positions as indexes into its own distin
 those words into hash buckets. Each bucket encodes every distinct word it meets once; the ids go
 back to the blocks and are joined to the documents by position. What is shuffled is one packed row
 per block and bucket, so a word that makes up a third of the corpus costs one entry per block.
+
+Texts are decoded from ids through the id-to-piece table, whose size is the vocabulary's. encode()
+joins it where the ids are, at a block's distinct words, so that no id is shuffled for it; decode()
+does the same for any table of ids as a broadcast join.
 """
 
 from __future__ import annotations
@@ -20,10 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import load_tokenizer, small_batches, tokenizer_file, vocabulary
+from .common import column, load_tokenizer, tokenizer_file, vocabulary
 
 BLOCK_BYTES = 16 << 20
-MIN_BUCKETS = 64
+#: Hash buckets of words: one for so many documents, within these bounds. All words are in some bucket.
+DOCS_PER_BUCKET, MIN_BUCKETS, MAX_BUCKETS = 4000, 64, 4096
 SPLIT = "block long, bucket int, data binary"
 
 
@@ -183,6 +188,22 @@ def _gather(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.n
     return values[at]
 
 
+@functools.lru_cache(maxsize=2)
+def _pieces(path: str) -> pa.Array:
+    """The id-to-piece table: the piece of id i at place i."""
+    return pa.array(vocabulary(path)[0], pa.large_binary())
+
+
+def _decoded(path: str, ids: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> list[bytes]:
+    """Bytes of each run of ids: the ids joined to the id-to-piece table, pieces put together run by run."""
+    joined = _pieces(path).take(pa.array(ids.astype(np.int64)))
+    if not len(joined):
+        return [b""] * len(starts)
+    ends = np.frombuffer(joined.buffers()[1], "<i8", len(joined) + 1, joined.offset * 8)
+    data = memoryview(joined.buffers()[2] or b"")
+    return [bytes(data[a:z]) for a, z in zip(ends[starts].tolist(), ends[starts + lengths].tolist())]
+
+
 def _assembler(path: str, emit):
     def run(key, rows):
         doc, parts = None, {}
@@ -204,10 +225,7 @@ def _assembler(path: str, emit):
         values = np.concatenate([parts[k][1] for k in keys]) if keys else np.zeros(0, np.uint32)
         starts = np.zeros(len(bucket), np.int64)
         starts[order] = np.concatenate(([0], np.cumsum(lengths[order])[:-1])) if len(order) else []
-        pieces = vocabulary(path)[0]
-        # the id-to-piece join, at the block's distinct words: each is decoded from its ids once
-        joined = list(map(pieces.__getitem__, values.tolist()))
-        word_bytes = [b"".join(joined[s : s + n]) for s, n in zip(starts.tolist(), lengths.tolist())]
+        word_bytes = _decoded(path, values, starts, lengths)
         out, at = [], 0
         for i, k, n in zip(ids.tolist(), known.tolist(), per_doc.tolist()):
             own = code[at : at + n]
@@ -221,8 +239,8 @@ def _assembler(path: str, emit):
 
 def _distinct_word_blocks(docs: DataFrame, id_col: str, text_col: str, path: str, block_bytes: int) -> DataFrame:
     """Packed rows (block, bucket, data): documents at bucket -1, encoded words at the others."""
-    n_buckets = max(MIN_BUCKETS, docs.rdd.getNumPartitions())
-    source = small_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    n_buckets = min(MAX_BUCKETS, max(MIN_BUCKETS, docs.count() // DOCS_PER_BUCKET))
+    source = docs.select(column(id_col).cast("long").alias("id"), column(text_col).alias("text"))
     split = source.mapInArrow(_splitter(path, n_buckets, block_bytes), SPLIT)
     deal = F.when(F.col("bucket") < 0, F.xxhash64("block")).otherwise(F.col("bucket").cast("long"))
     return split.withColumn("deal", deal).repartition(n_buckets, "deal").sortWithinPartitions("bucket").select("block", "bucket", "data").mapInArrow(_encoder(path), SPLIT)
@@ -275,6 +293,7 @@ def decode(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", pat
     id_col must tell rows apart. Ids outside the vocabulary add nothing; rows without ids decode to ''.
     """
     pieces = F.broadcast(piece_table(encoded.sparkSession, path))
-    flat = encoded.select(F.col(id_col), F.posexplode_outer(ids_col).alias("pos", "id"))
-    parts = flat.join(pieces, "id", "left").groupBy(id_col).agg(F.sort_array(F.collect_list(F.when(F.col("piece").isNotNull(), F.struct("pos", F.hex("piece").alias("h"))))).alias("p"))
-    return parts.select(id_col, F.decode(F.unhex(F.array_join(F.transform("p", lambda x: x["h"]), "")), "utf-8").alias("text"))
+    key = column(id_col)
+    flat = encoded.select(key, F.posexplode_outer(column(ids_col)).alias("pos", "id"))
+    parts = flat.join(pieces, "id", "left").groupBy(key).agg(F.sort_array(F.collect_list(F.when(F.col("piece").isNotNull(), F.struct("pos", F.hex("piece").alias("h"))))).alias("p"))
+    return parts.select(key, F.decode(F.unhex(F.array_join(F.transform("p", lambda x: x["h"]), "")), "utf-8").alias("text"))
