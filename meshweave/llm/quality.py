@@ -16,11 +16,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import column, stash
 
 CHUNK, STRIDE, FILTERS, DIMS = 16, 4, 24, 8
 SAMPLE_ROWS = 3000
-SAMPLE_BYTES = 32 << 20
+SAMPLE_BYTES = 64 << 20
 EPOCHS, RATE, SEED = 6, 0.01, 7
 PIECE = 1 << 16
 
@@ -94,17 +94,24 @@ class Network:
         self.table = None
 
     def _backward(self, table, chunks, y, grads, r) -> None:
-        got = self.responses(table, chunks) + self.p["bias"]
-        at = got.argmax(0)
-        best = np.tanh(got[at, np.arange(FILTERS)])
-        share = (got > 0).mean(0).astype(np.float32)
+        """Adds one text's gradients; its responses are read in pieces of PIECE chunks, however long it is."""
+        top, at, fired = np.full(FILTERS, -np.inf, np.float32), np.zeros(FILTERS, np.int64), np.zeros(FILTERS)
+        for a in range(0, len(chunks), PIECE):
+            got = self.responses(table, chunks[a : a + PIECE]) + self.p["bias"]
+            place = got.argmax(0)
+            high = got[place, np.arange(FILTERS)]
+            at[high > top] = a + place[high > top]
+            top = np.maximum(top, high)
+            fired += (got > 0).sum(0)
+        best = np.tanh(top)
+        share = (fired / len(chunks)).astype(np.float32)
         x = np.concatenate([best, share])
         z = float(x @ self.p["top"] + self.p["out"][0])
         d = np.float32(1 / (1 + np.exp(-np.clip(z, -60, 60))) - y)
         grads["top"] += d * x
         grads["out"] += d
         picks = r.integers(0, len(chunks), 32)
-        soft = 1 / (1 + np.exp(-np.clip(got[picks], -30, 30)))
+        soft = 1 / (1 + np.exp(-np.clip(self.responses(table, chunks[picks]) + self.p["bias"], -30, 30)))
         where = np.concatenate([at, picks])
         g = np.zeros((len(where), FILTERS), np.float32)
         g[np.arange(FILTERS), np.arange(FILTERS)] = d * self.p["top"][:FILTERS] * (1 - best * best)
@@ -130,22 +137,32 @@ class Network:
 
 def held_out(doc_id) -> F.Column:
     """Rows whose labels are never learnt from; a null id counts as such."""
-    return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(True))
+    return F.coalesce(F.crc32(column(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(True))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_rows: int = SAMPLE_ROWS) -> bytes:
-    """Train on at most sample_rows labelled rows outside the held-out third (hash order, so the same at any layout).
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES) -> bytes:
+    """Train on a bounded sample of the labelled rows outside the held-out third; returns the network.
 
-    The bound is the parameter sample_rows; texts over SAMPLE_BYTES / sample_rows * 8 bytes are not
-    learnt from, which bounds what reaches the driver. Null labels and ids are not used. With no
-    usable row, or one class only, the network keeps its first weights and scores near one half.
+    The sample is the first sample_rows labelled ids in hash order, so the same at any layout, each
+    with its whole text, up to the row that reaches sample_bytes of text in all: both parameters
+    bound what reaches the driver, and no text is left out or cut for its length. Of several rows of
+    an id the greatest text is learnt from. Null labels and ids are not used; a null text is an empty
+    one. With no usable row, or one class only, the network keeps its first weights and scores near
+    one half.
     """
-    known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out(id_col))
-    known = known.groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("label"))
+    known = labels.where(column(id_col).isNotNull() & column(label_col).isNotNull() & ~held_out(id_col))
+    known = known.groupBy(column(id_col).alias("id")).agg(F.max(column(label_col)).cast("int").alias("label"))
     picked = known.orderBy(F.xxhash64("id"), "id").limit(sample_rows)
-    rows = docs.join(F.broadcast(picked), F.col(id_col) == F.col("id")).select("id", "label", F.coalesce(text_col, F.lit("")).alias("text"))
-    rows = rows.where(F.octet_length("text") <= SAMPLE_BYTES // sample_rows * 8).orderBy(F.xxhash64("id"), "id", "text").limit(sample_rows)
-    sample = sorted(map(tuple, rows.collect()))
+    texts = docs.select(column(id_col).alias("id"), F.coalesce(column(text_col), F.lit("")).alias("text"))
+    rows = texts.join(F.broadcast(picked), "id").groupBy("id", "label").agg(F.max("text").alias("text"))
+    rows = stash(rows.select("id", "label", "text", F.octet_length("text").alias("n"), F.xxhash64("id").alias("place")), "quality-sample")
+    total, last = 0, None
+    for r in sorted(rows.select("place", "id", "n").collect()):  # at most sample_rows sizes
+        last, total = r["place"], total + r["n"]
+        if total >= sample_bytes:
+            break
+    whole = rows if last is None else rows.where(F.col("place") <= last)
+    sample = sorted(tuple(r) for r in whole.select("id", "label", "text").collect())
     net = Network()
     if len({s[1] for s in sample}) > 1:
         net.train([s[2] for s in sample], [s[1] for s in sample])
@@ -158,24 +175,25 @@ def score(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str =
     Whole texts are read. Null and empty texts get the score of an empty text; repeated rows and
     null ids pass through; an empty table gives an empty one; other columns are left out.
     """
-    source = small_batches(docs).select(F.col(id_col), F.col(text_col))
+    source = docs.select(column(id_col).alias("id"), column(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = Network.load(model)
         for b in batches:
             p = np.array([net.score(t.as_py()) for t in b.column(1)], np.float64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], names=[id_col, "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], names=["id", "score", "predicted"])
 
-    return source.mapInArrow(run, f"`{id_col}` {source.schema[id_col].dataType.simpleString()}, score double, predicted int")
+    return source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, score double, predicted int").withColumnRenamed("id", id_col)
 
 
 def accepted(docs: DataFrame, model: bytes, text_col: str = "text") -> DataFrame:
     """The rows of docs, all columns unchanged, whose text scores at least one half."""
+    at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = Network.load(model)
         for b in batches:
-            texts = b.column(b.schema.get_field_index(text_col))
+            texts = b.column(at)
             yield b.filter(pa.array([net.score(t.as_py()) >= 0.5 for t in texts], pa.bool_()))
 
-    return small_batches(docs).mapInArrow(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema)
