@@ -4,7 +4,7 @@ Rows are dealt into bounded blocks. A block's index keeps, for each attribute, b
 quantised value's bits (one bit per row). A query adds the slices, weighted by its own components,
 with carry-save bitmap arithmetic; the k-th highest sum is found from the most significant slice of
 the sums downward, and every row whose exact score could still be among the first k is scored
-exactly. Query blocks meet all row blocks.
+exactly. Query blocks meet all row blocks, each pair of blocks being a key of its own.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stash
+from .common import column, stash
 
 SCALE = 64
 K = 20
@@ -26,11 +26,18 @@ QUERY_BLOCK = 2048
 
 
 def quantised(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", scale: int = SCALE) -> DataFrame:
-    """(vec_id, v): integer vectors; null ones and those with null or non-finite components are left out."""
-    x = F.col(vec_col).cast("array<double>")
+    """(vec_id, v): integer vectors; null ones and those with null or non-finite components are left out.
+
+    So are vectors whose inner product with one of their own kind need not fit a long: those of
+    dimension d with a component m, floored, of d * m * m >= 2**63 (for 64 dimensions, some 5.9
+    million before scaling). All scores of the others are exact longs.
+    """
+    x = column(vec_col).cast("array<double>")
     fine = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
-    whole = vectors.where(F.col(vec_col).isNotNull() & F.col(id_col).isNotNull() & F.coalesce(fine, F.lit(False)))
-    return whole.select(F.col(id_col).cast("long").alias("vec_id"), F.transform(x, lambda c: F.floor(c * scale).cast("long")).alias("v"))
+    top = F.array_max(F.transform(x, lambda c: F.abs(c) * scale + 1))
+    fits = F.coalesce(top * top * F.size(x) < float(2**63), F.lit(True))  # an empty vector has no largest component
+    whole = vectors.where(column(vec_col).isNotNull() & column(id_col).isNotNull() & F.coalesce(fine, F.lit(False)) & fits)
+    return whole.select(column(id_col).cast("long").alias("vec_id"), F.transform(x, lambda c: F.floor(c * scale).cast("long")).alias("v"))
 
 
 class SlicedBlock:
@@ -38,8 +45,8 @@ class SlicedBlock:
 
     def __init__(self, ids: np.ndarray, v: np.ndarray, bits: int = BITS):
         self.ids, self.v, self.n, self.bits = ids, v, len(ids), bits
-        self.low = v.min(0)
-        spread = int((v.max(0) - self.low).max()) if len(v) else 0
+        self.low = v.min(0) if len(v) else 0
+        spread = int((v.max(0) - self.low).max()) if v.size else 0
         self.shift = max(0, spread.bit_length() - bits)
         u = (v - self.low) >> self.shift
         self.width = max(1, int(u.max()).bit_length()) if u.size else 1
@@ -52,7 +59,6 @@ class SlicedBlock:
         self.full = np.packbits(self.full, bitorder="little").view("<u8")
         self.slices = np.packbits(slices, axis=2, bitorder="little").view("<u8")
         self.mirror = self.slices ^ self.full  # complements, for negative weights
-        self.safe = float(np.abs(v).max(initial=0)) ** 2 * v.shape[1] < 2**62
 
     def sums(self, q: np.ndarray) -> list[np.ndarray]:
         """Bit slices, lowest first, of the sum over attributes of |q| times the (mirrored) quantised value."""
@@ -118,20 +124,14 @@ class SlicedBlock:
         slack = int(np.abs(q).astype(object).sum()) * ((1 << self.shift) - 1) >> self.shift  # what the dropped bits can add
         rows = self.at_least(sums, self.kth(sums, k + int(np.count_nonzero(self.ids == query_id))) - slack - 1)
         rows = rows[self.ids[rows] != query_id]
-        if self.safe and float(np.abs(q).max(initial=0)) * float(np.abs(self.v).max(initial=0)) * len(q) < 2**62:
-            scores = self.v[rows] @ q
-        else:
-            scores = np.array([sum(int(a) * int(b) for a, b in zip(r, q)) for r in self.v[rows]], dtype=object)
-            if len(scores) and max(map(abs, scores)) >= 2**63:
-                raise OverflowError("an inner product does not fit a long")
-            scores = scores.astype(np.int64)
+        scores = self.v[rows] @ q
         best = np.lexsort((self.ids[rows], -scores))[:k]
         return list(zip(scores[best].tolist(), self.ids[rows][best].tolist()))
 
 
 def _matrix(vectors: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
     flat = vectors.combine_chunks() if isinstance(vectors, pa.ChunkedArray) else vectors
-    return flat.flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(-1, dim)
+    return flat.flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(len(vectors), dim)
 
 
 def _narrow(m: np.ndarray) -> bytes:
@@ -141,12 +141,14 @@ def _narrow(m: np.ndarray) -> bytes:
     return bytes([size]) + m.astype(f"<i{size}").tobytes()
 
 
-def _wide(data: bytes, dim: int) -> np.ndarray:
-    return np.frombuffer(data, f"<i{data[0]}", offset=1).astype(np.int64).reshape(-1, dim)
+def _wide(data: bytes, n: int, dim: int) -> np.ndarray:
+    if not n * dim:
+        return np.zeros((n, dim), np.int64)
+    return np.frombuffer(data, f"<i{data[0]}", offset=1).astype(np.int64).reshape(n, dim)
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = K, row_block: int = ROW_BLOCK, query_block: int = QUERY_BLOCK, bits: int = BITS) -> DataFrame:
-    """(query_id, rank, vec_id, score) of rows (vec_id, v), for queries of the same form.
+    """(query_id, rank, vec_id, score) of rows (vec_id, v) as quantised() gives them, for queries of the same form.
 
     A query's own rows are those of its vec_id. Only vectors of equal length are compared. Repeated
     rows are candidates each; a repeated query counts once, and one id with several vectors asks
@@ -155,30 +157,39 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, row_block: int =
     rows = stash(vectors.withColumn("dim", F.size("v")), "topk-rows")
     asked = queries.select("vec_id", "v").distinct().withColumn("dim", F.size("v"))
     row_blocks, query_blocks = -(-max(1, rows.count()) // row_block), -(-max(1, asked.count()) // query_block)
+    pairs = row_blocks * query_blocks
 
     def bundle(key, t):
         dim = key[0].as_py()
         return pa.table({
-            "dim": pa.array([dim], pa.int32()), "block": pa.array([key[1].as_py()], pa.int32()),
+            "dim": pa.array([dim], pa.int32()), "block": pa.array([key[1].as_py()], pa.int64()),
             "ids": pa.array([t.column("vec_id").to_numpy().astype("<i8").tobytes()], pa.binary()), "data": pa.array([_narrow(_matrix(t.column("v"), dim))], pa.binary()),
         })
 
-    shape = "dim int, block int, ids binary, data binary"
-    pack = lambda df, key, n: df.withColumn("block", F.pmod(key, F.lit(n)).cast("int")).groupBy("dim", "block").applyInArrow(bundle, shape)
-    index = pack(rows, F.monotonically_increasing_id(), row_blocks).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
-    ask = pack(asked, F.xxhash64("vec_id", "v"), query_blocks).select("dim", F.col("block").alias("other"), F.col("ids").alias("query_ids"), F.col("data").alias("query_data"))
-    met = index.join(ask, ["dim", "other"]).repartition(row_blocks * query_blocks, "block", "other")
+    def pack(df, key, n):
+        return df.withColumn("block", F.pmod(key, F.lit(n)).cast("long")).groupBy("dim", "block").applyInArrow(bundle, "dim int, block long, ids binary, data binary")
+
+    # both sides name each (row block, query block) pair by one number; ranges of it are the tasks
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    ask = pack(asked, F.xxhash64("vec_id", "v"), query_blocks).withColumn("other", every(row_blocks))
+    ask = ask.select((F.col("other") * query_blocks + F.col("block")).alias("pair"), "dim", F.lit(0).alias("side"), "ids", "data")
+    index = pack(rows, F.monotonically_increasing_id(), row_blocks).withColumn("other", every(query_blocks))
+    index = index.select((F.col("block") * query_blocks + F.col("other")).alias("pair"), "dim", F.lit(1).alias("side"), "ids", "data")
+    met = stash(ask.unionAll(index), "topk-pairs").repartitionByRange(pairs, "pair").sortWithinPartitions("pair", "dim", "side")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, asking = None, None
         for b in batches:
-            for r in b.to_pylist():
-                dim = r["dim"]
-                block = SlicedBlock(np.frombuffer(r["ids"], "<i8"), _wide(r["data"], dim), bits)
-                out = []
-                for i, q in zip(np.frombuffer(r["query_ids"], "<i8").tolist(), _wide(r["query_data"], dim)):
-                    out += [(i, v, s) for s, v in block.search(i, q, k)]
-                cols = list(zip(*out)) or [()] * 3
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["query_id", "vec_id", "score"])
+            for pair, dim, side, ids, data in zip(*(b.column(c) for c in range(5))):
+                at, own = (pair.as_py(), dim.as_py()), np.frombuffer(ids.as_py(), "<i8")
+                if side.as_py() == 0:  # the pair's queries come before its rows
+                    held, asking = at, (own, _wide(data.as_py(), len(own), at[1]))
+                elif held == at:
+                    block, out = SlicedBlock(own, _wide(data.as_py(), len(own), at[1]), bits), []
+                    for i, q in zip(asking[0].tolist(), asking[1]):
+                        out += [(i, v, s) for s, v in block.search(i, q, k)]
+                    cols = list(zip(*out)) or [()] * 3
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["query_id", "vec_id", "score"])
 
     found = met.mapInArrow(run, "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
