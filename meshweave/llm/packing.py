@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fast_encoder, small_batches, stash, tokenizer_file
+from .common import column, fast_encoder, stash, tokenizer_file
 
 CAPACITY = 2048
 SHARD_PIECES = 32768
@@ -95,7 +95,7 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capa
             types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, PIECES)
+    return docs.select(column(id_col).cast("long").alias("doc_id"), column(text_col).alias("text")).mapInArrow(run, PIECES)
 
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, shard_pieces: int = SHARD_PIECES, path: str | None = None) -> DataFrame:
@@ -112,5 +112,6 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
         base = key[0].as_py() << 32
         return rows.drop_columns(["shard"]).append_column("sequence_id", pa.array(np.array(bins, np.int64) + base)).append_column("offset", pa.array(offsets, pa.int64()))
 
-    shard = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(shards))
+    # dealt by place in the written table: rows that repeat, ids and all, do not meet in one shard
+    shard = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards))
     return made.withColumn("shard", shard).groupBy("shard").applyInArrow(run, PACKED)

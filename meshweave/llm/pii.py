@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import small_batches
+from .common import column
 
 KINDS = ("email", "ip", "card", "phone")
 ADDED = ("login_url", "iban", "account")
@@ -140,7 +140,7 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
             found = [[{"start": a, "end": e, "kind": k} for a, e, k in find(t)] for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, shape)], names=[id_col, "spans"])
 
-    return small_batches(docs.select(id_col, text_col)).mapInArrow(run, f"`{id_col}` {kind}, spans array<struct<start:bigint,end:bigint,kind:string>>")
+    return docs.select(column(id_col), column(text_col)).mapInArrow(run, f"`{id_col}` {kind}, spans array<struct<start:bigint,end:bigint,kind:string>>")
 
 
 def digests(found: DataFrame) -> DataFrame:
