@@ -6,30 +6,29 @@ import functools
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.storage import mark, only_last
 from ..plans.storage import materialise as stash
 
-__all__ = ["connected_components", "fast_encoder", "load_tokenizer", "small_batches", "spanning", "stash", "table", "tokenizer_file", "vocabulary"]
+__all__ = ["column", "connected_components", "fast_encoder", "fresh_name", "load_tokenizer", "spanning", "stash", "table", "tokenizer_file", "vocabulary"]
 
 #: Edges that one task contracts at once.
 PART_EDGES = 250_000
 
 
-#: Rows of an Arrow batch of texts: some MB where texts average some KB.
-BATCH_ROWS = 1000
+def fresh_name(taken, base: str) -> str:
+    """base, or base with underscores behind it until no column (compared without case) has the name."""
+    have = {c.lower() for c in taken}
+    while base.lower() in have:
+        base += "_"
+    return base
 
 
-def small_batches(df: DataFrame) -> DataFrame:
-    """df, after making its session's Arrow batches small enough for long texts if they are at Spark's default.
-
-    Ten thousand texts a batch are tens of MB in the JVM and in Python, for each task at once.
-    """
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if df.sparkSession.conf.get(key) == "10000":
-        df.sparkSession.conf.set(key, str(BATCH_ROWS))
-    return df
+def column(name: str) -> Column:
+    """The column of exactly this name, dots included."""
+    return F.col("`" + name.replace("`", "``") + "`")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,17 +67,20 @@ def connected_components(edges: DataFrame, tag: str = "cc") -> DataFrame:
     Edges (longs) are first contracted to stars within bounded parts of PART_EDGES; one part holding
     all is the answer. More parts go on in alternating large-star and small-star rounds. Minima are
     pre-aggregated map-side, the joins back are plain equi-joins that adaptive execution can split
-    for a hub, and each round is stashed, so neither lineage nor a task grows with a component.
+    for a hub, and each round is stashed in place of the one before, so neither lineage nor a task
+    grows with a component.
     Null ends and loops are ignored.
     """
 
     def digest(e: DataFrame):
         return e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
 
+    spark, start = edges.sparkSession, mark()
     e = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     e = stash(e.where("a is not null and b is not null and a <> b"), tag)
     parts = max(1, -(-e.count() // PART_EDGES))
-    e = stash(e.coalesce(parts).mapInArrow(_contract, "a long, b long"), tag)
+    e = stash(e.repartition(parts).mapInArrow(_contract, "a long, b long"), tag)
+    only_last(spark, start)
     before = digest(e) if parts > 1 else (0, None)
     while before[0]:
         both = e.unionAll(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -88,6 +90,7 @@ def connected_components(edges: DataFrame, tag: str = "cc") -> DataFrame:
         pairs = large.join(low, F.col("a") == F.col("k")).select("a", "b", "m")
         small = pairs.select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
         e = stash(small, tag)
+        only_last(spark, start)
         after = digest(e)
         if after == before:
             break
@@ -140,17 +143,35 @@ def vocabulary(path: str) -> tuple[list[bytes], dict[str, int]]:
     return pieces, special
 
 
+@functools.lru_cache(maxsize=4)
+def ids_are_ranks(path: str) -> bool:
+    """Whether a tokenizer file is a plain byte-level one whose pieces' ids rise in the order of their merges."""
+    import json
+
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    model, pre = spec["model"], spec.get("pre_tokenizer") or {}
+    plain = model.get("type") == "BPE" and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and not spec.get("normalizer")
+    if not plain or model.get("end_of_word_suffix") or model.get("continuing_subword_prefix") or not all(c in model["vocab"] for c in _byte_of_char()):
+        return False
+    made = [model["vocab"]["".join(m if isinstance(m, list) else m.split(" "))] for m in model["merges"]]
+    last_byte = max(model["vocab"][c] for c in _byte_of_char())
+    return all(a < b for a, b in zip([last_byte, *made], made))
+
+
 @functools.lru_cache(maxsize=4)
 def fast_encoder(path: str):
     """text -> uint32 ids, equal to load_tokenizer(path).encode(text, add_special_tokens=False).
 
-    Ids of this vocabulary are merge ranks, so the rank-based library gives the same ids several
-    times faster; texts its regex engine refuses go to the tokenizers library itself.
+    Where ids are merge ranks, the rank-based library gives the same ids several times faster; texts
+    its regex engine refuses, and vocabularies of another build, go to the tokenizers library itself.
     """
     import numpy as np
     import public_tokenizers
     import tiktoken
 
+    if not ids_are_ranks(path):
+        return lambda text: np.asarray(load_tokenizer(path).encode(text, add_special_tokens=False).ids, dtype="<u4")
     pieces, special = vocabulary(path)
     own = set(special.values())
     ranks = {b: i for i, b in enumerate(pieces) if i not in own}
