@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, small_batches, spanning, stash
+from .common import column, connected_components, fresh_name, spanning, stash
 
 RADIUS = 3
 SHINGLE = 3
@@ -54,7 +54,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fp = np.array([fingerprint(t.as_py()) for t in b.column(1)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp), *b.columns[2:]], names=["doc_id", "fp", *keep])
 
-    source = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *[F.col(c) for c in keep])
+    source = docs.select(column(id_col).cast("long").alias("doc_id"), column(text_col).alias("text"), *[column(c) for c in keep])
     return source.mapInArrow(run, "doc_id long, fp long" + "".join(f", {c} string" for c in keep))
 
 
@@ -166,17 +166,28 @@ def _rooted(docs: DataFrame, id_col: str, text_col: str, radius: int, keep: tupl
     return stash(prints.join(named, "fp").select("doc_id", "fp", "root", "component_id", *keep), "simhash-rooted")
 
 
+#: Rows of the flag table of keep_one up to which it is broadcast (some 100 bytes each in memory).
+BROADCAST_ROWS = 500_000
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
     """docs without all but one row of each linked group: the smallest id's, null ids last.
 
     Rows of that id within the group are ordered by their text's digest and one of them is kept, so
-    repeated rows go too. Texts are shuffled once, in the join that drops the others.
+    repeated rows go too. What is joined back are ids and digests of the rows that go and of those
+    that repeat, counted before they are broadcast; past BROADCAST_ROWS they are joined by key.
     """
-    tagged = docs.withColumn("__md5", F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")))
-    found = _rooted(tagged, id_col, text_col, radius, ("__md5",))
-    counted = found.groupBy("root", "doc_id", "__md5").agg(F.count("*").alias("n"))
-    first = counted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__md5", "n")).alias("m"))
-    first = first.select(F.col("m.doc_id").alias("__id"), F.col("m.__md5").alias("__text"), F.col("m.n").alias("__n"))
-    rows = tagged.join(first, F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.col("__md5") == F.col("__text")))
-    repeated = rows.where("__n > 1").dropDuplicates([id_col, "__md5"])
-    return rows.where("__n = 1").unionByName(repeated).select(*docs.columns)
+    digest, same, flag = (fresh_name(docs.columns, x) for x in ("digest", "same", "flag"))
+    raw = F.coalesce(column(text_col), F.lit("")).cast("binary")
+    tagged = docs.select(*[column(c) for c in docs.columns], F.unhex(F.substring(F.sha2(raw, 256), 1, 32)).alias(digest), column(id_col).cast("long").alias(same))
+    found = _rooted(tagged.select(column(id_col), column(text_col), F.hex(column(digest)).alias("digest")), id_col, text_col, radius, ("digest",))
+    counted = found.groupBy("root", "doc_id", "digest").agg(F.count("*").alias("n"))
+    first = counted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "digest")).alias("m"))
+    rated = counted.join(first, "root").withColumn("kept", F.col("doc_id").eqNullSafe(F.col("m.doc_id")) & (F.col("digest") == F.col("m.digest")))
+    flags = rated.where("not kept or n > 1").select(F.col("doc_id").alias("flag_id"), F.unhex("digest").alias("flag_digest"), F.when(F.col("kept"), "once").otherwise("drop").alias(flag))
+    flags = stash(flags, "simhash-flags")
+    few = F.broadcast(flags) if flags.count() <= BROADCAST_ROWS else flags
+    marked = tagged.join(few, column(same).eqNullSafe(F.col("flag_id")) & (column(digest) == F.col("flag_digest")), "left")
+    alone = marked.where(column(flag).isNull())
+    repeated = marked.where(column(flag) == "once").dropDuplicates([same, digest])
+    return alone.unionByName(repeated).select(*[column(c) for c in docs.columns])
