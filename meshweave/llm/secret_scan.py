@@ -3,7 +3,7 @@
 Candidates come from regular expressions in the JVM; their places from the lengths of what the same
 expression splits. Value hashes are counted by distinct repositories and owners over the whole
 corpus: a value many owners hold is a copied example, one that few hold and that looks random is
-treated as live.
+treated as live, and the repositories that hold it are where it must be replaced.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stash
+from .common import column, fresh_name, stash
 
 #: kind: (pattern, group that holds the value, least length of that group)
 KINDS = {
@@ -28,6 +28,7 @@ PRESENT = {"assign": r"(?i)password|passwd|secret|token|api_?key", "pem": "PRIVA
 COPIED_OWNERS = 3
 LIVE_LENGTH = 12
 MASK = "[SECRET]"
+RATED = ("n_live", "n_copied", "live_repos")
 SPAN = "array<struct<start:bigint,no:int,end:bigint,kind:string,vstart:bigint,value:string>>"
 
 
@@ -50,7 +51,7 @@ def _of_kind(text: Column, no: int, kind: str, pattern: str, group: int, least:
 
 def candidates(docs: DataFrame, text_col: str = "text", into: str = "found") -> DataFrame:
     """docs with an array column of all spans, by start and then kind. Null text counts as empty."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
+    text = F.coalesce(column(text_col), F.lit(""))
     every = {**KINDS, **ADDED}
     return docs.withColumn(into, F.array_sort(F.concat(*[_of_kind(text, i, k, *spec) for i, (k, spec) in enumerate(every.items())])))
 
@@ -81,7 +82,10 @@ def ownership(spans: DataFrame) -> DataFrame:
 
 
 def classify(found: DataFrame) -> DataFrame:
-    """(key, live, n_live, n_copied) for each distinct key of rows (key, repo, owner, spans)."""
+    """(key, live, n_live, n_copied, live_repos) for each distinct key of rows (key, repo, owner, spans).
+
+    live_repos is in how many repositories the most widespread live value of the key lies.
+    """
     flat = found.where(F.size("spans") > 0).select("key", "repo", "owner", F.explode("spans").alias("s")).select("key", "repo", "owner", "s.*")
     freq = ownership(flat.select("hash", F.coalesce("repo", F.lit("")).alias("repo"), F.coalesce("owner", F.lit("")).alias("owner")))
     rated = flat.select("key", "hash", "start", "end", "vstart", "kind", "strong").distinct().join(freq, "hash")
@@ -90,17 +94,18 @@ def classify(found: DataFrame) -> DataFrame:
     return rated.groupBy("key").agg(
         F.array_sort(F.collect_list(F.when(live, F.struct("vstart", "end", "kind")))).alias("live"),
         F.sum(live.cast("long")).alias("n_live"), F.sum(copied.cast("long")).alias("n_copied"),
+        F.coalesce(F.max(F.when(live, F.col("n_repos"))), F.lit(0).cast("long")).alias("live_repos"),
     )
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str, owner_col: str, *more: str) -> DataFrame:
+def _keyed(docs: DataFrame, id_col: str, text_col: str, owner_col: str) -> DataFrame:
     """repo, owner, spans, rendered spans and a key that only equal findings of one id share."""
-    base = candidates(docs.select(F.col(id_col), F.col(text_col), F.col(owner_col)), text_col)
-    rows = base.select(
-        F.col(id_col).alias("doc_id"), F.col(id_col).cast("string").alias("repo"), F.col(owner_col).cast("string").alias("owner"),
+    three = docs.select(column(id_col).alias("doc_id"), column(text_col).alias("text"), column(owner_col).cast("string").alias("owner"))
+    rows = candidates(three).select(
+        "doc_id", F.col("doc_id").cast("string").alias("repo"), "owner",
         *[_count("found", k).alias(f"n_{k}") for k in KINDS],
         F.sha2(render(F.filter("found", lambda s: s["kind"].isin(*KINDS))), 256).alias("base_sha256"),
-        render(F.col("found")).alias("rendered"), _hashed(F.col("found")).alias("spans"), *[F.col(c) for c in more],
+        render(F.col("found")).alias("rendered"), _hashed(F.col("found")).alias("spans"),
     )
     return rows.withColumn("key", F.sha2(F.concat_ws("|", F.coalesce("repo", F.lit("")), F.coalesce("owner", F.lit("")), "rendered", F.array_join(F.transform("spans", lambda s: s["hash"]), ",")), 256))
 
@@ -108,27 +113,35 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str, owner_col: str, *more: s
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source") -> DataFrame:
     """One row per input row: counts and digest of the base kinds, all spans, and their ownership classes.
 
+    n_live and n_copied count spans; live_repos is the number of repositories (documents, told apart
+    by owner and id) that hold the most widespread of the row's live values, 0 if it has none.
     Null texts have no spans, null owners count as one owner, repeated rows give repeated rows,
     null ids stay null and an empty table gives none. Columns but the three named are left out.
     """
     found = stash(_keyed(docs, id_col, text_col, owner_col), "secrets")
     shown = ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", F.col("rendered").alias("spans")]
-    clean = found.where(F.size("spans") == 0).select(*shown, F.lit(0).cast("long").alias("n_live"), F.lit(0).cast("long").alias("n_copied"))
-    rated = found.where(F.size("spans") > 0).join(classify(found).select("key", "n_live", "n_copied"), "key", "left")
-    return clean.unionAll(rated.select(*shown, "n_live", "n_copied"))
+    clean = found.where(F.size("spans") == 0).select(*shown, *[F.lit(0).cast("long").alias(c) for c in RATED])
+    rated = found.where(F.size("spans") > 0).join(classify(found).select("key", *RATED), "key", "left")
+    return clean.unionAll(rated.select(*shown, *RATED))
 
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source") -> DataFrame:
-    """docs with the values of live-looking secrets masked; all else, copied examples too, unchanged."""
-    rows = candidates(docs, text_col, "__found").withColumn("__dirty", F.size("__found") > 0)
-    clean = rows.where("not __dirty").select(*docs.columns)
-    dirty = rows.where("__dirty").withColumn("spans", _hashed(F.col("__found"))).select(
-        F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("repo"),
-        F.coalesce(F.col(owner_col).cast("string"), F.lit("")).alias("owner"), "spans",
+    """docs with the values of live-looking secrets masked; all else, copied examples too, unchanged.
+
+    Texts are scanned once: rows are written with their findings, those without any are read back as
+    they are, and only the others meet the corpus-wide classes. Null texts stay null.
+    """
+    spans = fresh_name(docs.columns, "found")
+    scanned = stash(candidates(docs, text_col, spans).withColumn(spans, _hashed(column(spans))), "secrets-scanned")
+    clean = scanned.where(F.size(column(spans)) == 0).select(*[column(c) for c in docs.columns])
+    dirty = scanned.where(F.size(column(spans)) > 0).select(
+        F.struct(*[column(c) for c in docs.columns]).alias("row"), column(spans).alias("spans"),
+        F.coalesce(column(id_col).cast("string"), F.lit("")).alias("repo"), F.coalesce(column(owner_col).cast("string"), F.lit("")).alias("owner"),
     )
-    dirty = stash(dirty.withColumn("key", F.sha2(F.concat_ws("|", "repo", "owner", F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["start"], s["end"], s["hash"])), ",")), 256)), "secrets")
-    rated = dirty.join(classify(dirty).select("key", "live"), "key", "left")
-    text = F.col(f"row.{text_col}")
+    marks = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["start"], s["end"], s["hash"])), ",")
+    dirty = dirty.withColumn("key", F.sha2(F.concat_ws("|", "repo", "owner", marks), 256))
+    rated = dirty.join(classify(dirty.select("key", "repo", "owner", "spans")).select("key", "live"), "key", "left")
+    text = F.col("row").getField(text_col)
 
     def step(acc, s):
         cut = F.greatest(acc["at"], s["vstart"])
@@ -139,4 +152,4 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owne
     start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
     masked = F.aggregate("live", start, step, lambda a: F.concat(a["out"], F.substring(text, (a["at"] + 1).cast("int"), F.length(text))))
     new = F.when(F.size("live") > 0, masked).otherwise(text)
-    return clean.unionByName(rated.select(*[(new if c == text_col else F.col(f"row.{c}")).alias(c) for c in docs.columns]))
+    return clean.unionByName(rated.select(*[(new if c == text_col else F.col("row").getField(c)).alias(c) for c in docs.columns]))
