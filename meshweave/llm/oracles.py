@@ -41,7 +41,7 @@ _FOUND = " UNION ALL ".join(
 SECRETS = f"""WITH d AS (SELECT doc_id, source, coalesce(text, '') t FROM documents), raw AS ({_FOUND}),
 s AS (SELECT *, CAST(sum(length(p) + length(w)) OVER (PARTITION BY doc_id, no ORDER BY i) AS BIGINT) stop FROM raw),
 f AS (SELECT *, stop - length(w) AS start, sha256(v) h, length(v) >= 12 AND regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Za-z]') AND len(list_distinct(string_split(v, ''))) >= 8 strong FROM s WHERE length(v) >= least),
-o AS (SELECT h, count(DISTINCT coalesce(source, '')) owners FROM f GROUP BY 1),
+o AS (SELECT h, count(DISTINCT coalesce(source, '')) owners, count(DISTINCT concat_ws('|', doc_id, coalesce(source, ''))) repos FROM f GROUP BY 1),
 r AS (SELECT doc_id, count(*) FILTER (kind = 'assign') n_assign, count(*) FILTER (kind = 'access') n_access, count(*) FILTER (kind = 'hex') n_hex, string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, no) FILTER (no < 3) base, string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, no) every,
- count(*) FILTER (owners < 3 AND strong) n_live, count(*) FILTER (owners >= 3) n_copied FROM f JOIN o USING (h) GROUP BY 1)
-SELECT d.doc_id, coalesce(n_assign, 0) n_assign, coalesce(n_access, 0) n_access, coalesce(n_hex, 0) n_hex, sha256(coalesce(base, '')) base_sha256, coalesce(every, '') spans, coalesce(n_live, 0) n_live, coalesce(n_copied, 0) n_copied FROM d LEFT JOIN r USING (doc_id)"""
+ count(*) FILTER (owners < 3 AND strong) n_live, count(*) FILTER (owners >= 3) n_copied, coalesce(max(repos) FILTER (owners < 3 AND strong), 0) live_repos FROM f JOIN o USING (h) GROUP BY 1)
+SELECT d.doc_id, coalesce(n_assign, 0) n_assign, coalesce(n_access, 0) n_access, coalesce(n_hex, 0) n_hex, sha256(coalesce(base, '')) base_sha256, coalesce(every, '') spans, coalesce(n_live, 0) n_live, coalesce(n_copied, 0) n_copied, coalesce(live_repos, 0) live_repos FROM d LEFT JOIN r USING (doc_id)"""
