@@ -1,12 +1,15 @@
 """Text operators against brute force, with nulls, empty and long texts, ties, repeats, empty tables and clashing names."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -202,6 +205,78 @@ def test_quality_edges(spark, docs, none):
         assert 0 <= net.score(text) <= 1
 
 
+@pytest.mark.parametrize("n", [*range(0, 40), 65, 1000, 4099])
+def test_chunks_cover_every_byte(n):
+    """Each byte of a text stands at its own place in some chunk, and nothing follows the last byte but zeros."""
+    raw = np.random.default_rng(n).integers(1, 128, n).astype(np.uint8)
+    seen = np.zeros(n + 2 * quality.CHUNK, np.uint8)
+    for k, c in enumerate(quality._chunks(raw.tobytes().decode())):
+        a = k * quality.STRIDE
+        assert not (seen[a : a + quality.CHUNK] & ~c).any()
+        seen[a : a + quality.CHUNK] |= c
+    assert (seen[:n] == raw).all() and not seen[n:].any()
+
+
+def direct_score(p, text):
+    """A plain convolution: embed, multiply each chunk with each filter, take maxima and shares, combine."""
+    raw = text.encode()
+    best, fired, chunks = [-math.inf] * quality.FILTERS, [0] * quality.FILTERS, 0
+    a = 0
+    while a == 0 or a + quality.CHUNK < len(raw) + quality.STRIDE:
+        window = raw[a : a + quality.CHUNK].ljust(quality.CHUNK, b"\0")
+        for f in range(quality.FILTERS):
+            r = sum(float(p["embed"][byte] @ p["filters"][k, :, f]) for k, byte in enumerate(window)) + float(p["bias"][f])
+            best[f] = max(best[f], r)
+            fired[f] += r > 0
+        chunks += 1
+        a += quality.STRIDE
+    x = [math.tanh(b) for b in best] + [n / chunks for n in fired]
+    z = sum(float(w) * v for w, v in zip(p["top"], x)) + float(p["out"][0])
+    return 1 / (1 + math.exp(-z))
+
+
+@pytest.mark.parametrize("piece", [1 << 16, 7])
+def test_the_folded_network_equals_a_direct_convolution(monkeypatch, piece):
+    monkeypatch.setattr(quality, "PIECE", piece)
+    r = random.Random(11)
+    net = quality.Network(3)
+    net.train(["good clean words " * 9, "zzz qqq xxx " * 9, "good words", "qq zz"] * 8, [1, 0, 1, 0] * 8, epochs=2)
+    for n in (0, 1, 15, 16, 17, 20, 21, 150, 333):
+        text = "".join(r.choice("abc dé\n\0z") for _ in range(n))
+        assert net.score(text) == pytest.approx(direct_score(net.p, text), abs=1e-5)
+
+
+def test_training_reads_long_texts_in_pieces(monkeypatch):
+    """The gradients of a text do not depend on the piece length."""
+    found = []
+    for piece in (1 << 16, 5):
+        monkeypatch.setattr(quality, "PIECE", piece)
+        net = quality.Network(4)
+        grads = {k: np.zeros_like(v) for k, v in net.p.items()}
+        net._backward(net.fold(), quality._chunks("some text, not short at all. " * 40), np.float32(1), grads, np.random.default_rng(1))
+        found.append(grads)
+    assert all(np.allclose(found[0][k], found[1][k], atol=1e-6) for k in found[0])
+
+
+def test_fit_takes_whole_texts_up_to_its_bounds(spark, monkeypatch):
+    ship_package(spark)
+    taught = []
+    monkeypatch.setattr(quality.Network, "train", lambda self, texts, labels, **k: taught.append(dict(zip(texts, labels))))
+    rows = [(i, ("g" if i % 2 else "b") + str(i) + "x" * (i * 997 % 5000)) for i in range(200)] + [(7, "a"), (None, "n")]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, quality int")
+    learnt = {i for i in range(200) if zlib.crc32(str(i).encode()) % 3 != 1}
+    quality.fit(d, labels)
+    texts_of = {i: t for i, t in rows if t != "a"}
+    assert taught[-1] == {texts_of[i]: i % 2 for i in learnt}
+    quality.fit(d, labels, sample_rows=20)
+    twenty = set(taught[-1])
+    assert len(twenty) == 20 and twenty <= {texts_of[i] for i in learnt}
+    quality.fit(d, labels, sample_rows=20, sample_bytes=9000)
+    some = set(taught[-1])
+    assert some < twenty and sum(map(len, some)) >= 9000 and max(map(len, some)) > 3000
+
+
 # ------------------------------------------------------------------ SimHash
 
 
@@ -308,6 +383,36 @@ def test_windows_repeat_the_latest_system_turn(spark):
     assert at == len(turns)
 
 
+def test_a_long_system_turn_has_a_budget(spark):
+    """It stands whole once, in its span; the windows after it repeat no more than its budget."""
+    rule = "".join(f"rule {k} & so on. " for k in range(3000))
+    turns = [(0, "system", rule)] + [(k, "user" if k % 2 else "assistant", f"{k} " + "word " * 200) for k in range(1, 40)]
+    rows = chat.windows(spark.createDataFrame([(1, *t) for t in turns], "conv_id long, turn int, role string, text string")).orderBy("window").collect()
+    assert rows[0]["formatted"].count("rule 2999 ") == 1 and len(rows) > 5
+    most = 4 * (chat.SPAN_TOKENS + chat.HISTORY_TOKENS + chat.SYSTEM_TOKENS) + 100
+    for r in rows[1:]:
+        assert "rule 0 &amp; so on" in r["formatted"] and len(r["formatted"].encode()) <= most
+    back = chat.read_back(chat.windows(spark.createDataFrame([(1, *t) for t in turns], "conv_id long, turn int, role string, text string"))).first()
+    assert back["turns_sha256"] == sha("".join(f"{a}\n{t}\n" for _, a, t in turns))
+
+
+def test_topk_leaves_out_what_a_long_cannot_score(spark):
+    ship_package(spark)
+    rows = [(0, [1e300, 1.0]), (1, [2.0, 1.0]), (2, [-2.0**24, 2.0**24]), (3, [-3e7, 3e7]), (20, [1.0, 1.0]), (40, []), (60, [])]
+    q = topk.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    assert sorted(r["vec_id"] for r in q.collect()) == [1, 2, 3, 20, 40, 60]
+    got = [tuple(r) for r in topk.search(q, q.where("vec_id % 20 = 0 or vec_id = 3"), row_block=2, query_block=1).orderBy("query_id", "rank").collect()]
+    at = lambda v: [int(np.floor(64 * x)) for x in v]
+    dot = lambda a, b: sum(x * y for x, y in zip(at(a), at(b)))
+    fine = {i: v for i, v in rows if i in (1, 2, 3, 20)}
+    want = []
+    for i in (3, 20):
+        best = sorted((-dot(fine[i], v), j) for j, v in fine.items() if j != i)
+        want += [(i, k + 1, j, -s) for k, (s, j) in enumerate(best)]
+    want += [(40, 1, 60, 0), (60, 1, 40, 0)]
+    assert got == sorted(want) and max(r[3] for r in got) > 2**61
+
+
 def test_topk_equals_brute_force(spark):
     ship_package(spark)
     rows, df = vectors(spark)
@@ -430,6 +535,43 @@ def test_repeats_equal_brute_force(docs, none, options):
     assert suffix_dedup.digests(none).count() == 0
 
 
+@pytest.mark.parametrize("length", [100, 300, 500])
+def test_repeats_of_other_lengths(spark, length):
+    """Pairs of texts that share a passage of just this length, of more, and of less by one."""
+    ship_package(spark)
+    r = random.Random(length)
+    noise = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    rows = []
+    for k in range(40):
+        shared = noise(length + (0, 40, -1, 333)[k % 4])
+        rows += [(2 * k + j, noise(r.randint(0, 700)) + shared + noise(r.randint(0, 700))) for j in (0, 1)]
+    rows += [(900 + k, "ab" * (length // 2 + k)) for k in range(3)] + [(910, noise(length - 1)), (911, "")]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = Counter((i, *b) for (i, _), b in zip(rows, brute_repeats([t.encode() for _, t in rows], length)))
+    for options in ({}, {"hot": 1}, {"gram": length}, {"gram": 20}):
+        assert Counter(map(tuple, suffix_dedup.digests(d, length=length, **options).collect())) == want, options
+    with pytest.raises(ValueError):
+        suffix_dedup.digests(d, length=length, gram=length + 1)
+
+
+def test_equal_hashes_alone_remove_nothing(docs, monkeypatch):
+    """With all gram hashes of a class of bytes colliding, bytes and digests still decide."""
+    monkeypatch.setattr(suffix_dedup.Scanner, "_mix", staticmethod(lambda h: (h & np.uint64(3)) << np.uint64(60)))
+    scanner = suffix_dedup.Scanner()
+    r = random.Random(3)
+    t = [bytes(r.choice(b"abcd") for _ in range(700)) for _ in range(40)]
+    t[7] = t[9][:350] + t[7][:350]
+    uids = [bytes([k]) * 16 for k in range(40)]
+    rows = pa.Table.from_batches(list(suffix_dedup._combined(uids, [scanner.anchors(t)], 200)))
+    anchors = rows.filter(pc.equal(rows["kind"], suffix_dedup.ANCHOR)).sort_by([("key", "ascending"), ("ctx", "ascending"), ("uid", "ascending"), ("lo", "ascending")])
+    assert len(set(anchors["key"].to_pylist())) <= 4
+    settled = pa.Table.from_batches([*suffix_dedup._settle(200, 2048, 100_000)(iter(anchors.to_batches()))])
+    for row in settled.filter(pc.equal(settled["kind"], suffix_dedup.COVERED)).to_pylist():
+        at = uids.index(row["uid"])
+        for s in range(row["lo"], row["hi"] - 199):
+            assert sum(x.count(t[at][s : s + 200]) for x in t) > 1
+
+
 # ------------------------------------------------------------------ secrets
 
 
@@ -454,6 +596,31 @@ def test_secrets_by_ownership(spark):
     assert out.columns == d.columns and masked[(9, "my token: [SECRET], twice token: [SECRET]", "c")] == 2 and masked[(0, f"see password = {copied} ok", "c")] == 1 and masked[(11, None, "c")] == 1
 
 
+def test_where_a_live_secret_lies_and_odd_names(spark):
+    """Repositories are counted past the row; names with dots, of the operators' own columns and in other case pass."""
+    live = "Zx81kQpL0vR7tYw2"
+    rows = [(k, f"token: {live} {k % 7}", "s1", "f", "a") for k in range(50)] + [(99, "token: Qq0otherVALUE77xyz", None, "f", "b"), (100, None, "s2", None, "c")]
+    d = spark.createDataFrame(rows, "`doc.id` long, text string, source string, found string, `spans.x` string")
+    got = {r["doc_id"]: (r["n_live"], r["n_copied"], r["live_repos"]) for r in secret_scan.scan(d, "doc.id").collect()}
+    assert got == {**{k: (1, 0, 50) for k in range(50)}, 99: (1, 0, 1), 100: (0, 0, 0)}
+    out = secret_scan.redact(d, "doc.id")
+    assert out.columns == d.columns
+    want = [(i, t and t.replace(live, "[SECRET]").replace("Qq0otherVALUE77xyz", "[SECRET]"), *x) for i, t, *x in rows]
+    assert sorted(map(repr, map(tuple, out.collect()))) == sorted(map(repr, want))
+    odd = spark.createDataFrame([(1, "same text", "x", "y"), (2, "same text", "x", "y"), (2, "same text", "x", "y"), (None, "same text", "q", "y"), (3, "other words are here", "z", "y")], "`doc.id` long, text string, DIGEST string, `flag.a` string")
+    kept = simhash.keep_one(odd, "doc.id")
+    assert kept.columns == odd.columns and sorted(map(tuple, kept.collect())) == [(1, "same text", "x", "y"), (3, "other words are here", "z", "y")]
+
+
+@pytest.mark.parametrize("few", [10**6, 0])
+def test_keep_one_keeps_one_of_repeated_rows(spark, monkeypatch, few):
+    ship_package(spark)
+    monkeypatch.setattr(simhash, "BROADCAST_ROWS", few)
+    rows = [(1, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f"), (None, "a b c d e f"), (None, None), (None, ""), (5, "q r s t u v w x"), (5, "quite another text of the same id")]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert Counter((r["doc_id"], r["text"] or "") for r in kept) == Counter([(1, "a b c d e f"), (None, ""), (5, "q r s t u v w x"), (5, "quite another text of the same id")])
+
+
 def test_short_secrets_of_one_owner_are_in_neither_count(spark):
     """Found and placed, not live, not copied, not masked; of three owners they are copied examples."""
     rows = [(1, "password = abc123", "s1"), (2, "password = nodigitsatallhere", "s1")] + [(10 + k, "password = xyz789", f"s{k}") for k in range(3)]

@@ -45,3 +45,32 @@ def test_pipeline_stages(spark):
     assert seen[4].count() == seen[3].count()
     packed = stages["packing"](spark, seen[4], SF)
     assert {r["doc_id"] for r in packed.collect()} == whole
+
+
+def test_pipeline_on_hard_rows(spark):
+    """Null ids and texts, repeated rows, clashing and missing columns, and an empty table."""
+    import corpus_pipeline
+    from meshweave.llm.common import stash, table
+
+    good = [r["text"] for r in table(spark, SF, "documents").where("lang = 'en' and n_chars between 300 and 3000").limit(30).collect()]
+    rows = [(i, t, "en", f"s{i % 5}", "d", 1) for i, t in enumerate(good)] + [(3, good[3], "en", "s3", "d", 1)] * 2 + [(None, good[4], "en", None, "d", 1), (900, None, "en", "s", "d", 1), (901, "", "en", "s", "d", 1), (902, " ", "en", "s", "d", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, digest string, uid int").repartition(3)
+    for start in (docs, docs.limit(0)):
+        now = start
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            now = stash(stage(spark, now, SF), f"hard-{name}")
+            assert now.columns == docs.columns
+            assert now.where("digest <> 'd' or uid <> 1").count() == 0
+        ids = [r["doc_id"] for r in now.collect()]
+        assert len(ids) == len(set(ids)) and None not in ids and set(ids) <= {r[0] for r in rows}
+        packed = corpus_pipeline.STAGES[-1][1](spark, now, SF).collect()
+        assert {r["doc_id"] for r in packed} == set(ids) and bool(ids) == bool(start.count())
+
+
+def test_pipeline_leaves_no_table_of_its_stages(spark):
+    import corpus_pipeline
+    from meshweave.plans import storage
+
+    before = storage.mark()
+    rows = corpus_pipeline.run(spark, SF)
+    assert rows.count() > 0 and storage.mark() - before == 2  # the last stage's input and pieces
