@@ -5,33 +5,49 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.storage import materialise
 
-def global_rank(df: DataFrame, order: list[Column], buckets: dict[str, Column], bucket_order: list[Column], into: str = "rank", by: list[str] | None = None) -> DataFrame:
+
+def global_rank(df: DataFrame, order: list[Column], into: str = "rank", by: list[str] | None = None) -> DataFrame:
     """Zero-based position in `order`, within `by` if given.
 
-    `buckets` are columns that never decrease along the order; a row's rank is the size of the
-    buckets before its own plus its place within it. Only the bucket table, one row per bucket, is
-    summed in one task; rows are sorted bucket by bucket in parallel.
+    Rows are dealt into ranges of (by, order) by sampled quantiles and sorted range by range; the
+    written ranges fix each row's place in its range. What is summed in one task is the number of
+    rows of each range, one row per task however many values there are. Ties in order keep any
+    order of their own, so order should end in a key.
     """
     by = by or []
-    names = list(buckets)
-    tagged = df.withColumns(buckets)
-    sizes = tagged.groupBy(*by, *names).agg(F.count("*").alias("__n"))
-    before = Window.partitionBy(*by).orderBy(*bucket_order).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
-    here = Window.partitionBy(*by, *names).orderBy(*order)
-    ranked = tagged.withColumn("__at", F.row_number().over(here).cast("long") - 1).join(offsets, [*by, *names])
-    return ranked.withColumn(into, F.col("__at") + F.col("__before")).drop("__at", "__before", *names)
-
-
-def rank_by_value(df: DataFrame, value: str, key: str, into: str = "rank", width: int = 65536) -> DataFrame:
-    """Rank by (value, key), both descending; one bucket per value and range of keys."""
-    return global_rank(
-        df, [F.col(key).desc()], {"__v": F.col(value), "__k": F.floor(F.col(key) / width)}, [F.col("__v").desc(), F.col("__k").desc()], into,
-    )
+    keys = [*[F.col(c).asc() for c in by], *order]
+    placed = df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("__id", F.monotonically_increasing_id())
+    placed = materialise(placed, "ranges")
+    part = F.shiftright("__id", 33)
+    sizes = placed.groupBy(part.alias("__part")).agg(F.count("*").alias("__n"))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    place = F.col("__before") + F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))
+    ranked = placed.withColumn("__part", part).join(F.broadcast(starts), "__part").withColumn(into, place).drop("__id", "__part", "__before")
+    if not by:
+        return ranked
+    first = ranked.groupBy(*by).agg(F.min(into).alias("__first"))
+    return ranked.join(first, by).withColumn(into, F.col(into) - F.col("__first")).drop("__first")
+
+
+def rank_by_value(df: DataFrame, value: str, key: str, into: str = "rank") -> DataFrame:
+    """Rank by (value, key), both descending."""
+    return global_rank(df, [F.col(value).desc(), F.col(key).desc()], into)
 
 
 def rank_by_draw(df: DataFrame, draw: Column, tie: str, into: str = "rank", by: list[str] | None = None) -> DataFrame:
-    """Rank by a hex digest, then by tie; one bucket per leading three digits."""
-    tagged = df.withColumn("__d", draw)
-    return global_rank(tagged, [F.col("__d"), F.col(tie)], {"__b": F.substring("__d", 1, 3)}, [F.col("__b")], into, by).drop("__d")
+    """Rank by a hex digest, then by tie, within `by` if given.
+
+    Digests spread evenly, so their leading three digits cut the rows into 4096 like buckets without
+    a sample: one task sums the buckets' sizes, each bucket is sorted by itself.
+    """
+    by = by or []
+    tagged = df.withColumn("__d", draw).withColumn("__b", F.substring("__d", 1, 3))
+    sizes = tagged.groupBy(*by, "__b").agg(F.count("*").alias("__n"))
+    before = Window.partitionBy(*by).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(*by, "__b", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    here = Window.partitionBy(*by, "__b").orderBy("__d", tie)
+    ranked = tagged.withColumn("__at", F.row_number().over(here).cast("long") - 1).join(starts, [*by, "__b"])
+    return ranked.withColumn(into, F.col("__at") + F.col("__before")).drop("__at", "__before", "__b", "__d")

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-KB, MB, GB = 1024.0, 1024.0**2, 1024.0**3
+KB, MB, GB, TB = 1024.0, 1024.0**2, 1024.0**3, 1024.0**4
 #: Bytes of one element of each type name.
 TYPE_BYTES = {"f32": 4, "f64": 8, "f16": 2, "u8": 1, "i32": 4, "i8": 1, "i64": 8}
 
 
 def readable_bytes(n: Column) -> Column:
-    """Two decimals and the largest unit that n exceeds."""
+    """Two decimals and the largest unit, up to GB, that n exceeds; see readable_bytes_to_tb."""
     x = n.cast("double")
     return (
         F.when(x > GB, F.format_string("%.2f GB", x / GB)).when(x > MB, F.format_string("%.2f MB", x / MB))
@@ -19,6 +19,18 @@ def readable_bytes(n: Column) -> Column:
     )
 
 
+def readable_bytes_to_tb(n: Column) -> Column:
+    """readable_bytes with TB above GB."""
+    x = n.cast("double")
+    return F.when(x > TB, F.format_string("%.2f TB", x / TB)).otherwise(readable_bytes(n))
+
+
+def _whole(x: Column, y: Column) -> Column:
+    """Whole quotient of two longs, y > 0, rounded down: no doubles, so exact over 2**53."""
+    x, y = x.cast("long"), y.cast("long")
+    return F.floor((x - F.pmod(x, y)).cast("decimal(20,0)") / y.cast("decimal(20,0)")).cast("long")
+
+
 def percentage(x: Column) -> Column:
     return F.format_string("%.2f %%", x.cast("double") * 100)
 
@@ -33,7 +45,7 @@ def tensor_bytes(name: Column, shape: Column) -> Column:
 
 
 def round_up_div(x: Column, y: Column) -> Column:
-    return F.floor((x + y - 1) / y).cast("long")
+    return _whole(x + y - 1, y)
 
 
 def round_up(x: Column, y: Column) -> Column:
@@ -45,7 +57,7 @@ def encode_key(epoch: Column, step: Column, steps: Column) -> Column:
 
 
 def decode_key(key: Column, steps: Column) -> tuple[Column, Column]:
-    return F.floor(key / steps).cast("long"), key % steps
+    return _whole(key, steps), key % steps
 
 
 def pack_pair(high: Column, low: Column) -> Column:

@@ -22,8 +22,7 @@ def step_similarity(access: DataFrame) -> DataFrame:
 def epoch_similarity(access: DataFrame, num_nodes: int, top: float = 0.1) -> DataFrame:
     """Per epoch: shared mass of both epochs' most accessed tenth, percent of this epoch's."""
     freq = access.groupBy("epoch", "node_id").agg(F.count("*").alias("freq"))
-    buckets = {"__v": F.col("freq"), "__k": F.floor(F.col("node_id") / 65536)}
-    ranked = global_rank(freq, [F.col("node_id").desc()], buckets, [F.col("__v").desc(), F.col("__k").desc()], by=["epoch"])
+    ranked = global_rank(freq, [F.col("freq").desc(), F.col("node_id").desc()], by=["epoch"])
     hot = ranked.where(F.col("rank") < num_nodes * top).select("epoch", "node_id", "freq")
     before = hot.select((F.col("epoch") + 1).alias("epoch"), "node_id", F.col("freq").alias("old"))
     joined = hot.join(before, ["epoch", "node_id"], "left")
@@ -81,3 +80,10 @@ def presample_report(ranking: DataFrame, access: DataFrame) -> DataFrame:
     """(rank, node_id, presampled, real): frequencies of a presampling and of a real run, by rank."""
     real = access_counts(access).withColumnRenamed("freq", "real")
     return ranking.join(real, "node_id", "left").select("rank", "node_id", F.col("freq").alias("presampled"), F.coalesce("real", F.lit(0).cast("long")).alias("real"))
+
+
+def prefix_and_last(rows: DataFrame, by: str, order: str, k: int) -> DataFrame:
+    """The last k rows of each group in the given order, with how many rows of the group come before each."""
+    w = Window.partitionBy(by)
+    placed = rows.withColumn("before_", F.row_number().over(w.orderBy(order)).cast("long") - 1)
+    return placed.withColumn("__last", F.row_number().over(w.orderBy(F.col(order).desc()))).where(F.col("__last") <= k).drop("__last")

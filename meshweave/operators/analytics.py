@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.ranks import rank_by_value
+from ..functions.ranks import global_rank, rank_by_value
 from ..plans.storage import materialise
 
 
@@ -51,6 +51,12 @@ def reach_by_hop(edges: DataFrame, seeds: DataFrame, max_hops: int | None = None
     return known
 
 
+def first_part(seeds: DataFrame, parts: int, order: str = "pos") -> DataFrame:
+    """The first floor(n / parts) seeds in the given order: what one of so many trainers would start from."""
+    ranked = global_rank(seeds.select("node_id", F.col(order).alias("__order")), [F.col("__order"), F.col("node_id")])
+    return ranked.where(F.col("rank") < seeds.count() // parts).select("node_id")
+
+
 def reach_sizes(reach: DataFrame, num_nodes: int) -> DataFrame:
     """Per hop: nodes reached so far and their share."""
     per = reach.groupBy("hop").agg(F.count("*").alias("n"))

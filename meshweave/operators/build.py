@@ -24,6 +24,13 @@ def with_positions(edges: DataFrame) -> DataFrame:
     return edges.select("dst", (F.row_number().over(w.orderBy("src")).cast("long") - 1).alias("pos"), "src", F.count("*").over(w).alias("deg"))
 
 
+def edge_places(adj: DataFrame) -> DataFrame:
+    """(at, dst, pos, src): each edge's place in the order of (dst, pos), from 0."""
+    counts = adj.where("pos = 0").select("dst", "deg")
+    at = offsets(counts, "dst", "deg")
+    return adj.join(at, "dst").select((F.col("offset") + F.col("pos")).alias("at"), "dst", "pos", "src")
+
+
 def collapse(edges: DataFrame) -> DataFrame:
     """Multi-edges as one."""
     return edges.select("src", "dst").distinct()
@@ -48,10 +55,9 @@ def offsets(counts: DataFrame, key: str = "node_id", size: str = "in_degree", wi
     return rows.select(key, (F.col("__in") + F.col("__base")).cast("long").alias("offset"))
 
 
-def id_dictionary(ids: DataFrame, width: int = 65536) -> DataFrame:
+def id_dictionary(ids: DataFrame) -> DataFrame:
     """(old_id, new_id): dense ids in the order of the old ones."""
-    distinct = ids.distinct()
-    return global_rank(distinct, [F.col("old_id")], {"__k": F.floor(F.col("old_id") / width)}, [F.col("__k")], "new_id").select("old_id", "new_id")
+    return global_rank(ids.distinct(), [F.col("old_id")], "new_id").select("old_id", "new_id")
 
 
 def remap(edges: DataFrame, dictionary: DataFrame) -> DataFrame:

@@ -25,8 +25,7 @@ def rank_heuristic(nodes: DataFrame, edges: DataFrame, train: DataFrame, deg: Da
     rest = F.col("tier") == 2
     rows = rows.withColumn("tier", F.coalesce("tier", F.lit(2)))
     rows = rows.withColumn("k1", F.when(rest, -F.col("out_degree")).otherwise(F.lit(0).cast("long"))).withColumn("k2", F.when(rest, -F.col("node_id")).otherwise(F.col("node_id")))
-    buckets = {"__t": F.col("tier"), "__v": F.col("k1"), "__k": F.floor(F.col("k2") / 65536)}
-    return global_rank(rows, [F.col("k2")], buckets, [F.col("__t"), F.col("__v"), F.col("__k")]).select("node_id", "tier", "rank")
+    return global_rank(rows, [F.col("tier"), F.col("k1"), F.col("k2")]).select("node_id", "tier", "rank")
 
 
 def rank_degree_hop(nodes: DataFrame, edges: DataFrame, train: DataFrame, deg: DataFrame, hops: int = 2) -> DataFrame:
@@ -36,8 +35,7 @@ def rank_degree_hop(nodes: DataFrame, edges: DataFrame, train: DataFrame, deg: D
     sub = degrees(touched, induced_rows(edges, touched)).select("node_id", F.col("out_degree").alias("sub"))
     rows = deg.select("node_id", "out_degree").join(sub, "node_id", "left")
     rows = rows.withColumn("touched", F.col("sub").isNotNull().cast("int")).withColumn("value", F.coalesce("sub", "out_degree"))
-    buckets = {"__t": F.col("touched"), "__v": F.col("value"), "__k": F.floor(F.col("node_id") / 65536)}
-    ranked = global_rank(rows, [F.col("node_id").desc()], buckets, [F.col("__t").desc(), F.col("__v").desc(), F.col("__k").desc()])
+    ranked = global_rank(rows, [F.col("touched").desc(), F.col("value").desc(), F.col("node_id").desc()])
     return ranked.select("node_id", F.col("touched").cast("boolean").alias("touched"), "rank")
 
 
@@ -79,5 +77,5 @@ def build_cache(ranking: DataFrame, num_nodes: int, share: float) -> DataFrame:
 def replace_cache(nodes: DataFrame, batch_nodes: DataFrame) -> DataFrame:
     """A new cache of exactly these nodes, slots by id."""
     ids = batch_nodes.select("node_id").distinct()
-    ranked = global_rank(ids, [F.col("node_id")], {"__k": F.floor(F.col("node_id") / 65536)}, [F.col("__k")], "cache_pos")
+    ranked = global_rank(ids, [F.col("node_id")], "cache_pos")
     return ranked.join(nodes, "node_id")
