@@ -42,12 +42,14 @@ def only_last(spark: SparkSession, since: int) -> None:
         _written.append(last)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def clear(spark: SparkSession, since: int = 0) -> int:
     """Delete the tables written so far (or after a mark), once no DataFrame that reads them is needed; returns how many."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    n = 0
+    n = len(_written) - since
     while len(_written) > since:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
-        path.getFileSystem(conf).delete(path, True)
-        n += 1
-    return n
+        delete(spark, _written.pop())
+    return max(0, n)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import dataclasses
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -10,12 +11,23 @@ from pyspark.sql import functions as F
 
 @dataclasses.dataclass(frozen=True)
 class Graph:
-    """edges(src, dst): the in-neighbours of v are the rows with dst = v. nodes(node_id, label, feat)."""
+    """edges(src, dst): the in-neighbours of v are the rows with dst = v. nodes(node_id, label, feat).
+
+    simple says that no edge is there twice. lists are the edges with their places (dst, pos, src,
+    deg[, src_deg]) and degrees (node_id, in_degree, out_degree), where they are at hand already.
+    """
 
     nodes: DataFrame
     edges: DataFrame
     splits: DataFrame
     num_nodes: int
+    simple: bool = False
+    lists: DataFrame | None = None
+    degrees: DataFrame | None = None
+
+
+#: Tables of the graphs written so far, by application and folder: (bucketed tables' names, number of nodes).
+_kept: dict[tuple[str, str], tuple[str, int]] = {}
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,7 +44,8 @@ def market_pairs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
     return sold.unionAll(bought).distinct(), parts + suppliers + customers
 
 
-def market(spark: SparkSession, sf_dir: str) -> Graph:
+def build_market(spark: SparkSession, sf_dir: str) -> Graph:
+    """The market graph as a plan over the tables of sf_dir: nothing is written."""
     from ..operators.build import symmetrise
 
     pairs, n = market_pairs(spark, sf_dir)
@@ -45,7 +58,56 @@ def market(spark: SparkSession, sf_dir: str) -> Graph:
     part = read(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("node_id"))
     place = F.col("node_id") % 10
     splits = part.where(place < 3).select("node_id", F.when(place == 0, "train").when(place == 1, "valid").otherwise("test").alias("split"))
-    return Graph(nodes, edges, splits, n)
+    return Graph(nodes, edges, splits, n, simple=True)
+
+
+def market(spark: SparkSession, sf_dir: str) -> Graph:
+    """The market graph, built and written on the first call for a folder and read back after that.
+
+    Lists are bucketed by the node they belong to, nodes and degrees by their id, so joins, windows
+    and hops by node start without a shuffle of the graph. forget() drops the tables, which is
+    needed where the tables of sf_dir change while an application runs.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _kept:
+        _kept[key] = _write(spark, build_market(spark, sf_dir))
+    name, n = _kept[key]
+    lists = spark.table(f"{name}_lists")
+    part = read(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("node_id"))
+    place = F.col("node_id") % 10
+    splits = part.where(place < 3).select("node_id", F.when(place == 0, "train").when(place == 1, "valid").otherwise("test").alias("split"))
+    return Graph(spark.table(f"{name}_nodes"), lists.select("src", "dst"), splits, n, True, lists, spark.table(f"{name}_degrees"))
+
+
+def _write(spark: SparkSession, g: Graph) -> tuple[str, int]:
+    from ..operators.build import degrees, with_positions
+    from ..plans.storage import shared_root
+
+    name, buckets = f"graph_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def put(df: DataFrame, table: str, by: str, *order: str) -> DataFrame:
+        out = df.repartition(buckets, by).write.option("path", f"{shared_root(spark)}/{name}_{table}")
+        out.bucketBy(buckets, by).sortBy(by, *order).saveAsTable(f"{name}_{table}")
+        return spark.table(f"{name}_{table}")
+
+    nodes = put(g.nodes, "nodes", "node_id")
+    adj = put(with_positions(g.edges), "adj", "dst", "pos")
+    deg = put(degrees(nodes, adj), "degrees", "node_id")
+    put(adj.join(deg.select(F.col("node_id").alias("src"), F.col("in_degree").alias("src_deg")), "src").select("dst", "pos", "src", "deg", "src_deg"), "lists", "dst", "pos")
+    return name, g.num_nodes
+
+
+def forget(spark: SparkSession, sf_dir: str | None = None) -> None:
+    """Drop the written tables of one folder's graph, or of all of this application's."""
+    from ..plans.storage import delete
+
+    app = spark.sparkContext.applicationId
+    for key in [k for k in _kept if k[0] == app and sf_dir in (None, k[1])]:
+        name = _kept.pop(key)[0]
+        for table in ("nodes", "adj", "degrees", "lists"):
+            where = spark.sql(f"DESCRIBE FORMATTED {name}_{table}").where("col_name = 'Location'").first()["data_type"]
+            spark.sql(f"DROP TABLE {name}_{table}")
+            delete(spark, where)
 
 
 def train_set(graph: Graph) -> DataFrame:
