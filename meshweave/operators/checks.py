@@ -13,6 +13,17 @@ def id_range(edges: DataFrame, num_nodes: int) -> DataFrame:
     return edges.agg(top.alias("max_id"), (top < num_nodes).alias("in_range"))
 
 
+def offsets_fit(indptr: DataFrame, num_nodes: int, num_edges: int) -> DataFrame:
+    """One row: whether offsets (pos, value) start at 0, never fall and end at num_edges, with the places where they fall."""
+    nxt = indptr.select((F.col("pos") - 1).alias("pos"), F.col("value").alias("end"))
+    falls = indptr.join(nxt, "pos", "left").agg(
+        F.count("*").alias("num_offset"), F.min(F.when(F.col("pos") == 0, F.col("value"))).alias("first"), F.min(F.when(F.col("pos") == num_nodes, F.col("value"))).alias("last"),
+        F.coalesce(F.sum((F.col("end") < F.col("value")).cast("long")), F.lit(0)).alias("num_fall"),
+    )
+    fine = (F.col("num_offset") == num_nodes + 1) & (F.col("first") == 0) & (F.col("last") == num_edges) & (F.col("num_fall") == 0)
+    return falls.select("*", F.coalesce(fine, F.lit(False)).alias("fits"))
+
+
 def row_counts(edges: DataFrame, expected: int) -> DataFrame:
     return edges.agg(F.count("*").alias("num_edge"), (F.count("*") == expected).alias("matches"))
 

@@ -21,9 +21,44 @@ def _first(rows: DataFrame, key: Column, fanout: int) -> DataFrame:
     return rows.withColumn("__place", place).where(F.col("__place") <= fanout).select("batch_key", "dst", "src")
 
 
-def khop(edges: DataFrame, frontier: DataFrame, fanout: int, seed: int, layer: int = 0) -> DataFrame:
-    """Uniform without replacement; nodes of degree up to fanout give all their neighbours."""
-    return _first(_meet(edges, frontier), draw(seed, F.col("batch_key"), layer, F.col("dst"), F.col("src")), fanout)
+def _copies(rows: DataFrame, simple: bool) -> tuple[DataFrame, tuple[Column, ...]]:
+    """rows with the number of each copy of an edge (0 for the first), and the keys that tell copies apart.
+
+    A first copy draws by its edge alone, so a graph without copies draws the same whether it is
+    known to be simple or not.
+    """
+    if simple:
+        return rows, ()
+    copy = F.row_number().over(Window.partitionBy("batch_key", "dst", "src").orderBy(F.lit(0))) - 1
+    return rows.withColumn("__copy", copy), (F.when(F.col("__copy") > 0, F.col("__copy")),)
+
+
+def khop(edges: DataFrame, frontier: DataFrame, fanout: int, seed: int, layer: int = 0, simple: bool = False) -> DataFrame:
+    """Uniform without replacement; nodes of degree up to fanout give all their neighbours.
+
+    Copies of an edge are positions of their own; simple says that there are none, which spares
+    numbering them. Every position of a list is drawn a digest; khop_places draws only fanout.
+    """
+    met, more = _copies(_meet(edges.select("dst", "src"), frontier), simple)
+    return _first(met, draw(seed, F.col("batch_key"), layer, F.col("dst"), F.col("src"), *more), fanout)
+
+
+def khop_places(adj: DataFrame, frontier: DataFrame, fanout: int, seed: int, layer: int = 0) -> DataFrame:
+    """Uniform without replacement over the positions of adj(dst, pos, src, deg), by fanout draws whatever the degree.
+
+    The positions are a uniform subset by Floyd's rule: for k = deg - fanout .. deg - 1, a draw from
+    0..k is taken, or k itself if the draw is already in. Only these positions meet the lists.
+    """
+    deg = adj.select("dst", "deg").where("pos = 0")
+    start = F.greatest(F.col("deg") - fanout, F.lit(0).cast("long"))
+
+    def add(taken, k):
+        t = u32(seed, F.col("batch_key"), layer, F.col("dst"), k) % (k + 1)
+        return F.concat(taken, F.array(F.when(F.array_contains(taken, t), k).otherwise(t)))
+
+    places = F.aggregate(F.sequence(start, F.col("deg") - 1), F.array().cast("array<bigint>"), add)
+    drawn = _meet(deg, frontier).where("deg > 0").select("batch_key", "dst", F.explode(places).alias("pos"))
+    return drawn.join(adj.select("dst", "pos", "src"), ["dst", "pos"]).select("batch_key", "dst", "src")
 
 
 def khop_replace(adj: DataFrame, frontier: DataFrame, fanout: int, seed: int, layer: int = 0) -> DataFrame:
@@ -47,30 +82,29 @@ def khop_alias(table: DataFrame, frontier: DataFrame, fanout: int, seed: int, la
 def khop_prefix(table: DataFrame, frontier: DataFrame, fanout: int, seed: int, layer: int = 0) -> DataFrame:
     """Weighted with replacement by running sums: each draw takes the first position whose sum reaches it.
 
-    A node's sums travel as one sorted array per node, searched in place, so no draw meets the whole list.
+    Draws are sorted into the running sums of their node, so a draw meets one position, however
+    long the list, and lists of other nodes are left out before the sort.
     """
-    lists = table.groupBy("dst").agg(F.array_sort(F.collect_list(F.struct("prefix", "pos", "src"))).alias("list"))
-    met = _meet(lists, frontier).withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(fanout - 1))))
-    x = uniform(seed, F.col("batch_key"), layer, F.col("dst"), F.col("turn")) * F.element_at("list", -1)["prefix"]
-    met = met.withColumn("x", x)
-    bits = F.sequence(F.lit(0), F.lit(40))
-    start = F.struct(F.lit(0).alias("low"), (F.size("list") - 1).alias("high"))
-
-    def halve(acc, _):
-        mid = F.floor((acc["low"] + acc["high"]) / 2).cast("int")
-        reached = F.get("list", mid)["prefix"] >= F.col("x")
-        open_ = acc["low"] < acc["high"]
-        return F.struct(F.when(open_ & ~reached, mid + 1).otherwise(acc["low"]).alias("low"), F.when(open_ & reached, mid).otherwise(acc["high"]).alias("high"))
-
-    bits = F.slice(bits, 1, F.ceil(F.log2(F.size("list") + F.lit(1))).cast("int") + 1)
-    found = F.aggregate(bits, start, halve)["low"]
-    return met.select("batch_key", "dst", F.get("list", found)["src"].alias("src")).distinct()
-
-
-def khop_weighted(weighted: DataFrame, frontier: DataFrame, fanout: int, seed: int, layer: int = 0) -> DataFrame:
-    """Weighted without replacement: lowest exponential keys, the law of drawing until fanout are distinct."""
-    u = uniform(seed, F.col("batch_key"), layer, F.col("dst"), F.col("src"))
-    return _first(_meet(weighted, frontier), -F.ln(u) / F.col("w"), fanout)
+    top = table.where(F.col("pos") == F.col("deg") - 1).select("dst", F.col("prefix").alias("top"))
+    draws = _meet(top, frontier).select("batch_key", "dst", "top", F.explode(F.sequence(F.lit(0), F.lit(fanout - 1))).alias("turn"))
+    x = uniform(seed, F.col("batch_key"), layer, F.col("dst"), F.col("turn")) * F.col("top")
+    draws = draws.select("dst", x.alias("at"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("pos"), F.lit(None).cast("long").alias("src"), "batch_key")
+    wanted = frontier.select(F.col("node_id").alias("dst")).distinct()
+    sums = table.join(wanted, "dst", "left_semi").select("dst", F.col("prefix").alias("at"), F.lit(1).alias("kind"), "pos", "src", F.lit(None).cast("long").alias("batch_key"))
+    # from the highest sum down, the last position before a draw is the first that reaches it
+    down = Window.partitionBy("dst").orderBy(F.col("at").desc(), F.col("kind").desc(), F.col("pos").desc())
+    found = F.last("src", ignorenulls=True).over(down.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return draws.unionByName(sums).withColumn("found", found).where("kind = 0").select("batch_key", "dst", F.col("found").alias("src")).distinct()
+
+
+def khop_weighted(weighted: DataFrame, frontier: DataFrame, fanout: int, seed: int, layer: int = 0, simple: bool = False) -> DataFrame:
+    """Weighted without replacement: lowest exponential keys, the law of drawing until fanout are distinct.
+
+    Copies of an edge are positions of their own; simple says that there are none.
+    """
+    met, more = _copies(_meet(weighted.select("dst", "src", "w"), frontier), simple)
+    u = uniform(seed, F.col("batch_key"), layer, F.col("dst"), F.col("src"), *more)
+    return _first(met, -F.ln(u) / F.col("w"), fanout)
 
 
 def neighbours(edges: DataFrame, frontier: DataFrame) -> DataFrame:
@@ -88,17 +122,26 @@ def all_neighbour_frontier(edges: DataFrame, frontier: DataFrame, hops: int) ->
 
 
 def random_walk(adj: DataFrame, frontier: DataFrame, length: int, restart: float, walks: int, seed: int) -> DataFrame:
-    """visits(batch_key, seed_id, walk, step, node_id): uniform steps; a dead end or, after a visit, the restart chance ends a walk."""
+    """visits(batch_key, seed_id, walk, step, node_id): uniform steps; a dead end or, after a visit, the restart chance ends a walk.
+
+    A step joins each walk with one position of a list. Lists with src_deg, the neighbour's own
+    degree, tell the next step's range too; without it the degree is looked up before each step.
+    """
     deg = adj.where("pos = 0").select(F.col("dst").alias("at"), "deg")
-    lists = adj.select(F.col("dst").alias("at"), "pos", "src")
+    known = "src_deg" in adj.columns
+    lists = adj.select(F.col("dst").alias("at"), "pos", "src", *(["src_deg"] if known else []))
     now = frontier.select("batch_key", F.col("node_id").alias("seed_id"), F.explode(F.sequence(F.lit(0), F.lit(walks - 1))).alias("walk"), F.col("node_id").alias("at"))
     visits = None
     for step in range(length):
         keys = (F.col("batch_key"), F.col("seed_id"), F.col("walk"), step)
-        drawn = now.join(deg, "at").withColumn("pos", u32(seed, "step", *keys) % F.col("deg"))
-        here = drawn.join(lists, ["at", "pos"]).select("batch_key", "seed_id", "walk", F.lit(step).alias("step"), F.col("src").alias("node_id"))
-        visits = here if visits is None else visits.unionAll(here)
-        now = here.where(uniform(seed, "stop", *keys) >= restart).select("batch_key", "seed_id", "walk", F.col("node_id").alias("at"))
+        if step == 0 or not known:
+            now = now.join(deg, "at")
+        drawn = now.where("deg > 0").withColumn("pos", u32(seed, "step", *keys) % F.col("deg")).drop("deg")
+        here = drawn.join(lists, ["at", "pos"]).select("batch_key", "seed_id", "walk", F.lit(step).alias("step"), F.col("src").alias("node_id"), *(["src_deg"] if known else []))
+        visit = here.drop("src_deg")
+        visits = visit if visits is None else visits.unionAll(visit)
+        go_on = here.where(uniform(seed, "stop", *keys) >= restart)
+        now = go_on.select("batch_key", "seed_id", "walk", F.col("node_id").alias("at"), *([F.col("src_deg").alias("deg")] if known else []))
     return visits
 
 

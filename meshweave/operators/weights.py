@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,28 +34,50 @@ def prefix_table(weighted: DataFrame) -> DataFrame:
 
 
 def alias_rows(weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Keep-probability of each slot and the slot taken otherwise."""
-    n = len(weights)
-    scaled = np.asarray(weights, np.float64) * (n / weights.sum())
+    """Keep-probability of each slot and the slot taken otherwise, for one small list; see alias_table."""
+    n, total = len(weights), float(np.sum(weights))
+    spare = np.asarray(weights, np.float64) * n - total
+    light, heavy = np.flatnonzero(spare < 0), np.flatnonzero(spare >= 0)
     keep, other = np.ones(n), np.arange(n)
-    poor, rich = [i for i in range(n) if scaled[i] < 1], [i for i in range(n) if scaled[i] >= 1]
-    while poor and rich:
-        p, r = poor.pop(), rich[-1]
-        keep[p], other[p] = scaled[p], r
-        scaled[r] -= 1 - scaled[p]
-        if scaled[r] < 1:
-            poor.append(rich.pop())
+    need, give = np.cumsum(-spare[light]), np.cumsum(spare[heavy])
+    by = np.searchsorted(give, np.concatenate(([0.0], need))[:-1], side="right")
+    served = by < len(heavy)
+    keep[light[served]] = (spare[light[served]] + total) / total
+    other[light[served]] = heavy[by[served]]
+    after = np.searchsorted(need, give, side="left")
+    for j in range(len(heavy) - 1):
+        if after[j] < len(light) and need[after[j]] > give[j]:
+            keep[heavy[j]], other[heavy[j]] = 1 + (give[j] - need[after[j]]) / total, heavy[j + 1]
     return keep, other
 
 
 def alias_table(adj: DataFrame) -> DataFrame:
-    """adj(dst, pos, src, w, deg) with prob and alias (a node): one pass over each node's list."""
-
-    def run(key, t):
-        t = t.sort_by("pos")
-        keep, other = alias_rows(t.column("w").to_numpy())
-        src = t.column("src").combine_chunks()
-        return t.append_column("prob", pa.array(keep)).append_column("alias", src.take(pa.array(other)))
+    """adj(dst, pos, src, w, deg) with prob and alias (a node), from running sums alone.
 
+    With spare = n * w - sum(w), light slots (spare < 0) are filled in list order by heavy ones in list
+    order. A light slot takes the first heavy one whose running spare passes the running need before
+    it. A heavy slot that has given more than it had is filled by the next heavy one. Both are
+    found by sorting the two running sums of a list into each other; nothing is held per list.
+    """
     rows = adj.select("dst", "pos", "src", F.col("w").cast("double").alias("w"), "deg")
-    return rows.groupBy("dst").applyInArrow(run, "dst long, pos long, src long, w double, deg long, prob double, alias long")
+    own = Window.partitionBy("dst")
+    upto = own.orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    whole = own.orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = rows.withColumn("total", F.sum("w").over(whole)).withColumn("spare", F.col("w") * F.col("deg") - F.col("total"))
+    light = F.col("spare") < 0
+    rows = rows.withColumn("need", F.sum(F.when(light, -F.col("spare")).otherwise(0.0)).over(upto)).withColumn("give", F.sum(F.when(light, 0.0).otherwise(F.col("spare"))).over(upto))
+    before = F.coalesce(F.last(F.when(light, F.col("need")), ignorenulls=True).over(upto.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    rows = rows.withColumn("before", before)
+    # from the highest sum down: a light slot looks for the last heavy one above `before`, a heavy one for the last need not below `give`
+    rows = rows.withColumn("heavy", (~light).cast("int"))
+    first = own.orderBy(F.when(light, F.col("before")).otherwise(F.col("give")).desc(), "heavy", F.col("pos").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("giver", F.last(F.when(~light, F.col("src")), ignorenulls=True).over(first))
+    second = own.orderBy(F.when(light, F.col("need")).otherwise(F.col("give")).desc(), "heavy", F.col("pos").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("reached", F.last(F.when(light, F.col("need")), ignorenulls=True).over(second))
+    down = own.orderBy(F.col("pos").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("next", F.last(F.when(~light, F.col("src")), ignorenulls=True).over(down))
+    drained = ~light & (F.col("reached") > F.col("give")) & F.col("next").isNotNull()
+    served = light & F.col("giver").isNotNull()
+    prob = F.when(served, (F.col("spare") + F.col("total")) / F.col("total")).when(drained, F.lit(1.0) + (F.col("give") - F.col("reached")) / F.col("total")).otherwise(1.0)
+    alias = F.when(served, F.col("giver")).when(drained, F.col("next")).otherwise(F.col("src"))
+    return rows.select("dst", "pos", "src", "w", "deg", prob.alias("prob"), alias.alias("alias"))
