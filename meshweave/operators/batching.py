@@ -39,6 +39,6 @@ def sampler_worker(step: Column, steps: int, workers: int) -> Column:
     return F.least(F.floor(step / each).cast("long"), F.lit(workers - 1))
 
 
-def needed_steps(worker: int, steps: int, workers: int) -> int:
-    """Steps of one round-robin worker when all workers run equally many."""
+def needed_steps(steps: int, workers: int) -> int:
+    """Steps of every round-robin worker when all run equally many."""
     return -(-steps // workers)

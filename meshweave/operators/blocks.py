@@ -27,9 +27,12 @@ class SampleResult:
         return self.id_map.where("reached = 0").select("batch_key", "node_id", "local_id")
 
     def sizes(self) -> DataFrame:
-        """Per batch and layer: edges, destination nodes, source nodes (all known so far)."""
+        """(batch_key, layer, num_edge, num_dst, num_src): a layer's edges, the nodes it was sampled for and all nodes known after it."""
         edges = self.blocks.groupBy("batch_key", "layer").agg(F.count("*").alias("num_edge"))
-        return edges
+        met = self.id_map.groupBy("batch_key", "reached").agg(F.count("*").alias("n"))
+        both = edges.join(met, "batch_key").where(F.col("reached") <= F.col("layer") + 1)
+        before = F.when(F.col("reached") <= F.col("layer"), F.col("n")).otherwise(F.lit(0).cast("long"))
+        return both.groupBy("batch_key", "layer", "num_edge").agg(F.sum(before).alias("num_dst"), F.sum("n").alias("num_src"))
 
 
 def sample_layers(frontier: DataFrame, hops: list[Callable[[DataFrame, int], DataFrame]], write_layers: bool = True) -> tuple[DataFrame, DataFrame]:

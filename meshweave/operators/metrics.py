@@ -32,6 +32,27 @@ def step_report(log: DataFrame, items: list[str]) -> DataFrame:
     return wide.select("key", F.concat_ws(" | ", *[F.format_string(f"{i} %.4f", F.coalesce(F.col(i), F.lit(0.0))) for i in items]).alias("line"))
 
 
+def level_report(log: DataFrame, layout: dict[int, list[str]], level: int, average: bool = False) -> DataFrame:
+    """(key, level, line): for each level up to the given one, a line of its items; items without a value are 0.
+
+    average: one row per level with key null, each item's mean over its keys without the first.
+    """
+    items = [i for k in sorted(layout) if k <= level for i in layout[k]]
+    if average:
+        once = mean_after_first(log.where(F.col("item").isin(items))).withColumn("key", F.lit(None).cast("long"))
+        wide = once.groupBy("key").pivot("item", items).agg(F.first("mean"))
+    else:
+        wide = log.groupBy("key").pivot("item", items).agg(F.sum("val"))
+    show = lambda names: F.concat_ws(" | ", *[F.format_string(f"{i} %.4f", F.coalesce(F.col(f"`{i}`"), F.lit(0.0))) for i in names])
+    lines = [F.struct(F.lit(k).alias("level"), F.concat(F.lit(f"L{k} "), show(layout[k])).alias("line")) for k in sorted(layout) if k <= level]
+    return wide.select("key", F.explode(F.array(*lines)).alias("l")).select("key", "l.level", "l.line") if lines else wide.limit(0).select("key", F.lit(0).alias("level"), F.lit("").alias("line"))
+
+
+def count_pivot(rows: DataFrame, row: str, column: str, names: list) -> DataFrame:
+    """Rows of each `row` by value of `column`; the names are given, so no job is spent on finding them."""
+    return rows.groupBy(row).pivot(column, names).count()
+
+
 def pivot_results(runs: DataFrame, row: str, column: str, names: list[str], value: str = "val") -> DataFrame:
     """One row per `row`, one column per name; the names are given, so no job is spent on finding them."""
     return runs.groupBy(row).pivot(column, names).agg(F.first(value, ignorenulls=True))

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..operators import access, batching, blocks, build, cache, gather, sampling, weights
 from ..sources.market import Graph
+from .run_log import RunLog
 from .storage import materialise
 
 #: Names that existing settings use.
@@ -68,8 +69,8 @@ class SamplerConfig:
         return cls(**{k: kinds[k](v) for k, v in plain.items() if k in kinds})
 
 
-class Sampler:
-    """One graph under one configuration. DataFrames hold all batches at once, told apart by batch_key."""
+class Sampler(RunLog):
+    """One graph under one configuration, with the log of its run. DataFrames hold all batches at once, told apart by batch_key."""
 
     def __init__(self, graph: Graph, config: SamplerConfig):
         self.graph, self.config = graph, config
@@ -80,7 +81,12 @@ class Sampler:
 
     @cached_property
     def degrees(self) -> DataFrame:
-        return build.degrees(self.graph.nodes, self.graph.edges)
+        return self.graph.degrees if self.graph.degrees is not None else build.degrees(self.graph.nodes, self.graph.edges)
+
+    @cached_property
+    def lists(self) -> DataFrame:
+        """The graph's lists with places, written once where the graph does not bring them."""
+        return self.graph.lists if self.graph.lists is not None else materialise(build.with_positions(self.graph.edges), "lists")
 
     def num_epoch(self) -> int:
         return self.config.num_epoch
@@ -102,10 +108,8 @@ class Sampler:
     def _adjacency(self) -> DataFrame:
         """What the sample type reads of each list, written once for all layers."""
         kind, edges = self.config.sample_type, self.graph.edges
-        if kind in ("khop0", "khop2"):
-            return edges
-        if kind in ("khop1", "random_walk"):
-            return materialise(build.with_positions(edges), "lists")
+        if kind in ("khop0", "khop1", "khop2", "random_walk"):
+            return self.lists
         weighted = weights.edge_weights(edges, self.degrees, self.config.weight_policy, self.config.seed)
         if kind == "weighted_khop":
             return materialise(weights.alias_table(weights.prefix_table(weighted)), "alias")
@@ -117,7 +121,7 @@ class Sampler:
         if c.sample_type == "random_walk":
             return sampling.visit_topk(sampling.random_walk(adj, frontier, c.random_walk_length, c.random_walk_restart_prob, c.num_random_walk, c.seed + layer), fanout)
         draw = {
-            "khop0": sampling.khop, "khop1": sampling.khop_replace, "khop2": sampling.khop, "weighted_khop": sampling.khop_alias,
+            "khop0": sampling.khop_places, "khop1": sampling.khop_replace, "khop2": sampling.khop_places, "weighted_khop": sampling.khop_alias,
             "weighted_khop_prefix": sampling.khop_prefix, "weighted_khop_hash_dedup": sampling.khop_weighted,
         }[c.sample_type]
         return draw(adj, frontier, fanout, c.seed, layer)
@@ -158,8 +162,7 @@ class Sampler:
 
             visits = cache.expected_visits(g.edges, self.degrees, self.train_set)
             rows = g.nodes.select("node_id").join(visits, "node_id", "left").withColumn("v", F.round(F.coalesce("visits", F.lit(0.0)), 9))
-            place = {"__b": F.floor(F.col("v")), "__v": F.col("v"), "__k": F.floor(F.col("node_id") / 65536)}
-            return global_rank(rows, [F.col("node_id").desc()], place, [F.col("__b").desc(), F.col("__v").desc(), F.col("__k").desc()]).select("node_id", "rank")
+            return global_rank(rows, [F.col("v").desc(), F.col("node_id").desc()]).select("node_id", "rank")
         if c.cache_policy == "random":
             return cache.rank_random(g.nodes, c.seed)
         raise ValueError("a dynamic cache has no ranking: see dynamic_hits")
@@ -178,6 +181,15 @@ class Sampler:
             return gather.dynamic_hits(result.inputs(), near)
         return gather.hit_rate(gather.cache_split(result.inputs(), self.cached(), int(self.graph.num_nodes * self.config.cache_percentage)))
 
+    def dynamic_features(self, result: blocks.SampleResult) -> DataFrame:
+        """Inputs' features with is_hit under a dynamic cache: what the batch before prefetched is a hit."""
+        near = blocks.prefetch_set(self.graph.edges, result.id_map.where(F.col("reached") < len(self.config.fanout)))
+        return gather.dynamic_gather(self.graph.nodes, result.inputs(), near, "feat")
+
+    def block_sizes(self, result: blocks.SampleResult) -> DataFrame:
+        """(batch_key, layer, num_edge, num_dst, num_src) of each block."""
+        return result.sizes()
+
     def access_log(self, result: blocks.SampleResult) -> DataFrame:
         """access(batch_key, epoch, step, node_id) of the batches' inputs."""
         steps = self.steps_per_epoch
