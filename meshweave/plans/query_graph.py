@@ -7,61 +7,81 @@ from pyspark.sql import functions as F
 from ..functions import scalar
 from ..functions.rand import u32
 from ..operators import analytics, build, checks
-from ..sources import files, market
+from ..sources import dataset, files, market
 from .declare import query
 from .sql import md5, with_
 from .sql import u32 as sql_u32
 from .storage import materialise, shared_root
 
-META = ["NUM_NODE\t3600", "NUM_EDGE 222244", "FEAT_DIM 64", "NUM_CLASS 10", "NUM_TRAIN_SET 200", "NUM_TEST_SET 200", "NUM_VALID_SET 200", "NOTE"]
+def _folder(spark, what: str) -> str:
+    """A new folder for a query that writes files and reads them back."""
+    import uuid
+
+    return f"{shared_root(spark)}/{what}-{uuid.uuid4().hex}"
 
 
 def _degrees(spark, sf_dir):
     g = market.market(spark, sf_dir)
-    return g, build.degrees(g.nodes, g.edges)
+    return g, g.degrees
 
 
-@query("SELECT * FROM (VALUES ('NUM_NODE', 3600::BIGINT), ('NUM_EDGE', 222244), ('FEAT_DIM', 64), ('NUM_CLASS', 10), ('NUM_TRAIN_SET', 200), ('NUM_TEST_SET', 200), ('NUM_VALID_SET', 200)) t(key, value)")
+@query(with_(["size", "edges", "train", "nodes"], """SELECT unnest(['NUM_NODE', 'NUM_EDGE', 'FEAT_DIM', 'NUM_CLASS', 'NUM_TRAIN_SET', 'NUM_TEST_SET', 'NUM_VALID_SET']) AS key,
+ unnest([(SELECT CAST(p + s + c AS BIGINT) FROM size), (SELECT count(*) FROM edges), 64, (SELECT max(label) + 1 FROM nodes), (SELECT count(*) FROM train), (SELECT count(*) FROM part WHERE p_partkey % 10 = 2), (SELECT count(*) FROM part WHERE p_partkey % 10 = 1)]) AS value"""))
 def a1_meta(spark, sf_dir):
-    return files.parse_meta(spark.createDataFrame([(x,) for x in META], "value string"))
+    """The metadata file of a dataset folder, written from the market graph and read as text."""
+    folder = _folder(spark, "meta")
+    files.write_meta(spark, dataset.metadata(market.market(spark, sf_dir)), f"{folder}/meta.txt")
+    return files.parse_meta(spark.read.text(f"{folder}/meta.txt"))
 
 
 @query(with_(["edges"], "SELECT src, dst FROM edges"))
 def a2_binary_roundtrip(spark, sf_dir):
-    """Edges written as packed pairs and read back by the array source."""
-    import uuid
+    """Edges written as an array of interleaved pairs and read back in byte ranges."""
+    g, folder = market.market(spark, sf_dir), _folder(spark, "coo")
+    files.write_array(build.edge_places(g.lists).select("at", F.array("src", "dst").alias("pair")), f"{folder}/coo.bin", "u32", "at", "pair")
+    return files.read_coo(spark, f"{folder}/coo.bin", split=1 << 20)
 
-    edges = market.market(spark, sf_dir).edges.select("src", "dst")
-    packed = edges.repartition(4).mapInArrow(_pack_pairs, "part long, content binary")
-    path = f"{shared_root(spark)}/coo-{uuid.uuid4().hex}"
-    packed.write.parquet(path)
-    return spark.read.parquet(path).mapInArrow(_unpack_pairs, "src long, dst long")
 
+@query(with_(["nodes", "edges", "train"], "SELECT (SELECT count(*) FROM nodes) num_node, (SELECT count(*) FROM edges) num_edge, (SELECT count(*) FROM train) num_train, (SELECT count(DISTINCT label) FROM nodes) num_class"))
+def a3_load_graph(spark, sf_dir):
+    """Counts of a dataset folder that was written from the market graph and opened again."""
+    folder = _folder(spark, "dataset")
+    dataset.write_graph(market.market(spark, sf_dir), folder)
+    g = dataset.load_graph(spark, folder).graph
+    nodes = g.nodes.agg(F.count("*").alias("num_node"), F.countDistinct("label").alias("num_class"))
+    return nodes.crossJoin(g.edges.agg(F.count("*").alias("num_edge"))).crossJoin(market.train_set(g).agg(F.count("*").alias("num_train")))
 
-def _pack_pairs(batches):
-    import numpy as np
-    import pyarrow as pa
 
-    for b in batches:
-        pairs = np.stack([b.column(0).to_numpy(), b.column(1).to_numpy()], 1).astype("<u4")
-        yield pa.RecordBatch.from_arrays([pa.array([0], pa.int64()), pa.array([pairs.tobytes()], pa.binary())], names=["part", "content"])
+@query(with_(["edges", "deg", "nodes"], "SELECT src, dst, b.in_degree dst_degree, a.out_degree src_degree, n.label dst_label, round(CAST(n.feat[64] AS DOUBLE), 6) dst_feat FROM edges JOIN deg a ON a.node_id = src JOIN deg b ON b.node_id = dst JOIN nodes n ON n.node_id = dst"))
+def a4_dataset_folder(spark, sf_dir):
+    """Every edge of a dataset folder opened from its 64-bit arrays, with degrees, labels and features from their files."""
+    folder, g = _folder(spark, "dataset"), market.market(spark, sf_dir)
+    dataset.write_graph(g, folder, degrees=g.degrees, wide=True)
+    d = dataset.load_graph(spark, folder, wide=True)
+    out = d.degrees.select(F.col("node_id").alias("src"), F.col("out_degree").alias("src_degree"))
+    ins = d.degrees.select(F.col("node_id").alias("dst"), F.col("in_degree").alias("dst_degree"))
+    about = d.graph.nodes.select(F.col("node_id").alias("dst"), F.col("label").alias("dst_label"), F.round(F.element_at("feat", -1).cast("double"), 6).alias("dst_feat"))
+    return d.graph.edges.join(out, "src").join(ins, "dst").join(about, "dst")
 
 
-def _unpack_pairs(batches):
-    import numpy as np
-    import pyarrow as pa
+@query(with_(["deg"], "SELECT node_id, row_number() OVER (ORDER BY out_degree DESC, node_id DESC) - 1 AS rank FROM deg"))
+def a16_ranking_file(spark, sf_dir):
+    """A ranking written as an array of nodes and read back with a dataset folder."""
+    from ..operators import cache
 
-    for b in batches:
-        for c in b.column(1):
-            a = np.frombuffer(c.as_py(), "<u4").astype(np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(a[:, 0]), pa.array(a[:, 1])], names=["src", "dst"])
+    folder, g = _folder(spark, "dataset"), market.market(spark, sf_dir)
+    dataset.write_graph(g, folder, {"degree": cache.rank_degree(g.degrees)})
+    return dataset.load_graph(spark, folder).rankings["degree"].select("node_id", "rank")
 
 
-@query(with_(["nodes", "edges", "train"], "SELECT (SELECT count(*) FROM nodes) num_node, (SELECT count(*) FROM edges) num_edge, (SELECT count(*) FROM train) num_train, (SELECT count(DISTINCT label) FROM nodes) num_class"))
-def a3_load_graph(spark, sf_dir):
-    g = market.market(spark, sf_dir)
-    nodes = g.nodes.agg(F.count("*").alias("num_node"), F.countDistinct("label").alias("num_class"))
-    return nodes.crossJoin(g.edges.agg(F.count("*").alias("num_edge"))).crossJoin(market.train_set(g).agg(F.count("*").alias("num_train")))
+@query(with_(["edges"], "SELECT count(*) num_edge, (SELECT count(*) FROM (SELECT DISTINCT dst FROM edges)) num_list, true AS fits FROM edges"))
+def b11_offsets(spark, sf_dir):
+    """The written offsets start at 0, never fall and end at the number of edges."""
+    folder, g = _folder(spark, "csc"), market.market(spark, sf_dir)
+    files.write_csc(g.edges, g.num_nodes, folder)
+    indptr = files.read_array(spark, f"{folder}/indptr.bin", "u32", g.num_nodes + 1)
+    lists = dataset.list_places(indptr, g.num_nodes).agg(F.count("*").alias("num_edge"), F.countDistinct("dst").alias("num_list"))
+    return checks.offsets_fit(indptr, g.num_nodes, g.edges.count()).crossJoin(lists).select("num_edge", "num_list", "fits")
 
 
 @query(with_(["edges"], "SELECT dst AS dst, array_to_string(list_sort(list(src)), ',') neighbours FROM edges GROUP BY 1"))
@@ -72,9 +92,7 @@ def a6_adjacency(spark, sf_dir):
 @query(with_(["edges"], "SELECT src, dst FROM edges"))
 def a9_edge_text(spark, sf_dir):
     """Edges written as text lines and read back by the text source."""
-    import uuid
-
-    path = f"{shared_root(spark)}/edges-{uuid.uuid4().hex}"
+    path = _folder(spark, "edges")
     market.market(spark, sf_dir).edges.select(F.concat_ws(" ", "src", "dst").alias("value")).write.text(path)
     return files.read_edge_text(spark, path)
 
@@ -101,7 +119,8 @@ def a23_mock_features(spark, sf_dir):
 
 @query(with_(["edges"], "SELECT src, dst FROM edges"))
 def b1_symmetrise(spark, sf_dir):
-    return market.market(spark, sf_dir).edges.select("src", "dst")
+    pairs = market.market_pairs(spark, sf_dir)[0]
+    return build.symmetrise(pairs.select(F.col("a").alias("src"), F.col("b").alias("dst")))
 
 
 @query(with_(["trail"], "SELECT dst AS src, src AS dst FROM trail"))
@@ -125,9 +144,9 @@ def b5_collapse(spark, sf_dir):
     return build.collapse(items.select(F.col("l_partkey").cast("long").alias("src"), F.col("l_suppkey").cast("long").alias("dst")))
 
 
-@query("WITH used AS (SELECT DISTINCT l_orderkey id FROM lineitem WHERE l_quantity > 25 UNION SELECT DISTINCT l_partkey + 10000000 FROM lineitem WHERE l_quantity > 25), d AS (SELECT id, row_number() OVER (ORDER BY id) - 1 n FROM used) SELECT a.n src, b.n dst FROM lineitem JOIN d a ON a.id = l_orderkey JOIN d b ON b.id = l_partkey + 10000000 WHERE l_quantity > 25")
+@query("WITH used AS (SELECT DISTINCT l_orderkey id FROM lineitem UNION SELECT DISTINCT l_partkey + 10000000 FROM lineitem), d AS (SELECT id, row_number() OVER (ORDER BY id) - 1 n FROM used) SELECT a.n src, b.n dst FROM lineitem JOIN d a ON a.id = l_orderkey JOIN d b ON b.id = l_partkey + 10000000")
 def b6_compact_ids(spark, sf_dir):
-    items = market.read(spark, sf_dir, "lineitem").where("l_quantity > 25")
+    items = market.read(spark, sf_dir, "lineitem")
     edges = items.select(F.col("l_orderkey").cast("long").alias("src"), (F.col("l_partkey").cast("long") + 10_000_000).alias("dst"))
     ids = edges.select(F.explode(F.array("src", "dst")).alias("old_id"))
     return build.remap(edges, build.id_dictionary(ids))
@@ -213,7 +232,8 @@ def b20_induced_rows(spark, sf_dir):
 
 @query(with_(["deg"], "SELECT node_id, in_degree, out_degree FROM deg"))
 def g1_degrees(spark, sf_dir):
-    return _degrees(spark, sf_dir)[1]
+    g = market.market(spark, sf_dir)
+    return build.degrees(g.nodes, g.edges)
 
 
 @query(with_(["deg"], """SELECT degree, num_node, round(num_node * 100.0::DOUBLE / sum(num_node) OVER (), 6) node_pct, round(sum(num_node) OVER w * 100.0::DOUBLE / sum(num_node) OVER (), 6) cum_node_pct,
@@ -239,41 +259,54 @@ def g5_size_estimates(spark, sf_dir):
     return analytics.size_estimates(g.num_nodes, g.edges.count(), 64, spark)
 
 
-@query(with_(["trail"], """SELECT hop, CAST(sum(n) OVER (ORDER BY hop) AS BIGINT) num_node, round(sum(n) OVER (ORDER BY hop) * 100.0::DOUBLE / (SELECT count(*) FROM events), 6) node_pct FROM (SELECT hop, count(*) n FROM walk GROUP BY 1)""",
-             walk="SELECT event_id id, 0 hop FROM events WHERE event_id % 50 = 0 UNION SELECT src, hop + 1 FROM walk JOIN trail ON dst = id WHERE hop < 4").replace("FROM walk GROUP BY 1", "FROM (SELECT id, min(hop) hop FROM walk GROUP BY 1) GROUP BY 1"))
-def g6_reach(spark, sf_dir):
-    g = market.trail(spark, sf_dir)
-    seeds = g.nodes.where("node_id % 50 = 0")
-    return analytics.reach_sizes(analytics.reach_by_hop(g.edges, seeds, 4), g.num_nodes)
+#: Far more hops than the market graph is wide, so that SQL comes to the fixpoint too.
+FAR = 12
 
 
-@query()
-def g6_reach_whole(spark, sf_dir):
-    """From the training set of the market graph to the fixpoint; g6_reach compares four hops of some seeds."""
+@query(with_(["edges", "train", "size"], """SELECT hop, CAST(sum(n) OVER (ORDER BY hop) AS BIGINT) num_node, round(sum(n) OVER (ORDER BY hop) * 100.0::DOUBLE / (SELECT p + s + c FROM size), 6) node_pct FROM (SELECT hop, count(*) n FROM (SELECT id, min(hop) hop FROM walk GROUP BY 1) GROUP BY 1)""",
+             walk=f"SELECT node_id id, 0 hop FROM train UNION SELECT src, hop + 1 FROM walk JOIN edges ON dst = id WHERE hop < {FAR}"))
+def g6_reach(spark, sf_dir):
+    """From the training set of the market graph to the fixpoint."""
     g = market.market(spark, sf_dir)
     return analytics.reach_sizes(analytics.reach_by_hop(g.edges, market.train_set(g)), g.num_nodes)
 
 
+g6_reach_whole = g6_reach
+
+
+@query(with_(["edges", "train", "size"], """SELECT hop, CAST(sum(n) OVER (ORDER BY hop) AS BIGINT) num_node, round(sum(n) OVER (ORDER BY hop) * 100.0::DOUBLE / (SELECT p + s + c FROM size), 6) node_pct FROM (SELECT hop, count(*) n FROM (SELECT id, min(hop) hop FROM walk GROUP BY 1) GROUP BY 1)""",
+             few="SELECT node_id FROM train QUALIFY row_number() OVER (ORDER BY node_id) <= (SELECT count(*) // 8 FROM train)",
+             walk=f"SELECT node_id id, 0 hop FROM few UNION SELECT src, hop + 1 FROM walk JOIN edges ON dst = id WHERE hop < {FAR}"))
+def g6_reach_of_a_part(spark, sf_dir):
+    """From the part of the training set that one of eight trainers has."""
+    g = market.market(spark, sf_dir)
+    part = analytics.first_part(market.train_set(g).withColumn("pos", F.col("node_id")), 8)
+    return analytics.reach_sizes(analytics.reach_by_hop(g.edges, part), g.num_nodes)
+
+
 @query("""WITH x AS (SELECT CAST(p_partkey AS BIGINT) k, CAST(p_partkey AS BIGINT) * p_partkey * 37 b FROM part)
- SELECT k, CASE WHEN b > 1073741824 THEN printf('%.2f GB', b / 1073741824.0::DOUBLE) WHEN b > 1048576 THEN printf('%.2f MB', b / 1048576.0::DOUBLE) WHEN b > 1024 THEN printf('%.2f KB', b / 1024.0::DOUBLE) ELSE printf('%.2f Bytes', b::DOUBLE) END readable,
+ SELECT k, CASE WHEN b * 4096 > 1099511627776 THEN printf('%.2f TB', b * 4096 / 1099511627776.0::DOUBLE) WHEN b * 4096 > 1073741824 THEN printf('%.2f GB', b * 4096 / 1073741824.0::DOUBLE) WHEN b * 4096 > 1048576 THEN printf('%.2f MB', b * 4096 / 1048576.0::DOUBLE) WHEN b * 4096 > 1024 THEN printf('%.2f KB', b * 4096 / 1024.0::DOUBLE) ELSE printf('%.2f Bytes', (b * 4096)::DOUBLE) END with_tb,
+ (k * 4611686018427 + 6) // 7 up_div_large, CASE WHEN b > 1073741824 THEN printf('%.2f GB', b / 1073741824.0::DOUBLE) WHEN b > 1048576 THEN printf('%.2f MB', b / 1048576.0::DOUBLE) WHEN b > 1024 THEN printf('%.2f KB', b / 1024.0::DOUBLE) ELSE printf('%.2f Bytes', b::DOUBLE) END readable,
  printf('%.2f %%', (k % 1000) / 1000.0::DOUBLE * 100) pct, (k + 6) // 7 up_div, (k + 6) // 7 * 7 up, k // 10 * 10 + k % 10 batch_key, k // 10 epoch, k % 10 step, (k << 32) | (k % 100) packed, k | 1073741824 flagged, k & 255 masked, k * 64 * 4 tensor_bytes FROM x""")
 def m1_scalars(spark, sf_dir):
     k, b = F.col("k"), F.col("b")
     x = market.read(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("k")).withColumn("b", k * k * 37)
     epoch, step = scalar.decode_key(k, F.lit(10))
     return x.select(
-        "k", scalar.readable_bytes(b).alias("readable"), scalar.percentage((k % 1000) / F.lit(1000.0)).alias("pct"), scalar.round_up_div(k, F.lit(7)).alias("up_div"), scalar.round_up(k, F.lit(7)).alias("up"),
+        "k", scalar.readable_bytes_to_tb(b * 4096).alias("with_tb"), scalar.round_up_div(k * 4611686018427, F.lit(7)).alias("up_div_large"), scalar.readable_bytes(b).alias("readable"), scalar.percentage((k % 1000) / F.lit(1000.0)).alias("pct"), scalar.round_up_div(k, F.lit(7)).alias("up_div"), scalar.round_up(k, F.lit(7)).alias("up"),
         scalar.encode_key(epoch, step, F.lit(10)).alias("batch_key"), epoch.alias("epoch"), step.alias("step"), scalar.pack_pair(k, k % 100).alias("packed"),
         k.bitwiseOR(F.lit(0x40000000)).alias("flagged"), k.bitwiseAND(F.lit(255)).alias("masked"), scalar.tensor_bytes(F.lit("f32"), F.array(k, F.lit(64).cast("long"))).alias("tensor_bytes"),
     )
 
 
-@query("SELECT * FROM (VALUES ('cuda:0', 'cuda', 0::BIGINT, '5,10,15', 30), ('cpu', 'cpu', 0, '25,10', 35), ('cuda:3', 'cuda', 3, '5', 5)) t(device, kind, num, fanout, total)")
+@query("""SELECT p_partkey k, CASE WHEN p_partkey % 3 = 0 THEN 'cpu' ELSE 'cuda' END kind, CASE WHEN p_partkey % 3 = 0 THEN 0 ELSE CAST(p_size AS BIGINT) END num, p_size || ',' || (p_partkey % 11) || ',15' fanout, CAST(p_size + p_partkey % 11 + 15 AS INTEGER) total FROM part""")
 def m8_parsing(spark, sf_dir):
-    rows = spark.createDataFrame([("cuda:0", "5 10 15"), ("cpu", " 25 10"), ("cuda:3", "5")], "device string, text string")
+    part, k = market.read(spark, sf_dir, "part"), F.col("p_partkey")
+    device = F.when(k % 3 == 0, "cpu").otherwise(F.concat(F.lit("cuda:"), F.col("p_size").cast("string")))
+    rows = part.select(k.alias("k"), device.alias("device"), F.concat(F.lit(" "), F.col("p_size"), F.lit("  "), k % 11, F.lit(" 15")).alias("text"))
     kind, num = scalar.parse_device(F.col("device"))
     fanout = scalar.parse_fanout(F.col("text"))
-    return rows.select("device", kind.alias("kind"), num.alias("num"), F.array_join(fanout.cast("array<string>"), ",").alias("fanout"), F.aggregate(fanout, F.lit(0), lambda a, x: a + x).alias("total"))
+    return rows.select("k", kind.alias("kind"), num.alias("num"), F.array_join(fanout.cast("array<string>"), ",").alias("fanout"), F.aggregate(fanout, F.lit(0), lambda a, x: a + x).alias("total"))
 
 
 @query("SELECT event_id, strftime(ts, '%Y%m%dT%H%M%S') stamp FROM events")

@@ -2,20 +2,29 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import access, batching, cache, gather, metrics
 from ..sources import market
 from .declare import query
 from .sql import with_
+from .storage import shared_root
+
+#: Runs made of line items: flags as applications, states as datasets, the number of lines as policies.
+RUN_SQL = "(SELECT l_returnflag || l_linestatus || l_linenumber run_id, l_returnflag app, l_linestatus AS dataset, 'policy' || l_linenumber AS policy, round(sum(l_quantity), 2) val FROM lineitem GROUP BY ALL) runs"
+POLICIES = [f"policy{n}" for n in range(1, 8)]
+
 
-RUNS = [("r0", "gcn", "pa", "degree", 0.5), ("r1", "gcn", "pa", "presample", 0.9), ("r2", "sage", "pa", "degree", 0.4), ("r3", "sage", "tw", "presample", 0.7), ("r4", "gcn", "tw", "degree", 0.6)]
-RUN_SQL = "(VALUES ('r0', 'gcn', 'pa', 'degree', 0.5::DOUBLE), ('r1', 'gcn', 'pa', 'presample', 0.9), ('r2', 'sage', 'pa', 'degree', 0.4), ('r3', 'sage', 'tw', 'presample', 0.7), ('r4', 'gcn', 'tw', 'degree', 0.6)) runs(run_id, app, dataset, policy, val)"
 LOG_SQL = "(SELECT CASE event_id % 3 WHEN 0 THEN 'sample' WHEN 1 THEN 'feat_bytes' ELSE 'miss_bytes' END item, event_id // 300 AS key, event_id // 300 // 10 epoch, CASE WHEN event_id % 3 = 1 THEN 100.0::DOUBLE ELSE (event_id % 50) * 1.0::DOUBLE END val FROM events) log"
 
 
-def _runs(spark):
-    return spark.createDataFrame(RUNS, "run_id string, app string, dataset string, policy string, val double")
+def _runs(spark, sf_dir):
+    items = market.read(spark, sf_dir, "lineitem")
+    keys = (F.col("l_returnflag").alias("app"), F.col("l_linestatus").alias("dataset"), F.concat(F.lit("policy"), "l_linenumber").alias("policy"))
+    run = F.concat("l_returnflag", "l_linestatus", "l_linenumber").alias("run_id")
+    return items.groupBy(run, *keys).agg(F.round(F.sum("l_quantity"), 2).alias("val"))
 
 
 def _log(spark, sf_dir):
@@ -125,15 +134,23 @@ def g19_step_report(spark, sf_dir):
     return metrics.step_report(_log(spark, sf_dir), ["sample", "miss_bytes"])
 
 
-@query(f"SELECT app, max(val) FILTER (policy = 'degree' AND dataset = 'pa') AS degree, max(val) FILTER (policy = 'presample' AND dataset = 'pa') AS presample FROM {RUN_SQL} WHERE dataset = 'pa' GROUP BY 1")
+@query(f"SELECT app, {', '.join(f'max(val) FILTER (policy = {chr(39)}{p}{chr(39)}) AS {p}' for p in POLICIES)} FROM {RUN_SQL} WHERE dataset = 'O' GROUP BY 1")
 def g20_result_pivot(spark, sf_dir):
-    return metrics.pivot_results(_runs(spark).where("dataset = 'pa'"), "app", "policy", ["degree", "presample"])
+    return metrics.pivot_results(_runs(spark, sf_dir).where("dataset = 'O'"), "app", "policy", POLICIES)
+
+
+LAYOUT = {1: ["sample"], 2: ["feat_bytes", "miss_bytes"], 3: ["none_such"]}
+
+
+@query(f"SELECT key, unnest([1, 2, 3]) AS level, unnest([printf('L1 sample %.4f', coalesce(sum(val) FILTER (item = 'sample'), 0)), printf('L2 feat_bytes %.4f | miss_bytes %.4f', coalesce(sum(val) FILTER (item = 'feat_bytes'), 0), coalesce(sum(val) FILTER (item = 'miss_bytes'), 0)), 'L3 none_such 0.0000']) AS line FROM {LOG_SQL} GROUP BY 1")
+def g19_level_report(spark, sf_dir):
+    return metrics.level_report(_log(spark, sf_dir), LAYOUT, 3)
 
 
 @query("SELECT event_type, sum(1) FILTER (user_id % 2 = 0)::BIGINT AS even, sum(1) FILTER (user_id % 2 = 1)::BIGINT AS odd FROM events GROUP BY 1")
 def g21_count_pivot(spark, sf_dir):
     e = market.read(spark, sf_dir, "events").select("event_type", F.when(F.col("user_id") % 2 == 0, "even").otherwise("odd").alias("side"))
-    return e.groupBy("event_type").pivot("side", ["even", "odd"]).count()
+    return metrics.count_pivot(e, "event_type", "side", ["even", "odd"])
 
 
 @query("SELECT pct, round(12.085269602419::DOUBLE * 0 + 5120 * 128 * 100.0::DOUBLE / 54228 / nullif(pct, 0), 6) dim, round(5120 * 128 * 100.0::DOUBLE / 54228 / nullif(pct, 0) * 1000 * 4 / 1073741824, 9) copy_gb FROM (SELECT unnest(range(0, 101, 5))::DOUBLE pct)")
@@ -160,16 +177,21 @@ def g25_config_combos(spark, sf_dir):
     return made.select("cache", 10, 30).override("cache", 8, F.col("app") == "sage").df
 
 
-@query(f"SELECT app, dataset, policy, run_id, count(run_id) OVER (PARTITION BY app, dataset, policy) AS matches FROM (VALUES ('gcn', 'pa', 'degree'), ('sage', 'tw', 'presample'), ('gcn', 'uk', 'degree')) d(app, dataset, policy) LEFT JOIN {RUN_SQL} USING (app, dataset, policy)")
+@query(f"SELECT app, dataset, policy, run_id, count(run_id) OVER (PARTITION BY app, dataset, policy) AS matches FROM (SELECT DISTINCT l_returnflag app, l_linestatus AS dataset, 'policy' || (l_linenumber + 3) AS policy FROM lineitem) d LEFT JOIN {RUN_SQL} USING (app, dataset, policy)")
 def e12_match_configs(spark, sf_dir):
-    wanted = spark.createDataFrame([("gcn", "pa", "degree"), ("sage", "tw", "presample"), ("gcn", "uk", "degree")], "app string, dataset string, policy string")
-    return gather.match_runs(wanted, _runs(spark).select("run_id", "app", "dataset", "policy"), ["app", "dataset", "policy"])
+    """Wanted configurations, some of which no run has, with their runs."""
+    items = market.read(spark, sf_dir, "lineitem")
+    wanted = items.select(F.col("l_returnflag").alias("app"), F.col("l_linestatus").alias("dataset"), F.concat(F.lit("policy"), F.col("l_linenumber") + 3).alias("policy")).distinct()
+    return gather.match_runs(wanted, _runs(spark, sf_dir).select("run_id", "app", "dataset", "policy"), ["app", "dataset", "policy"])
 
 
-@query("SELECT * FROM (VALUES (0.1::DOUBLE, 0.5::DOUBLE), (0.25, NULL), (0.30001, 0.9)) t(percent, hit)")
+@query(with_(["freq"], """SELECT p.percent, h.hit FROM (SELECT CAST(p_partkey AS BIGINT) % 400 / 400.0::DOUBLE percent FROM part) p LEFT JOIN (SELECT r / 100.0::DOUBLE percent, round(coalesce((SELECT sum(freq) FROM k WHERE rk < r * n // 100), 0) / t::DOUBLE, 6) hit FROM (SELECT unnest(range(101)) r), (SELECT count(*) n, sum(freq) t FROM freq)) h ON round(h.percent * 10000) = round(p.percent * 10000)""",
+             k="SELECT freq, row_number() OVER (ORDER BY freq DESC, node_id DESC) - 1 rk FROM freq"))
 def e13_curve_lookup(spark, sf_dir):
-    points = spark.createDataFrame([(0.1,), (0.25,), (0.30001,)], "percent double")
-    curve = spark.createDataFrame([(0.1, 0.5), (0.2, 0.8), (0.3, 0.9)], "percent double, hit double")
+    """Places on the hit curve of the events' accesses: only whole percents lie on it."""
+    freq = access.access_counts(_access(spark, sf_dir))
+    curve = access.hit_curve(freq, freq.count()).select((F.col("percent") / 100).alias("percent"), "hit")
+    points = market.read(spark, sf_dir, "part").select(((F.col("p_partkey") % 400) / 400).alias("percent"))
     return gather.curve_lookup(points, curve)
 
 
@@ -183,16 +205,28 @@ def a19_chrome_trace(spark, sf_dir):
     return metrics.chrome_trace(trace, ["click", "purchase"])
 
 
-@query("SELECT * FROM (VALUES ('config', 'app', 'gcn'), ('config', 'path=a', 'b'), ('test_result', 'epoch_time', '0.81')) t(kind, key, val)")
+def _lines(spark, lines):
+    """Lines written as text files and read back."""
+    path = f"{shared_root(spark)}/lines-{uuid.uuid4().hex}"
+    lines.select("value").write.text(path)
+    return spark.read.text(path)
+
+
+@query("SELECT CASE WHEN event_id % 4 = 0 THEN 'test_result' ELSE 'config' END kind, event_type || '=' || user_id AS key, event_id || '' AS val FROM events WHERE event_id % 4 < 2")
 def a20_log_lines(spark, sf_dir):
-    lines = ["config:app=gcn", "noise", "config:path=a=b", "test_result:epoch_time=0.81", " config:x=1"]
-    return metrics.parse_log(spark.createDataFrame([(x,) for x in lines], "value string"))
+    """Log lines of four kinds, of which two are read; a key may hold the sign that ends it."""
+    e, n = market.read(spark, sf_dir, "events"), F.col("event_id")
+    head = F.when(n % 4 == 0, "test_result:").when(n % 4 == 1, "config:").when(n % 4 == 2, " config:").otherwise("noise ")
+    return metrics.parse_log(_lines(spark, e.select(F.concat(head, "event_type", F.lit("="), "user_id", F.lit("="), "event_id").alias("value"))))
 
 
-@query("SELECT * FROM (VALUES (56.55::DOUBLE, 783.71::DOUBLE), (12.0, 1.5)) t(accuracy, seconds)")
+@query("SELECT (event_id % 101)::DOUBLE + 0.5 AS accuracy, event_id * 0.25::DOUBLE AS seconds FROM events WHERE event_id % 3 < 2")
 def a21_accuracy_lines(spark, sf_dir):
-    lines = ["Epoch 3 | Valid Acc: 56.55% | Time Cost: 783.71", "Valid Acc: 12% , Total Time Cost: 1.5", "Test Acc: 3%"]
-    return metrics.parse_accuracy(spark.createDataFrame([(x,) for x in lines], "value string"))
+    """Lines of validation accuracy in two forms, among lines of test accuracy."""
+    e, n = market.read(spark, sf_dir, "events"), F.col("event_id")
+    acc, took = F.concat((n % 101).cast("string"), F.lit(".5%")), F.format_string("%.2f", n * F.lit(0.25))
+    line = F.when(n % 3 == 0, F.concat(F.lit("Epoch 3 | Valid Acc: "), acc, F.lit(" | Time Cost: "), took)).when(n % 3 == 1, F.concat(F.lit("Valid Acc: "), acc, F.lit(" , Total Time Cost: "), took)).otherwise(F.concat(F.lit("Test Acc: "), acc))
+    return metrics.parse_accuracy(_lines(spark, e.select(line.alias("value"))))
 
 
 @query("SELECT date_trunc('hour', ts) AS start, CAST(user_id AS BIGINT) node_id, count(*) freq FROM events GROUP BY 1, 2")
@@ -220,17 +254,13 @@ def n3_repeats_batch_form(spark, sf_dir):
 @query("SELECT user_id AS k, CAST(coalesce(sum(1) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) before_, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) <= 3")
 def h1_prefix_and_topk(spark, sf_dir):
     """Exclusive running counts, compaction and the last three events of each user."""
-    from pyspark.sql import Window
+    e = market.read(spark, sf_dir, "events").select(F.col("user_id").alias("k"), "event_id")
+    return access.prefix_and_last(e, "k", "event_id", 3).select("k", "before_", "event_id")
 
-    w = Window.partitionBy("user_id")
-    e = market.read(spark, sf_dir, "events").select("user_id", "event_id")
-    e = e.withColumn("before_", F.row_number().over(w.orderBy("event_id")).cast("long") - 1).withColumn("last", F.row_number().over(w.orderBy(F.col("event_id").desc())))
-    return e.where("last <= 3").select(F.col("user_id").alias("k"), "before_", "event_id")
 
-
-@query("SELECT * FROM (VALUES (0, 0, 3, 4), (1, 3, 6, 4), (2, 6, 10, 4)) t(worker, first_step, end_step, needed)")
+@query("SELECT CAST(n AS INTEGER) steps, CAST(w AS INTEGER) worker, CAST(w * (n // 3) AS INTEGER) first_step, CAST(CASE WHEN w = 2 THEN n ELSE (w + 1) * (n // 3) END AS INTEGER) end_step, CAST((n + 2) // 3 AS INTEGER) needed FROM (SELECT unnest(range(1, (SELECT count(*) + 1 FROM nation))) n), (SELECT unnest(range(3)) w)")
 def j6_step_shares(spark, sf_dir):
-    rows = [(w, a, z, batching.needed_steps(w, 10, 3)) for w, (a, z) in enumerate(batching.split_steps(10, 3))]
-    return spark.createDataFrame(rows, "worker int, first_step int, end_step int, needed int")
-
-
+    """Shares of three workers of 1, 2, ... steps."""
+    most = market.read(spark, sf_dir, "nation").count()
+    rows = [(n, w, a, z, batching.needed_steps(n, 3)) for n in range(1, most + 1) for w, (a, z) in enumerate(batching.split_steps(n, 3))]
+    return spark.createDataFrame(rows, "steps int, worker int, first_step int, end_step int, needed int")

@@ -9,7 +9,6 @@ from ..operators import batching, blocks, build, cache, gather, layers, sampling
 from ..sources import market
 from .declare import query
 from .sql import BATCH, EPOCHS, SEED, khop, layered, md5, u32, uniform, with_
-from .storage import materialise
 
 TWO = layered("frontier", [10, 5])
 WALKS, STEPS, RESTART, TOP = 4, 3, 0.5, 5
@@ -28,12 +27,12 @@ def frontier(spark, sf_dir):
 def two_layers(spark, sf_dir, every_epoch: bool = False):
     g, b = batches(spark, sf_dir)
     seeds = (b if every_epoch else b.where("epoch = 0")).select("batch_key", "node_id", "pos")
-    hops = [lambda f, layer, n=n: sampling.khop(g.edges, f, n, SEED, layer) for n in (10, 5)]
+    hops = [lambda f, layer, n=n: sampling.khop(g.edges, f, n, SEED, layer, g.simple) for n in (10, 5)]
     return g, b, blocks.sample_blocks(seeds, hops)
 
 
 def _degrees(g):
-    return build.degrees(g.nodes, g.edges)
+    return g.degrees if g.degrees is not None else build.degrees(g.nodes, g.edges)
 
 
 @query(with_(["batches"], "SELECT batch_key, epoch, step, pos, node_id FROM batches"))
@@ -51,20 +50,55 @@ def j5_workers(spark, sf_dir):
 @query(with_(["edges", "frontier"], "SELECT batch_key, dst, src FROM s", s=khop("frontier", 10, 0)))
 def c1_khop_uniform(spark, sf_dir):
     g, f = frontier(spark, sf_dir)
-    return sampling.khop(g.edges, f, 10, SEED)
+    return sampling.khop(g.edges, f, 10, SEED, simple=g.simple)
+
+
+#: Parts and suppliers with one edge for each line item: many edges are there several times.
+MULTI = {
+    "multi": "SELECT CAST(l_suppkey AS BIGINT) src, CAST(l_partkey AS BIGINT) dst FROM lineitem",
+    "places": "SELECT dst, src, row_number() OVER (PARTITION BY dst ORDER BY src) - 1 pos, count(*) OVER (PARTITION BY dst) deg FROM multi",
+    "asked": "SELECT CAST(p_partkey % 7 AS BIGINT) batch_key, CAST(p_partkey AS BIGINT) node_id FROM part",
+}
+
+
+def _multigraph(spark, sf_dir):
+    edges = market.read(spark, sf_dir, "lineitem").select(F.col("l_suppkey").cast("long").alias("src"), F.col("l_partkey").cast("long").alias("dst"))
+    part = F.col("p_partkey").cast("long")
+    return edges, market.read(spark, sf_dir, "part").select((part % 7).alias("batch_key"), part.alias("node_id"))
+
+
+COPY_KEY = f"CASE WHEN copy > 0 THEN {md5(SEED, 'batch_key', 0, 'dst', 'src', 'copy')} ELSE {md5(SEED, 'batch_key', 0, 'dst', 'src')} END"
+
+
+@query(f"WITH {', '.join(f'{k} AS ({v})' for k, v in MULTI.items())}, met AS (SELECT batch_key, dst, src, row_number() OVER (PARTITION BY batch_key, dst, src) - 1 copy FROM multi JOIN asked ON dst = node_id) SELECT batch_key, dst, src FROM (SELECT *, row_number() OVER (PARTITION BY batch_key, dst ORDER BY {COPY_KEY}, src) rn FROM met) WHERE rn <= 8")
+def c1_multigraph(spark, sf_dir):
+    """Copies of an edge are drawn each by itself, without replacement."""
+    edges, asked = _multigraph(spark, sf_dir)
+    return sampling.khop(edges, asked, 8, SEED)
+
+
+@query(f"""WITH {', '.join(f'{k} AS ({v})' for k, v in MULTI.items())}, hubs AS (SELECT a.batch_key, p.dst, p.deg FROM asked a JOIN places p ON p.dst = a.node_id AND p.pos = 0),
+ drawn AS (SELECT batch_key, dst, k, {u32(SEED, 'batch_key', 0, 'dst', 'k')} % (k + 1) t FROM (SELECT batch_key, dst, unnest(range(greatest(deg - 8, 0), deg)) k FROM hubs)),
+ listed AS (SELECT batch_key, dst, list([t, k] ORDER BY k) l FROM drawn GROUP BY 1, 2),
+ taken AS (SELECT batch_key, dst, unnest(list_reduce(l, lambda a, x: list_append(a, CASE WHEN list_contains(a, x[1]) THEN x[2] ELSE x[1] END), CAST([] AS BIGINT[]))) pos FROM listed)
+ SELECT batch_key, dst, src FROM taken JOIN places USING (dst, pos)""")
+def c3_multigraph_places(spark, sf_dir):
+    """The same law by as many draws as neighbours wanted, whatever the degree."""
+    edges, asked = _multigraph(spark, sf_dir)
+    return sampling.khop_places(build.with_positions(edges), asked, 8, SEED)
 
 
 @query(with_(["adj", "frontier"], f"SELECT DISTINCT d.batch_key, d.dst, a.src FROM (SELECT f.batch_key, g.dst, {u32(SEED, 'f.batch_key', 0, 'g.dst', 't')} % g.deg pos FROM frontier f JOIN adj g ON g.dst = f.node_id AND g.pos = 0, (SELECT unnest(range(10)) t)) d JOIN adj a ON a.dst = d.dst AND a.pos = d.pos"))
 def c2_khop_replace(spark, sf_dir):
     g, f = frontier(spark, sf_dir)
-    return sampling.khop_replace(build.with_positions(g.edges), f, 10, SEED)
+    return sampling.khop_replace(g.lists, f, 10, SEED)
 
 
 @query(with_(["edges", "frontier"], "SELECT batch_key, dst, src FROM s", s=khop("frontier", 25, 3)))
 def c3_khop_fisher(spark, sf_dir):
     """A partial Fisher-Yates draw has the law of the uniform sample without replacement."""
     g, f = frontier(spark, sf_dir)
-    return sampling.khop(g.edges, f, 25, SEED, 3)
+    return sampling.khop(g.edges, f, 25, SEED, 3, g.simple)
 
 
 def _alias(g):
@@ -72,7 +106,20 @@ def _alias(g):
     return weights.alias_table(weights.prefix_table(weighted))
 
 
-@query()
+#: Alias tables from running sums: light slots take the first heavy one past their need, spent heavy ones the next.
+ALIAS = {
+    "spare": "SELECT dst, pos, src, w, deg, w * deg - sum(w) OVER o s, sum(w) OVER o total FROM prefixes WINDOW o AS (PARTITION BY dst ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)",
+    "poor": "SELECT dst, pos, s, total, sum(-s) OVER (PARTITION BY dst ORDER BY pos) need, coalesce(sum(-s) OVER (PARTITION BY dst ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS given FROM spare WHERE s < 0",
+    "rich": "SELECT dst, pos, src, total, sum(s) OVER (PARTITION BY dst ORDER BY pos) give, lead(src) OVER (PARTITION BY dst ORDER BY pos) nxt FROM spare WHERE s >= 0",
+    "filled": "SELECT p.dst, p.pos, (p.s + p.total) / p.total prob, r.src alias FROM poor p ASOF JOIN rich r ON p.dst = r.dst AND p.given < r.give",
+    "spent": "SELECT r.dst, r.pos, 1 + (r.give - p.need) / r.total prob, r.nxt alias FROM rich r ASOF JOIN poor p ON p.dst = r.dst AND r.give <= p.need WHERE p.need > r.give AND r.nxt IS NOT NULL",
+    "alias": "SELECT x.dst, x.pos, x.src, x.deg, coalesce(y.prob, 1) prob, coalesce(y.alias, x.src) alias FROM spare x LEFT JOIN (SELECT * FROM filled UNION ALL SELECT * FROM spent) y USING (dst, pos)",
+}
+ALIAS_DRAWS = f"""SELECT f.batch_key, g.dst, {u32(SEED, chr(39) + 'slot' + chr(39), 'f.batch_key', 0, 'g.dst', 't')} % g.deg pos, {uniform(SEED, chr(39) + 'keep' + chr(39), 'f.batch_key', 0, 'g.dst', 't')} u
+ FROM frontier f JOIN alias g ON g.dst = f.node_id AND g.pos = 0, (SELECT unnest(range(10)) t)"""
+
+
+@query(with_(["prefixes", "frontier"], "SELECT DISTINCT d.batch_key, d.dst, CASE WHEN d.u < a.prob THEN a.src ELSE a.alias END src FROM draws d JOIN alias a USING (dst, pos)", **ALIAS, draws=ALIAS_DRAWS))
 def c4_khop_alias(spark, sf_dir):
     g, f = frontier(spark, sf_dir)
     return sampling.khop_alias(_alias(g), f, 10, SEED)
@@ -89,7 +136,7 @@ def c5_khop_prefix(spark, sf_dir):
 @query(with_(["inverse", "frontier"], "SELECT batch_key, dst, src FROM s", s=khop("frontier", 10, 0, "inverse", f"-ln({uniform(SEED, 'f.batch_key', 0, 'e.dst', 'e.src')}) / e.w")))
 def c6_khop_weighted(spark, sf_dir):
     g, f = frontier(spark, sf_dir)
-    return sampling.khop_weighted(weights.edge_weights(g.edges, _degrees(g), "inverse_source_degree"), f, 10, SEED)
+    return sampling.khop_weighted(weights.edge_weights(g.edges, _degrees(g), "inverse_source_degree"), f, 10, SEED, simple=g.simple)
 
 
 def _walk_sql(frontier: str = "frontier", seed: int = SEED, p: str = "", top: str = "top") -> dict[str, str]:
@@ -109,10 +156,10 @@ WALK = _walk_sql()
 
 def _visits(spark, sf_dir):
     g, f = frontier(spark, sf_dir)
-    return g, f, sampling.random_walk(build.with_positions(g.edges), f, STEPS, RESTART, WALKS, SEED)
+    return g, f, sampling.random_walk(g.lists, f, STEPS, RESTART, WALKS, SEED)
 
 
-@query(with_(["adj", "frontier"], "SELECT batch_key, seed_id, walk, step, node_id FROM visits", **WALK))
+@query(with_(["adj", "frontier"], "SELECT batch_key, seed_id, walk, step, node_id FROM visits", **WALK).replace(" AS (", " AS MATERIALIZED ("))
 def c7_random_walk(spark, sf_dir):
     return _visits(spark, sf_dir)[2]
 
@@ -131,17 +178,24 @@ def _walk_blocks_sql() -> dict[str, str]:
 def c20_walk_blocks(spark, sf_dir):
     """Two layers of random-walk neighbours with their visit counts, relabelled."""
     g, f = frontier(spark, sf_dir)
-    lists = materialise(build.with_positions(g.edges), "lists")
-    hop = lambda x, layer: sampling.visit_topk(sampling.random_walk(lists, x, STEPS, RESTART, WALKS, SEED + layer), TOP)
+    hop = lambda x, layer: sampling.visit_topk(sampling.random_walk(g.lists, x, STEPS, RESTART, WALKS, SEED + layer), TOP)
     return blocks.sample_blocks(f, [hop, hop]).blocks
 
 
-@query(with_(["edges", "frontier", "nodes"], "SELECT batch_key, local_id, node_id, round(CAST(feat[64] AS DOUBLE), 6) f_last, CASE WHEN reached = 0 THEN label END AS label FROM ids JOIN nodes USING (node_id)", **TWO))
+#: A sum over all components that tells their places apart.
+MOMENT = "round(list_sum(list_transform(feat, lambda x, i: CAST(x AS DOUBLE) * i)), 6)"
+
+
+def _moment(feat: str):
+    return F.round(F.aggregate(F.transform(feat, lambda x, i: x.cast("double") * (i + 1)), F.lit(0.0), lambda a, x: a + x), 6)
+
+
+@query(with_(["edges", "frontier", "nodes"], f"SELECT batch_key, local_id, node_id, round(CAST(feat[64] AS DOUBLE), 6) f_last, {MOMENT} f_moment, CASE WHEN reached = 0 THEN label END AS label FROM ids JOIN nodes USING (node_id)", **TWO))
 def e4_features_and_labels(spark, sf_dir):
     """A batch's inputs with features, and labels where they are outputs."""
     g, _, r = two_layers(spark, sf_dir)
     got = gather.gather(g.nodes, r.id_map, "feat", "label")
-    return got.select("batch_key", "local_id", "node_id", F.round(F.element_at("feat", -1).cast("double"), 6).alias("f_last"), F.when(F.col("reached") == 0, F.col("label")).alias("label"))
+    return got.select("batch_key", "local_id", "node_id", F.round(F.element_at("feat", -1).cast("double"), 6).alias("f_last"), _moment("feat").alias("f_moment"), F.when(F.col("reached") == 0, F.col("label")).alias("label"))
 
 
 @query(with_(["edges", "frontier"], "SELECT batch_key, dst, src FROM frontier JOIN edges ON dst = node_id"))
@@ -169,7 +223,7 @@ def c11_blocks(spark, sf_dir):
 @query(with_(["edges", "frontier"], "SELECT batch_key, count(*) num_prefetch FROM (SELECT DISTINCT batch_key, src FROM k1 JOIN edges ON dst = node_id) GROUP BY 1", **TWO))
 def c12_prefetch(spark, sf_dir):
     g, f = frontier(spark, sf_dir)
-    _, reached = blocks.sample_layers(f, [lambda x, layer: sampling.khop(g.edges, x, 10, SEED, layer)])
+    _, reached = blocks.sample_layers(f, [lambda x, layer: sampling.khop(g.edges, x, 10, SEED, layer, g.simple)])
     return blocks.prefetch_set(g.edges, reached).groupBy("batch_key").agg(F.count("*").alias("num_prefetch"))
 
 
@@ -217,9 +271,8 @@ def d4_fill_neighbours(spark, sf_dir):
 def d7_map_back(spark, sf_dir):
     """Blocks with local ids turned into global ids again."""
     r = two_layers(spark, sf_dir)[2]
-    a = r.id_map.select("batch_key", F.col("local_id").alias("row"), F.col("node_id").alias("src"))
-    b = r.id_map.select("batch_key", F.col("local_id").alias("col"), F.col("node_id").alias("dst"))
-    return r.blocks.join(a, ["batch_key", "row"]).join(b, ["batch_key", "col"]).select("batch_key", "dst", "src")
+    rows = blocks.to_global(r.blocks.withColumnRenamed("row", "local_id"), r.id_map).select("batch_key", F.col("node_id").alias("src"), F.col("col").alias("local_id"))
+    return blocks.to_global(rows, r.id_map).select("batch_key", F.col("node_id").alias("dst"), "src")
 
 
 @query(with_(["edges", "frontier", "nodes"], "SELECT batch_key, local_id, node_id, round(CAST(feat[1] AS DOUBLE), 6) f0, round(list_sum(list_transform(feat, lambda x: CAST(x AS DOUBLE))), 6) f_sum FROM ids JOIN nodes USING (node_id)", **TWO))
@@ -249,12 +302,12 @@ def e6_cache_split(spark, sf_dir):
     return gather.cache_split(r.inputs().select("batch_key", "node_id"), c, n)
 
 
-@query(with_(["edges", "frontier", "deg", "nodes"], "SELECT batch_key, node_id, cached.cache_pos IS NOT NULL is_hit, round(CAST(feat[2] AS DOUBLE), 6) f1 FROM ids JOIN nodes USING (node_id) LEFT JOIN cached USING (node_id)", **TWO, cached=CACHED))
+@query(with_(["edges", "frontier", "deg", "nodes"], f"SELECT batch_key, node_id, cached.cache_pos IS NOT NULL is_hit, round(CAST(feat[2] AS DOUBLE), 6) f1, {MOMENT} f_moment FROM ids JOIN nodes USING (node_id) LEFT JOIN cached USING (node_id)", **TWO, cached=CACHED))
 def e9_cached_gather(spark, sf_dir):
     g, _, r = two_layers(spark, sf_dir)
     c, n = _cached(g)
     got = gather.cached_gather(g.nodes, c.join(g.nodes.select("node_id", "feat"), "node_id"), r.inputs().select("batch_key", "node_id"), "feat", cached_rows=n)
-    return got.select("batch_key", "node_id", "is_hit", F.round(F.col("feat")[1].cast("double"), 6).alias("f1"))
+    return got.select("batch_key", "node_id", "is_hit", F.round(F.col("feat")[1].cast("double"), 6).alias("f1"), _moment("feat").alias("f_moment"))
 
 
 @query(with_(["edges", "frontier", "deg"], "SELECT count(*) num_input, CAST(count(cache_pos) AS BIGINT) num_hit, round(count(cache_pos) / count(*)::DOUBLE, 6) hit_rate FROM ids LEFT JOIN cached USING (node_id)", **TWO, cached=CACHED))
@@ -267,12 +320,29 @@ def g18_hit_rate(spark, sf_dir):
 @query(with_(["edges", "frontier"], "SELECT i.batch_key, count(*) num_input, count(p.node_id) num_hit FROM ids i LEFT JOIN (SELECT DISTINCT batch_key + 1 batch_key, src node_id FROM k1 JOIN edges ON dst = node_id) p ON p.batch_key = i.batch_key AND p.node_id = i.node_id GROUP BY 1", **TWO))
 def e10_dynamic_hits(spark, sf_dir):
     g, f = frontier(spark, sf_dir)
-    hops = [lambda x, layer, n=n: sampling.khop(g.edges, x, n, SEED, layer) for n in (10, 5)]
+    hops = [lambda x, layer, n=n: sampling.khop(g.edges, x, n, SEED, layer, g.simple) for n in (10, 5)]
     _, first = blocks.sample_layers(f, hops[:1])
     r = blocks.sample_blocks(f, hops)
     return gather.dynamic_hits(r.inputs(), blocks.prefetch_set(g.edges, first))
 
 
+@query(with_(["edges", "frontier", "nodes"], f"SELECT i.batch_key, i.node_id, p.node_id IS NOT NULL is_hit, {MOMENT} f_moment FROM ids i JOIN nodes n ON n.node_id = i.node_id LEFT JOIN (SELECT DISTINCT batch_key + 1 batch_key, src node_id FROM k1 JOIN edges ON dst = node_id) p ON p.batch_key = i.batch_key AND p.node_id = i.node_id", **TWO))
+def e10_dynamic_gather(spark, sf_dir):
+    """Features of a batch's inputs, taken from what the batch before prefetched where that has them."""
+    g, f = frontier(spark, sf_dir)
+    hops = [lambda x, layer, n=n: sampling.khop(g.edges, x, n, SEED, layer, g.simple) for n in (10, 5)]
+    r = blocks.sample_blocks(f, hops)
+    near = blocks.prefetch_set(g.edges, r.id_map.where("reached < 2"))
+    got = gather.dynamic_gather(g.nodes, r.inputs(), near, "feat")
+    return got.select("batch_key", "node_id", "is_hit", _moment("feat").alias("f_moment"))
+
+
+@query(with_(["edges", "frontier"], "SELECT e.batch_key, e.layer, num_edge, (SELECT count(*) FROM ids i WHERE i.batch_key = e.batch_key AND reached <= layer) num_dst, (SELECT count(*) FROM ids i WHERE i.batch_key = e.batch_key AND reached <= layer + 1) num_src FROM (SELECT batch_key, 0 layer, count(*) num_edge FROM l0 GROUP BY 1 UNION ALL SELECT batch_key, 1, count(*) FROM l1 GROUP BY 1) e", **TWO))
+def p2_layer_sizes(spark, sf_dir):
+    """Edges, destination nodes and source nodes of each block."""
+    return two_layers(spark, sf_dir)[2].sizes()
+
+
 @query(with_(["edges", "frontier"], "SELECT e.batch_key, e.layer, count(*) num_edge, count(DISTINCT e.dst) num_sampled, count(DISTINCT e.src) num_neighbour FROM (SELECT *, 0 layer FROM l0 UNION ALL SELECT *, 1 FROM l1) e GROUP BY 1, 2", **TWO))
 def p1_block_sizes(spark, sf_dir):
     e = two_layers(spark, sf_dir)[2].edges
@@ -293,57 +363,44 @@ def f2_rank_heuristic(spark, sf_dir):
     return cache.rank_heuristic(g.nodes, g.edges, market.train_set(g), _degrees(g))
 
 
-@query(with_(["edges", "deg"], "SELECT node_id, touched, row_number() OVER (ORDER BY touched DESC, value DESC, node_id DESC) - 1 AS rank FROM r",
-             t0="SELECT CAST(p_partkey AS BIGINT) node_id FROM part WHERE p_partkey % 100 = 0", t1="SELECT node_id FROM t0 UNION SELECT src FROM edges WHERE dst IN (SELECT node_id FROM t0)",
-             sub="SELECT src node_id, count(*) n FROM edges WHERE dst IN (SELECT node_id FROM t1) GROUP BY 1",
-             r="SELECT d.node_id, d.node_id IN (SELECT node_id FROM t1) touched, CASE WHEN d.node_id IN (SELECT node_id FROM t1) THEN coalesce(n, 0) ELSE out_degree END AS value FROM deg d LEFT JOIN sub USING (node_id)"))
-def f3_rank_degree_hop(spark, sf_dir):
-    g = market.market(spark, sf_dir)
-    return cache.rank_degree_hop(g.nodes, g.edges, market.train_set(g).where("node_id % 100 = 0"), _degrees(g), 1)
-
-
 @query(with_(["edges", "train", "deg"], "SELECT node_id, touched, row_number() OVER (ORDER BY touched DESC, value DESC, node_id DESC) - 1 AS rank FROM r",
              t1="SELECT node_id FROM train UNION SELECT src FROM edges WHERE dst IN (SELECT node_id FROM train)", t2="SELECT node_id FROM t1 UNION SELECT src FROM edges WHERE dst IN (SELECT node_id FROM t1)",
              sub="SELECT src node_id, count(*) n FROM edges WHERE dst IN (SELECT node_id FROM t2) GROUP BY 1",
              r="SELECT d.node_id, d.node_id IN (SELECT node_id FROM t2) touched, CASE WHEN d.node_id IN (SELECT node_id FROM t2) THEN coalesce(n, 0) ELSE out_degree END AS value FROM deg d LEFT JOIN sub USING (node_id)"))
-def f3_rank_degree_hop_whole(spark, sf_dir):
-    """The whole training set and two hops; f3_rank_degree_hop compares a tenth of it and one hop."""
+def f3_rank_degree_hop(spark, sf_dir):
+    """Two hops from the whole training set."""
     g = market.market(spark, sf_dir)
     return cache.rank_degree_hop(g.nodes, g.edges, market.train_set(g), _degrees(g))
 
 
+f3_rank_degree_hop_whole = f3_rank_degree_hop
+
+
 @query(with_(["edges", "everyone", "nodes"], "SELECT node_id, freq, row_number() OVER (ORDER BY freq DESC, node_id DESC) - 1 AS rank FROM (SELECT n.node_id, count(i.node_id) freq FROM nodes n LEFT JOIN ids i USING (node_id) GROUP BY 1)", **layered("everyone", [10, 5])))
 def f4_rank_presample(spark, sf_dir):
     g, _, r = two_layers(spark, sf_dir, True)
     return cache.rank_presample(g.nodes, r.inputs())
 
 
-@query(with_(["edges", "frontier", "nodes"], "SELECT node_id, freq, row_number() OVER (ORDER BY freq DESC, node_id DESC) - 1 AS rank FROM (SELECT n.node_id, count(i.node_id) freq FROM nodes n LEFT JOIN h1 i USING (node_id) GROUP BY 1)",
-             h1="SELECT batch_key, node_id FROM frontier UNION SELECT batch_key, src FROM frontier JOIN edges ON dst = node_id"))
+@query(with_(["edges", "everyone", "nodes"], "SELECT node_id, freq, row_number() OVER (ORDER BY freq DESC, node_id DESC) - 1 AS rank FROM (SELECT n.node_id, count(i.node_id) freq FROM nodes n LEFT JOIN h2 i USING (node_id) GROUP BY 1)",
+             h1="SELECT batch_key, node_id FROM everyone UNION SELECT batch_key, src FROM everyone JOIN edges ON dst = node_id", h2="SELECT batch_key, node_id FROM h1 UNION SELECT batch_key, src FROM h1 JOIN edges ON dst = node_id"))
 def f5_rank_presample_all(spark, sf_dir):
-    g, f = frontier(spark, sf_dir)
-    return cache.rank_presample(g.nodes, sampling.all_neighbour_frontier(g.edges, f, 1))
-
-
-@query(with_(["edges", "deg"], "SELECT node_id, round(sum(hit), 4) visits FROM (SELECT seed, node_id, CASE WHEN max(CASE WHEN 1 - p <= 1e-12 THEN 1 ELSE 0 END) = 1 THEN 1.0::DOUBLE ELSE 1 - exp(sum(CASE WHEN 1 - p > 1e-12 THEN ln(1 - p) ELSE 0 END)) END hit FROM (SELECT * FROM one UNION ALL SELECT * FROM two) WHERE seed <> node_id GROUP BY 1, 2 UNION ALL SELECT node_id, node_id, 1.0::DOUBLE FROM tr) GROUP BY 1",
-             tr="SELECT CAST(p_partkey AS BIGINT) node_id FROM part WHERE p_partkey % 200 = 0", ch="SELECT dst, src, least(1.0::DOUBLE, 10.0::DOUBLE / in_degree) p1, least(1.0::DOUBLE, 25.0::DOUBLE / in_degree) p0 FROM edges JOIN deg ON node_id = dst",
-             one="SELECT node_id seed, src node_id, p1 p FROM tr JOIN ch ON dst = node_id", two="SELECT seed, src node_id, p * p0 FROM one JOIN ch ON dst = node_id"))
-def f6_expected_visits(spark, sf_dir):
-    g = market.market(spark, sf_dir)
-    v = cache.expected_visits(g.edges, _degrees(g), market.train_set(g).where("node_id % 200 = 0"))
-    return v.select("node_id", F.round("visits", 4).alias("visits"))
+    """All neighbours over both layers of every batch of both epochs."""
+    g, b = batches(spark, sf_dir)
+    return cache.rank_presample(g.nodes, sampling.all_neighbour_frontier(g.edges, b.select("batch_key", "node_id"), 2))
 
 
 @query(with_(["edges", "train", "deg"], "SELECT node_id, round(sum(hit), 4) visits FROM (SELECT seed, node_id, CASE WHEN max(CASE WHEN 1 - p <= 1e-12 THEN 1 ELSE 0 END) = 1 THEN 1.0::DOUBLE ELSE 1 - exp(sum(CASE WHEN 1 - p > 1e-12 THEN ln(1 - p) ELSE 0 END)) END hit FROM (SELECT * FROM one UNION ALL SELECT * FROM two) WHERE seed <> node_id GROUP BY 1, 2 UNION ALL SELECT node_id, node_id, 1.0::DOUBLE FROM train) GROUP BY 1",
              ch="SELECT dst, src, least(1.0::DOUBLE, 10.0::DOUBLE / in_degree) p1, least(1.0::DOUBLE, 25.0::DOUBLE / in_degree) p0 FROM edges JOIN deg ON node_id = dst",
              one="SELECT node_id seed, src node_id, p1 p FROM train JOIN ch ON dst = node_id", two="SELECT seed, src node_id, p * p0 FROM one JOIN ch ON dst = node_id"))
-def f6_expected_visits_whole(spark, sf_dir):
-    """The whole training set; f6_expected_visits compares a twentieth of it."""
+def f6_expected_visits(spark, sf_dir):
     g = market.market(spark, sf_dir)
     v = cache.expected_visits(g.edges, _degrees(g), market.train_set(g))
     return v.select("node_id", F.round("visits", 4).alias("visits"))
 
 
+f6_expected_visits_whole = f6_expected_visits
+
 @query(with_(["nodes"], f"SELECT node_id, row_number() OVER (ORDER BY {md5(13, 'node_id')}, node_id) - 1 AS rank FROM nodes"))
 def f7_rank_random(spark, sf_dir):
     return cache.rank_random(market.market(spark, sf_dir).nodes, 13)
@@ -360,59 +417,14 @@ def f10_replace_cache(spark, sf_dir):
     return cache.replace_cache(g.nodes.select("node_id", "label"), f.where("batch_key = 0")).select("node_id", "cache_pos", "label")
 
 
-LAYER = {"s": khop("frontier", 10, 0), "e": "SELECT src, dst FROM s WHERE batch_key = 0"}
-MSG = "SELECT e.dst, d.i, CAST(n.feat[d.i] AS DOUBLE) x {more} FROM e JOIN nodes n ON n.node_id = e.src, (SELECT unnest(range(1, 65)) i) d {join}"
-
-
-def _layer_edges(spark, sf_dir):
-    g, f = frontier(spark, sf_dir)
-    return g, sampling.khop(g.edges, f.where("batch_key = 0"), 10, SEED).select("src", "dst")
-
-
-def _flat(out):
-    return out.select("node_id", F.posexplode("out").alias("dim", "x"))
-
-
-@query(with_(["edges", "frontier", "nodes"], "SELECT dst node_id, i - 1 dim, round(sum(x * n), 6) x FROM m GROUP BY 1, 2", **LAYER,
-             o="SELECT src, pow(count(*), -0.5) a FROM e GROUP BY 1", q="SELECT dst, pow(count(*), -0.5) b FROM e GROUP BY 1", m=MSG.format(more=", a * b n", join="JOIN o ON o.src = e.src JOIN q ON q.dst = e.dst").replace("FROM e JOIN nodes n ON n.node_id = e.src, (SELECT unnest(range(1, 65)) i) d", "FROM e JOIN nodes n ON n.node_id = e.src CROSS JOIN (SELECT unnest(range(1, 65)) i) d")))
-def l1_gcn(spark, sf_dir):
-    g, e = _layer_edges(spark, sf_dir)
-    return _flat(layers.gcn(e, g.nodes))
-
-
-@query(with_(["edges", "frontier", "nodes"], "SELECT dst node_id, i - 1 dim, round(avg(x), 6) x FROM m GROUP BY 1, 2", **LAYER, m=MSG.format(more="", join="")))
-def l3_sage_mean(spark, sf_dir):
-    g, e = _layer_edges(spark, sf_dir)
-    return _flat(layers.sage_mean(e, g.nodes))
-
-
-@query(with_(["adj", "frontier", "nodes"], "SELECT node_id, dim, round(x / CASE WHEN sqrt(sum(x * x) OVER (PARTITION BY node_id)) = 0 THEN 1 ELSE sqrt(sum(x * x) OVER (PARTITION BY node_id)) END, 6) x FROM v", **WALK,
-             e="SELECT src, dst, w FROM top WHERE batch_key = 0", m=MSG.format(more=", e.w", join=""),
-             v="SELECT dst node_id, i + 63 dim, sum(x * w) / greatest(sum(w), 1) x FROM m GROUP BY 1, 2 UNION ALL SELECT node_id, i - 1, CAST(feat[i] AS DOUBLE) FROM nodes, (SELECT unnest(range(1, 65)) i) WHERE node_id IN (SELECT dst FROM e)"))
-def l4_pin_sage(spark, sf_dir):
-    g, _, visits = _visits(spark, sf_dir)
-    top = sampling.visit_topk(visits, TOP).where("batch_key = 0").select("src", "dst", "w")
-    return _flat(layers.pin_sage(top, g.nodes))
-
-
-@query(with_(["edges", "frontier", "nodes"], "SELECT dst node_id, i - 1 dim, round(sum(x * p), 6) x FROM m GROUP BY 1, 2", **LAYER,
-             sc="SELECT e.src, e.dst, CAST(a.feat[1] AS DOUBLE) + CAST(b.feat[2] AS DOUBLE) s FROM e JOIN nodes a ON a.node_id = e.src JOIN nodes b ON b.node_id = e.dst",
-             sm="SELECT src, dst, exp(l) / sum(exp(l)) OVER (PARTITION BY dst) p FROM (SELECT *, CASE WHEN s > 0 THEN s ELSE s * 0.2::DOUBLE END l FROM sc)",
-             m="SELECT sm.dst, d.i, CAST(n.feat[d.i] AS DOUBLE) x, p FROM sm JOIN nodes n ON n.node_id = sm.src CROSS JOIN (SELECT unnest(range(1, 65)) i) d"))
-def l5_attention(spark, sf_dir):
-    g, e = _layer_edges(spark, sf_dir)
-    scores = g.nodes.select("node_id", F.col("feat")[0].cast("double").alias("left"), F.col("feat")[1].cast("double").alias("right"))
-    return _flat(layers.attention(e, g.nodes, scores))
-
-
-#: The layers over every batch of the epoch; those above compare the first batch.
+#: The layers over every batch of the epoch.
 EPOCH = ["batch_key"]
 EPOCH_MSG = "SELECT e.batch_key, e.dst, d.i, CAST(n.feat[d.i] AS DOUBLE) x {more} FROM e JOIN nodes n ON n.node_id = e.src {join} CROSS JOIN (SELECT unnest(range(1, 65)) i) d"
 
 
 def _epoch_edges(spark, sf_dir):
     g, f = frontier(spark, sf_dir)
-    return g, sampling.khop(g.edges, f, 10, SEED).select("batch_key", "src", "dst")
+    return g, sampling.khop(g.edges, f, 10, SEED, simple=g.simple).select("batch_key", "src", "dst")
 
 
 def _flat_epoch(out):
@@ -422,13 +434,13 @@ def _flat_epoch(out):
 @query(with_(["edges", "frontier", "nodes"], "SELECT batch_key, dst node_id, i - 1 dim, round(sum(x * n), 6) x FROM m GROUP BY 1, 2, 3", e=khop("frontier", 10, 0),
              o="SELECT batch_key, src, pow(count(*), -0.5) a FROM e GROUP BY 1, 2", q="SELECT batch_key, dst, pow(count(*), -0.5) b FROM e GROUP BY 1, 2",
              m=EPOCH_MSG.format(more=", a * b n", join="JOIN o ON o.batch_key = e.batch_key AND o.src = e.src JOIN q ON q.batch_key = e.batch_key AND q.dst = e.dst")))
-def l1_gcn_epoch(spark, sf_dir):
+def l1_gcn(spark, sf_dir):
     g, e = _epoch_edges(spark, sf_dir)
     return _flat_epoch(layers.gcn(e, g.nodes, EPOCH))
 
 
 @query(with_(["edges", "frontier", "nodes"], "SELECT batch_key, dst node_id, i - 1 dim, round(avg(x), 6) x FROM m GROUP BY 1, 2, 3", e=khop("frontier", 10, 0), m=EPOCH_MSG.format(more="", join="")))
-def l3_sage_mean_epoch(spark, sf_dir):
+def l3_sage_mean(spark, sf_dir):
     g, e = _epoch_edges(spark, sf_dir)
     return _flat_epoch(layers.sage_mean(e, g.nodes, EPOCH))
 
@@ -436,7 +448,7 @@ def l3_sage_mean_epoch(spark, sf_dir):
 @query(with_(["adj", "frontier", "nodes"], "SELECT batch_key, node_id, dim, round(x / CASE WHEN sqrt(sum(x * x) OVER w) = 0 THEN 1 ELSE sqrt(sum(x * x) OVER w) END, 6) x FROM v WINDOW w AS (PARTITION BY batch_key, node_id)", **WALK,
              e="SELECT batch_key, src, dst, w FROM top", m=EPOCH_MSG.format(more=", e.w", join=""),
              v="SELECT batch_key, dst node_id, i + 63 dim, sum(x * w) / greatest(sum(w), 1) x FROM m GROUP BY 1, 2, 3 UNION ALL SELECT batch_key, node_id, i - 1, CAST(feat[i] AS DOUBLE) FROM nodes JOIN (SELECT DISTINCT batch_key, dst FROM e) ON dst = node_id CROSS JOIN (SELECT unnest(range(1, 65)) i)"))
-def l4_pin_sage_epoch(spark, sf_dir):
+def l4_pin_sage(spark, sf_dir):
     g, _, visits = _visits(spark, sf_dir)
     top = sampling.visit_topk(visits, TOP).select("batch_key", "src", "dst", "w")
     return _flat_epoch(layers.pin_sage(top, g.nodes, EPOCH))
@@ -446,21 +458,26 @@ def l4_pin_sage_epoch(spark, sf_dir):
              sc="SELECT s.batch_key, s.src, s.dst, CAST(a.feat[1] AS DOUBLE) + CAST(b.feat[2] AS DOUBLE) s FROM s JOIN nodes a ON a.node_id = s.src JOIN nodes b ON b.node_id = s.dst",
              e="SELECT batch_key, src, dst, exp(l) / sum(exp(l)) OVER (PARTITION BY batch_key, dst) p FROM (SELECT *, CASE WHEN s > 0 THEN s ELSE s * 0.2::DOUBLE END l FROM sc)",
              m=EPOCH_MSG.format(more=", e.p", join="")))
-def l5_attention_epoch(spark, sf_dir):
+def l5_attention(spark, sf_dir):
     g, e = _epoch_edges(spark, sf_dir)
     scores = g.nodes.select("node_id", F.col("feat")[0].cast("double").alias("left"), F.col("feat")[1].cast("double").alias("right"))
     return _flat_epoch(layers.attention(e, g.nodes, scores, EPOCH))
 
 
+l1_gcn_epoch, l3_sage_mean_epoch, l4_pin_sage_epoch, l5_attention_epoch = l1_gcn, l3_sage_mean, l4_pin_sage, l5_attention
+
+
 @query(f"SELECT CAST(p_partkey AS BIGINT) node_id, {md5(SEED, 'p_partkey')} AS draw FROM part")
 def c16_draw_order(spark, sf_dir):
     part = market.read(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("node_id"))
     return part.select("node_id", draw(SEED, F.col("node_id")).alias("draw"))
 
 
-@query("SELECT * FROM (VALUES ('frontier', 30800::BIGINT), ('walk_edges', 264000), ('slots', 4096)) t(name, n)")
+@query("SELECT p_partkey k, CAST(p_partkey * 11 * 2 AS BIGINT) frontier, CAST(p_partkey * 6 * 3 * 4 * 5 AS BIGINT) walk_edges, CAST(pow(2, floor(log2(greatest(p_partkey, 1))) + 2) AS BIGINT) slots FROM part")
 def c17_predictors(spark, sf_dir):
+    """Upper bounds of a frontier of fanouts 1 and 10, of a walk layer and of a table, for seed counts 0, 1, ..."""
     from ..functions import scalar
 
-    rows = [("frontier", scalar.predict_nodes(200, [6, 10, 1])), ("walk_edges", scalar.predict_walk_edges(200, [5, 10, 9], 4, 3)), ("slots", scalar.table_slots(1025))]
-    return spark.createDataFrame(rows, "name string, n long")
+    n = market.read(spark, sf_dir, "part").count()
+    rows = ((k, scalar.predict_nodes(k, [1, 10]), scalar.predict_walk_edges(k, [9, 2, 5], 4, 5), scalar.table_slots(k)) for k in range(n))
+    return spark.createDataFrame(rows, "k long, frontier long, walk_edges long, slots long")
