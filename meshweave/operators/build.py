@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.rand import draw
-from ..functions.ranks import global_rank, rank_by_draw
+from ..functions.ranks import global_rank, rank_by_draw, running_sums
 
 
 def symmetrise(edges: DataFrame) -> DataFrame:
@@ -18,8 +18,15 @@ def transpose(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
 
 
-def with_positions(edges: DataFrame) -> DataFrame:
-    """adj(dst, pos, src, deg): place of each in-neighbour in its list, sorted by src; duplicates kept."""
+def with_positions(edges: DataFrame, hubs: bool = False) -> DataFrame:
+    """adj(dst, pos, src, deg): place of each in-neighbour in its list, sorted by src; duplicates kept.
+
+    A list is sorted in one task; hubs is for graphs with lists too long for that, which are then
+    placed range by range.
+    """
+    if hubs:
+        placed = running_sums(edges.select("dst", "src"), "dst", [F.col("src").asc()], pos=F.lit(1).cast("long"))
+        return placed.join(edges.groupBy("dst").agg(F.count("*").alias("deg")), "dst").select("dst", (F.col("pos") - 1).alias("pos"), "src", "deg")
     w = Window.partitionBy("dst")
     return edges.select("dst", (F.row_number().over(w.orderBy("src")).cast("long") - 1).alias("pos"), "src", F.count("*").over(w).alias("deg"))
 

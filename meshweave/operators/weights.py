@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.rand import u32
+from ..functions.ranks import running_sums
 
 
 def edge_weights(edges: DataFrame, deg: DataFrame, policy: str, seed: int = 0) -> DataFrame:
@@ -26,8 +27,12 @@ def edge_weights(edges: DataFrame, deg: DataFrame, policy: str, seed: int = 0) -
     raise ValueError(f"no weight policy {policy}")
 
 
-def prefix_table(weighted: DataFrame) -> DataFrame:
-    """adj(dst, pos, src, w, prefix, deg): running weight sums in list order, not normalised."""
+def prefix_table(weighted: DataFrame, hubs: bool = False) -> DataFrame:
+    """adj(dst, pos, src, w, prefix, deg): running weight sums in list order, not normalised; hubs as in build.with_positions."""
+    if hubs:
+        rows = running_sums(weighted.select("dst", "src", "w"), "dst", [F.col("src").asc()], pos=F.lit(1).cast("long"), prefix=F.col("w"))
+        rows = rows.join(weighted.groupBy("dst").agg(F.count("*").alias("deg")), "dst")
+        return rows.select("dst", (F.col("pos") - 1).alias("pos"), "src", "w", "prefix", "deg")
     w = Window.partitionBy("dst")
     upto = w.orderBy("src").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return weighted.select("dst", (F.row_number().over(w.orderBy("src")).cast("long") - 1).alias("pos"), "src", "w", F.sum("w").over(upto).alias("prefix"), F.count("*").over(w).alias("deg"))

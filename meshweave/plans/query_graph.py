@@ -84,6 +84,44 @@ def b11_offsets(spark, sf_dir):
     return checks.offsets_fit(indptr, g.num_nodes, g.edges.count()).crossJoin(lists).select("num_edge", "num_list", "fits")
 
 
+@query("SELECT CAST(p_partkey AS BIGINT) p_partkey, p_name, p_retailprice FROM part")
+def a7_csv_gz(spark, sf_dir):
+    """Rows written as compressed CSV without a header and read under a schema."""
+    path = _folder(spark, "csv")
+    market.read(spark, sf_dir, "part").select("p_partkey", "p_name", "p_retailprice").write.csv(path, compression="gzip")
+    return files.read_csv(spark, path, "p_partkey long, p_name string, p_retailprice double")
+
+
+@query("SELECT CAST(n_nationkey AS BIGINT) src, CAST(n_regionkey AS BIGINT) dst, round(n_nationkey * 0.5::DOUBLE, 6) left_x, round(n_regionkey * 0.25::DOUBLE, 6) right_x FROM nation")
+def a8_npz(spark, sf_dir):
+    """A small graph's two-row edge index and two-column features, from an NPZ file."""
+    import numpy as np
+
+    path = f"{_folder(spark, 'npz')}/graph.npz"
+    rows = np.array([tuple(r) for r in market.read(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey").collect()], np.int64)
+    files.write_npz(path, edge_index=rows.T, node_feat=np.array([[k * 0.5, k * 0.25] for k in range(int(rows.max()) + 1)]))
+    x = files.read_npz(spark, path, "node_feat")
+    left = x.select(F.col("pos").alias("src"), F.round(F.col("value")[0], 6).alias("left_x"))
+    right = x.select(F.col("pos").alias("dst"), F.round(F.col("value")[1], 6).alias("right_x"))
+    return files.edges_from_npz(spark, path).join(left, "src").join(right, "dst").select("src", "dst", "left_x", "right_x")
+
+
+@query(with_(["deg"], "SELECT node_id, in_degree, out_degree FROM deg"))
+def a17_degree_text(spark, sf_dir):
+    """Degrees written as tab-separated text and read back."""
+    path = _folder(spark, "degrees")
+    files.write_degrees(market.market(spark, sf_dir).degrees, path, text=True)
+    return spark.read.schema("node_id long, in_degree long, out_degree long").option("sep", "\t").csv(path)
+
+
+@query(with_(["deg"], "SELECT in_degree degree, count(*) num_node FROM deg GROUP BY 1"))
+def a22_tsv_report(spark, sf_dir):
+    """A degree table written as a tab-separated report with a header and read back."""
+    path = _folder(spark, "report")
+    files.write_tsv(analytics.degree_histogram(market.market(spark, sf_dir).degrees).select("degree", "num_node"), path)
+    return spark.read.option("sep", "\t").option("header", True).schema("degree long, num_node long").csv(path)
+
+
 @query(with_(["edges"], "SELECT dst AS dst, array_to_string(list_sort(list(src)), ',') neighbours FROM edges GROUP BY 1"))
 def a6_adjacency(spark, sf_dir):
     return build.adjacency_lists(market.market(spark, sf_dir).edges).select("dst", F.array_join("neighbours", ",").alias("neighbours"))
@@ -133,6 +171,17 @@ def b3_positions(spark, sf_dir):
     return build.with_positions(market.market(spark, sf_dir).edges)
 
 
+@query(with_(["adj", "deg"], "SELECT dst, pos, src, adj.deg, CAST(sum(out_degree) OVER (PARTITION BY dst ORDER BY pos) AS DOUBLE) prefix FROM adj JOIN deg ON node_id = src"))
+def b3_positions_of_hubs(spark, sf_dir):
+    """Places and running sums of lists, range by range, as for lists too long for a task."""
+    from ..operators import weights
+
+    g = market.market(spark, sf_dir)
+    weighted = g.edges.join(g.degrees.select(F.col("node_id").alias("src"), F.col("out_degree").cast("double").alias("w")), "src")
+    sums = weights.prefix_table(weighted, hubs=True).select("dst", "pos", "src", "prefix")
+    return build.with_positions(g.edges, hubs=True).join(sums, ["dst", "pos", "src"]).select("dst", "pos", "src", "deg", "prefix")
+
+
 @query(with_(["deg"], "SELECT node_id, CAST(coalesce(sum(in_degree) OVER (ORDER BY node_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS \"offset\" FROM deg"))
 def b4_offsets(spark, sf_dir):
     return build.offsets(_degrees(spark, sf_dir)[1])

@@ -251,6 +251,34 @@ def n3_repeats_batch_form(spark, sf_dir):
     return a.join(before, ["batch_key", "node_id"], "left").select("batch_key", "node_id", F.coalesce("again", F.lit(False)).alias("again"))
 
 
+@query(with_(["access"], "SELECT a.batch_key, a.node_id, b.node_id IS NOT NULL again FROM access a LEFT JOIN access b ON b.batch_key = a.batch_key - 1 AND b.node_id = a.node_id"))
+def o1_repeats_stream(spark, sf_dir):
+    """The access log as a stream of four files in order, one a micro-batch, with state by node, into a table."""
+    from ..streaming.access import read_events, repeats_across_batches
+
+    folder = f"{shared_root(spark)}/stream-{uuid.uuid4().hex}"
+    log = _access(spark, sf_dir).select("batch_key", "node_id").persist()
+    most = log.agg(F.max("batch_key")).first()[0]
+    for part in range(4):
+        log.where(F.floor(F.col("batch_key") * 4 / (most + 1)) == part).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    log.unpersist()
+    stream = repeats_across_batches(read_events(spark, f"{folder}/in", "batch_key long, node_id long"))
+    done = stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    done.awaitTermination()
+    return spark.read.parquet(f"{folder}/out")
+
+
+@query("SELECT date_trunc('hour', ts) AS start, CAST(user_id AS BIGINT) node_id, count(*) freq FROM events GROUP BY 1, 2")
+def o2_windows_stream(spark, sf_dir):
+    """Windowed access counts of a stream, each micro-batch replacing the counts it changed."""
+    from ..streaming.access import latest_counts
+
+    folder = f"{shared_root(spark)}/stream-{uuid.uuid4().hex}"
+    events = market.read(spark, sf_dir, "events")
+    events.repartitionByRange(4, "ts").write.parquet(f"{folder}/in")
+    return latest_counts(spark, f"{folder}/in", events.schema, f"{folder}/out", f"{folder}/state", "10000 days")
+
+
 @query("SELECT user_id AS k, CAST(coalesce(sum(1) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) before_, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) <= 3")
 def h1_prefix_and_topk(spark, sf_dir):
     """Exclusive running counts, compaction and the last three events of each user."""

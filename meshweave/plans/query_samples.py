@@ -464,6 +464,18 @@ def l5_attention(spark, sf_dir):
     return _flat_epoch(layers.attention(e, g.nodes, scores, EPOCH))
 
 
+@query(with_(["edges", "frontier", "nodes"], "SELECT batch_key, dst node_id, 64 * h + i - 1 dim, round(sum(x * p), 6) x FROM m GROUP BY 1, 2, 3", s=khop("frontier", 10, 0),
+             sc="SELECT h, s.batch_key, s.src, s.dst, CAST(a.feat[h + 1] AS DOUBLE) + CAST(b.feat[h + 3] AS DOUBLE) s FROM s JOIN nodes a ON a.node_id = s.src JOIN nodes b ON b.node_id = s.dst CROSS JOIN (SELECT unnest([0, 1]) h)",
+             e="SELECT h, batch_key, src, dst, exp(l) / sum(exp(l)) OVER (PARTITION BY h, batch_key, dst) p FROM (SELECT *, CASE WHEN s > 0 THEN s ELSE s * 0.2::DOUBLE END l FROM sc)",
+             m="SELECT e.batch_key, e.dst, e.h, d.i, CAST(n.feat[d.i] AS DOUBLE) x, e.p FROM e JOIN nodes n ON n.node_id = e.src CROSS JOIN (SELECT unnest(range(1, 65)) i) d").replace("GROUP BY 1, 2, 3", "GROUP BY 1, 2, h, i"))
+def l5_attention_heads(spark, sf_dir):
+    """Two heads, one after the other."""
+    g, e = _epoch_edges(spark, sf_dir)
+    x = lambda i: F.col("feat")[i].cast("double")
+    scores = g.nodes.select("node_id", F.array(x(0), x(1)).alias("left"), F.array(x(2), x(3)).alias("right"))
+    return _flat_epoch(layers.attention(e, g.nodes, scores, EPOCH))
+
+
 l1_gcn_epoch, l3_sage_mean_epoch, l4_pin_sage_epoch, l5_attention_epoch = l1_gcn, l3_sage_mean, l4_pin_sage, l5_attention
 
 
