@@ -29,6 +29,8 @@ FEW = 8
 HOT = 2048
 HOT_ROWS = 100_000
 SAMPLE = 64
+#: A window's rows meet by digest and by one of so many salts: one for each SALT surroundings of its gram, MOST_SALTS if these were not counted.
+SALT, MOST_SALTS = 256, 64
 CHUNK = 1 << 18
 COMBINE = 8 << 20
 COVERED, ANCHOR, CONTEXT, CROWDED = 0, 1, 2, 3
@@ -36,8 +38,8 @@ COVERED, ANCHOR, CONTEXT, CROWDED = 0, 1, 2, 3
 _M64 = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
-ROWS = "kind int, key long, ctx binary, uid binary, lo int, hi int, lead int, many boolean"
-NAMES = ["kind", "key", "ctx", "uid", "lo", "hi", "lead", "many"]
+ROWS = "kind int, key long, ctx binary, uid binary, lo int, hi int, lead int, many boolean, salts int"
+NAMES = ["kind", "key", "ctx", "uid", "lo", "hi", "lead", "many", "salts"]
 
 
 # ---------------------------------------------------------------- deep-shallow sorting
@@ -250,11 +252,11 @@ def merge(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return lo[new], hi[np.concatenate((np.flatnonzero(new)[1:], [len(lo)])) - 1]
 
 
-def _batch(kind, key, ctx, uid, lo, hi, lead, many) -> pa.RecordBatch:
+def _batch(kind, key, ctx, uid, lo, hi, lead, many, salts=1) -> pa.RecordBatch:
     n = len(lo)
     full = lambda x, t: pa.array(np.full(n, x) if np.isscalar(x) else x, t)
     ctx = pa.nulls(n, pa.binary()) if ctx is None else pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), n, [None, pa.py_buffer(ctx.tobytes())]).cast(pa.binary())
-    return pa.RecordBatch.from_arrays([full(kind, pa.int32()), full(key, pa.int64()), ctx, pa.array(uid, pa.binary()), full(lo, pa.int32()), full(hi, pa.int32()), full(lead, pa.int32()), full(many, pa.bool_())], names=NAMES)
+    return pa.RecordBatch.from_arrays([full(kind, pa.int32()), full(key, pa.int64()), ctx, pa.array(uid, pa.binary()), full(lo, pa.int32()), full(hi, pa.int32()), full(lead, pa.int32()), full(many, pa.bool_()), full(salts, pa.int32())], names=NAMES)
 
 
 def _covered(uid: list[bytes], lo: np.ndarray, hi: np.ndarray) -> pa.RecordBatch:
@@ -364,8 +366,10 @@ def _settle(length: int, hot: int, hot_rows: int):
             yield _covered(uid.take(pa.array(settled)), lo[settled], hi[settled] + length)
         go = np.flatnonzero(new_ctx & (classes[grp] > 1) & open_groups[grp]) if not crowded else np.flatnonzero(new_ctx)
         if len(go):
-            kind = np.where(crowded | (classes[grp[go]] > hot), CROWDED, CONTEXT)
-            yield _batch(kind, key[go], None, uid.take(pa.array(go)), lo[go], hi[go], lead[go], row_many[go])
+            size = classes[grp[go]]
+            kind = np.where(crowded | (size > hot), CROWDED, CONTEXT)
+            salts = np.full(len(go), MOST_SALTS) if crowded else -(-size // SALT)  # the same for all rows of a gram
+            yield _batch(kind, key[go], None, uid.take(pa.array(go)), lo[go], hi[go], lead[go], row_many[go], salts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, held_rows, crowded = [], 0, None
@@ -407,7 +411,7 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Bytes of the surroundings that each text was asked for."""
     import zstandard
 
-    shape = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("uid", pa.binary()), ("lo", pa.int32()), ("hi", pa.int32()), ("lead", pa.int32()), ("many", pa.bool_()), ("bytes", pa.binary())])
+    shape = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("uid", pa.binary()), ("lo", pa.int32()), ("hi", pa.int32()), ("lead", pa.int32()), ("many", pa.bool_()), ("salts", pa.int32()), ("bytes", pa.binary())])
     out: list[dict] = []
     for b in batches:
         for uid, z, wanted, length in zip(*(b.column(c) for c in ("uid", "z", "wanted", "length"))):
@@ -465,7 +469,7 @@ def _windows(length: int):
             for row in b.to_pylist():
                 n = row["hi"] - row["lo"] + 1
                 digests = [digest(row["bytes"][i : i + length]) for i in range(n)]
-                yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array([row["uid"]] * n, pa.binary()), pa.array(range(row["lo"], row["hi"] + 1), pa.int32())], names=["digest", "uid", "lo"])
+                yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array([row["uid"]] * n, pa.binary()), pa.array(range(row["lo"], row["hi"] + 1), pa.int32()), pa.array([row["salts"]] * n, pa.int32())], names=["digest", "uid", "lo", "salts"])
 
     return run
 
@@ -521,20 +525,25 @@ def covered_ranges(docs: DataFrame, text_col: str = "text", length: int = LENGTH
     crowded = _crowded_keys(texts, length, gram, hot_rows, sample)
     if not crowded.isEmpty():  # rows of these grams never meet by gram: they go on by window digests
         found = found.join(crowded, "key", "left")
-        found = found.withColumn("kind", F.when(F.col("crowded") & (F.col("kind") == ANCHOR), CROWDED).otherwise(F.col("kind"))).select(*NAMES)
+        apart = F.col("crowded") & (F.col("kind") == ANCHOR)
+        found = found.withColumn("salts", F.when(apart, MOST_SALTS).otherwise(F.col("salts"))).withColumn("kind", F.when(apart, CROWDED).otherwise(F.col("kind"))).select(*NAMES)
     deal = F.when(F.col("kind") == ANCHOR, F.col("key")).otherwise(F.xxhash64("uid"))
     sorted_anchors = found.withColumn("deal", deal).repartition("deal").sortWithinPartitions("kind", "key", "ctx", "uid", "lo").select(*NAMES)
     settled = stash(sorted_anchors.mapInArrow(_settle(length, hot, hot_rows), ROWS), "suffix-anchors")
-    wanted = settled.where(F.col("kind") != COVERED).groupBy("uid").agg(F.collect_list(F.struct("kind", "key", "lo", "hi", "lead", "many")).alias("wanted"))
+    wanted = settled.where(F.col("kind") != COVERED).groupBy("uid").agg(F.collect_list(F.struct("kind", "key", "lo", "hi", "lead", "many", "salts")).alias("wanted"))
     asked = _squeezed(texts.where(F.octet_length("raw") >= length), True).join(wanted, "uid").withColumn("length", F.lit(length))
-    around = asked.mapInArrow(_contexts, "kind int, key long, uid binary, lo int, hi int, lead int, many boolean, bytes binary")
+    around = asked.mapInArrow(_contexts, "kind int, key long, uid binary, lo int, hi int, lead int, many boolean, salts int, bytes binary")
     around = stash(around, "suffix-contexts")
     calm = around.where(F.col("kind") == CONTEXT).repartition("key").sortWithinPartitions("key", "uid", "lo")
     ranges = [settled.where(F.col("kind") == COVERED).select("uid", "lo", "hi"), calm.mapInArrow(_sorted_groups(length), ROWS).select("uid", "lo", "hi")]
     crowd = around.where(F.col("kind") == CROWDED)
-    windows = crowd.mapInArrow(_windows(length), "digest binary, uid binary, lo int")
-    twice = windows.groupBy("digest").agg((F.min(F.struct("uid", "lo")) != F.max(F.struct("uid", "lo"))).alias("twice")).where("twice").select("digest")
-    ranges.append(windows.join(twice, "digest").select("uid", "lo", (F.col("lo") + length).alias("hi")))
+    windows = crowd.mapInArrow(_windows(length), "digest binary, uid binary, lo int, salts int")
+    windows = windows.withColumn("salt", F.pmod(F.xxhash64("uid", "lo"), F.col("salts")).cast("int"))
+    # a window that very many texts hold is counted and found again salt by salt
+    each = windows.groupBy("digest", "salts", "salt").agg(F.min(F.struct("uid", "lo")).alias("least"), F.max(F.struct("uid", "lo")).alias("most"))
+    twice = each.groupBy("digest", "salts").agg((F.min("least") != F.max("most")).alias("twice")).where("twice")
+    twice = twice.select("digest", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    ranges.append(windows.join(twice, ["digest", "salt"]).select("uid", "lo", (F.col("lo") + length).alias("hi")))
     copies = texts.select("uid", F.octet_length("raw").alias("n")).where(F.col("n") >= length).groupBy("uid", "n").count().where("count > 1")
     ranges.append(copies.select("uid", F.lit(0).alias("lo"), F.col("n").alias("hi")))
     every = ranges[0]
