@@ -40,17 +40,19 @@ def sample_layers(frontier: DataFrame, hops: list[Callable[[DataFrame, int], Dat
 
     frontier is (batch_key, node_id, pos). A hop maps (frontier, layer) to (batch_key, dst, src[, w]).
     reached has for each node the layer that first met it and its place among the seeds.
-    A layer's edges are read by the next hop, the relabelling and the result. write_layers writes
-    them once to the shared folder, which keeps plans from doubling with each layer.
+    A layer's edges are read by the next hop, the relabelling and the result, and the nodes known by
+    each of them too. write_layers writes both once to the shared folder, which keeps plans from
+    doubling with each layer and lets the next hop's join go by the true size of its frontier.
     """
+    keep = materialise if write_layers else lambda df, tag: df
     known = frontier.select("batch_key", "node_id", F.lit(0).alias("reached"), F.col("pos").cast("long").alias("pos"))
-    found = None
+    known, found = keep(known, "known"), None
     for layer, hop in enumerate(hops):
         edges = hop(known.select("batch_key", "node_id"), layer).withColumn("layer", F.lit(layer))
-        edges = materialise(edges, "layer") if write_layers else edges
+        edges = keep(edges, "layer")
         found = edges if found is None else found.unionByName(edges)
         more = edges.select("batch_key", F.col("src").alias("node_id"), F.lit(layer + 1).alias("reached"), F.lit(None).cast("long").alias("pos"))
-        known = known.unionAll(more).groupBy("batch_key", "node_id").agg(F.min("reached").alias("reached"), F.min("pos").alias("pos"))
+        known = keep(known.unionAll(more).groupBy("batch_key", "node_id").agg(F.min("reached").alias("reached"), F.min("pos").alias("pos")), "known")
     return found, known
 
 

@@ -55,7 +55,9 @@ def pin_sage(edges: DataFrame, feats: DataFrame, by: Sequence[str] = ()) -> Data
     own = feats.select("node_id", F.transform("feat", lambda x: x.cast("double")).alias("own"))
     joined = mean.join(own, "node_id").select(*by, "node_id", F.concat("own", "out").alias("v"))
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
-    return joined.withColumn("n", F.when(norm == 0, 1.0).otherwise(norm)).select(*by, "node_id", F.transform("v", lambda x: F.round(x / F.col("n"), 6)).alias("out"))
+    # the norm as the one element of an array: it is found once a row, not once a component
+    scaled = F.transform(F.array(F.when(norm == 0, 1.0).otherwise(norm)), lambda n: F.transform("v", lambda x: F.round(x / n, 6)))
+    return joined.select(*by, "node_id", scaled[0].alias("out"))
 
 
 def attention(edges: DataFrame, feats: DataFrame, scores: DataFrame, by: Sequence[str] = ()) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.rand import draw, u32, uniform
+from ..plans.storage import materialise
 
 
 def _meet(adj: DataFrame, frontier: DataFrame) -> DataFrame:
@@ -117,7 +118,7 @@ def all_neighbour_frontier(edges: DataFrame, frontier: DataFrame, hops: int) ->
     reached = frontier.select("batch_key", "node_id").distinct()
     for _ in range(hops):
         more = neighbours(edges, reached).select("batch_key", F.col("src").alias("node_id"))
-        reached = reached.unionAll(more).distinct()
+        reached = materialise(reached.unionAll(more).distinct(), "reached")
     return reached
 
 
@@ -126,18 +127,20 @@ def random_walk(adj: DataFrame, frontier: DataFrame, length: int, restart: float
 
     A step joins each walk with one position of a list. Lists with src_deg, the neighbour's own
     degree, tell the next step's range too; without it the degree is looked up before each step.
+    Steps are written to the shared folder, so each joins by the true number of walks left.
     """
     deg = adj.where("pos = 0").select(F.col("dst").alias("at"), "deg")
     known = "src_deg" in adj.columns
     lists = adj.select(F.col("dst").alias("at"), "pos", "src", *(["src_deg"] if known else []))
     now = frontier.select("batch_key", F.col("node_id").alias("seed_id"), F.explode(F.sequence(F.lit(0), F.lit(walks - 1))).alias("walk"), F.col("node_id").alias("at"))
-    visits = None
+    now, visits = materialise(now.join(deg, "at") if known else now, "walk"), None
     for step in range(length):
         keys = (F.col("batch_key"), F.col("seed_id"), F.col("walk"), step)
-        if step == 0 or not known:
+        if not known:
             now = now.join(deg, "at")
         drawn = now.where("deg > 0").withColumn("pos", u32(seed, "step", *keys) % F.col("deg")).drop("deg")
         here = drawn.join(lists, ["at", "pos"]).select("batch_key", "seed_id", "walk", F.lit(step).alias("step"), F.col("src").alias("node_id"), *(["src_deg"] if known else []))
+        here = materialise(here, "walk")
         visit = here.drop("src_deg")
         visits = visit if visits is None else visits.unionAll(visit)
         go_on = here.where(uniform(seed, "stop", *keys) >= restart)
