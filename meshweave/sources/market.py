@@ -70,7 +70,7 @@ def market(spark: SparkSession, sf_dir: str) -> Graph:
     """
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _kept:
-        _kept[key] = _write(spark, build_market(spark, sf_dir))
+        _kept[key] = _write(spark, build_market(spark, sf_dir), read(spark, sf_dir, "lineitem").count())
     name, n = _kept[key]
     lists = spark.table(f"{name}_lists")
     part = read(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("node_id"))
@@ -79,11 +79,15 @@ def market(spark: SparkSession, sf_dir: str) -> Graph:
     return Graph(spark.table(f"{name}_nodes"), lists.select("src", "dst"), splits, n, True, lists, spark.table(f"{name}_degrees"))
 
 
-def _write(spark: SparkSession, g: Graph) -> tuple[str, int]:
+#: Line items to a bucket (some four edges each), and the most buckets of a table.
+BUCKET_ROWS, MOST_BUCKETS = 4_000_000, 50_000
+
+
+def _write(spark: SparkSession, g: Graph, rows: int) -> tuple[str, int]:
     from ..operators.build import degrees, with_positions
     from ..plans.storage import shared_root
 
-    name, buckets = f"graph_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name, buckets = f"graph_{uuid.uuid4().hex}", min(MOST_BUCKETS, max(spark.sparkContext.defaultParallelism, rows // BUCKET_ROWS))
 
     def put(df: DataFrame, table: str, by: str, *order: str) -> DataFrame:
         out = df.repartition(buckets, by).write.option("path", f"{shared_root(spark)}/{name}_{table}")
