@@ -314,6 +314,12 @@ def _words(digests: bytes) -> np.ndarray:
     return np.frombuffer(digests, "<u8").reshape(-1, 2)
 
 
+def _of_column(t: pa.Table, name: str) -> np.ndarray:
+    """_words of a binary column whose values have 16 bytes each."""
+    col = pa.concat_arrays([c.cast(pa.binary(16)) for c in t.column(name).chunks])
+    return np.frombuffer(col.buffers()[1], "<u8", 2 * len(col), 16 * col.offset).reshape(-1, 2)
+
+
 def _starts(*columns: np.ndarray) -> np.ndarray:
     """Where a sorted run of rows begins: some column (of one or two dimensions) differs from the row before."""
     change = np.zeros(len(columns[0]), bool)
@@ -349,7 +355,7 @@ def _settle(length: int, hot: int, hot_rows: int):
 
     def work(t: pa.Table, crowded: bool):
         key, lo = (t.column(c).to_numpy() for c in ("key", "lo"))
-        ctx, uid = (_words(b"".join(t.column(c).to_pylist())) for c in ("ctx", "uid"))
+        ctx, uid = _of_column(t, "ctx"), _of_column(t, "uid")
         once = _starts(key, ctx, uid, lo)  # a text read by several tasks counts once
         t, key, ctx = t.filter(pa.array(once)), key[once], ctx[once]
         lo, hi, lead = (t.column(c).to_numpy() for c in ("lo", "hi", "lead"))
