@@ -225,7 +225,7 @@ def _verified(x: np.ndarray, norms: np.ndarray, i: np.ndarray, j: np.ndarray, th
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", threshold: float = THRESHOLD, group: int = GROUP) -> DataFrame:
     """One row per input row: vec_id, n_links, component_id, kept, and the audited recall.
 
-    audited_recall is the smaller of the search group's own audit and the recall of the AUDIT_NODES
+    audited_recall is the smaller of the search group's own audit and the recall of some AUDIT_NODES
     nodes whose links were counted against all of their labels; it is null where no vector is valid.
 
     Vectors link within one non-null label. Null, empty, zero and non-finite vectors, those with null
@@ -253,22 +253,43 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
 
 
 def _recall(nodes: DataFrame, counted: DataFrame, threshold: float, sample: int = AUDIT_NODES) -> float:
-    """Share of the true links of `sample` nodes (the first by hash, a bounded set) that were found.
+    """Share of the true links of about `sample` nodes (those of the smallest digests) that were found.
 
-    The sampled nodes are broadcast to all nodes of their label and dimension: brute force over whole
-    labels, whatever parted them into groups. Links to copies are none of the search's and not counted.
+    The sampled nodes go to all nodes of their label and dimension: brute force over whole labels,
+    whatever parted them into groups. Links to copies are none of the search's and not counted.
     """
-    picked = nodes.select("label", "dim", "hash", "rep", "v").orderBy("hash", "label").limit(sample)
-    asked = picked.select("label", "dim", F.col("hash").alias("asked"), F.col("rep").alias("asker"), F.col("v").alias("w"))
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    met = nodes.select("label", "dim", "hash", "n", "v").join(F.broadcast(asked), ["label", "dim"]).where("hash <> asked")
-    cosine = dot("v", "w") / (F.sqrt(dot("v", "v")) * F.sqrt(dot("w", "w")))
-    truth = met.where(cosine >= threshold).groupBy("asker").agg(F.sum("n").alias("true_links"))
+    share = sample / max(1, nodes.count())
+    digest = F.conv(F.substring("hash", 1, 12), 16, 10).cast("double")
+    picked = nodes.where(digest < share * 16.0**12).select("label", "dim", "hash", "rep", "v").collect()
+    asked: dict[tuple, list] = {}
+    for r in picked:
+        asked.setdefault((r["label"], r["dim"]), []).append(r)
+    held = {k: ([r["hash"] for r in rows], np.array([r["rep"] for r in rows], np.int64), _unit(np.array([r["v"] for r in rows], np.float64))) for k, rows in asked.items()}
+
+    def run(batches):
+        for b in batches:
+            label, dim = b.column("label").to_pylist(), b.column("dim").to_numpy()
+            of: dict[tuple, list[int]] = {}
+            for i, k in enumerate(zip(label, dim.tolist())):
+                if k in held:
+                    of.setdefault(k, []).append(i)
+            for k, at in of.items():
+                hashes, reps, w = held[k]
+                own = b.take(pa.array(at))
+                x = _unit(own.column("v").flatten().to_numpy(zero_copy_only=False).reshape(len(at), k[1]))
+                near = (x @ w.T >= threshold) & (np.array(own.column("hash").to_pylist())[:, None] != np.array(hashes)[None])
+                yield pa.RecordBatch.from_arrays([pa.array(reps), pa.array(own.column("n").to_numpy() @ near)], names=["asker", "n"])
+
+    truth = nodes.select("label", "dim", "hash", "n", "v").mapInArrow(run, "asker long, n long").groupBy("asker").agg(F.sum("n").alias("true_links"))
     both = truth.join(counted.select(F.col("rep").alias("asker"), "links"), "asker", "left")
     row = both.agg(F.sum(F.least("true_links", F.coalesce("links", F.lit(0)))), F.sum("true_links")).first()
     return 1.0 if not row[1] else row[0] / row[1]
 
 
+def _unit(x: np.ndarray) -> np.ndarray:
+    return x / np.linalg.norm(x, axis=1)[:, None]
+
+
 def _groups(nodes: DataFrame, group: int, threshold: float) -> DataFrame:
     """Nodes by search group: (label, dim, part, chunk, rep, n, v, home); every pair in range meets in exactly one.
 
@@ -327,8 +348,7 @@ def _moved(cells: DataFrame) -> DataFrame:
 
 def _rows(t: pa.Table, dim: int) -> np.ndarray:
     """The table's vectors at unit length."""
-    x = t.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
-    return x / np.linalg.norm(x, axis=1)[:, None]
+    return _unit(t.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dim))
 
 
 def _cell_runner(threshold: float, empty: pa.Table):
