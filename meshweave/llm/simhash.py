@@ -181,9 +181,12 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ra
     raw = F.coalesce(column(text_col), F.lit("")).cast("binary")
     tagged = docs.select(*[column(c) for c in docs.columns], F.unhex(F.substring(F.sha2(raw, 256), 1, 32)).alias(digest), column(id_col).cast("long").alias(same))
     found = _rooted(tagged.select(column(id_col), column(text_col), F.hex(column(digest)).alias("digest")), id_col, text_col, radius, ("digest",))
-    counted = found.groupBy("root", "doc_id", "digest").agg(F.count("*").alias("n"))
-    first = counted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "digest")).alias("m"))
-    rated = counted.join(first, "root").withColumn("kept", F.col("doc_id").eqNullSafe(F.col("m.doc_id")) & (F.col("digest") == F.col("m.digest")))
+    counted = found.groupBy("root", "component_id", "doc_id", "digest").agg(F.count("*").alias("n"))
+    # other ids than the smallest go; among the rows of that id (or of none, where all ids are null) the least digest stays
+    lowest = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    first = counted.where(lowest).groupBy("root").agg(F.min("digest").alias("least"))
+    rated = counted.where(lowest).join(first, "root").select("doc_id", "digest", "n", (F.col("digest") == F.col("least")).alias("kept"))
+    rated = rated.unionAll(counted.where(~lowest).select("doc_id", "digest", "n", F.lit(False)))
     flags = rated.where("not kept or n > 1").select(F.col("doc_id").alias("flag_id"), F.unhex("digest").alias("flag_digest"), F.when(F.col("kept"), "once").otherwise("drop").alias(flag))
     flags = stash(flags, "simhash-flags")
     few = F.broadcast(flags) if flags.count() <= BROADCAST_ROWS else flags
