@@ -579,7 +579,7 @@ def test_repeats_of_other_lengths(spark, length):
     rows += [(900 + k, "ab" * (length // 2 + k)) for k in range(3)] + [(910, noise(length - 1)), (911, "")]
     d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     want = Counter((i, *b) for (i, _), b in zip(rows, brute_repeats([t.encode() for _, t in rows], length)))
-    for options in ({}, {"hot": 1}, {"gram": length}, {"gram": 20}):
+    for options in ({}, {"hot": 1}, *([{"gram": length}, {"gram": 20}] if length == 300 else [])):
         assert Counter(map(tuple, suffix_dedup.digests(d, length=length, **options).collect())) == want, options
     with pytest.raises(ValueError):
         suffix_dedup.digests(d, length=length, gram=length + 1)
