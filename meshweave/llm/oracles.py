@@ -45,3 +45,41 @@ o AS (SELECT h, count(DISTINCT coalesce(source, '')) owners, count(DISTINCT conc
 r AS (SELECT doc_id, count(*) FILTER (kind = 'assign') n_assign, count(*) FILTER (kind = 'access') n_access, count(*) FILTER (kind = 'hex') n_hex, string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, no) FILTER (no < 3) base, string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, no) every,
  count(*) FILTER (owners < 3 AND strong) n_live, count(*) FILTER (owners >= 3) n_copied, coalesce(max(repos) FILTER (owners < 3 AND strong), 0) live_repos FROM f JOIN o USING (h) GROUP BY 1)
 SELECT d.doc_id, coalesce(n_assign, 0) n_assign, coalesce(n_access, 0) n_access, coalesce(n_hex, 0) n_hex, sha256(coalesce(base, '')) base_sha256, coalesce(every, '') spans, coalesce(n_live, 0) n_live, coalesce(n_copied, 0) n_copied, coalesce(live_repos, 0) live_repos FROM d LEFT JOIN r USING (doc_id)"""
+
+_AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+_SHARE = "1 + CAST((1000000000::HUGEINT * (n + 2)) // (total + 2 * v) AS BIGINT)"
+_GAP = "((p - q) * (p - q)) // (p + q)"
+
+DIVERGENCE = rf"""WITH d AS (SELECT coalesce(lang, '') lang, coalesce(source, '') source,
+  regexp_extract_all(translate(coalesce(text, ''), {_AZ}), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') t FROM documents),
+grp AS (SELECT DISTINCT lang, source FROM d),
+cnt AS (SELECT lang, source, term, count(*) n FROM (SELECT lang, source, unnest(t) term FROM d) GROUP BY ALL),
+kept AS (SELECT lang, term FROM (SELECT lang, unnest(list_distinct(t)) term FROM d) GROUP BY ALL HAVING count(*) >= 10),
+voc AS (SELECT lang, count(*) v FROM kept GROUP BY 1),
+own AS (SELECT lang, source, sum(n) total FROM cnt JOIN kept USING (lang, term) GROUP BY ALL),
+everyone AS (SELECT lang, sum(total) total FROM own GROUP BY 1), lang_n AS (SELECT lang, term, sum(n) n FROM cnt JOIN kept USING (lang, term) GROUP BY ALL),
+q AS (SELECT lang, term, {_SHARE} q FROM lang_n JOIN everyone USING (lang) JOIN voc USING (lang)),
+dense AS (SELECT lang, source, term, n, {_SHARE} p FROM (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) n, coalesce(o.total, 0) total, v FROM grp g JOIN kept k USING (lang) JOIN voc USING (lang)
+  LEFT JOIN cnt c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term LEFT JOIN own o ON o.lang = g.lang AND o.source = g.source)),
+far AS (SELECT lang, source, item, sum({_GAP}) f FROM (SELECT a.lang, a.source, b.source item, a.p, b.p q FROM dense a JOIN dense b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source) GROUP BY ALL),
+scored AS (SELECT a.lang, a.source, 'pair' part, b.source item, CAST(coalesce(f, 0) AS BIGINT) AS value FROM grp a JOIN grp b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN far ON far.lang = a.lang AND far.source = a.source AND far.item = b.source
+ UNION ALL SELECT lang, source, 'term', term, CAST({_GAP} AS BIGINT) FROM dense JOIN q USING (lang, term) WHERE n > 0 AND p > q)
+SELECT * FROM (SELECT lang, source, part, item, value, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM scored) WHERE part = 'pair' OR rank <= 10"""
+
+NEGATIVES = f"""WITH e AS (SELECT row_number() OVER () r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (CAST(label AS BIGINT) + 1) % 10 ELSE label END AS label,
+  list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) q FROM embeddings WHERE {_VALID} AND label IS NOT NULL),
+s AS (SELECT a.r, a.vec_id anchor_id, b.vec_id, a.label = b.label same, CAST(list_inner_product(a.q, b.q) AS BIGINT) score FROM e a JOIN e b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
+pos AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) k FROM s WHERE same) WHERE k <= 5),
+neg AS (SELECT p.anchor_id, p.vec_id positive_id, CAST(row_number() OVER (PARTITION BY p.r, k ORDER BY s.score DESC, s.vec_id) AS INTEGER) AS rank, s.vec_id negative_id, p.score positive_score, s.score negative_score
+  FROM pos p JOIN s ON s.r = p.r AND NOT s.same AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score)
+SELECT * FROM neg WHERE rank <= 3"""
+
+RESHARDING = """WITH poly AS (SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, b: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, i)) tab),
+b AS (SELECT doc_id, coalesce(source, '') source, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: CAST('0x' || h AS BIGINT)) l FROM documents),
+d AS (SELECT doc_id, len(l) + 8 size, xor(list_reduce(l, lambda c, x: xor(c >> 8, tab[(xor(c, x) & 255) + 1]), 4294967295), 4294967295) text_crc32, CAST(CAST('0x' || substr(md5(source), 1, 8) AS BIGINT) % 24 AS INTEGER) old_shard FROM b, poly),
+o AS (SELECT *, row_number() OVER (PARTITION BY old_shard ORDER BY size DESC, doc_id NULLS FIRST, text_crc32) - 1 nth FROM d),
+c AS (SELECT CAST(range AS INTEGER) s, (SELECT count(*) FROM o) // 24 least, (SELECT count(*) FROM o) % 24 more, (SELECT count(*) FROM o WHERE old_shard = range) n, (SELECT size FROM o WHERE old_shard = range AND nth = (SELECT count(*) FROM o) // 24) edge FROM range(24)),
+f AS (SELECT *, least + CASE WHEN row_number() OVER (ORDER BY edge DESC NULLS LAST, s) <= more THEN 1 ELSE 0 END room FROM c),
+g AS (SELECT s, least(n, room) kept, sum(room - least(n, room)) OVER (ORDER BY s) - (room - least(n, room)) AS low, sum(room - least(n, room)) OVER (ORDER BY s) AS high FROM f),
+m AS (SELECT o.*, kept, CASE WHEN nth >= kept THEN row_number() OVER (PARTITION BY nth >= kept ORDER BY old_shard, nth) - 1 END place FROM o JOIN g ON s = old_shard)
+SELECT doc_id, size, text_crc32, 'rows' law, CAST(coalesce(g.s, old_shard) AS INTEGER) AS shard, CAST(CASE WHEN g.s IS NULL THEN nth ELSE g.kept + place - low END AS BIGINT) slot, CAST(NULL AS INTEGER) grown_shard, old_shard FROM m LEFT JOIN g ON place >= low AND place < high"""

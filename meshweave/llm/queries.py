@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import bpe, chat, oracles, packing, pii, quality, secret_scan, simhash, suffix_dedup, topk, vector_graph
+from . import bpe, chat, divergence, mining, oracles, packing, pii, quality, resharding, secret_scan, simhash, suffix_dedup, topk, vector_graph
 from .common import table
 
 
@@ -58,7 +58,30 @@ def op10_vectors(spark, sf_dir):
     return vector_graph.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_bpe, op3_packing, op4_chat, op5_quality, op6_simhash, op7_topk, op8_suffix, op9_secrets, op10_vectors)}
+def op11_divergence(spark, sf_dir):
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op12_negatives(spark, sf_dir):
+    label = F.col("label").cast("long")
+    noisy = F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label)
+    rows = mining.prepared(table(spark, sf_dir, "embeddings").withColumn("label", noisy))
+    return mining.mine(rows, F.col("vec_id") % 50 == 0)
+
+
+def op13_resharding(spark, sf_dir):
+    # the layout there is now: each source whole in one shard
+    return resharding.reshard(table(spark, sf_dir, "documents"), resharding.hashed_shard(F.col("source")))
+
+
+_OPERATORS = (
+    op1_pii, op2_bpe, op3_packing, op4_chat, op5_quality, op6_simhash, op7_topk, op8_suffix, op9_secrets, op10_vectors,
+    op11_divergence, op12_negatives, op13_resharding,
+)
+QUERIES = {f.__name__: f for f in _OPERATORS}
 
 #: The others have no SQL form (tokenizers, convolutions, XXH64, Luhn sums, byte windows): tests hold them against brute force.
-ORACLE_SQL = {"op4_chat": oracles.CHAT, "op7_topk": oracles.TOPK, "op9_secrets": oracles.SECRETS, "op10_vectors": oracles.VECTORS}
+ORACLE_SQL = {
+    "op4_chat": oracles.CHAT, "op7_topk": oracles.TOPK, "op9_secrets": oracles.SECRETS, "op10_vectors": oracles.VECTORS,
+    "op11_divergence": oracles.DIVERGENCE, "op12_negatives": oracles.NEGATIVES, "op13_resharding": oracles.RESHARDING,
+}
