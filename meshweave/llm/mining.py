@@ -47,8 +47,7 @@ def _bundles(most: int):
     """Rows (vec_id, label, v) of a partition as blocks of at most `most` vectors of one length."""
 
     def block(dim, ids, labels, vectors):
-        m = np.concatenate(vectors).reshape(-1, dim)
-        data = [pa.array([x], t) for x, t in ((dim, pa.int32()), (np.concatenate(ids).tobytes(), pa.binary()), (np.concatenate(labels).tobytes(), pa.binary()), (m.tobytes(), pa.binary()))]
+        data = [pa.array([x], t) for x, t in ((dim, pa.int32()), (np.concatenate(ids).tobytes(), pa.binary()), (np.concatenate(labels).tobytes(), pa.binary()), (np.concatenate(vectors).tobytes(), pa.binary()))]
         return pa.RecordBatch.from_arrays(data, names=["dim", "ids", "labels", "data"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

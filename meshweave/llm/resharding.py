@@ -54,7 +54,7 @@ class Network:
         while changed:
             nodes, changed = changed, []
             for a in nodes:
-                for i in self.arcs[a]:
+                for i in self.arcs.get(a, []):
                     b, price = self.to[i], far[a] + self.cost[i]
                     if self.left[i] and price < far.get(b, price + 1):
                         far[b], by[b] = price, i
@@ -191,16 +191,16 @@ def rewrite(spark: SparkSession, folder: str, shards: int, text_col: str = "text
     Reading the paths returned gives exactly the rows of the folder.
     """
     docs = spark.read.option("basePath", folder).parquet(f"{folder}/shard=*")
-    where = docs.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__at"))
-    rows = measured(where, F.col("shard"), F.col("__file"), F.col("__at"), text_col=text_col, id_col=id_col)
+    where = docs.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__nth"))
+    rows = measured(where, F.col("shard"), F.col("__file"), F.col("__nth"), text_col=text_col, id_col=id_col)
     placed, moves = place(rows, shards)
     lost = {t.old for t in moves if t.old != t.shard}
     touched = sorted({t.shard for t in moves if t.old != t.shard} | (lost & set(range(shards))))
     out = f"{folder}/moved-{uuid.uuid4().hex}"
-    placed = placed.select("__file", "__at", F.col("shard").alias("__shard"), "size")
+    placed = placed.select("__file", "__nth", F.col("shard").alias("__shard"), "size")
     if touched:
         moving = placed.where(F.col("__shard").isin(touched)).drop("size")
-        whole = where.drop("shard").join(moving, ["__file", "__at"]).drop("__file", "__at").withColumnRenamed("__shard", "shard")
+        whole = where.drop("shard").join(moving, ["__file", "__nth"]).drop("__file", "__nth").withColumnRenamed("__shard", "shard")
         whole.repartition(4 * len(touched), "shard", F.pmod(F.xxhash64(column(id_col)), F.lit(4))).write.partitionBy("shard").parquet(out)
     path = F.when(F.col("shard").isin(touched), F.lit(out)).otherwise(F.lit(folder))
     sums = placed.groupBy(F.col("__shard").alias("shard")).agg(F.count("*").alias("rows"), F.sum("size").alias("bytes"))
