@@ -1,9 +1,9 @@
 """Chat formatting with budgeted, turn-aligned windows, in DataFrame functions only.
 
 A running sum of turn tokens cuts a conversation into spans of whole turns. Each span becomes one
-formatted window: the latest system turn before it again, a bounded suffix of the turns before it as
-history, then the span. Each of the three has its budget, so a window is bounded unless one turn
-alone is longer than a span. The loss mask covers the assistant texts of the span only, so a turn
+formatted window: the latest system turn before it again and whole, a bounded suffix of the turns before
+it as history, then the span. Span and history have budgets, so a window is bounded unless a single turn,
+of the span or the system's, is longer than that. The loss mask covers the assistant texts of the span only, so a turn
 repeated as history is never a target twice.
 """
 
@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 START, END = "<|im_start|>", "<|im_end|>"
 SPAN_TOKENS = 1024
 HISTORY_TOKENS = 256
-SYSTEM_TOKENS = 256
 TURN_OVERHEAD = 4
 TURN = "struct<idx:int,role:string,text:string>"
 
@@ -50,14 +49,15 @@ def _within(turn: Column, tokens: int) -> Column:
     return F.struct(turn.getField("idx").alias("idx"), role.alias("role"), cut.alias("text"))
 
 
-def windows(turns: DataFrame, span_tokens: int = SPAN_TOKENS, history_tokens: int = HISTORY_TOKENS, system_tokens: int = SYSTEM_TOKENS) -> DataFrame:
+def windows(turns: DataFrame, span_tokens: int = SPAN_TOKENS, history_tokens: int = HISTORY_TOKENS, system_tokens: int | None = None) -> DataFrame:
     """(conv_id, window, n_turns, n_context, formatted, loss): loss is an array of (start, length) code points.
 
     Turns are ordered by turn (nulls first), role, text; null roles and texts count as empty;
     repeated rows stay repeated turns; rows with a null conv_id form one conversation; other
     columns are left out; an empty table gives no windows. A window's span holds at most
     span_tokens unless one turn alone is longer, its history at most history_tokens in whole turns;
-    a system turn longer than system_tokens is repeated up to about that many, and whole in its span.
+    the system turn is repeated whole. system_tokens, where given, cuts what is repeated of a longer
+    system turn to about so many tokens, for callers whose windows must not grow with it.
     """
     base = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     base = base.withColumn("tokens", turn_tokens(F.col("role"), F.col("text")))
@@ -80,7 +80,8 @@ def windows(turns: DataFrame, span_tokens: int = SPAN_TOKENS, history_tokens: in
     made = rows.groupBy("conv_id", "window").agg(
         F.array_sort(F.collect_list(turn)).alias("span"), F.max(F.when(F.col("first"), F.struct(F.col("idx"), F.col("history"), F.col("system")))).alias("lead"),
     )
-    opening = F.when(F.col("lead.system").isNull(), F.array().cast(f"array<{TURN}>")).otherwise(F.array(_within(F.col("lead.system"), system_tokens)))
+    repeated = F.col("lead.system") if system_tokens is None else _within(F.col("lead.system"), system_tokens)
+    opening = F.when(F.col("lead.system").isNull(), F.array().cast(f"array<{TURN}>")).otherwise(F.array(repeated))
     history = F.filter(F.coalesce("lead.history", F.array().cast(f"array<{TURN}>")), lambda t: F.col("lead.system").isNull() | (t["idx"] != F.col("lead.system.idx")))
     made = made.select("conv_id", "window", "span", F.concat(opening, history).alias("context"))
 
