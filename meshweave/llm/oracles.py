@@ -12,10 +12,10 @@ c AS (SELECT *, CAST(coalesce(sum(tokens) OVER (PARTITION BY conv_id ORDER BY id
 f AS (SELECT *, before_ // 512 step, CASE WHEN tokens > 512 THEN 1 ELSE 0 END long_ FROM c),
 g AS (SELECT *, CASE WHEN long_ + coalesce(lag(long_) OVER w, 0) > 0 OR coalesce(lag(step) OVER w < step, true) THEN 1 ELSE 0 END first_,
   coalesce(sum(chars) OVER (PARTITION BY conv_id ORDER BY before_ RANGE BETWEEN 256 PRECEDING AND 1 PRECEDING), 0) history,
-  first_value(CASE WHEN role = 'system' THEN chars ELSE 0 END) OVER w sys FROM f WINDOW w AS (PARTITION BY conv_id ORDER BY before_))
+  last_value(CASE WHEN role = 'system' THEN [chars, before_] END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY before_ ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) sys FROM f WINDOW w AS (PARTITION BY conv_id ORDER BY before_))
 SELECT conv_id, count(*) n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY idx)) turns_sha256,
  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY idx) FILTER (role = 'assistant'), '')) loss_sha256,
- CAST(sum(chars + CASE WHEN first_ = 1 THEN history + CASE WHEN idx > 1 AND before_ > 256 THEN sys ELSE 0 END ELSE 0 END) AS BIGINT) formatted_chars, CAST(sum(first_) AS BIGINT) n_windows FROM g GROUP BY 1"""
+ CAST(sum(chars + CASE WHEN first_ = 1 THEN history + CASE WHEN sys[2] < before_ - 256 THEN sys[1] ELSE 0 END ELSE 0 END) AS BIGINT) formatted_chars, CAST(sum(first_) AS BIGINT) n_windows FROM g GROUP BY 1"""
 
 _VALID = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
 
@@ -23,7 +23,7 @@ TOPK = f"""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(6
 SELECT query_id, CAST(rk AS INTEGER) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) rk FROM
  (SELECT a.vec_id query_id, b.vec_id, CAST(list_inner_product(a.q, b.q) AS BIGINT) score FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0)) WHERE rk <= 20"""
 
-VECTORS = f"""WITH RECURSIVE v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) e FROM embeddings WHERE {_VALID} AND label IS NOT NULL AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+VECTORS = f"""WITH RECURSIVE v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE) / pow(2.0::DOUBLE, floor(log2(list_max(list_transform(embedding, lambda y: abs(CAST(y AS DOUBLE)))))))) e FROM embeddings WHERE {_VALID} AND label IS NOT NULL AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
 l AS (SELECT a.vec_id a, b.vec_id b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE list_inner_product(a.e, b.e) / (sqrt(list_inner_product(a.e, a.e)) * sqrt(list_inner_product(b.e, b.e))) >= 0.93),
 reach AS (SELECT vec_id a, vec_id b FROM v UNION SELECT reach.a, l.b FROM reach JOIN l ON l.a = reach.b),
 comp AS (SELECT a vec_id, min(b) component_id FROM reach GROUP BY 1)

@@ -286,7 +286,13 @@ def _recall(nodes: DataFrame, counted: DataFrame, threshold: float, sample: int
     return 1.0 if not row[1] else row[0] / row[1]
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times powers of two that bring their largest components near one: exact, and squares neither overflow nor vanish."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(1, keepdims=True))[1]) if x.size else x
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
+    x = scaled(x)
     return x / np.linalg.norm(x, axis=1)[:, None]
 
 
@@ -376,7 +382,7 @@ def _group_runner(threshold: float):
     def run(key, t):
         t = t.sort_by("rep")
         rep, n, home = (t.column(c).to_numpy(zero_copy_only=False) for c in ("rep", "n", "home"))
-        x = t.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, key[1].as_py())
+        x = scaled(t.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, key[1].as_py()))
         links, root, recall, tree = np.zeros(len(rep), np.int64), rep.copy(), None, []
         if key[3].as_py() == 0:
             a, b, recall = group_links(x, threshold)
