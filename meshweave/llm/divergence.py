@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 
 from .common import column, stash
 
-#: A term is a run of ASCII letters and of characters beyond ASCII.
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+#: A term is a run of ASCII letters and of characters beyond ASCII, [^\x00-\x40\x5B-\x60\x7B-\x7F]+, here for texts
+#: without A-Z; the commonest letters come first, so that most characters are settled by one comparison.
+TERM = r"[a-z\x{80}-\x{10FFFF}]+"
 #: Documents of a language that must hold a term for it to be kept; ranks of the terms that are told of each source.
 LEAST_DOCS, TOP_TERMS = 10, 10
 #: Probabilities are told in parts of STEP ** 3.
