@@ -28,7 +28,7 @@ SHARD = 512
 DEGREE = 24
 CANDIDATES = 48
 ALPHA = 1.2
-BEAM = 32
+BEAM = 16
 CENTRES = 64
 LEVELS = 6
 AUDIT = 128
@@ -137,15 +137,19 @@ class FlatGraph:
                 break
             opened[who, node] = True
             for a in range(0, len(who), 1 << 15):
-                self._meet(target, seen, sims, who[a : a + (1 << 15)], self.adj[node[a : a + (1 << 15)]])
+                self._meet(target, seen, sims, who[a : a + (1 << 15)], self.adj[node[a : a + (1 << 15)]], once=False)
         return [np.flatnonzero(s >= near_by) for s in sims]
 
-    def _meet(self, target, seen, sims, who: np.ndarray, near: np.ndarray) -> np.ndarray:
-        """Scores the neighbours (a row of near for each query in who) not seen before; tells which these are."""
+    def _meet(self, target, seen, sims, who: np.ndarray, near: np.ndarray, once: bool = True) -> np.ndarray:
+        """Scores the neighbours (a row of near for each query in who) not seen before; tells which these are.
+
+        once says that no query is there twice, so that no neighbour can be either.
+        """
         new = (near >= 0) & ~seen[who[:, None], near]
         r, c = np.nonzero(new)
-        at = np.unique(who[r] * seen.shape[1] + near[r, c])  # several nodes of one query may share a neighbour
-        q, what = np.divmod(at, seen.shape[1])
+        q, what = who[r], near[r, c]
+        if not once:  # several nodes of one query may share a neighbour
+            q, what = np.divmod(np.unique(q * seen.shape[1] + what), seen.shape[1])
         seen[q, what] = True
         for a in range(0, len(q), 1 << 17):
             z = slice(a, a + (1 << 17))
