@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar
 from ..functions.rand import u32
+from ..functions.ranks import global_rank
 from ..operators import analytics, build, checks
-from ..sources import dataset, files, market
+from ..sources import dataset, files, market, npz, webgraph
 from .declare import query
 from .sql import md5, with_
 from .sql import u32 as sql_u32
@@ -92,18 +93,30 @@ def a7_csv_gz(spark, sf_dir):
     return files.read_csv(spark, path, "p_partkey long, p_name string, p_retailprice double")
 
 
-@query("SELECT CAST(n_nationkey AS BIGINT) src, CAST(n_regionkey AS BIGINT) dst, round(n_nationkey * 0.5::DOUBLE, 6) left_x, round(n_regionkey * 0.25::DOUBLE, 6) right_x FROM nation")
+@query("""SELECT CAST(l_partkey AS BIGINT) src, CAST(l_suppkey AS BIGINT) dst, round(p_retailprice * 0.5::DOUBLE, 4) x, CAST(p_size AS DOUBLE) y
+ FROM lineitem JOIN part ON l_partkey = p_partkey""")
 def a8_npz(spark, sf_dir):
-    """A small graph's two-row edge index and two-column features, from an NPZ file."""
-    import numpy as np
-
+    """All pairs of the line items as an index of two rows, and features of all parts, through one NPZ file."""
     path = f"{_folder(spark, 'npz')}/graph.npz"
-    rows = np.array([tuple(r) for r in market.read(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey").collect()], np.int64)
-    files.write_npz(path, edge_index=rows.T, node_feat=np.array([[k * 0.5, k * 0.25] for k in range(int(rows.max()) + 1)]))
-    x = files.read_npz(spark, path, "node_feat")
-    left = x.select(F.col("pos").alias("src"), F.round(F.col("value")[0], 6).alias("left_x"))
-    right = x.select(F.col("pos").alias("dst"), F.round(F.col("value")[1], 6).alias("right_x"))
-    return files.edges_from_npz(spark, path).join(left, "src").join(right, "dst").select("src", "dst", "left_x", "right_x")
+    pairs = market.read(spark, sf_dir, "lineitem").select(F.col("l_partkey").cast("long").alias("src"), F.col("l_suppkey").cast("long").alias("dst"))
+    placed = materialise(global_rank(pairs, [F.col("src"), F.col("dst")], "pos"), "npz-pairs")
+    n = placed.count()
+    both = placed.select(F.posexplode(F.array("src", "dst")).alias("row", "value"), "pos")
+    index = both.select((F.col("row") * F.lit(n).cast("long") + F.col("pos")).alias("pos"), "value")
+    part = market.read(spark, sf_dir, "part")
+    two = F.array(F.col("p_retailprice").cast("double") * 0.5, F.col("p_size").cast("double"))
+    feat = part.select(F.col("p_partkey").cast("long").alias("pos"), two.alias("value"))
+    npz.write_npz(spark, path, edge_index=(index, "i64", (2, n)), node_feat=(feat, "f64", (part.count(), 2)))
+    x = npz.read_npz(spark, path, "node_feat", split=1 << 20).select(F.col("pos").alias("src"), F.round(F.col("value")[0], 4).alias("x"), F.col("value")[1].alias("y"))
+    return npz.edges_from_npz(spark, path, split=1 << 20).join(x, "src").select("src", "dst", "x", "y")
+
+
+@query(with_(["edges"], "SELECT src, dst FROM edges"))
+def a10_webgraph(spark, sf_dir):
+    """The market graph as a compressed web graph with references and runs, decoded step by step."""
+    base, g = f"{_folder(spark, 'webgraph')}/market", market.market(spark, sf_dir)
+    webgraph.write_webgraph(g.edges, g.num_nodes, base)
+    return webgraph.read_webgraph(spark, base, step=512)
 
 
 @query(with_(["deg"], "SELECT node_id, in_degree, out_degree FROM deg"))
