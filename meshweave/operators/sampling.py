@@ -44,13 +44,21 @@ def khop(edges: DataFrame, frontier: DataFrame, fanout: int, seed: int, layer: i
     return _first(met, draw(seed, F.col("batch_key"), layer, F.col("dst"), F.col("src"), *more), fanout)
 
 
-def khop_places(adj: DataFrame, frontier: DataFrame, fanout: int, seed: int, layer: int = 0) -> DataFrame:
+def _lengths(adj: DataFrame, degrees: DataFrame | None) -> DataFrame:
+    """(dst, deg) of every list: from degrees(node_id, in_degree) where they are at hand, a row a node, else from the lists' first places."""
+    if degrees is None:
+        return adj.select("dst", "deg").where("pos = 0")
+    return degrees.select(F.col("node_id").alias("dst"), F.col("in_degree").alias("deg"))
+
+
+def khop_places(adj: DataFrame, frontier: DataFrame, fanout: int, seed: int, layer: int = 0, degrees: DataFrame | None = None) -> DataFrame:
     """Uniform without replacement over the positions of adj(dst, pos, src, deg), by fanout draws whatever the degree.
 
     The positions are a uniform subset by Floyd's rule: for k = deg - fanout .. deg - 1, a draw from
-    0..k is taken, or k itself if the draw is already in. Only these positions meet the lists.
+    0..k is taken, or k itself if the draw is already in. Only these positions meet the lists: where those
+    lie in buckets by (dst, pos), the draws alone are shuffled, and a hub's draws go to all of its buckets.
     """
-    deg = adj.select("dst", "deg").where("pos = 0")
+    deg = _lengths(adj, degrees)
     start = F.greatest(F.col("deg") - fanout, F.lit(0).cast("long"))
 
     def add(taken, k):
@@ -59,13 +67,13 @@ def khop_places(adj: DataFrame, frontier: DataFrame, fanout: int, seed: int, lay
 
     places = F.aggregate(F.sequence(start, F.col("deg") - 1), F.array().cast("array<bigint>"), add)
     drawn = _meet(deg, frontier).where("deg > 0").select("batch_key", "dst", F.explode(places).alias("pos"))
+    drawn = materialise(drawn, "drawn")  # so that the join goes by the true number of draws
     return drawn.join(adj.select("dst", "pos", "src"), ["dst", "pos"]).select("batch_key", "dst", "src")
 
 
-def khop_replace(adj: DataFrame, frontier: DataFrame, fanout: int, seed: int, layer: int = 0) -> DataFrame:
+def khop_replace(adj: DataFrame, frontier: DataFrame, fanout: int, seed: int, layer: int = 0, degrees: DataFrame | None = None) -> DataFrame:
     """Uniform with replacement: fanout draws of a position each, equal neighbours once."""
-    deg = adj.select("dst", "deg").where("pos = 0")
-    draws = _meet(deg, frontier).select("batch_key", "dst", "deg", F.explode(F.sequence(F.lit(0), F.lit(fanout - 1))).alias("turn"))
+    draws = _meet(_lengths(adj, degrees).where("deg > 0"), frontier).select("batch_key", "dst", "deg", F.explode(F.sequence(F.lit(0), F.lit(fanout - 1))).alias("turn"))
     draws = draws.select("batch_key", "dst", (u32(seed, F.col("batch_key"), layer, F.col("dst"), F.col("turn")) % F.col("deg")).alias("pos"))
     return draws.join(adj.select("dst", "pos", "src"), ["dst", "pos"]).select("batch_key", "dst", "src").distinct()
 

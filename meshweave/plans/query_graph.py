@@ -333,7 +333,6 @@ def g6_reach(spark, sf_dir):
     return analytics.reach_sizes(analytics.reach_by_hop(g.edges, market.train_set(g)), g.num_nodes)
 
 
-g6_reach_whole = g6_reach
 
 
 @query(with_(["edges", "train", "size"], """SELECT hop, CAST(sum(n) OVER (ORDER BY hop) AS BIGINT) num_node, round(sum(n) OVER (ORDER BY hop) * 100.0::DOUBLE / (SELECT p + s + c FROM size), 6) node_pct FROM (SELECT hop, count(*) n FROM (SELECT id, min(hop) hop FROM walk GROUP BY 1) GROUP BY 1)""",

@@ -8,7 +8,7 @@ from ..functions.rand import draw
 from ..operators import batching, blocks, build, cache, gather, layers, sampling, weights
 from ..sources import market
 from .declare import query
-from .sql import BATCH, EPOCHS, SEED, khop, layered, md5, u32, uniform, with_
+from .sql import BATCH, EPOCHS, SEED, khop, khop_digest, layered, md5, u32, uniform, with_
 
 TWO = layered("frontier", [10, 5])
 WALKS, STEPS, RESTART, TOP = 4, 3, 0.5, 5
@@ -27,7 +27,7 @@ def frontier(spark, sf_dir):
 def two_layers(spark, sf_dir, every_epoch: bool = False):
     g, b = batches(spark, sf_dir)
     seeds = (b if every_epoch else b.where("epoch = 0")).select("batch_key", "node_id", "pos")
-    hops = [lambda f, layer, n=n: sampling.khop(g.edges, f, n, SEED, layer, g.simple) for n in (10, 5)]
+    hops = [lambda f, layer, n=n: sampling.khop_places(g.lists, f, n, SEED, layer, g.degrees) for n in (10, 5)]
     return g, b, blocks.sample_blocks(seeds, hops)
 
 
@@ -47,7 +47,7 @@ def j5_workers(spark, sf_dir):
     return b.groupBy("batch_key", batching.aligned_worker(F.col("step"), 3).alias("trainer"), batching.sampler_worker(F.col("step"), steps, 3).alias("sampler")).agg(F.count("*").alias("num_node"))
 
 
-@query(with_(["edges", "frontier"], "SELECT batch_key, dst, src FROM s", s=khop("frontier", 10, 0)))
+@query(with_(["edges", "frontier"], "SELECT batch_key, dst, src FROM s", s=khop_digest("frontier", 10, 0)))
 def c1_khop_uniform(spark, sf_dir):
     g, f = frontier(spark, sf_dir)
     return sampling.khop(g.edges, f, 10, SEED, simple=g.simple)
@@ -77,11 +77,7 @@ def c1_multigraph(spark, sf_dir):
     return sampling.khop(edges, asked, 8, SEED)
 
 
-@query(f"""WITH {', '.join(f'{k} AS ({v})' for k, v in MULTI.items())}, hubs AS (SELECT a.batch_key, p.dst, p.deg FROM asked a JOIN places p ON p.dst = a.node_id AND p.pos = 0),
- drawn AS (SELECT batch_key, dst, k, {u32(SEED, 'batch_key', 0, 'dst', 'k')} % (k + 1) t FROM (SELECT batch_key, dst, unnest(range(greatest(deg - 8, 0), deg)) k FROM hubs)),
- listed AS (SELECT batch_key, dst, list([t, k] ORDER BY k) l FROM drawn GROUP BY 1, 2),
- taken AS (SELECT batch_key, dst, unnest(list_reduce(l, lambda a, x: list_append(a, CASE WHEN list_contains(a, x[1]) THEN x[2] ELSE x[1] END), CAST([] AS BIGINT[]))) pos FROM listed)
- SELECT batch_key, dst, src FROM taken JOIN places USING (dst, pos)""")
+@query(f"WITH {', '.join(f'{k} AS MATERIALIZED ({v})' for k, v in MULTI.items())} {khop('asked', 8, 0, 'places')}")
 def c3_multigraph_places(spark, sf_dir):
     """The same law by as many draws as neighbours wanted, whatever the degree."""
     edges, asked = _multigraph(spark, sf_dir)
@@ -91,14 +87,14 @@ def c3_multigraph_places(spark, sf_dir):
 @query(with_(["adj", "frontier"], f"SELECT DISTINCT d.batch_key, d.dst, a.src FROM (SELECT f.batch_key, g.dst, {u32(SEED, 'f.batch_key', 0, 'g.dst', 't')} % g.deg pos FROM frontier f JOIN adj g ON g.dst = f.node_id AND g.pos = 0, (SELECT unnest(range(10)) t)) d JOIN adj a ON a.dst = d.dst AND a.pos = d.pos"))
 def c2_khop_replace(spark, sf_dir):
     g, f = frontier(spark, sf_dir)
-    return sampling.khop_replace(g.lists, f, 10, SEED)
+    return sampling.khop_replace(g.lists, f, 10, SEED, degrees=g.degrees)
 
 
 @query(with_(["edges", "frontier"], "SELECT batch_key, dst, src FROM s", s=khop("frontier", 25, 3)))
 def c3_khop_fisher(spark, sf_dir):
-    """A partial Fisher-Yates draw has the law of the uniform sample without replacement."""
+    """Positions without replacement, as many draws as neighbours wanted: the law of a partial Fisher-Yates shuffle."""
     g, f = frontier(spark, sf_dir)
-    return sampling.khop(g.edges, f, 25, SEED, 3, g.simple)
+    return sampling.khop_places(g.lists, f, 25, SEED, 3, g.degrees)
 
 
 def _alias(g):
@@ -133,7 +129,7 @@ def c5_khop_prefix(spark, sf_dir):
     return sampling.khop_prefix(table, f, 10, SEED)
 
 
-@query(with_(["inverse", "frontier"], "SELECT batch_key, dst, src FROM s", s=khop("frontier", 10, 0, "inverse", f"-ln({uniform(SEED, 'f.batch_key', 0, 'e.dst', 'e.src')}) / e.w")))
+@query(with_(["inverse", "frontier"], "SELECT batch_key, dst, src FROM s", s=khop_digest("frontier", 10, 0, "inverse", f"-ln({uniform(SEED, 'f.batch_key', 0, 'e.dst', 'e.src')}) / e.w")))
 def c6_khop_weighted(spark, sf_dir):
     g, f = frontier(spark, sf_dir)
     return sampling.khop_weighted(weights.edge_weights(g.edges, _degrees(g), "inverse_source_degree"), f, 10, SEED, simple=g.simple)
@@ -223,7 +219,7 @@ def c11_blocks(spark, sf_dir):
 @query(with_(["edges", "frontier"], "SELECT batch_key, count(*) num_prefetch FROM (SELECT DISTINCT batch_key, src FROM k1 JOIN edges ON dst = node_id) GROUP BY 1", **TWO))
 def c12_prefetch(spark, sf_dir):
     g, f = frontier(spark, sf_dir)
-    _, reached = blocks.sample_layers(f, [lambda x, layer: sampling.khop(g.edges, x, 10, SEED, layer, g.simple)])
+    _, reached = blocks.sample_layers(f, [lambda x, layer: sampling.khop_places(g.lists, x, 10, SEED, layer, g.degrees)])
     return blocks.prefetch_set(g.edges, reached).groupBy("batch_key").agg(F.count("*").alias("num_prefetch"))
 
 
@@ -320,7 +316,7 @@ def g18_hit_rate(spark, sf_dir):
 @query(with_(["edges", "frontier"], "SELECT i.batch_key, count(*) num_input, count(p.node_id) num_hit FROM ids i LEFT JOIN (SELECT DISTINCT batch_key + 1 batch_key, src node_id FROM k1 JOIN edges ON dst = node_id) p ON p.batch_key = i.batch_key AND p.node_id = i.node_id GROUP BY 1", **TWO))
 def e10_dynamic_hits(spark, sf_dir):
     g, f = frontier(spark, sf_dir)
-    hops = [lambda x, layer, n=n: sampling.khop(g.edges, x, n, SEED, layer, g.simple) for n in (10, 5)]
+    hops = [lambda x, layer, n=n: sampling.khop_places(g.lists, x, n, SEED, layer, g.degrees) for n in (10, 5)]
     _, first = blocks.sample_layers(f, hops[:1])
     r = blocks.sample_blocks(f, hops)
     return gather.dynamic_hits(r.inputs(), blocks.prefetch_set(g.edges, first))
@@ -330,7 +326,7 @@ def e10_dynamic_hits(spark, sf_dir):
 def e10_dynamic_gather(spark, sf_dir):
     """Features of a batch's inputs, taken from what the batch before prefetched where that has them."""
     g, f = frontier(spark, sf_dir)
-    hops = [lambda x, layer, n=n: sampling.khop(g.edges, x, n, SEED, layer, g.simple) for n in (10, 5)]
+    hops = [lambda x, layer, n=n: sampling.khop_places(g.lists, x, n, SEED, layer, g.degrees) for n in (10, 5)]
     r = blocks.sample_blocks(f, hops)
     near = blocks.prefetch_set(g.edges, r.id_map.where("reached < 2"))
     got = gather.dynamic_gather(g.nodes, r.inputs(), near, "feat")
@@ -373,9 +369,6 @@ def f3_rank_degree_hop(spark, sf_dir):
     return cache.rank_degree_hop(g.nodes, g.edges, market.train_set(g), _degrees(g))
 
 
-f3_rank_degree_hop_whole = f3_rank_degree_hop
-
-
 @query(with_(["edges", "everyone", "nodes"], "SELECT node_id, freq, row_number() OVER (ORDER BY freq DESC, node_id DESC) - 1 AS rank FROM (SELECT n.node_id, count(i.node_id) freq FROM nodes n LEFT JOIN ids i USING (node_id) GROUP BY 1)", **layered("everyone", [10, 5])))
 def f4_rank_presample(spark, sf_dir):
     g, _, r = two_layers(spark, sf_dir, True)
@@ -399,8 +392,6 @@ def f6_expected_visits(spark, sf_dir):
     return v.select("node_id", F.round("visits", 4).alias("visits"))
 
 
-f6_expected_visits_whole = f6_expected_visits
-
 @query(with_(["nodes"], f"SELECT node_id, row_number() OVER (ORDER BY {md5(13, 'node_id')}, node_id) - 1 AS rank FROM nodes"))
 def f7_rank_random(spark, sf_dir):
     return cache.rank_random(market.market(spark, sf_dir).nodes, 13)
@@ -424,7 +415,7 @@ EPOCH_MSG = "SELECT e.batch_key, e.dst, d.i, CAST(n.feat[d.i] AS DOUBLE) x {more
 
 def _epoch_edges(spark, sf_dir):
     g, f = frontier(spark, sf_dir)
-    return g, sampling.khop(g.edges, f, 10, SEED, simple=g.simple).select("batch_key", "src", "dst")
+    return g, sampling.khop_places(g.lists, f, 10, SEED, degrees=g.degrees).select("batch_key", "src", "dst")
 
 
 def _flat_epoch(out):
@@ -476,9 +467,6 @@ def l5_attention_heads(spark, sf_dir):
     return _flat_epoch(layers.attention(e, g.nodes, scores, EPOCH))
 
 
-l1_gcn_epoch, l3_sage_mean_epoch, l4_pin_sage_epoch, l5_attention_epoch = l1_gcn, l3_sage_mean, l4_pin_sage, l5_attention
-
-
 @query(f"SELECT CAST(p_partkey AS BIGINT) node_id, {md5(SEED, 'p_partkey')} AS draw FROM part")
 def c16_draw_order(spark, sf_dir):
     part = market.read(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("node_id"))

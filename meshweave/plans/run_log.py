@@ -14,18 +14,13 @@ from collections import defaultdict
 from pyspark.sql import DataFrame, SparkSession
 
 LEVEL_VARIABLE = "MESHWEAVE_PROFILE_LEVEL"
-#: Items of each report, by level.
-INIT_ITEMS = {
-    1: ["init", "sampler_init", "trainer_init"],
-    2: ["load_dataset", "queue", "presample", "internal_state", "build_cache"],
-    3: ["dataset_map", "dataset_copy", "presample_init", "presample_sample", "presample_copy", "presample_count", "presample_sort", "presample_reset", "presample_rank"],
+LOGS = ("init", "step", "epoch")
+#: Items that this engine's own steps fill in, by log; callers add theirs by register_item.
+OWN_ITEMS = {
+    "init": {"init": 1, "rank_nodes": 2},
+    "step": {"num_node": 1, "num_sample": 1, "train_time": 1, "sample_time": 2, "gather_time": 2, "last_layer_size": 3},
+    "epoch": {"total_time": 1},
 }
-STEP_ITEMS = {
-    1: ["num_sample", "num_node", "sample_time", "send_time", "recv_time", "copy_time", "convert_time", "train_time", "feature_bytes", "label_bytes", "id_bytes", "graph_bytes", "miss_bytes", "prefetch_advanced", "neighbour_time"],
-    2: ["shuffle_time", "last_layer_time", "last_layer_size", "core_sample_time", "id_remap_time", "graph_copy_time", "id_copy_time", "extract_time", "feature_copy_time", "cache_copy_time"],
-    3: ["sample_coo_time", "sort_coo_time", "count_edge_time", "compact_edge_time", "walk_sample_time", "walk_topk_time", "fill_unique_time", "populate_time", "map_node_time", "map_edge_time", "cache_index_time", "cache_extract_time", "cache_combine_time"],
-}
-EPOCH_ITEMS = {1: ["sample_time", "send_time", "total_sample_time", "copy_time", "convert_time", "train_time", "total_time", "feature_bytes", "miss_bytes"]}
 
 
 def level() -> int:
@@ -41,43 +36,55 @@ class RunLog:
     def _store(self) -> dict[str, dict]:
         if not hasattr(self, "_logged"):
             self._logged = {"init": {}, "step": defaultdict(dict), "epoch": defaultdict(dict), "trace": defaultdict(lambda: [0, 0])}
+            self._items = {log: dict(own) for log, own in OWN_ITEMS.items()}
         return self._logged
 
+    def register_item(self, log: str, item: str, level: int = 1) -> None:
+        """Let an item be logged in 'init', 'step' or 'epoch'; reports of its level and above show it."""
+        if log not in LOGS or level not in (1, 2, 3):
+            raise ValueError(f"logs are {', '.join(LOGS)}, levels 1 to 3")
+        self._store()
+        self._items[log][item] = level
+
+    def items(self, log: str) -> dict[str, int]:
+        """Items of a log with their levels."""
+        self._store()
+        return dict(self._items[log])
+
     def batch_key(self, epoch: int, step: int) -> int:
         return epoch * self.steps_per_epoch + step
 
-    @staticmethod
-    def _known(item: str, items: dict[int, list[str]]) -> str:
-        if not any(item in names for names in items.values()):
-            raise KeyError(f"no item {item}")
+    def _known(self, item: str, log: str) -> str:
+        if item not in self.items(log):
+            raise KeyError(f"no item {item} in the {log} log: see register_item")
         return item
 
     def log_init(self, item: str, val: float) -> None:
-        self._store()["init"][self._known(item, INIT_ITEMS)] = float(val)
+        self._store()["init"][self._known(item, "init")] = float(val)
 
     def log_step(self, epoch: int, step: int, item: str, val: float) -> None:
-        self._store()["step"][self._known(item, STEP_ITEMS)][self.batch_key(epoch, step)] = float(val)
+        self._store()["step"][self._known(item, "step")][self.batch_key(epoch, step)] = float(val)
 
     def log_step_add(self, epoch: int, step: int, item: str, val: float) -> None:
         self.log_step(epoch, step, item, self.get_log_step_value(epoch, step, item) + val)
 
     def log_epoch_add(self, epoch: int, item: str, val: float) -> None:
-        own = self._store()["epoch"][self._known(item, EPOCH_ITEMS)]
+        own = self._store()["epoch"][self._known(item, "epoch")]
         own[epoch] = own.get(epoch, 0.0) + float(val)
 
     def get_log_init_value(self, item: str) -> float:
-        return self._store()["init"].get(self._known(item, INIT_ITEMS), 0.0)
+        return self._store()["init"].get(self._known(item, "init"), 0.0)
 
     def get_log_step_value(self, epoch: int, step: int, item: str) -> float:
-        return self._store()["step"][self._known(item, STEP_ITEMS)].get(self.batch_key(epoch, step), 0.0)
+        return self._store()["step"][self._known(item, "step")].get(self.batch_key(epoch, step), 0.0)
 
     def get_log_epoch_value(self, epoch: int, item: str) -> float:
-        return self._store()["epoch"][self._known(item, EPOCH_ITEMS)].get(epoch, 0.0)
+        return self._store()["epoch"][self._known(item, "epoch")].get(epoch, 0.0)
 
-    @staticmethod
-    def _lines(title: str, items: dict[int, list[str]], value, top: int | None) -> str:
-        top = level() if top is None else top
-        return "\n".join(f"[{title}] L{k} " + " | ".join(f"{i} {value(i):.4f}" for i in names) for k, names in sorted(items.items()) if k <= top)
+    def _lines(self, title: str, log: str, value, top: int | None) -> str:
+        top, own = level() if top is None else top, self.items(log)
+        by_level = {k: [i for i, at in own.items() if at == k] for k in range(1, top + 1)}
+        return "\n".join(f"[{title}] L{k} " + " | ".join(f"{i} {value(i):.4f}" for i in names) for k, names in by_level.items() if names)
 
     @staticmethod
     def _mean(values: dict[int, float]) -> float:
@@ -85,19 +92,19 @@ class RunLog:
         return sum(v for k, v in values.items() if k > 0) / max(1, len(values) - 1)
 
     def report_init(self, top: int | None = None) -> str:
-        return self._lines("init", INIT_ITEMS, self.get_log_init_value, top)
+        return self._lines("init", "init", self.get_log_init_value, top)
 
     def report_step(self, epoch: int, step: int, top: int | None = None) -> str:
-        return self._lines(f"step E{epoch} S{step}", STEP_ITEMS, lambda i: self.get_log_step_value(epoch, step, i), top)
+        return self._lines(f"step E{epoch} S{step}", "step", lambda i: self.get_log_step_value(epoch, step, i), top)
 
     def report_step_average(self, epoch: int, step: int, top: int | None = None) -> str:
-        return self._lines(f"step average E{epoch} S{step}", STEP_ITEMS, lambda i: self._mean(self._store()["step"][i]), top)
+        return self._lines(f"step average E{epoch} S{step}", "step", lambda i: self._mean(self._store()["step"][i]), top)
 
     def report_epoch(self, epoch: int, top: int | None = None) -> str:
-        return self._lines(f"epoch E{epoch}", EPOCH_ITEMS, lambda i: self.get_log_epoch_value(epoch, i), top)
+        return self._lines(f"epoch E{epoch}", "epoch", lambda i: self.get_log_epoch_value(epoch, i), top)
 
     def report_epoch_average(self, epoch: int, top: int | None = None) -> str:
-        return self._lines(f"epoch average E{epoch}", EPOCH_ITEMS, lambda i: self._mean(self._store()["epoch"][i]), top)
+        return self._lines(f"epoch average E{epoch}", "epoch", lambda i: self._mean(self._store()["epoch"][i]), top)
 
     def trace_step_begin(self, key: int, item: str, us: int) -> None:
         self._store()["trace"][item, key][0] = us

@@ -120,11 +120,11 @@ class Sampler(RunLog):
         fanout = c.fanout[len(c.fanout) - 1 - layer]
         if c.sample_type == "random_walk":
             return sampling.visit_topk(sampling.random_walk(adj, frontier, c.random_walk_length, c.random_walk_restart_prob, c.num_random_walk, c.seed + layer), fanout)
-        draw = {
-            "khop0": sampling.khop_places, "khop1": sampling.khop_replace, "khop2": sampling.khop_places, "weighted_khop": sampling.khop_alias,
-            "weighted_khop_prefix": sampling.khop_prefix, "weighted_khop_hash_dedup": sampling.khop_weighted,
-        }[c.sample_type]
-        return draw(adj, frontier, fanout, c.seed, layer)
+        if c.sample_type in ("khop0", "khop1", "khop2"):
+            draw = sampling.khop_replace if c.sample_type == "khop1" else sampling.khop_places
+            return draw(adj, frontier, fanout, c.seed, layer, self.degrees)
+        draw = {"weighted_khop": sampling.khop_alias, "weighted_khop_prefix": sampling.khop_prefix, "weighted_khop_hash_dedup": sampling.khop_weighted}
+        return draw[c.sample_type](adj, frontier, fanout, c.seed, layer)
 
     def sample(self, batches: DataFrame | None = None) -> blocks.SampleResult:
         """Blocks of all layers, the last fanout nearest the seeds."""

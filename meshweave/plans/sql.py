@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 SEED, BATCH, EPOCHS = 7, 64, 2
 
 
@@ -47,9 +49,19 @@ NEEDS = {
 }
 
 
-def khop(frontier: str, fanout: int, layer: int, source: str = "edges", key: str | None = None) -> str:
+def khop_digest(frontier: str, fanout: int, layer: int, source: str = "edges", key: str | None = None) -> str:
+    """The fanout positions of lowest keys, a digest for each position unless another key is given."""
     order = key or md5(SEED, "f.batch_key", layer, "e.dst", "e.src")
-    return f"SELECT batch_key, dst, src FROM (SELECT f.batch_key, e.dst, e.src, row_number() OVER (PARTITION BY f.batch_key, e.dst ORDER BY {order}, e.src) rn FROM {source} e JOIN {frontier} f ON e.dst = f.node_id) WHERE rn <= {fanout}"
+    met = f"SELECT f.batch_key, e.dst, e.src, row_number() OVER (PARTITION BY f.batch_key, e.dst ORDER BY {order}, e.src) rn FROM {source} e JOIN {frontier} f ON e.dst = f.node_id"
+    return f"SELECT batch_key, dst, src FROM ({met}) WHERE rn <= {fanout}"
+
+
+def khop(frontier: str, fanout: int, layer: int, places: str = "adj") -> str:
+    """fanout positions of each list by Floyd's rule: of deg - fanout .. deg - 1 in turn, a draw up to it, or itself where that is taken."""
+    drawn = f"list_transform(range(greatest(g.deg - {fanout}, 0), g.deg), lambda k: [{u32(SEED, 'f.batch_key', layer, 'g.dst', 'k')} % (k + 1), k])"
+    taken = "list_reduce(draws, lambda a, x: list_append(a, CASE WHEN list_contains(a, x[1]) THEN x[2] ELSE x[1] END), CAST([] AS BIGINT[]))"
+    asked = f"SELECT f.batch_key, g.dst, {drawn} draws FROM {frontier} f JOIN {places} g ON g.dst = f.node_id AND g.pos = 0"
+    return f"SELECT t.batch_key, t.dst, a.src FROM (SELECT batch_key, dst, unnest({taken}) pos FROM ({asked})) t JOIN {places} a ON a.dst = t.dst AND a.pos = t.pos"
 
 
 def with_(wanted: list[str], body: str, **more: str) -> str:
@@ -64,7 +76,9 @@ def with_(wanted: list[str], body: str, **more: str) -> str:
 
     for name in wanted:
         add(name)
-    parts = [f"{n} AS ({CTES[n]})" for n in seen] + [f"{n} AS ({q})" for n, q in more.items()]
+    if "adj" not in more and any(re.search(r"\badj\b", q) for q in more.values()):
+        add("adj")
+    parts = [f"{n} AS ({CTES[n]})" for n in seen] + [f"{n} AS MATERIALIZED ({q})" for n, q in more.items()]
     return f"WITH RECURSIVE {', '.join(parts)} {body}"
 
 

@@ -64,8 +64,9 @@ def build_market(spark: SparkSession, sf_dir: str) -> Graph:
 def market(spark: SparkSession, sf_dir: str) -> Graph:
     """The market graph, built and written on the first call for a folder and read back after that.
 
-    Lists are bucketed by the node they belong to, nodes and degrees by their id, so joins, windows
-    and hops by node start without a shuffle of the graph. forget() drops the tables, which is
+    Edges are bucketed by the node whose list they are in, nodes and degrees by their id, so joins and
+    windows by node start without a shuffle of the graph. Lists are bucketed by node and place, so drawn
+    places meet them without one, and a hub's list is spread over all buckets. forget() drops the tables, which is
     needed where the tables of sf_dir change while an application runs.
     """
     key = (spark.sparkContext.applicationId, sf_dir)
@@ -76,7 +77,7 @@ def market(spark: SparkSession, sf_dir: str) -> Graph:
     part = read(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("node_id"))
     place = F.col("node_id") % 10
     splits = part.where(place < 3).select("node_id", F.when(place == 0, "train").when(place == 1, "valid").otherwise("test").alias("split"))
-    return Graph(spark.table(f"{name}_nodes"), lists.select("src", "dst"), splits, n, True, lists, spark.table(f"{name}_degrees"))
+    return Graph(spark.table(f"{name}_nodes"), spark.table(f"{name}_adj").select("src", "dst"), splits, n, True, lists, spark.table(f"{name}_degrees"))
 
 
 #: Line items to a bucket (some four edges each), and the most buckets of a table.
@@ -89,15 +90,16 @@ def _write(spark: SparkSession, g: Graph, rows: int) -> tuple[str, int]:
 
     name, buckets = f"graph_{uuid.uuid4().hex}", min(MOST_BUCKETS, max(spark.sparkContext.defaultParallelism, rows // BUCKET_ROWS))
 
-    def put(df: DataFrame, table: str, by: str, *order: str) -> DataFrame:
-        out = df.repartition(buckets, by).write.option("path", f"{shared_root(spark)}/{name}_{table}")
-        out.bucketBy(buckets, by).sortBy(by, *order).saveAsTable(f"{name}_{table}")
+    def put(df: DataFrame, table: str, *by: str, then: tuple[str, ...] = ()) -> DataFrame:
+        out = df.repartition(buckets, *by).write.option("path", f"{shared_root(spark)}/{name}_{table}")
+        out.bucketBy(buckets, *by).sortBy(*by, *then).saveAsTable(f"{name}_{table}")
         return spark.table(f"{name}_{table}")
 
     nodes = put(g.nodes, "nodes", "node_id")
-    adj = put(with_positions(g.edges), "adj", "dst", "pos")
+    adj = put(with_positions(g.edges), "adj", "dst", then=("pos",))
     deg = put(degrees(nodes, adj), "degrees", "node_id")
-    put(adj.join(deg.select(F.col("node_id").alias("src"), F.col("in_degree").alias("src_deg")), "src").select("dst", "pos", "src", "deg", "src_deg"), "lists", "dst", "pos")
+    own = deg.select(F.col("node_id").alias("src"), F.col("in_degree").alias("src_deg"))
+    put(adj.join(own, "src").select("dst", "pos", "src", "deg", "src_deg"), "lists", "dst", "pos")
     return name, g.num_nodes
 
 

@@ -32,7 +32,7 @@ def test_degree_hop_ranks_two_hops_of_the_whole_training_set(spark, lists):
             out[s] += 1
             sub[s] += d in touched
     order = sorted(range(n), key=lambda v: (v in touched, sub[v] if v in touched else out[v], v), reverse=True)
-    got = sorted(query_samples.f3_rank_degree_hop_whole(spark, SF).collect(), key=lambda r: r["rank"])
+    got = sorted(query_samples.f3_rank_degree_hop(spark, SF).collect(), key=lambda r: r["rank"])
     assert [(r["node_id"], r["touched"], r["rank"]) for r in got] == [(v, v in touched, k) for k, v in enumerate(order)]
 
 
@@ -49,7 +49,7 @@ def test_expected_visits_of_the_whole_training_set(spark, lists):
         miss[seed] = 0.0
         for v, m in miss.items():
             want[v] += 1 - m
-    got = {r["node_id"]: r["visits"] for r in query_samples.f6_expected_visits_whole(spark, SF).collect()}
+    got = {r["node_id"]: r["visits"] for r in query_samples.f6_expected_visits(spark, SF).collect()}
     assert got.keys() == want.keys() and all(math.isclose(got[v], want[v], abs_tol=1e-4) for v in want)
 
 
@@ -59,7 +59,7 @@ def test_reach_goes_from_the_training_set_to_the_fixpoint(spark, lists):
     while new := {s for d in new for s in near[d]} - known:
         known |= new
         want.append((len(want), len(known), round(len(known) * 100.0 / n, 6)))
-    assert sorted(map(tuple, query_graph.g6_reach_whole(spark, SF).collect())) == want
+    assert sorted(map(tuple, query_graph.g6_reach(spark, SF).collect())) == want
 
 
 def test_layers_keep_batches_apart(spark):
@@ -82,5 +82,5 @@ def test_layers_run_over_every_batch_of_the_epoch(spark, tmp_path):
     spark.range(1, 2001).selectExpr("id p_partkey").write.parquet(str(tmp_path / "part.parquet"))
     g, f = query_samples.frontier(spark, str(tmp_path))
     batches = {r[0] for r in f.join(g.edges, g.edges["dst"] == f["node_id"]).select("batch_key").distinct().collect()}
-    got = {r[0] for r in query_samples.l3_sage_mean_epoch(spark, str(tmp_path)).select("batch_key").distinct().collect()}
+    got = {r[0] for r in query_samples.l3_sage_mean(spark, str(tmp_path)).select("batch_key").distinct().collect()}
     assert len(batches) > 1 and got == batches
