@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..plans.storage import materialise
 
 
-def _ranges(df: DataFrame, keys: list[Column]) -> DataFrame:
+def sorted_ranges(df: DataFrame, keys: list[Column]) -> DataFrame:
     """df dealt into sorted ranges of keys and written; __part is a row's range, __at its place there."""
     placed = df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("__id", F.monotonically_increasing_id())
     placed = materialise(placed, "ranges")
@@ -24,7 +24,7 @@ def global_rank(df: DataFrame, order: list[Column], into: str = "rank", by: list
     order of their own, so order should end in a key.
     """
     by = by or []
-    placed = _ranges(df, [*[F.col(c).asc() for c in by], *order])
+    placed = sorted_ranges(df, [*[F.col(c).asc() for c in by], *order])
     sizes = placed.groupBy("__part").agg(F.count("*").alias("__n"))
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
@@ -42,7 +42,7 @@ def running_sums(df: DataFrame, by: str, order: list[Column], **sums: Column) ->
     value go on to the next. A window over by would put all of a value's rows into one task.
     """
     tagged = df.withColumns({f"__{k}": v for k, v in sums.items()})
-    placed = _ranges(tagged, [F.col(by).asc(), *order])
+    placed = sorted_ranges(tagged, [F.col(by).asc(), *order])
     inside = Window.partitionBy("__part", by).orderBy("__at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     parts = placed.groupBy(by, "__part").agg(*[F.sum(f"__{k}").alias(f"__all_{k}") for k in sums])
     earlier = Window.partitionBy(by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)

@@ -91,6 +91,12 @@ def table_slots(n: int, scale: int = 2) -> int:
     return 1 << (max(1, n).bit_length() - 1 + scale)
 
 
+def slots(n: Column, scale: int = 2) -> Column:
+    """table_slots of a column."""
+    bits = F.length(F.bin(F.greatest(n.cast("long"), F.lit(1).cast("long"))))
+    return F.call_function("shiftleft", F.lit(1).cast("long"), bits - 1 + scale)
+
+
 def predict_nodes(seeds: int, fanouts: list[int], ceiling: int | None = None) -> int:
     """Upper bound of a frontier after the given fanouts, nearest layer last."""
     n = seeds

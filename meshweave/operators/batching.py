@@ -42,3 +42,11 @@ def sampler_worker(step: Column, steps: int, workers: int) -> Column:
 def needed_steps(steps: int, workers: int) -> int:
     """Steps of every round-robin worker when all run equally many."""
     return -(-steps // workers)
+
+
+def step_shares(rows: DataFrame, workers: int, steps: str = "steps") -> DataFrame:
+    """Each row's steps as split_steps and needed_steps give them: a row a worker, with first_step, end_step and needed."""
+    each = F.floor((F.col(steps) - F.pmod(F.col(steps), F.lit(workers))) / workers).cast("long")
+    out = rows.withColumn("worker", F.explode(F.sequence(F.lit(0), F.lit(workers - 1))))
+    last = F.col("worker") == workers - 1
+    return out.withColumns({"first_step": F.col("worker") * each, "end_step": F.when(last, F.col(steps)).otherwise((F.col("worker") + 1) * each), "needed": F.ceil(F.col(steps) / workers).cast("long")})

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.rand import draw
 from ..functions.ranks import global_rank, rank_by_draw, running_sums
+from ..functions.selection import first_k
 
 
 def symmetrise(edges: DataFrame) -> DataFrame:
@@ -74,8 +75,13 @@ def remap(edges: DataFrame, dictionary: DataFrame) -> DataFrame:
 
 
 def random_splits(deg: DataFrame, sizes: dict[str, int], seed: int) -> DataFrame:
-    """(node_id, split, pos): disjoint random sets of nodes with neighbours, in the order of sizes."""
-    ranked = rank_by_draw(deg.where("in_degree > 0").select("node_id"), draw(seed, F.col("node_id")), "node_id")
+    """(node_id, split, pos): disjoint random sets of nodes with neighbours, in the order of sizes.
+
+    Nodes of the lowest digests are selected first (by 60 bits, ties by id), so only those are ranked.
+    """
+    order = draw(seed, F.col("node_id"))
+    near = deg.where("in_degree > 0").select("node_id", F.conv(F.substring(order, 1, 15), 16, 10).cast("long").alias("__v"))
+    ranked = rank_by_draw(first_k(near, sum(sizes.values()), "__v", "node_id").select("node_id"), order, "node_id")
     split, pos, start = F.lit(None).cast("string"), F.lit(None).cast("long"), 0
     for name, n in sizes.items():
         inside = (F.col("rank") >= start) & (F.col("rank") < start + n)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.rand import draw
 from ..functions.ranks import global_rank, rank_by_draw, rank_by_value
+from ..functions.selection import first_k
 from .build import degrees, induced_rows
 from .sampling import all_neighbour_frontier
 
@@ -74,6 +75,12 @@ def build_cache(ranking: DataFrame, num_nodes: int, share: float) -> DataFrame:
     return ranking.where(F.col("rank") < int(num_nodes * share)).select("node_id", F.col("rank").alias("cache_pos"))
 
 
+def select_cache(deg: DataFrame, num_nodes: int, share: float) -> DataFrame:
+    """build_cache(rank_degree(deg), ...) without ranking the nodes that stay outside: those inside are selected first."""
+    own = first_k(deg.select("node_id", "out_degree"), int(num_nodes * share), "out_degree", "node_id", descending=True)
+    return rank_by_value(own, "out_degree", "node_id", "cache_pos").select("node_id", "cache_pos")
+
+
 def replace_cache(nodes: DataFrame, batch_nodes: DataFrame) -> DataFrame:
     """A new cache of exactly these nodes, slots by id."""
     ids = batch_nodes.select("node_id").distinct()

@@ -214,9 +214,14 @@ def b6_compact_ids(spark, sf_dir):
     return build.remap(edges, build.id_dictionary(ids))
 
 
-@query(with_(["deg"], f"SELECT node_id, CASE WHEN rk < 50 THEN 'train' WHEN rk < 70 THEN 'test' ELSE 'valid' END split, CASE WHEN rk < 50 THEN rk WHEN rk < 70 THEN rk - 50 ELSE rk - 70 END pos FROM (SELECT node_id, row_number() OVER (ORDER BY {md5(3, 'node_id')}, node_id) - 1 rk FROM deg WHERE in_degree > 0) WHERE rk < 100"))
+@query(with_(["deg"], """SELECT node_id, CASE WHEN rk < n // 4 THEN 'train' WHEN rk < n // 4 + n // 10 THEN 'test' ELSE 'valid' END split,
+ CASE WHEN rk < n // 4 THEN rk WHEN rk < n // 4 + n // 10 THEN rk - n // 4 ELSE rk - n // 4 - n // 10 END pos FROM ranked WHERE rk < n // 4 + n // 10 + n // 20""",
+             ranked=f"SELECT node_id, row_number() OVER (ORDER BY {md5(3, 'node_id')}, node_id) - 1 rk, count(*) OVER () n FROM deg WHERE in_degree > 0"))
 def b7_random_splits(spark, sf_dir):
-    return build.random_splits(_degrees(spark, sf_dir)[1], {"train": 50, "test": 20, "valid": 30}, 3)
+    """A quarter, a tenth and a twentieth of the nodes with neighbours."""
+    deg = _degrees(spark, sf_dir)[1]
+    n = deg.where("in_degree > 0").count()
+    return build.random_splits(deg, {"train": n // 4, "test": n // 10, "valid": n // 20}, 3)
 
 
 @query("SELECT CAST(p_partkey AS BIGINT) node_id, CASE p_partkey % 5 WHEN 1 THEN 'train' WHEN 2 THEN 'valid' ELSE 'test' END split FROM part WHERE p_partkey % 5 IN (1, 2, 3)")

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..operators import access, batching, cache, gather, metrics
+from ..operators import access, batching, cache, gather, metrics, temporal
 from ..sources import market
 from .declare import query
 from .sql import with_
@@ -251,18 +251,27 @@ def n3_repeats_batch_form(spark, sf_dir):
     return a.join(before, ["batch_key", "node_id"], "left").select("batch_key", "node_id", F.coalesce("again", F.lit(False)).alias("again"))
 
 
+#: Files of a micro-batch.
+FILES = 4
+
+
+def _in_quarters(rows, order, folder):
+    """Write rows in four steps by order, each of FILES files, for a stream that takes a step a micro-batch."""
+    low, high = rows.agg(F.min(order), F.max(order)).first()
+    part = F.floor((order - low) * 4 / (high - low + 1))
+    for k in range(4):
+        rows.where(part == k).repartition(FILES).write.mode("append").parquet(folder)
+
+
 @query(with_(["access"], "SELECT a.batch_key, a.node_id, b.node_id IS NOT NULL again FROM access a LEFT JOIN access b ON b.batch_key = a.batch_key - 1 AND b.node_id = a.node_id"))
 def o1_repeats_stream(spark, sf_dir):
-    """The access log as a stream of four files in order, one a micro-batch, with state by node, into a table."""
+    """The access log as a stream of four quarters in order, each some files and one micro-batch, with state by node, into a table."""
     from ..streaming.access import read_events, repeats_across_batches
 
     folder = f"{shared_root(spark)}/stream-{uuid.uuid4().hex}"
-    log = _access(spark, sf_dir).select("batch_key", "node_id").persist()
-    most = log.agg(F.max("batch_key")).first()[0]
-    for part in range(4):
-        log.where(F.floor(F.col("batch_key") * 4 / (most + 1)) == part).coalesce(1).write.mode("append").parquet(f"{folder}/in")
-    log.unpersist()
-    stream = repeats_across_batches(read_events(spark, f"{folder}/in", "batch_key long, node_id long"))
+    log = _access(spark, sf_dir).select("batch_key", "node_id")
+    _in_quarters(log, F.col("batch_key"), f"{folder}/in")
+    stream = repeats_across_batches(read_events(spark, f"{folder}/in", "batch_key long, node_id long", FILES))
     done = stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     done.awaitTermination()
     return spark.read.parquet(f"{folder}/out")
@@ -275,8 +284,8 @@ def o2_windows_stream(spark, sf_dir):
 
     folder = f"{shared_root(spark)}/stream-{uuid.uuid4().hex}"
     events = market.read(spark, sf_dir, "events")
-    events.repartitionByRange(4, "ts").write.parquet(f"{folder}/in")
-    return latest_counts(spark, f"{folder}/in", events.schema, f"{folder}/out", f"{folder}/state", "10000 days")
+    _in_quarters(events, F.unix_micros(F.col("ts").cast("timestamp")), f"{folder}/in")
+    return latest_counts(spark, f"{folder}/in", events.schema, f"{folder}/out", f"{folder}/state", "1 hour", FILES)
 
 
 @query("SELECT user_id AS k, CAST(coalesce(sum(1) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) before_, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) <= 3")
@@ -286,9 +295,27 @@ def h1_prefix_and_topk(spark, sf_dir):
     return access.prefix_and_last(e, "k", "event_id", 3).select("k", "before_", "event_id")
 
 
-@query("SELECT CAST(n AS INTEGER) steps, CAST(w AS INTEGER) worker, CAST(w * (n // 3) AS INTEGER) first_step, CAST(CASE WHEN w = 2 THEN n ELSE (w + 1) * (n // 3) END AS INTEGER) end_step, CAST((n + 2) // 3 AS INTEGER) needed FROM (SELECT unnest(range(1, (SELECT count(*) + 1 FROM nation))) n), (SELECT unnest(range(3)) w)")
+@query("""SELECT o_custkey k, n steps, CAST(w AS INTEGER) worker, w * (n // 3) first_step, CASE WHEN w = 2 THEN n ELSE (w + 1) * (n // 3) END end_step, (n + 2) // 3 needed
+ FROM (SELECT o_custkey, count(*) n FROM orders GROUP BY 1), (SELECT unnest(range(3)) w)""")
 def j6_step_shares(spark, sf_dir):
-    """Shares of three workers of 1, 2, ... steps."""
-    most = market.read(spark, sf_dir, "nation").count()
-    rows = [(n, w, a, z, batching.needed_steps(n, 3)) for n in range(1, most + 1) for w, (a, z) in enumerate(batching.split_steps(n, 3))]
-    return spark.createDataFrame(rows, "steps int, worker int, first_step int, end_step int, needed int")
+    """Shares of three workers in as many steps as a customer has orders."""
+    steps = market.read(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("k")).agg(F.count("*").alias("steps"))
+    return batching.step_shares(steps, 3)
+
+
+@query("""SELECT e.event_id, e.user_id, p.event_id last_id, p.value last_value FROM events e
+ ASOF LEFT JOIN (SELECT user_id, ts, max(event_id) event_id, arg_max(value, event_id) AS value FROM events WHERE event_type = 'purchase' GROUP BY 1, 2) p ON p.user_id = e.user_id AND p.ts <= e.ts""")
+def n4_as_of(spark, sf_dir):
+    """Each event with the last purchase of its user as of its time."""
+    e = market.read(spark, sf_dir, "events").select("event_id", "user_id", "ts", "event_type", "value")
+    bought = e.where("event_type = 'purchase'").select("user_id", "ts", F.col("event_id").alias("last_id"), F.col("value").alias("last_value"))
+    return temporal.as_of_join(e.select("event_id", "user_id", "ts"), bought, "user_id", "ts", "last_id", "last_value", tie=F.col("last_id")).drop("ts")
+
+
+@query("""SELECT a.event_id, b.event_id cause_id FROM events a JOIN events b ON a.user_id = b.user_id AND a.ts >= b.ts AND a.ts < b.ts + to_microseconds(CAST(round(b.value * 600000000) AS BIGINT)) WHERE b.event_type = 'error'""")
+def n5_within_intervals(spark, sf_dir):
+    """Each event with the errors of its user that are not over: one lasts ten minutes for each unit of its value."""
+    e = market.read(spark, sf_dir, "events").withColumn("at", F.unix_micros(F.col("ts").cast("timestamp")))
+    until = F.col("at") + F.round(F.col("value") * 600000000).cast("long")
+    errors = e.where("event_type = 'error'").select("user_id", F.col("at").alias("since"), until.alias("until"), F.col("event_id").alias("cause_id"))
+    return temporal.interval_join(e.select("event_id", "user_id", "at"), errors, "user_id", "at", "since", "until").select("event_id", "cause_id")

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions.rand import draw
 from ..operators import batching, blocks, build, cache, gather, layers, sampling, weights
-from ..sources import market
+from ..sources import market, records
 from .declare import query
 from .sql import BATCH, EPOCHS, SEED, khop, khop_digest, layered, md5, u32, uniform, with_
+from .storage import shared_root
 
 TWO = layered("frontier", [10, 5])
 WALKS, STEPS, RESTART, TOP = 4, 3, 0.5, 5
@@ -288,7 +291,7 @@ CACHED = "SELECT node_id, rank cache_pos FROM (SELECT node_id, row_number() OVER
 
 
 def _cached(g):
-    return cache.build_cache(cache.rank_degree(_degrees(g)), g.num_nodes, 0.1), int(g.num_nodes * 0.1)
+    return cache.select_cache(_degrees(g), g.num_nodes, 0.1), int(g.num_nodes * 0.1)
 
 
 @query(with_(["edges", "frontier", "deg"], "SELECT batch_key, node_id, cache_pos, cache_pos IS NOT NULL is_hit FROM ids LEFT JOIN cached USING (node_id)", **TWO, cached=CACHED))
@@ -475,9 +478,43 @@ def c16_draw_order(spark, sf_dir):
 
 @query("SELECT p_partkey k, CAST(p_partkey * 11 * 2 AS BIGINT) frontier, CAST(p_partkey * 6 * 3 * 4 * 5 AS BIGINT) walk_edges, CAST(pow(2, floor(log2(greatest(p_partkey, 1))) + 2) AS BIGINT) slots FROM part")
 def c17_predictors(spark, sf_dir):
-    """Upper bounds of a frontier of fanouts 1 and 10, of a walk layer and of a table, for seed counts 0, 1, ..."""
+    """Upper bounds of a frontier of fanouts 1 and 10, of a walk layer and of a table, for each part's number of seeds."""
     from ..functions import scalar
 
-    n = market.read(spark, sf_dir, "part").count()
-    rows = ((k, scalar.predict_nodes(k, [1, 10]), scalar.predict_walk_edges(k, [9, 2, 5], 4, 5), scalar.table_slots(k)) for k in range(n))
-    return spark.createDataFrame(rows, "k long, frontier long, walk_edges long, slots long")
+    k = F.col("p_partkey").cast("long")
+    part = market.read(spark, sf_dir, "part").select(k.alias("k"))
+    k = F.col("k")
+    return part.select("k", scalar.predict_nodes(k, [1, 10]).alias("frontier"), scalar.predict_walk_edges(k, [9, 2, 5], 4, 5).alias("walk_edges"), scalar.slots(k).alias("slots"))
+
+
+RECORDS = f"""SELECT batch_key, 'edge' part, CAST(layer AS INTEGER) layer, "row" a, col b, NULL::DOUBLE x FROM ({BLOCKS})
+ UNION ALL SELECT batch_key, 'node', CAST(reached AS INTEGER), local_id, node_id, NULL FROM ids
+ UNION ALL SELECT batch_key, 'about', 0, local_id, CASE WHEN reached = 0 THEN label END, {MOMENT} FROM ids JOIN nodes USING (node_id)
+ UNION ALL SELECT batch_key, 'cache', 0, local_id, cache_pos, NULL FROM ids LEFT JOIN cached USING (node_id)"""
+
+
+def _records(spark, sf_dir) -> str:
+    """The epoch's batches written as records; returns their folder."""
+    g, _, r = two_layers(spark, sf_dir)
+    c, n = _cached(g)
+    folder = f"{shared_root(spark)}/records-{uuid.uuid4().hex}"
+    records.write_batches(r, folder, g.nodes, gather.cache_split(r.inputs(), c, n), chunk_bytes=1 << 16)
+    return folder
+
+
+def _told(rows):
+    return rows.select("batch_key", "part", "layer", "a", "b", _moment("x").alias("x"))
+
+
+@query(with_(["edges", "frontier", "nodes", "deg"], RECORDS, **TWO, cached=CACHED))
+def j7_batch_records(spark, sf_dir):
+    """Every batch of the epoch written as a record in chunks, and restored: nodes, layers, features, labels, cache places."""
+    return _told(records.read_batches(spark, _records(spark, sf_dir)))
+
+
+@query(with_(["edges", "frontier", "nodes", "deg"], RECORDS, **TWO, cached=CACHED))
+def o3_ready_batches(spark, sf_dir):
+    """The same batches handed out by a stream, eight in flight."""
+    folder = _records(spark, sf_dir)
+    records.drain(spark, folder, f"{folder}-out", f"{folder}-state", in_flight=8)
+    return _told(spark.read.parquet(f"{folder}-out"))

@@ -35,7 +35,7 @@ def session_access(events: DataFrame, gap: str = "30 minutes", late: str = "1 ho
     return counted.select(F.col("session_window.start").cast(kind).alias("start"), F.col("session_window.end").cast(kind).alias("end"), F.col("user_id").cast("long").alias("node_id"), "freq")
 
 
-def latest_counts(spark: SparkSession, folder: str, schema, out: str, state: str, late: str = "1 hour") -> DataFrame:
+def latest_counts(spark: SparkSession, folder: str, schema, out: str, state: str, late: str = "1 hour", files_per_trigger: int = 1) -> DataFrame:
     """windowed_access of a folder's files, one a micro-batch, in update mode; returns the last count of each window.
 
     Each micro-batch appends the counts it changed under its number, so a batch that is run again
@@ -45,7 +45,7 @@ def latest_counts(spark: SparkSession, folder: str, schema, out: str, state: str
     def put(changed: DataFrame, number: int) -> None:
         changed.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    stream = windowed_access(read_events(spark, folder, schema), late=late)
+    stream = windowed_access(read_events(spark, folder, schema, files_per_trigger), late=late)
     stream.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
     rows = spark.read.parquet(out).groupBy("start", "node_id").agg(F.max_by("freq", "batch").alias("freq"))
     return rows.select("start", "node_id", "freq")
