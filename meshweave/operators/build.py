@@ -99,5 +99,17 @@ def induced_rows(edges: DataFrame, touched: DataFrame) -> DataFrame:
     return edges.join(touched.select(F.col("node_id").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst")
 
 
+#: Neighbours in one row of chunked lists, and the length from which a list is no one task's.
+CHUNK, HUB_EDGES = 65_536, 1_000_000
+
+
+def chunked_lists(adj: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """(dst, chunk, neighbours) of adj(dst, pos, src): lists in order, in rows of at most `chunk` neighbours each."""
+    part = F.floor(F.col("pos") / chunk).cast("long")
+    rows = adj.groupBy("dst", part.alias("chunk")).agg(F.array_sort(F.collect_list(F.struct("pos", "src"))).alias("l"))
+    return rows.select("dst", "chunk", F.col("l.src").alias("neighbours"))
+
+
 def adjacency_lists(edges: DataFrame, by: str = "dst", of: str = "src") -> DataFrame:
+    """A row a list, whole: for graphs whose longest list is known to fit a row; see chunked_lists."""
     return edges.groupBy(by).agg(F.array_sort(F.collect_list(of)).alias("neighbours"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.rand import draw, u32, uniform
 from ..plans.storage import materialise
+from .temporal import as_of_join
 
 
 def _meet(adj: DataFrame, frontier: DataFrame) -> DataFrame:
@@ -88,15 +89,20 @@ def khop_alias(table: DataFrame, frontier: DataFrame, fanout: int, seed: int, la
     return draws.join(table.select("dst", "pos", "src", "prob", "alias"), ["dst", "pos"]).select("batch_key", "dst", kept.alias("src")).distinct()
 
 
-def khop_prefix(table: DataFrame, frontier: DataFrame, fanout: int, seed: int, layer: int = 0) -> DataFrame:
+def khop_prefix(table: DataFrame, frontier: DataFrame, fanout: int, seed: int, layer: int = 0, hubs: bool = False) -> DataFrame:
     """Weighted with replacement by running sums: each draw takes the first position whose sum reaches it.
 
     Draws are sorted into the running sums of their node, so a draw meets one position, however
-    long the list, and lists of other nodes are left out before the sort.
+    long the list, and lists of other nodes are left out before the sort. hubs is for lists too long for
+    one task: lists and draws are then swept range by range.
     """
     top = table.where(F.col("pos") == F.col("deg") - 1).select("dst", F.col("prefix").alias("top"))
     draws = _meet(top, frontier).select("batch_key", "dst", "top", F.explode(F.sequence(F.lit(0), F.lit(fanout - 1))).alias("turn"))
     x = uniform(seed, F.col("batch_key"), layer, F.col("dst"), F.col("turn")) * F.col("top")
+    if hubs:
+        asked = draws.select("batch_key", "dst", (-x).alias("at"))
+        sums = table.join(draws.select("dst").distinct(), "dst", "left_semi").select("dst", (-F.col("prefix")).alias("at"), "pos", "src")
+        return as_of_join(asked, sums, "dst", "at", "src", tie=-F.col("pos")).select("batch_key", "dst", "src").distinct()
     draws = draws.select("dst", x.alias("at"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("pos"), F.lit(None).cast("long").alias("src"), "batch_key")
     wanted = frontier.select(F.col("node_id").alias("dst")).distinct()
     sums = table.join(wanted, "dst", "left_semi").select("dst", F.col("prefix").alias("at"), F.lit(1).alias("kind"), "pos", "src", F.lit(None).cast("long").alias("batch_key"))

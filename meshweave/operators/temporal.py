@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.ranks import sorted_ranges
 
 
-def as_of_join(left: DataFrame, right: DataFrame, by: str, time: str, *more: str, tie: Column | None = None) -> DataFrame:
-    """left with the columns `more` of the last row of right of the same `by` whose time is not later; nulls where there is none.
+def as_of_join(left: DataFrame, right: DataFrame, by: str, time: str, *more: str, tie: Column | None = None, strict: bool = False) -> DataFrame:
+    """left with the columns `more` of the last row of right of the same `by` whose time is not later (strict: earlier); nulls where there is none.
 
     Both sides are dealt into one set of sorted ranges of (by, time), so a key of any size fills many
     ranges. Each range is swept by itself, and only its last row of right by key goes on to
@@ -20,18 +20,18 @@ def as_of_join(left: DataFrame, right: DataFrame, by: str, time: str, *more: str
     none = F.lit(None)
     empty_left, empty_right = F.struct(*[none.cast(f.dataType).alias(f.name) for f in left.schema]), right.select(held.alias("r")).schema["r"].dataType
     order = tie if tie is not None else F.lit(0)
-    rows = left.select(F.col(by).alias("__by"), F.col(time).alias("__time"), F.lit(1).alias("__side"), F.lit(None).cast(right.select(order.alias("t")).schema["t"].dataType).alias("__tie"), F.struct(*left.columns).alias("__left"), none.cast(empty_right).alias("__right"))
+    rows = left.select(F.col(by).alias("__by"), F.col(time).alias("__time"), F.lit(1 - strict).alias("__side"), F.lit(True).alias("__asks"), F.lit(None).cast(right.select(order.alias("t")).schema["t"].dataType).alias("__tie"), F.struct(*left.columns).alias("__left"), none.cast(empty_right).alias("__right"))
     known = right.where(F.col(by).isNotNull() & F.col(time).isNotNull())
-    rows = rows.unionByName(known.select(F.col(by).alias("__by"), F.col(time).alias("__time"), F.lit(0).alias("__side"), order.alias("__tie"), empty_left.alias("__left"), held.alias("__right")))
+    rows = rows.unionByName(known.select(F.col(by).alias("__by"), F.col(time).alias("__time"), F.lit(int(strict)).alias("__side"), F.lit(False).alias("__asks"), order.alias("__tie"), empty_left.alias("__left"), held.alias("__right")))
     placed = sorted_ranges(rows, [F.col("__by").asc(), F.col("__time").asc(), F.col("__side").asc(), F.col("__tie").asc()])
     here = Window.partitionBy("__part", "__by").orderBy("__at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     swept = placed.withColumn("__found", F.last("__right", ignorenulls=True).over(here))
-    ends = placed.where("__side = 0").groupBy("__by", "__part").agg(F.max_by("__right", "__at").alias("__end"))
+    ends = placed.where("NOT __asks").groupBy("__by", "__part").agg(F.max_by("__right", "__at").alias("__end"))
     # every range of a key, with or without rows of right, gets what the ranges before it end with
     parts = placed.select("__by", "__part").distinct().join(ends, ["__by", "__part"], "left")
     before = Window.partitionBy("__by").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     carried = parts.select("__by", "__part", F.last("__end", ignorenulls=True).over(before).alias("__carried"))
-    joined = swept.where("__side = 1").join(carried, ["__by", "__part"], "left")
+    joined = swept.where("__asks").join(carried, ["__by", "__part"], "left")
     fine = F.col("__by").isNotNull() & F.col("__time").isNotNull()
     best = F.when(fine, F.coalesce("__found", "__carried"))
     return joined.select("__left.*", *[best[c].alias(c) for c in more])

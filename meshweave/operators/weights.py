@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from ..functions.rand import u32
 from ..functions.ranks import running_sums
+from ..plans.storage import materialise
+from .temporal import as_of_join
 
 
 def edge_weights(edges: DataFrame, deg: DataFrame, policy: str, seed: int = 0) -> DataFrame:
@@ -56,14 +58,39 @@ def alias_rows(weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keep, other
 
 
-def alias_table(adj: DataFrame) -> DataFrame:
+def _alias_of_hubs(adj: DataFrame) -> DataFrame:
+    """alias_table where lists may be too long for a task: running sums by range, lookups as joins as of a sum."""
+    rows = adj.select("dst", "pos", "src", F.col("w").cast("double").alias("w"), "deg")
+    rows = materialise(rows.join(rows.groupBy("dst").agg(F.sum("w").alias("total")), "dst").withColumn("spare", F.col("w") * F.col("deg") - F.col("total")), "alias-spare")
+    light = F.col("spare") < 0
+    rows = materialise(running_sums(rows, "dst", [F.col("pos").asc()], need=F.when(light, -F.col("spare")).otherwise(0.0), give=F.when(light, 0.0).otherwise(F.col("spare"))), "alias-sums")
+    poor, rich = rows.where(light), rows.where(~light)
+    down = lambda df, c, *more: df.select("dst", (-F.col(c)).alias("at"), "pos", *more)
+    # a light slot's need before it; the first heavy one whose sum passes that
+    before = as_of_join(poor.withColumn("at", F.col("pos")), poor.select("dst", F.col("pos").alias("at"), F.col("need").alias("before")), "dst", "at", "before", strict=True)
+    asks = before.withColumn("at", -F.coalesce("before", F.lit(0.0)))
+    served = as_of_join(asks, down(rich, "give", F.col("src").alias("giver")), "dst", "at", "giver", tie=-F.col("pos"), strict=True)
+    served = served.select("dst", "pos", "src", "w", "deg", F.when(F.col("giver").isNotNull(), (F.col("spare") + F.col("total")) / F.col("total")).otherwise(1.0).alias("prob"), F.coalesce("giver", "src").alias("alias"))
+    # the first need that a heavy slot's sum does not exceed, and the next heavy slot
+    asks = rich.withColumn("at", -F.col("give"))
+    spent = as_of_join(asks, down(poor, "need", F.col("need").alias("reached")), "dst", "at", "reached", tie=-F.col("pos"))
+    spent = as_of_join(spent.withColumn("at", -F.col("pos")), down(rich, "pos", F.col("src").alias("next")), "dst", "at", "next", strict=True)
+    drained = (F.col("reached") > F.col("give")) & F.col("next").isNotNull()
+    prob = F.when(drained, F.lit(1.0) + (F.col("give") - F.col("reached")) / F.col("total")).otherwise(1.0)
+    return served.unionByName(spent.select("dst", "pos", "src", "w", "deg", prob.alias("prob"), F.when(drained, F.col("next")).otherwise(F.col("src")).alias("alias")))
+
+
+def alias_table(adj: DataFrame, hubs: bool = False) -> DataFrame:
     """adj(dst, pos, src, w, deg) with prob and alias (a node), from running sums alone.
 
     With spare = n * w - sum(w), light slots (spare < 0) are filled in list order by heavy ones in list
     order. A light slot takes the first heavy one whose running spare passes the running need before
     it. A heavy slot that has given more than it had is filled by the next heavy one. Both are
-    found by sorting the two running sums of a list into each other; nothing is held per list.
+    found by sorting the two running sums of a list into each other; nothing is held per list. hubs is for
+    lists too long for one task, whose sums are then swept range by range.
     """
+    if hubs:
+        return _alias_of_hubs(adj)
     rows = adj.select("dst", "pos", "src", F.col("w").cast("double").alias("w"), "deg")
     own = Window.partitionBy("dst")
     upto = own.orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)

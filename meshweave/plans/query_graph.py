@@ -135,9 +135,11 @@ def a22_tsv_report(spark, sf_dir):
     return spark.read.option("sep", "\t").option("header", True).schema("degree long, num_node long").csv(path)
 
 
-@query(with_(["edges"], "SELECT dst AS dst, array_to_string(list_sort(list(src)), ',') neighbours FROM edges GROUP BY 1"))
+@query(with_(["adj"], "SELECT dst, pos // 100 chunk, array_to_string(list(src ORDER BY pos), ',') neighbours FROM adj GROUP BY 1, 2"))
 def a6_adjacency(spark, sf_dir):
-    return build.adjacency_lists(market.market(spark, sf_dir).edges).select("dst", F.array_join("neighbours", ",").alias("neighbours"))
+    """Lists in rows of at most a hundred neighbours."""
+    rows = build.chunked_lists(market.market(spark, sf_dir).lists, 100)
+    return rows.select("dst", "chunk", F.array_join("neighbours", ",").alias("neighbours"))
 
 
 @query(with_(["edges"], "SELECT src, dst FROM edges"))

@@ -102,7 +102,7 @@ def c3_khop_fisher(spark, sf_dir):
 
 def _alias(g):
     weighted = weights.edge_weights(g.edges, _degrees(g), "source_suffix")
-    return weights.alias_table(weights.prefix_table(weighted))
+    return weights.alias_table(weights.prefix_table(weighted, g.hubs), g.hubs)
 
 
 #: Alias tables from running sums: light slots take the first heavy one past their need, spent heavy ones the next.
@@ -128,8 +128,8 @@ def c4_khop_alias(spark, sf_dir):
  JOIN prefixes p ON p.dst = d.dst AND p.prefix >= d.x AND p.prefix - p.w < d.x"""))
 def c5_khop_prefix(spark, sf_dir):
     g, f = frontier(spark, sf_dir)
-    table = weights.prefix_table(weights.edge_weights(g.edges, _degrees(g), "source_suffix"))
-    return sampling.khop_prefix(table, f, 10, SEED)
+    table = weights.prefix_table(weights.edge_weights(g.edges, _degrees(g), "source_suffix"), g.hubs)
+    return sampling.khop_prefix(table, f, 10, SEED, hubs=g.hubs)
 
 
 @query(with_(["inverse", "frontier"], "SELECT batch_key, dst, src FROM s", s=khop_digest("frontier", 10, 0, "inverse", f"-ln({uniform(SEED, 'f.batch_key', 0, 'e.dst', 'e.src')}) / e.w")))
@@ -238,7 +238,7 @@ def c13_alias_mass(spark, sf_dir):
 @query(with_(["prefixes"], "SELECT dst, pos, src, w, prefix, deg FROM prefixes"))
 def c14_prefix_table(spark, sf_dir):
     g = market.market(spark, sf_dir)
-    return weights.prefix_table(weights.edge_weights(g.edges, _degrees(g), "source_suffix"))
+    return weights.prefix_table(weights.edge_weights(g.edges, _degrees(g), "source_suffix"), g.hubs)
 
 
 @query(with_(["edges", "deg"], f"SELECT e.src, e.dst, CAST({u32(5, chr(39) + 'w' + chr(39), 'e.src', 'e.dst')} % 10 + 1 AS DOUBLE) w_default, round(1.0::DOUBLE / ({u32(5, chr(39) + 'w' + chr(39), 'e.src', 'e.dst')} % greatest(a.out_degree, b.in_degree) + 1), 9) w_both FROM edges e JOIN deg a ON a.node_id = e.src JOIN deg b ON b.node_id = e.dst"))

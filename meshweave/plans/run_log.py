@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 LEVEL_VARIABLE = "MESHWEAVE_PROFILE_LEVEL"
 LOGS = ("init", "step", "epoch")
-#: Items that this engine's own steps fill in, by log; callers add theirs by register_item.
+#: Items there are from the start, by log: sizes as log_sizes fills them in and the usual times; callers add theirs by register_item.
 OWN_ITEMS = {
     "init": {"init": 1, "rank_nodes": 2},
     "step": {"num_node": 1, "num_sample": 1, "train_time": 1, "sample_time": 2, "gather_time": 2, "last_layer_size": 3},

@@ -83,10 +83,15 @@ class Sampler(RunLog):
     def degrees(self) -> DataFrame:
         return self.graph.degrees if self.graph.degrees is not None else build.degrees(self.graph.nodes, self.graph.edges)
 
+    @cached_property
+    def hubs(self) -> bool:
+        """Whether some list is too long for one task; scans of lists then go range by range."""
+        return self.graph.hubs or self.degrees.where(F.col("in_degree") > build.HUB_EDGES).limit(1).count() > 0
+
     @cached_property
     def lists(self) -> DataFrame:
         """The graph's lists with places, written once where the graph does not bring them."""
-        return self.graph.lists if self.graph.lists is not None else materialise(build.with_positions(self.graph.edges), "lists")
+        return self.graph.lists if self.graph.lists is not None else materialise(build.with_positions(self.graph.edges, self.hubs), "lists")
 
     def num_epoch(self) -> int:
         return self.config.num_epoch
@@ -112,8 +117,8 @@ class Sampler(RunLog):
             return self.lists
         weighted = weights.edge_weights(edges, self.degrees, self.config.weight_policy, self.config.seed)
         if kind == "weighted_khop":
-            return materialise(weights.alias_table(weights.prefix_table(weighted)), "alias")
-        return materialise(weights.prefix_table(weighted) if kind == "weighted_khop_prefix" else weighted, "weights")
+            return materialise(weights.alias_table(weights.prefix_table(weighted, self.hubs), self.hubs), "alias")
+        return materialise(weights.prefix_table(weighted, self.hubs) if kind == "weighted_khop_prefix" else weighted, "weights")
 
     def _hop(self, frontier: DataFrame, layer: int) -> DataFrame:
         c, adj = self.config, self._adjacency
@@ -123,8 +128,10 @@ class Sampler(RunLog):
         if c.sample_type in ("khop0", "khop1", "khop2"):
             draw = sampling.khop_replace if c.sample_type == "khop1" else sampling.khop_places
             return draw(adj, frontier, fanout, c.seed, layer, self.degrees)
-        draw = {"weighted_khop": sampling.khop_alias, "weighted_khop_prefix": sampling.khop_prefix, "weighted_khop_hash_dedup": sampling.khop_weighted}
-        return draw[c.sample_type](adj, frontier, fanout, c.seed, layer)
+        if c.sample_type == "weighted_khop_prefix":
+            return sampling.khop_prefix(adj, frontier, fanout, c.seed, layer, self.hubs)
+        draw = sampling.khop_alias if c.sample_type == "weighted_khop" else sampling.khop_weighted
+        return draw(adj, frontier, fanout, c.seed, layer)
 
     def sample(self, batches: DataFrame | None = None) -> blocks.SampleResult:
         """Blocks of all layers, the last fanout nearest the seeds."""
@@ -167,8 +174,18 @@ class Sampler(RunLog):
             return cache.rank_random(g.nodes, c.seed)
         raise ValueError("a dynamic cache has no ranking: see dynamic_hits")
 
+    @cached_property
+    def _cached(self) -> DataFrame:
+        share = self.config.cache_percentage
+        if self.config.cache_policy == "degree":
+            rows = cache.select_cache(self.degrees, self.graph.num_nodes, share)
+        else:
+            rows = cache.build_cache(self.ranking(), self.graph.num_nodes, share)
+        return materialise(rows, "cached")
+
     def cached(self) -> DataFrame:
-        return cache.build_cache(self.ranking(), self.graph.num_nodes, self.config.cache_percentage)
+        """(node_id, cache_pos) under the configured policy, ranked once and written."""
+        return self._cached
 
     def cached_features(self, result: blocks.SampleResult) -> DataFrame:
         rows = int(self.graph.num_nodes * self.config.cache_percentage)
@@ -186,6 +203,15 @@ class Sampler(RunLog):
         near = blocks.prefetch_set(self.graph.edges, result.id_map.where(F.col("reached") < len(self.config.fanout)))
         return gather.dynamic_gather(self.graph.nodes, result.inputs(), near, "feat")
 
+    def log_sizes(self, result: blocks.SampleResult) -> None:
+        """Log each batch's sampled edges, nodes and nodes of the last layer: one row a block comes to the driver."""
+        for r in result.sizes().collect():
+            epoch, step = divmod(r["batch_key"], self.steps_per_epoch)
+            self.log_step_add(epoch, step, "num_sample", r["num_edge"])
+            self.log_step(epoch, step, "num_node", max(r["num_src"], self.get_log_step_value(epoch, step, "num_node")))
+            if r["layer"] == len(self.config.fanout) - 1:
+                self.log_step(epoch, step, "last_layer_size", r["num_src"])
+
     def block_sizes(self, result: blocks.SampleResult) -> DataFrame:
         """(batch_key, layer, num_edge, num_dst, num_src) of each block."""
         return result.sizes()

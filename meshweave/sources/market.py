@@ -15,6 +15,7 @@ class Graph:
 
     simple says that no edge is there twice. lists are the edges with their places (dst, pos, src,
     deg[, src_deg]) and degrees (node_id, in_degree, out_degree), where they are at hand already.
+    hubs says that some list is longer than build.HUB_EDGES, so scans of lists go range by range.
     """
 
     nodes: DataFrame
@@ -24,10 +25,11 @@ class Graph:
     simple: bool = False
     lists: DataFrame | None = None
     degrees: DataFrame | None = None
+    hubs: bool = False
 
 
 #: Tables of the graphs written so far, by application and folder: (bucketed tables' names, number of nodes).
-_kept: dict[tuple[str, str], tuple[str, int]] = {}
+_kept: dict[tuple[str, str], tuple[str, int, bool]] = {}
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,20 +74,20 @@ def market(spark: SparkSession, sf_dir: str) -> Graph:
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _kept:
         _kept[key] = _write(spark, build_market(spark, sf_dir), read(spark, sf_dir, "lineitem").count())
-    name, n = _kept[key]
+    name, n, hubs = _kept[key]
     lists = spark.table(f"{name}_lists")
     part = read(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("node_id"))
     place = F.col("node_id") % 10
     splits = part.where(place < 3).select("node_id", F.when(place == 0, "train").when(place == 1, "valid").otherwise("test").alias("split"))
-    return Graph(spark.table(f"{name}_nodes"), spark.table(f"{name}_adj").select("src", "dst"), splits, n, True, lists, spark.table(f"{name}_degrees"))
+    return Graph(spark.table(f"{name}_nodes"), spark.table(f"{name}_edges"), splits, n, True, lists, spark.table(f"{name}_degrees"), hubs)
 
 
 #: Line items to a bucket (some four edges each), and the most buckets of a table.
 BUCKET_ROWS, MOST_BUCKETS = 4_000_000, 50_000
 
 
-def _write(spark: SparkSession, g: Graph, rows: int) -> tuple[str, int]:
-    from ..operators.build import degrees, with_positions
+def _write(spark: SparkSession, g: Graph, rows: int) -> tuple[str, int, bool]:
+    from ..operators.build import HUB_EDGES, degrees, with_positions
     from ..plans.storage import shared_root
 
     name, buckets = f"graph_{uuid.uuid4().hex}", min(MOST_BUCKETS, max(spark.sparkContext.defaultParallelism, rows // BUCKET_ROWS))
@@ -96,11 +98,13 @@ def _write(spark: SparkSession, g: Graph, rows: int) -> tuple[str, int]:
         return spark.table(f"{name}_{table}")
 
     nodes = put(g.nodes, "nodes", "node_id")
-    adj = put(with_positions(g.edges), "adj", "dst", then=("pos",))
-    deg = put(degrees(nodes, adj), "degrees", "node_id")
+    edges = put(g.edges, "edges", "dst", then=("src",))
+    deg = put(degrees(nodes, edges), "degrees", "node_id")
+    hubs = deg.where(F.col("in_degree") > HUB_EDGES).limit(1).count() > 0
+    adj = with_positions(edges, hubs)
     own = deg.select(F.col("node_id").alias("src"), F.col("in_degree").alias("src_deg"))
     put(adj.join(own, "src").select("dst", "pos", "src", "deg", "src_deg"), "lists", "dst", "pos")
-    return name, g.num_nodes
+    return name, g.num_nodes, hubs
 
 
 def forget(spark: SparkSession, sf_dir: str | None = None) -> None:
@@ -110,7 +114,7 @@ def forget(spark: SparkSession, sf_dir: str | None = None) -> None:
     app = spark.sparkContext.applicationId
     for key in [k for k in _kept if k[0] == app and sf_dir in (None, k[1])]:
         name = _kept.pop(key)[0]
-        for table in ("nodes", "adj", "degrees", "lists"):
+        for table in ("nodes", "edges", "degrees", "lists"):
             where = spark.sql(f"DESCRIBE FORMATTED {name}_{table}").where("col_name = 'Location'").first()["data_type"]
             spark.sql(f"DROP TABLE {name}_{table}")
             delete(spark, where)
