@@ -62,15 +62,16 @@ def hit_curve(freq: DataFrame, num_nodes: int) -> DataFrame:
     """(percent, hit): share of accesses that the best floor(percent * N / 100) nodes take, for 0..100.
 
     freq is (node_id, freq); nodes without a row count 0. Sums by whole frequencies first, so only
-    one row per frequency and the few points inside one are summed in order. Distinct frequencies
-    number at most the square root of twice the accesses, which bounds what is broadcast.
+    one row per frequency and the few points inside one are summed in order. The 101 points go to
+    the frequencies, however many there are.
     """
     per = freq.where("freq > 0").groupBy("freq").agg(F.count("*").alias("n"))
     before = Window.orderBy(F.col("freq").desc()).rowsBetween(Window.unboundedPreceding, -1)
     mass = F.col("n") * F.col("freq")
     steps = per.select("freq", "n", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("nodes_before"), F.coalesce(F.sum(mass).over(before), F.lit(0)).alias("mass_before"), F.sum(mass).over(Window.partitionBy()).alias("total"))
     points = freq.sparkSession.range(101).select(F.col("id").alias("percent"), F.floor(F.col("id") * num_nodes / 100).cast("long").alias("k"))
-    met = points.join(F.broadcast(steps), (F.col("k") > F.col("nodes_before")) & (F.col("k") <= F.col("nodes_before") + F.col("n")), "left")
+    met = steps.join(F.broadcast(points), (F.col("k") > F.col("nodes_before")) & (F.col("k") <= F.col("nodes_before") + F.col("n")))
+    met = points.join(met.drop("k"), "percent", "left")
     inside = F.col("mass_before") + (F.col("k") - F.col("nodes_before")) * F.col("freq")
     hit = F.when(F.col("k") == 0, 0.0).when(F.col("total").isNull(), 1.0).otherwise(inside / F.col("total"))
     return met.select("percent", F.round(hit, 6).alias("hit"))

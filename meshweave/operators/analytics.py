@@ -33,11 +33,16 @@ def size_estimates(num_nodes: int, num_edges: int, dim: int, spark) -> DataFrame
     return one.select(((F.col("n") + 1 + F.col("e")) * 4).alias("topology_bytes"), (F.col("n") * F.col("d") * 4).alias("feature_bytes"))
 
 
+#: Hops after which the tables of nodes reached are folded into one.
+FOLD = 4
+
+
 def reach_by_hop(edges: DataFrame, seeds: DataFrame, max_hops: int | None = None) -> DataFrame:
     """(node_id, hop): breadth-first distance along lists, to the fixpoint or max_hops.
 
     Each hop joins only the newest nodes with the lists and is written to the shared folder, which
-    cuts the lineage; what returns to the driver is one count a hop.
+    cuts the lineage; what returns to the driver is one count a hop. Nodes reached are one table and
+    those of at most FOLD hops, however many hops there are.
     """
     new = materialise(seeds.select("node_id").distinct().withColumn("hop", F.lit(0)), "reach")
     known, hop = new, 0
@@ -48,6 +53,8 @@ def reach_by_hop(edges: DataFrame, seeds: DataFrame, max_hops: int | None = None
         if new.isEmpty():
             break
         known = known.unionAll(new)
+        if hop % FOLD == 0:
+            known = materialise(known, "reach")
     return known
 
 

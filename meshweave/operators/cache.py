@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.rand import draw
@@ -82,7 +82,11 @@ def select_cache(deg: DataFrame, num_nodes: int, share: float) -> DataFrame:
 
 
 def replace_cache(nodes: DataFrame, batch_nodes: DataFrame) -> DataFrame:
-    """A new cache of exactly these nodes, slots by id."""
+    """A new cache of exactly these nodes, slots by id; with a batch_key, one for each batch, ranked by itself."""
+    if "batch_key" in batch_nodes.columns:
+        ids = batch_nodes.select("batch_key", "node_id").distinct()
+        place = F.row_number().over(Window.partitionBy("batch_key").orderBy("node_id")).cast("long") - 1
+        return ids.withColumn("cache_pos", place).join(nodes, "node_id")
     ids = batch_nodes.select("node_id").distinct()
     ranked = global_rank(ids, [F.col("node_id")], "cache_pos")
     return ranked.join(nodes, "node_id")

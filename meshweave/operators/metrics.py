@@ -53,15 +53,15 @@ def count_pivot(rows: DataFrame, row: str, column: str, names: list) -> DataFram
     return rows.groupBy(row).pivot(column, names).count()
 
 
-def pivot_results(runs: DataFrame, row: str, column: str, names: list[str], value: str = "val") -> DataFrame:
-    """One row per `row`, one column per name; the names are given, so no job is spent on finding them."""
-    return runs.groupBy(row).pivot(column, names).agg(F.first(value, ignorenulls=True))
+def pivot_results(runs: DataFrame, row: str | list[str], column: str, names: list[str], value: str = "val") -> DataFrame:
+    """One row per `row` (a column or several), one column per name; the names are given, so no job is spent on finding them."""
+    return runs.groupBy(*([row] if isinstance(row, str) else row)).pivot(column, names).agg(F.first(value, ignorenulls=True))
 
 
-def dimension_simulation(points: DataFrame, base_dim: int = 128, rows: int = 5120, store: int = 54228) -> DataFrame:
+def dimension_simulation(points: DataFrame, base_dim: int = 128, rows: int = 5120, store: int = 54228, keep: tuple | list = ()) -> DataFrame:
     """Feature width that a cached share stands for, and the GB a batch copies; share 0 gives null."""
     dim = F.try_divide(F.lit(float(rows * base_dim) * 100.0 / store), F.col("pct"))
-    return points.select("pct", F.round(dim, 6).alias("dim"), F.round(dim * F.col("num_input") * 4 / (1 << 30), 9).alias("copy_gb"))
+    return points.select(*keep, "pct", F.round(dim, 6).alias("dim"), F.round(dim * F.col("num_input") * 4 / (1 << 30), 9).alias("copy_gb"))
 
 
 def arg_max(scores: Column) -> Column:
@@ -93,6 +93,14 @@ class ConfigList:
             df = df.select("*", F.explode(F.array(*[F.lit(o) for o in options])).alias(key))
         return cls(df)
 
+    @classmethod
+    def combo_of(cls, df: DataFrame, *keys: str) -> ConfigList:
+        """Every combination of the values that the columns of df hold (a few each)."""
+        made = df.agg(*[F.collect_set(k).alias(k) for k in keys])
+        for k in keys:
+            made = made.withColumn(k, F.explode(k))
+        return cls(made)
+
     def select(self, key: str, *options) -> ConfigList:
         return ConfigList(self.df.where(F.col(key).isin(*options)))
 

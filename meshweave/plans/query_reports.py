@@ -134,9 +134,9 @@ def g19_step_report(spark, sf_dir):
     return metrics.step_report(_log(spark, sf_dir), ["sample", "miss_bytes"])
 
 
-@query(f"SELECT app, {', '.join(f'max(val) FILTER (policy = {chr(39)}{p}{chr(39)}) AS {p}' for p in POLICIES)} FROM {RUN_SQL} WHERE dataset = 'O' GROUP BY 1")
+@query(f"SELECT app, dataset, {', '.join(f'max(val) FILTER (policy = {chr(39)}{p}{chr(39)}) AS {p}' for p in POLICIES)} FROM {RUN_SQL} GROUP BY 1, 2")
 def g20_result_pivot(spark, sf_dir):
-    return metrics.pivot_results(_runs(spark, sf_dir).where("dataset = 'O'"), "app", "policy", POLICIES)
+    return metrics.pivot_results(_runs(spark, sf_dir), ["app", "dataset"], "policy", POLICIES)
 
 
 LAYOUT = {1: ["sample"], 2: ["feat_bytes", "miss_bytes"], 3: ["none_such"]}
@@ -153,10 +153,13 @@ def g21_count_pivot(spark, sf_dir):
     return metrics.count_pivot(e, "event_type", "side", ["even", "odd"])
 
 
-@query("SELECT pct, round(12.085269602419::DOUBLE * 0 + 5120 * 128 * 100.0::DOUBLE / 54228 / nullif(pct, 0), 6) dim, round(5120 * 128 * 100.0::DOUBLE / 54228 / nullif(pct, 0) * 1000 * 4 / 1073741824, 9) copy_gb FROM (SELECT unnest(range(0, 101, 5))::DOUBLE pct)")
+@query("""SELECT k, pct, round(5120 * 128 * 100.0::DOUBLE / 54228 / nullif(pct, 0), 6) dim, round(5120 * 128 * 100.0::DOUBLE / 54228 / nullif(pct, 0) * num_input * 4 / 1073741824, 9) copy_gb
+ FROM (SELECT p_partkey k, (p_size % 51) * 2.0::DOUBLE pct, p_retailprice num_input FROM part)""")
 def g22_dimension_simulation(spark, sf_dir):
-    points = spark.range(0, 101, 5).select(F.col("id").cast("double").alias("pct"), F.lit(1000).alias("num_input"))
-    return metrics.dimension_simulation(points)
+    """Each part's size as a cached share, its price as the inputs of a batch."""
+    part = market.read(spark, sf_dir, "part")
+    points = part.select(F.col("p_partkey").alias("k"), (F.col("p_size") % 51 * 2).cast("double").alias("pct"), F.col("p_retailprice").alias("num_input"))
+    return metrics.dimension_simulation(points, keep=["k"])
 
 
 @query("SELECT CAST(sum(CASE WHEN best = label THEN 1 ELSE 0 END) AS BIGINT) correct, count(*) total, round(avg(CASE WHEN best = label THEN 1.0::DOUBLE ELSE 0 END), 6) accuracy FROM (SELECT label, list_position(e, list_max(e)) - 1 best FROM (SELECT label, embedding[1:10] e FROM embeddings))")
@@ -171,10 +174,13 @@ def g24_derived_metrics(spark, sf_dir):
     return metrics.derive(wide, {"epoch_time": ["sample", "miss_bytes"]}).select("key", "epoch_time")
 
 
-@query("SELECT app, dataset, CASE WHEN app = 'sage' THEN 8 ELSE cache END AS cache FROM (VALUES ('gcn'), ('sage')) a(app), (VALUES ('pa'), ('tw')) d(dataset), (VALUES (10), (20), (30)) c(cache) WHERE cache IN (10, 30)")
+@query("""SELECT app, dataset, CASE WHEN app = 'R' THEN 8 ELSE cache END AS cache FROM (SELECT DISTINCT l_returnflag app FROM lineitem), (SELECT DISTINCT l_linestatus AS dataset FROM lineitem),
+ (SELECT DISTINCT CAST(l_linenumber AS INTEGER) AS cache FROM lineitem) WHERE cache IN (1, 3)""")
 def g25_config_combos(spark, sf_dir):
-    made = metrics.ConfigList.combo(spark, app=["gcn", "sage"], dataset=["pa", "tw"], cache=[10, 20, 30])
-    return made.select("cache", 10, 30).override("cache", 8, F.col("app") == "sage").df
+    """Every combination of the flags, states and numbers that line items have, selected and overridden."""
+    items = market.read(spark, sf_dir, "lineitem")
+    options = items.select(F.col("l_returnflag").alias("app"), F.col("l_linestatus").alias("dataset"), F.col("l_linenumber").cast("int").alias("cache"))
+    return metrics.ConfigList.combo_of(options, "app", "dataset", "cache").select("cache", 1, 3).override("cache", 8, F.col("app") == "R").df
 
 
 @query(f"SELECT app, dataset, policy, run_id, count(run_id) OVER (PARTITION BY app, dataset, policy) AS matches FROM (SELECT DISTINCT l_returnflag app, l_linestatus AS dataset, 'policy' || (l_linenumber + 3) AS policy FROM lineitem) d LEFT JOIN {RUN_SQL} USING (app, dataset, policy)")

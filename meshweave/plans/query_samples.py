@@ -405,10 +405,12 @@ def f9_build_cache(spark, sf_dir):
     return _cached(market.market(spark, sf_dir))[0]
 
 
-@query(with_(["frontier", "nodes"], "SELECT node_id, row_number() OVER (ORDER BY node_id) - 1 cache_pos, label FROM (SELECT DISTINCT node_id FROM frontier WHERE batch_key = 0) JOIN nodes USING (node_id)"))
+@query(with_(["frontier", "nodes"], """SELECT batch_key, node_id, row_number() OVER (PARTITION BY batch_key ORDER BY node_id) - 1 cache_pos, label
+ FROM (SELECT DISTINCT batch_key, node_id FROM frontier) JOIN nodes USING (node_id)"""))
 def f10_replace_cache(spark, sf_dir):
+    """The cache that each batch of the epoch puts in place of the one before."""
     g, f = frontier(spark, sf_dir)
-    return cache.replace_cache(g.nodes.select("node_id", "label"), f.where("batch_key = 0")).select("node_id", "cache_pos", "label")
+    return cache.replace_cache(g.nodes.select("node_id", "label"), f.select("batch_key", "node_id")).select("batch_key", "node_id", "cache_pos", "label")
 
 
 #: The layers over every batch of the epoch.
