@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.rand import draw
 from ..operators import batching, blocks, build, cache, gather, layers, sampling, weights
 from ..sources import market, records
+from . import sql_surface
 from .declare import query
 from .sql import BATCH, EPOCHS, SEED, khop, khop_digest, layered, md5, u32, uniform, with_
 from .storage import shared_root
@@ -520,3 +521,42 @@ def o3_ready_batches(spark, sf_dir):
     folder = _records(spark, sf_dir)
     records.drain(spark, folder, f"{folder}-out", f"{folder}-state", in_flight=8)
     return _told(spark.read.parquet(f"{folder}-out"))
+
+
+def _views(spark, sf_dir) -> None:
+    g, f = frontier(spark, sf_dir)
+    sql_surface.register(spark, g, "market")
+    f.createOrReplaceTempView("market_frontier")
+
+
+SAMPLE = f"""sample_neighbours(TABLE(SELECT f.batch_key, l.dst, l.pos, l.src, l.deg FROM market_frontier f JOIN market_lists l ON l.dst = f.node_id)
+ PARTITION BY (batch_key, dst), 10, {SEED})"""
+
+
+@query(with_(["adj", "frontier"], "SELECT batch_key, dst, src FROM s", s=khop("frontier", 10, 0)))
+def p3_sql_sample(spark, sf_dir):
+    """Neighbours sampled by a table function in SQL: the same as by the sampler."""
+    _views(spark, sf_dir)
+    return spark.sql(f"SELECT batch_key, dst, src FROM {SAMPLE}")
+
+
+@query(with_(["adj", "frontier", "nodes"], "SELECT batch_key, label, count(*) num_edge, count(DISTINCT src) num_node FROM s JOIN nodes ON node_id = src GROUP BY 1, 2", s=khop("frontier", 10, 0)))
+def p4_sql_labels(spark, sf_dir):
+    """What labels each batch's sampled neighbours have."""
+    _views(spark, sf_dir)
+    return spark.sql(f"SELECT batch_key, label, count(*) num_edge, count(DISTINCT src) num_node FROM {SAMPLE} s JOIN market_nodes ON node_id = src GROUP BY batch_key, label")
+
+
+@query(with_(["deg", "train"], "SELECT node_id IN (SELECT node_id FROM train) AS trained, max(in_degree) max_in, CAST(sum(out_degree) AS BIGINT) sum_out, count(*) num_node FROM deg GROUP BY 1"))
+def p5_sql_degrees(spark, sf_dir):
+    """Degrees of training nodes and of the others."""
+    _views(spark, sf_dir)
+    return spark.sql("""SELECT s.node_id IS NOT NULL AS trained, max(in_degree) max_in, sum(out_degree) sum_out, count(*) num_node
+ FROM market_degrees d LEFT JOIN (SELECT node_id FROM market_splits WHERE split = 'train') s ON s.node_id = d.node_id GROUP BY 1""")
+
+
+@query(with_(["adj", "frontier", "deg"], "SELECT batch_key, node_id, cache_pos, cache_pos IS NOT NULL is_hit FROM ids LEFT JOIN cached USING (node_id)", **TWO, cached=CACHED))
+def e6_cache_bitmaps(spark, sf_dir):
+    """The hits of e6_cache_split as a cache of any size tells them: by bits, only hits meeting the table of places."""
+    g, _, r = two_layers(spark, sf_dir)
+    return gather.cache_split(r.inputs().select("batch_key", "node_id"), _cached(g)[0], gather.BROADCAST_ROWS + 1)
