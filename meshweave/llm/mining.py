@@ -183,8 +183,8 @@ def _negative(k: int) -> tuple[Callable, Callable]:
         if state is None:
             own = _opened(r["a_ids"], r["a_labels"], r["a_data"], r["dim"])
             state = own, list(windows(len(own[0]), r["positives"]))
-        (_, labels, v), wanted = state
-        scores, other = products(v, rows[2]), labels[:, None] != rows[1]
+        (ids, labels, v), wanted = state
+        scores, other = products(v, rows[2]), (labels[:, None] != rows[1]) & (ids[:, None] != rows[0])
         for lo, hi, best in wanted:
             lo, hi = lo.astype(scores.dtype)[:, None], hi.astype(scores.dtype)[:, None]
             best.add(scores, other & (scores >= lo) & (scores <= hi), rows[0])
@@ -202,8 +202,8 @@ def mine(rows: DataFrame, anchors: Column, positives: int = POSITIVES, negatives
     """(anchor_id, positive_id, rank, negative_id, positive_score, negative_score) of rows as prepared() gives them.
 
     anchors says which rows are anchors. A row's score is its inner product with the anchor; higher ones
-    come first, ties by the smaller id. An anchor's positives are the first of the rows of its label
-    that have another id; for each, the first `negatives` rows of other labels in its window are
+    come first, ties by the smaller id. Rows of the anchor's own id are neither positives nor negatives.
+    An anchor's positives are the first of the rows of its label; for each, the first `negatives` rows of other labels in its window are
     returned. Anchors without positives, and windows without rows, return nothing.
     Repeated rows are rows each: a repeated anchor asks each time, a repeated row fills several places.
     Only vectors of equal length are compared. An empty table gives no rows.

@@ -8,7 +8,7 @@ from tests.oracle import compare, connect
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["op4_chat", "op7_topk", "op9_secrets", "op10_vectors"])
+@pytest.mark.parametrize("name", ["op4_chat", "op7_topk", "op9_secrets", "op10_vectors", "op11_divergence", "op12_negatives", "op13_resharding"])
 def test_query(spark, name):
     import __spark_entry__ as entry
 
@@ -18,7 +18,7 @@ def test_query(spark, name):
 def test_all_are_registered():
     import __spark_entry__ as entry
 
-    assert {f"op{n}_" for n in range(1, 11)} == {x.split("_")[0] + "_" for x in entry.queries() if x.startswith("op")} and "pipeline" in entry.queries()
+    assert {f"op{n}_" for n in range(1, 14)} == {x.split("_")[0] + "_" for x in entry.queries() if x.startswith("op")} and "pipeline" in entry.queries()
 
 
 def test_pipeline_stages(spark):
