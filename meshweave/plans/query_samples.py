@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.rand import draw
 from ..operators import batching, blocks, build, cache, gather, layers, sampling, weights
 from ..sources import market, records
+from ..streaming import prefetch
 from . import sql_surface
 from .declare import query
 from .sql import BATCH, EPOCHS, SEED, khop, khop_digest, layered, md5, u32, uniform, with_
@@ -337,6 +338,22 @@ def e10_dynamic_gather(spark, sf_dir):
     return got.select("batch_key", "node_id", "is_hit", _moment("feat").alias("f_moment"))
 
 
+@query(with_(["edges", "frontier", "nodes"], f"SELECT i.batch_key, i.node_id, p.node_id IS NOT NULL is_hit, {MOMENT} f_moment FROM ids i JOIN nodes n ON n.node_id = i.node_id LEFT JOIN (SELECT DISTINCT batch_key + 1 batch_key, src node_id FROM k1 JOIN edges ON dst = node_id) p ON p.batch_key = i.batch_key AND p.node_id = i.node_id", **TWO))
+def e10_dynamic_stream(spark, sf_dir):
+    """The same from a stream of seeds, a minute a batch, sampled as they come: hits are told by timers over state."""
+    g, f = frontier(spark, sf_dir)
+    folder = f"{shared_root(spark)}/stream-{uuid.uuid4().hex}"
+    timed = f.select("batch_key", "node_id", F.col("pos").cast("long").alias("pos"), F.timestamp_seconds((F.col("batch_key") + 1) * 60).alias("ts"))
+    timed.repartitionByRange(4, "batch_key").write.parquet(f"{folder}/in")
+    last = timed.agg((F.max("ts") + F.expr("INTERVAL 1 DAY")).alias("ts"))
+    last.select(*(F.lit(None).cast("long").alias(c) for c in ("batch_key", "node_id", "pos")), "ts").write.mode("append").parquet(f"{folder}/in")
+    hops = [lambda x, layer, n=n: sampling.khop_places(g.lists, x, n, SEED, layer, g.degrees) for n in (10, 5)]
+    seeds = spark.readStream.schema(prefetch.SEEDS).parquet(f"{folder}/in")
+    prefetch.sample_stream(seeds, g.edges, hops, f"{folder}/touched", f"{folder}/sampled")
+    got = prefetch.decide_stream(spark, f"{folder}/touched", g.nodes, f"{folder}/out", f"{folder}/decided", "feat", late="1 day")
+    return got.select("batch_key", "node_id", "is_hit", _moment("feat").alias("f_moment"))
+
+
 @query(with_(["edges", "frontier"], "SELECT e.batch_key, e.layer, num_edge, (SELECT count(*) FROM ids i WHERE i.batch_key = e.batch_key AND reached <= layer) num_dst, (SELECT count(*) FROM ids i WHERE i.batch_key = e.batch_key AND reached <= layer + 1) num_src FROM (SELECT batch_key, 0 layer, count(*) num_edge FROM l0 GROUP BY 1 UNION ALL SELECT batch_key, 1, count(*) FROM l1 GROUP BY 1) e", **TWO))
 def p2_layer_sizes(spark, sf_dir):
     """Edges, destination nodes and source nodes of each block."""
