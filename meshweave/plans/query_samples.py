@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions.rand import draw
-from ..operators import batching, blocks, build, cache, gather, layers, sampling, weights
+from ..operators import batching, blocks, build, cache, gather, layers, sampling, training, weights
 from ..sources import market, records
 from ..streaming import prefetch
 from . import sql_surface
@@ -354,6 +354,20 @@ def e10_dynamic_stream(spark, sf_dir):
     return got.select("batch_key", "node_id", "is_hit", _moment("feat").alias("f_moment"))
 
 
+@query()
+def l6_training(spark, sf_dir):
+    """Each batch's outputs, loss and right answers under two layers trained on the whole epoch, eight batches a step."""
+    g, _, r = two_layers(spark, sf_dir)
+    folder = f"{shared_root(spark)}/train-{uuid.uuid4().hex}"
+    records.write_batches(r, folder, g.nodes)
+    kept = spark.read.schema(records.SHAPE).parquet(f"{folder}/batch=*")
+    width, classes = g.nodes.agg(F.max(F.size("feat")), F.max("label") + 1).first()
+    model = training.Model.start([width, 32, classes], SEED)
+    batches = r.id_map.agg(F.max("batch_key") + 1).first()[0]
+    model = training.train(kept, model, batches, epochs=2)
+    return training.score(kept, model).select("batch_key", "n", "correct", F.round("loss", 6).alias("loss"))
+
+
 @query(with_(["edges", "frontier"], "SELECT e.batch_key, e.layer, num_edge, (SELECT count(*) FROM ids i WHERE i.batch_key = e.batch_key AND reached <= layer) num_dst, (SELECT count(*) FROM ids i WHERE i.batch_key = e.batch_key AND reached <= layer + 1) num_src FROM (SELECT batch_key, 0 layer, count(*) num_edge FROM l0 GROUP BY 1 UNION ALL SELECT batch_key, 1, count(*) FROM l1 GROUP BY 1) e", **TWO))
 def p2_layer_sizes(spark, sf_dir):
     """Edges, destination nodes and source nodes of each block."""
