@@ -354,20 +354,48 @@ def e10_dynamic_stream(spark, sf_dir):
     return got.select("batch_key", "node_id", "is_hit", _moment("feat").alias("f_moment"))
 
 
+def _trained(spark, g, result, kind, epochs=2):
+    """(records, model): two layers trained on all batches of a result, eight batches a step."""
+    folder = f"{shared_root(spark)}/train-{uuid.uuid4().hex}"
+    records.write_batches(result, folder, g.nodes)
+    kept = records.open_batches(spark, folder)
+    width, classes = g.nodes.agg(F.max(F.size("feat")), F.max("label") + 1).first()
+    count = result.id_map.agg(F.max("batch_key") + 1).first()[0]
+    return kept, training.train(kept, training.Model.start([width, 32, classes], SEED, kind), count, epochs=epochs)
+
+
 @query()
 def l6_training(spark, sf_dir):
-    """Each batch's outputs, loss and right answers under two layers trained on the whole epoch, eight batches a step."""
+    """Each batch's outputs, loss and right answers under two graph convolutions trained on the whole epoch."""
     g, _, r = two_layers(spark, sf_dir)
-    folder = f"{shared_root(spark)}/train-{uuid.uuid4().hex}"
-    records.write_batches(r, folder, g.nodes)
-    kept = spark.read.schema(records.SHAPE).parquet(f"{folder}/batch=*")
-    width, classes = g.nodes.agg(F.max(F.size("feat")), F.max("label") + 1).first()
-    model = training.Model.start([width, 32, classes], SEED)
-    batches = r.id_map.agg(F.max("batch_key") + 1).first()[0]
-    model = training.train(kept, model, batches, epochs=2)
+    kept, model = _trained(spark, g, r, "gcn")
+    return training.score(kept, model).select("batch_key", "n", "correct", F.round("loss", 6).alias("loss"))
+
+
+@query()
+def l6_training_walks(spark, sf_dir):
+    """The same under two weighted layers over random-walk neighbours and their visit counts."""
+    g, f = frontier(spark, sf_dir)
+    walks = lambda f, layer: sampling.visit_topk(sampling.random_walk(g.lists, f, STEPS, RESTART, WALKS, SEED + layer), TOP)
+    kept, model = _trained(spark, g, blocks.sample_blocks(f, [walks, walks]), "pinsage")
     return training.score(kept, model).select("batch_key", "n", "correct", F.round("loss", 6).alias("loss"))
 
 
+@query()
+def l6_evaluation(spark, sf_dir):
+    """Right answers among all nodes of each split under two mean layers trained on the training set; other splits are sampled in batches of their own."""
+    g, _, r = two_layers(spark, sf_dir)
+    kept, model = _trained(spark, g, r, "sage")
+    hops = [lambda f, layer, n=n: sampling.khop_places(g.lists, f, n, SEED, layer, g.degrees) for n in (10, 5)]
+    out = training.predict(kept, model).withColumn("split", F.lit("train"))
+    for split in ("valid", "test"):
+        own = batching.make_batches(g.splits.where(F.col("split") == split).select("node_id"), 1, BATCH, SEED).select("batch_key", "node_id", "pos")
+        folder = f"{shared_root(spark)}/evaluate-{uuid.uuid4().hex}"
+        records.write_batches(blocks.sample_blocks(own, hops), folder, g.nodes)
+        out = out.unionByName(training.predict(records.open_batches(spark, folder), model).withColumn("split", F.lit(split)))
+    return training.accuracy(out, model.layers[-1][-1].size, ["split"])
+
+
 @query(with_(["edges", "frontier"], "SELECT e.batch_key, e.layer, num_edge, (SELECT count(*) FROM ids i WHERE i.batch_key = e.batch_key AND reached <= layer) num_dst, (SELECT count(*) FROM ids i WHERE i.batch_key = e.batch_key AND reached <= layer + 1) num_src FROM (SELECT batch_key, 0 layer, count(*) num_edge FROM l0 GROUP BY 1 UNION ALL SELECT batch_key, 1, count(*) FROM l1 GROUP BY 1) e", **TWO))
 def p2_layer_sizes(spark, sf_dir):
     """Edges, destination nodes and source nodes of each block."""
