@@ -451,7 +451,7 @@ def f5_rank_presample_all(spark, sf_dir):
              one="SELECT node_id seed, src node_id, p1 p FROM train JOIN ch ON dst = node_id", two="SELECT seed, src node_id, p * p0 FROM one JOIN ch ON dst = node_id"))
 def f6_expected_visits(spark, sf_dir):
     g = market.market(spark, sf_dir)
-    v = cache.expected_visits(g.edges, _degrees(g), market.train_set(g))
+    v = cache.expected_visits(g.edges, _degrees(g), market.train_set(g), simple=g.simple)
     return v.select("node_id", F.round("visits", 4).alias("visits"))
 
 

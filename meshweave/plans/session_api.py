@@ -167,7 +167,7 @@ class Sampler(RunLog):
         if c.cache_policy == "fake_optimal":
             from ..functions.ranks import global_rank
 
-            visits = cache.expected_visits(g.edges, self.degrees, self.train_set)
+            visits = cache.expected_visits(g.edges, self.degrees, self.train_set, simple=g.simple)
             rows = g.nodes.select("node_id").join(visits, "node_id", "left").withColumn("v", F.round(F.coalesce("visits", F.lit(0.0)), 9))
             return global_rank(rows, [F.col("v").desc(), F.col("node_id").desc()]).select("node_id", "rank")
         if c.cache_policy == "random":

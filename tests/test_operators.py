@@ -3,6 +3,8 @@
 import math
 
 import numpy as np
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -191,3 +193,28 @@ def test_layers_by_hand(spark):
 def test_mean_leaves_out_the_first_key(spark):
     log = spark.createDataFrame([("a", 0, 100.0), ("a", 1, 2.0), ("a", 2, 4.0), ("b", 0, 5.0)], "item string, key long, val double")
     assert got(metrics.mean_after_first(log), "item", "mean") == [("a", 3.0), ("b", 0.0)]
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_expected_visits_equal_a_loop_over_paths(spark, seed):
+    """Leaves, seeds with one neighbour, nodes that are their own neighbours, and lists longer than the fanouts."""
+    r = random.Random(seed)
+    pairs = {(r.randrange(12), r.randrange(12)) for _ in range(30)} | {(12 + k, r.randrange(12)) for k in range(6)} | {(r.randrange(12), 18 + k) for k in range(6)} | {(3, 3), (12, 12), (20, 20)}
+    lists = {d: sorted(s for s, e in pairs if e == d) for d in range(24)}
+    train = [*range(0, 12, 2), *range(12, 24)]
+    want = {}
+    for s in train:
+        miss = {}
+        for m in lists[s]:
+            p = min(1, 2 / len(lists[s]))
+            miss[m] = miss.get(m, 1) * (1 - p)
+            for n in lists[m]:
+                miss[n] = miss.get(n, 1) * (1 - p * min(1, 3 / len(lists[m])))
+        miss[s] = 0
+        for n, x in miss.items():
+            want[n] = want.get(n, 0) + 1 - x
+    edges, nodes = spark.createDataFrame(sorted(pairs), "src long, dst long"), spark.range(24).withColumnRenamed("id", "node_id")
+    seeds = spark.createDataFrame([(s,) for s in train], "node_id long")
+    for simple in (True, False):
+        got = dict(map(tuple, cache.expected_visits(edges, build.degrees(nodes, edges), seeds, (3, 2), simple).collect()))
+        assert got == pytest.approx(want, abs=1e-9)
