@@ -94,7 +94,7 @@ def block_links(home: np.ndarray, met: np.ndarray, radius: int, own: bool = Fals
 
 
 def _compare(radius: int):
-    """Rows sorted by tile, its own fingerprints before its guests: these are held, guests stream by."""
+    """Blocks (tile, fps, guest) sorted by tile, its own before its guests: the former are held, guests stream by."""
 
     def edges(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
@@ -102,8 +102,9 @@ def _compare(radius: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         home, last = np.zeros(0, np.uint64), None
         for batch in batches:
-            tiles, fps = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)
-            guest = batch.column(2).to_numpy(zero_copy_only=False)
+            tiles, blocks = batch.column(0).to_numpy(), batch.column(1)
+            fps, at = blocks.values.to_numpy().view(np.uint64), blocks.offsets.to_numpy()
+            away = batch.column(2).to_numpy(zero_copy_only=False)
             cuts = [0, *(np.flatnonzero(np.diff(tiles)) + 1).tolist(), len(tiles)]
             for a, z in zip(cuts, cuts[1:]):
                 if a == z:
@@ -111,10 +112,10 @@ def _compare(radius: int):
                 if tiles[a] != last:
                     yield edges(*block_links(home, home, radius, True))
                     home, last = np.zeros(0, np.uint64), tiles[a]
-                rows, away = fps[a:z], guest[a:z]
-                home = np.concatenate([home, rows[~away]])
-                if away.any() and len(home):
-                    yield edges(*block_links(home, rows[away], radius))
+                m = z - int(away[a:z].sum())
+                home = np.concatenate([home, fps[at[a] : at[m]]])
+                if m < z and len(home):
+                    yield edges(*block_links(home, fps[at[m] : at[z]], radius))
         yield edges(*block_links(home, home, radius, True))
 
     return run
@@ -123,27 +124,31 @@ def _compare(radius: int):
 def links(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
     """Edges (a, b) over distinct fingerprints (column fp) whose components are the linked groups.
 
-    A tile's fingerprints meet each other and, as guests, those of the half of the tiles near it.
-    The tile list has at most 17**4 rows, which is what is broadcast.
+    A tile's fingerprints are written as one block for each of its parts, some `tile` fingerprints by their
+    hash. Blocks meet themselves and, as guests, go whole to the other parts and to the half of the tiles near
+    theirs. The tile list has at most 17**4 rows, which is what is broadcast.
     """
-    coded = distinct.select("fp", *[c.alias(f"c{i}") for i, c in enumerate(_counts("fp"))])
-    coded = coded.withColumn("code", _code([F.col(f"c{i}") for i in range(4)]))
+    coded = distinct.select("fp", _code(_counts("fp")).alias("code"))
     sizes = F.broadcast(coded.groupBy("code").count().select("code", F.ceil(F.col("count") / tile).cast("int").alias("parts")))
-    homes = coded.join(sizes, "code").select("fp", "code", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int").alias("part"), "parts", *[f"c{i}" for i in range(4)])
-    own = homes.select((F.col("code").cast("long") * 1048576 + F.col("part")).alias("tile"), "fp", F.lit(False).alias("guest"))
+    homes = coded.join(sizes, "code").select("fp", "code", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int").alias("part"), "parts")
+    blocks = stash(homes.groupBy("code", "part", "parts").agg(F.collect_list("fp").alias("fps")), "simhash-blocks")
+
+    def sent(df: DataFrame, part: str, guest: bool) -> DataFrame:
+        return df.select((F.col("code").cast("long") * 1048576 + F.col(part)).alias("tile"), "fps", F.lit(guest).alias("guest"))
+
     # parts of one tile meet too: a part is a guest of the later parts
-    within = homes.where("parts > 1").select(F.explode(F.sequence(F.col("part") + 1, F.col("parts"))).alias("other"), "code", "parts", "fp").where("other < parts").select((F.col("code").cast("long") * 1048576 + F.col("other")).alias("tile"), "fp", F.lit(True).alias("guest"))
+    within = blocks.where("part + 1 < parts").select("code", "fps", F.explode(F.sequence(F.col("part") + 1, F.col("parts") - 1)).alias("other"))
+    own_counts = F.array(*[F.floor(F.col("code") / 17**k).cast("int") % 17 for k in (3, 2, 1, 0)])
     steps = F.array(*[F.array(*map(F.lit, d)) for d in half_ball(radius)[1:]])
-    own_counts = F.array(*[F.col(f"c{i}") for i in range(4)])
 
     def moved(step):
         to = F.zip_with(own_counts, step, lambda c, d: c + d)
         return F.when(F.forall(to, lambda c: c.between(0, 16)), F.aggregate(to, F.lit(0), lambda acc, c: acc * 17 + c))
 
-    near = F.transform(steps, moved)
-    guests = homes.select("fp", F.explode(F.array_compact(near)).alias("code")).join(sizes, "code").select(F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "code", "fp").select((F.col("code").cast("long") * 1048576 + F.col("part")).alias("tile"), "fp", F.lit(True).alias("guest"))
-    met = own.unionAll(within).unionAll(guests).repartition("tile").sortWithinPartitions("tile", "guest")
-    return met.mapInArrow(_compare(radius), "a long, b long")
+    near = blocks.select("fps", F.explode(F.array_compact(F.transform(steps, moved))).alias("code")).join(sizes, "code")
+    guests = near.select("code", "fps", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    met = sent(blocks, "part", False).unionAll(sent(within, "other", True)).unionAll(sent(guests, "other", True))
+    return met.repartition("tile").sortWithinPartitions("tile", "guest").mapInArrow(_compare(radius), "a long, b long")
 
 
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, keep: tuple[str, ...] = ()) -> DataFrame:
