@@ -3,10 +3,11 @@
 Equal vectors are merged first, so a group of copies is one node with a weight. A label's nodes form
 search groups of bounded size (large labels are cut at sampled centres; pairs that a cut may part
 are compared in full, see _groups). In a group: nodes are put into overlapping cluster shards, each
-shard's exact neighbour lists are robust-pruned, the shards' adjacency lists are united, and every
-node runs a greedy search from the shard medoids that goes on from all nodes in range until no new
-one turns up. Within a group a sample's links between different vectors are audited against brute
-force; a failing search is widened, and where that does not help the group is scanned in full. Every
+shard's exact neighbour lists are robust-pruned, the shards' adjacency lists are united so that
+every node is also listed by some it lists (or theirs), and every node runs a greedy search from the shard
+medoids that goes on from all nodes in range until no new one turns up. Within a group a sample's
+links between different vectors are audited against brute force; a failing search is widened up to
+WIDEST, and where that does not help the group is scanned in full, so a group's work is bounded. Every
 link is verified in double precision. At last the links of a sample of nodes are counted against
 their whole labels, over all cuts and groups: that recall is part of the result.
 """
@@ -28,7 +29,11 @@ SHARD = 512
 DEGREE = 24
 CANDIDATES = 48
 ALPHA = 1.2
+#: Neighbours of a node that list it in turn, full lists or not: without them no way leads to some members of a dense cluster.
+LISTED = 4
 BEAM = 16
+#: A search group's widest beam: wider ones take several times as long as the full comparison of the group, which comes next.
+WIDEST = 2 * BEAM
 CENTRES = 64
 LEVELS = 6
 AUDIT = 128
@@ -76,6 +81,7 @@ class FlatGraph:
         o = min(overlap, k)
         homes = np.argpartition(-(self.x @ centres.T), o - 1, axis=1)[:, :o]
         lists: list[set[int]] = [set() for _ in range(n)]
+        kept: list[list[int]] = [[] for _ in range(n)]
         self.medoids = []
         for j in range(k):
             members = np.flatnonzero((homes == j).any(1))
@@ -87,9 +93,16 @@ class FlatGraph:
                 for a, near in zip(part.tolist(), robust_prune(own @ own.T)):
                     near = part[near].tolist()
                     lists[a].update(near)
+                    kept[a] += near
                     for b in near:
                         if len(lists[b]) < 2 * DEGREE:
                             lists[b].add(a)
+        for a, near in enumerate(kept):
+            unaware = [b for b in dict.fromkeys(near) if a not in lists[b]]
+            for b in sorted(unaware, key=lambda b: len(lists[b]))[: max(0, LISTED - len(set(near)) + len(unaware))]:
+                if len(lists[b]) >= 3 * DEGREE:  # the middle of a cluster that all its members list: one that it lists goes between
+                    b = min((c for c in lists[b] if c != a), key=lambda c: (len(lists[c]), c))
+                lists[b].add(a)
         width = max(map(len, lists), default=0)
         self.adj = np.full((n, max(1, width)), -1, np.int64)
         for a, near in enumerate(lists):
@@ -164,46 +177,38 @@ def group_links(x: np.ndarray, threshold: float = THRESHOLD, beam: int = BEAM):
     unit = x / norms[:, None]
     graph = FlatGraph(unit)
     # nodes in random order until they have AUDIT links to others, or all of them
-    order, sample, truth, want = np.random.default_rng(17).permutation(n), [], [], 0
+    order, truth, want = np.random.default_rng(17).permutation(n), [], 0
     for s in range(0, n, AUDIT):
         q = order[s : s + AUDIT]
-        r, c = np.nonzero(unit[q] @ unit.T >= threshold)
+        r, c = np.nonzero(unit[q] @ unit.T >= threshold - 1e-9)
         other = q[r] != c
-        sample.append(q)
-        truth.append(q[r[other]] * n + c[other])
-        want += len(truth[-1])
+        low, high = _verified(x, norms, q[r[other]], c[other], threshold)
+        truth.append(low * n + high)
+        want += len(low)
         if want >= AUDIT:
             break
-    recall = 1.0
-    while want:
-        found = sum(_hits(graph.search(q, threshold, beam), q, t, n) for q, t in zip(sample, truth))
-        recall = found / want
-        if recall >= AUDIT_RECALL or beam >= n:
-            break
+    true, exact = np.concatenate(truth), False
+    while True:
+        pairs = [np.zeros(0, np.int64)]
+        for a in range(0, n, ROWS):
+            q = np.arange(a, min(n, a + ROWS))
+            if exact:
+                i, j = np.nonzero(unit[q] @ unit.T >= threshold - 1e-9)
+                i = q[i]
+            else:
+                got = graph.search(q, threshold, beam)
+                i = np.repeat(q, [len(g) for g in got])
+                j = np.concatenate(got)
+            fine = i != j
+            low, high = _verified(x, norms, i[fine], j[fine], threshold)
+            pairs.append(low * n + high)
+        code = np.unique(np.concatenate(pairs))
+        # a link is found if either end finds it
+        recall = 1.0 if exact or not want else float(np.isin(true, code).mean())
+        if recall >= AUDIT_RECALL:
+            return code // n, code % n, recall
+        exact = beam >= min(n, WIDEST)  # not found by the widest beam either: every pair is compared
         beam *= 2
-    exact = recall < AUDIT_RECALL  # no beam is wide enough: every pair is compared
-    if exact:
-        recall = 1.0
-    pairs = []
-    for a in range(0, n, ROWS):
-        q = np.arange(a, min(n, a + ROWS))
-        if exact:
-            i, j = np.nonzero(unit[q] @ unit.T >= threshold - 1e-9)
-            i = q[i]
-        else:
-            got = graph.search(q, threshold, beam)
-            i = np.repeat(q, [len(g) for g in got])
-            j = np.concatenate(got)
-        fine = i != j
-        i, j = i[fine], j[fine]
-        pairs.append(_verified(x, norms, i, j, threshold))
-    code = np.unique(np.concatenate([p[0] * n + p[1] for p in pairs])) if pairs else np.zeros(0, np.int64)
-    return code // n, code % n, recall
-
-
-def _hits(got: list[np.ndarray], q: np.ndarray, truth: np.ndarray, n: int) -> int:
-    """How many of the coded true links from q a search has found."""
-    return int(np.isin(truth, np.repeat(q, [len(g) for g in got]) * n + np.concatenate(got)).sum())
 
 
 def between_links(x: np.ndarray, a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD):

@@ -550,6 +550,37 @@ def test_audit_leaves_out_each_node_itself(monkeypatch, lost):
     assert sorted(zip(i.tolist(), j.tolist())) == [(10, 20), (500, 510), (700, 710)] and recall == 1.0
 
 
+def test_a_failing_search_is_widened_within_bounds(monkeypatch):
+    """Links that no beam finds: after a few widths the group is scanned, not searched ever wider."""
+    r = np.random.default_rng(4)
+    x = r.normal(size=(600, 32))
+    x[:100] = x[0] + r.normal(size=(100, 32)) * 0.1
+    asked = Counter()
+
+    def blind(self, queries, threshold, beam=vector_graph.BEAM):
+        asked[beam] += len(queries)
+        return [np.array([k]) for k in queries]
+
+    monkeypatch.setattr(vector_graph.FlatGraph, "search", blind)
+    i, j, recall = vector_graph.group_links(x)
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    assert len(i) == np.triu(u @ u.T >= 0.93, 1).sum() > 4000 and recall == 1.0
+    assert max(asked) <= 2 * vector_graph.BEAM and sum(asked.values()) <= 2 * len(x)
+
+
+def test_every_member_of_a_dense_cluster_is_listed():
+    """Near copies of one vector fill each other's lists; the search must find a way to each, from each."""
+    r = np.random.default_rng(6)
+    x = r.normal(size=(2000, 64))
+    x[1:500] = x[0] + r.normal(size=(499, 64)) * 0.1
+    graph = vector_graph.FlatGraph(x / np.linalg.norm(x, axis=1)[:, None])
+    assert set(range(500)) <= set(graph.adj[:500].ravel().tolist()) and graph.adj.shape[1] < 200
+    truth = graph.x[:500] @ graph.x.T >= 0.93 + 1e-5
+    found = graph.search(np.arange(500), 0.93)
+    lost = [np.setdiff1d(np.flatnonzero(t), f) for t, f in zip(truth, found)]
+    assert truth.sum() > 200000 and not sum(map(len, lost))
+
+
 def test_graph_search_finds_what_brute_force_finds():
     r = np.random.default_rng(8)
     centres = r.normal(size=(200, 64))
