@@ -194,13 +194,13 @@ class Sampler(RunLog):
 
     def hit_rate(self, result: blocks.SampleResult) -> DataFrame:
         if self.config.cache_policy == "dynamic_cache":
-            near = blocks.prefetch_set(self.graph.edges, result.id_map.where(F.col("reached") < len(self.config.fanout)))
+            near = result.ahead(self.graph.edges, len(self.config.fanout))
             return gather.dynamic_hits(result.inputs(), near)
         return gather.hit_rate(gather.cache_split(result.inputs(), self.cached(), int(self.graph.num_nodes * self.config.cache_percentage)))
 
     def dynamic_features(self, result: blocks.SampleResult) -> DataFrame:
         """Inputs' features with is_hit under a dynamic cache: what the batch before prefetched is a hit."""
-        near = blocks.prefetch_set(self.graph.edges, result.id_map.where(F.col("reached") < len(self.config.fanout)))
+        near = result.ahead(self.graph.edges, len(self.config.fanout))
         return gather.dynamic_gather(self.graph.nodes, result.inputs(), near, "feat")
 
     def log_sizes(self, result: blocks.SampleResult) -> None:
