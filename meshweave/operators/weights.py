@@ -32,8 +32,7 @@ def edge_weights(edges: DataFrame, deg: DataFrame, policy: str, seed: int = 0) -
 def prefix_table(weighted: DataFrame, hubs: bool = False) -> DataFrame:
     """adj(dst, pos, src, w, prefix, deg): running weight sums in list order, not normalised; hubs as in build.with_positions."""
     if hubs:
-        rows = running_sums(weighted.select("dst", "src", "w"), "dst", [F.col("src").asc()], pos=F.lit(1).cast("long"), prefix=F.col("w"))
-        rows = rows.join(weighted.groupBy("dst").agg(F.count("*").alias("deg")), "dst")
+        rows = running_sums(weighted.select("dst", "src", "w"), "dst", [F.col("src").asc()], {"deg": "pos"}, pos=F.lit(1).cast("long"), prefix=F.col("w"))
         return rows.select("dst", (F.col("pos") - 1).alias("pos"), "src", "w", "prefix", "deg")
     w = Window.partitionBy("dst")
     upto = w.orderBy("src").rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -193,8 +193,7 @@ def b3_positions_of_hubs(spark, sf_dir):
 
     g = market.market(spark, sf_dir)
     weighted = g.edges.join(g.degrees.select(F.col("node_id").alias("src"), F.col("out_degree").cast("double").alias("w")), "src")
-    sums = weights.prefix_table(weighted, hubs=True).select("dst", "pos", "src", "prefix")
-    return build.with_positions(g.edges, hubs=True).join(sums, ["dst", "pos", "src"]).select("dst", "pos", "src", "deg", "prefix")
+    return weights.prefix_table(weighted, hubs=True).select("dst", "pos", "src", "deg", "prefix")
 
 
 @query(with_(["deg"], "SELECT node_id, CAST(coalesce(sum(in_degree) OVER (ORDER BY node_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS \"offset\" FROM deg"))
