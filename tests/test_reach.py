@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from meshweave.operators import reach, sampling
+from meshweave.operators import build, cache, reach, sampling
 from meshweave.plans.session import prepare
 
 SF = "/root/testdata/sf0.001"
@@ -43,3 +43,31 @@ def test_no_row_for_a_batch_and_a_node(spark):
 
     plan = query_samples.c10_all_neighbour_hops(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "FlatMapGroupsInArrow" in plan
+
+
+@pytest.mark.parametrize("small", [{"BLOCK": 20, "GROUP": 12, "PIECE": 5}, {"WIDEST": 2, "PIECE": 1}])
+@pytest.mark.parametrize("simple", [True, False])
+def test_visits_in_small_pieces(spark, monkeypatch, small, simple):
+    """Blocks of a few seeds, groups of a few edges, nodes in too many lists, and nodes with more paths than a piece."""
+    for k, v in small.items():
+        monkeypatch.setattr(reach, k, v)
+    r = random.Random(4)
+    pairs = {(r.randrange(10), r.randrange(10)) for _ in range(25)} | {(10 + k, r.randrange(10)) for k in range(5)} | {(r.randrange(10), 15 + k) for k in range(5)} | {(0, d) for d in range(14)} | {(2, 2), (16, 16)}
+    pairs = sorted(pairs) if simple else sorted(pairs) + [(0, 1), (0, 1), (4, 15)]
+    lists = {d: [s for s, e in pairs if e == d] for d in range(20)}
+    train, want = [*range(0, 10, 2), *range(10, 20)], {}
+    for s in train:
+        miss = {}
+        for m in lists[s]:
+            p = min(1, 2 / len(lists[s]))
+            miss[m] = miss.get(m, 1) * (1 - p)
+            for n in lists[m]:
+                miss[n] = miss.get(n, 1) * (1 - p * min(1, 3 / len(lists[m])))
+        miss[s] = 0
+        for n, x in miss.items():
+            want[n] = want.get(n, 0) + 1 - x
+    edges, nodes = spark.createDataFrame(pairs, "src long, dst long"), spark.range(20).withColumnRenamed("id", "node_id")
+    seeds = spark.createDataFrame([(s,) for s in train], "node_id long")
+    got = dict(map(tuple, cache.expected_visits(edges, build.degrees(nodes, edges), seeds, (3, 2), simple).collect()))
+    assert got == pytest.approx(want, abs=1e-9)
+    assert not cache.expected_visits(edges, build.degrees(nodes, edges), seeds.limit(0), (3, 2), simple).count()
